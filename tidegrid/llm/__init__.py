@@ -1,0 +1,11 @@
+"""Operations of a training-data pipeline, as Spark jobs.
+
+Nothing outside this package imports it. Functions that run in Python workers are shipped
+by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
