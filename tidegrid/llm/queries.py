@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op10_language_id
 from .neardup import op8_minhash_neardup
+from .secrets import op4_secret_scan
 from .substring import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_substring_dedup, op8_minhash_neardup]
+    found = [op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op10_language_id]
     return {f.__name__: f for f in found}
 
 
