@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op10_language_id
 from .neardup import op8_minhash_neardup
+from .neighbours import op1_vantage_point_search
 from .packing import op2_best_fit_packing
 from .secrets import op4_secret_scan
 from .substring import op7_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_best_fit_packing, op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op10_language_id]
+    found = [op1_vantage_point_search, op2_best_fit_packing, op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op10_language_id]
     return {f.__name__: f for f in found}
 
 
