@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    return re.sub("^file:/(?!/)", "file:///", found).rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

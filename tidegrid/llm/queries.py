@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontam import op9_template_decontamination
 from .langid import op10_language_id
 from .neardup import op8_minhash_neardup
 from .neighbours import op1_vantage_point_search
 from .packing import op2_best_fit_packing
 from .secrets import op4_secret_scan
 from .substring import op7_substring_dedup
+from .urlfilter import op6_link_trust_filter
+from .warc import op5_arc_to_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_vantage_point_search, op2_best_fit_packing, op4_secret_scan, op7_substring_dedup, op8_minhash_neardup, op10_language_id]
+    found = [
+        op1_vantage_point_search, op2_best_fit_packing, op4_secret_scan, op5_arc_to_warc, op6_link_trust_filter,
+        op7_substring_dedup, op8_minhash_neardup, op9_template_decontamination, op10_language_id,
+    ]
     return {f.__name__: f for f in found}
 
 
