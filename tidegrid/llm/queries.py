@@ -13,17 +13,18 @@ from .neighbours import op1_vantage_point_search
 from .packing import op2_best_fit_packing
 from .secrets import op4_secret_scan
 from .substring import op7_substring_dedup
+from .toolcalls import OP3_SQL, op3_tool_call_linking
 from .urlfilter import op6_link_trust_filter
 from .warc import op5_arc_to_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
-        op1_vantage_point_search, op2_best_fit_packing, op4_secret_scan, op5_arc_to_warc, op6_link_trust_filter,
+        op1_vantage_point_search, op2_best_fit_packing, op3_tool_call_linking, op4_secret_scan, op5_arc_to_warc, op6_link_trust_filter,
         op7_substring_dedup, op8_minhash_neardup, op9_template_decontamination, op10_language_id,
     ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_tool_call_linking": OP3_SQL}
