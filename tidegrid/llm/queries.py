@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .decontam import op9_template_decontamination
 from .langid import op10_language_id
 from .neardup import op8_minhash_neardup
@@ -27,4 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_tool_call_linking": OP3_SQL}
+    return {
+        "op3_tool_call_linking": OP3_SQL, "op5_arc_to_warc": sql.OP5, "op6_link_trust_filter": sql.OP6,
+        "op7_substring_dedup": sql.OP7, "op8_minhash_neardup": sql.OP8,
+    }

@@ -101,4 +101,4 @@ def judge(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int
 
 def op6_link_trust_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    return judge(table(spark, sf_dir, "pages"), rules)
+    return judge(table(spark, sf_dir, "pages"), rules).drop("trust", "distrust")

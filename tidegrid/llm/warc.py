@@ -285,4 +285,4 @@ def convert(pages: DataFrame) -> DataFrame:
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convert(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri")
+    return convert(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
