@@ -9,6 +9,8 @@ their places in the plan by their rank among the pieces of their length, in Spar
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,12 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, table
+from .common import cut, once, table
 
 CAPACITY = 2048
 END = 0
 _MARK = "<|"  # what special tokens begin with
-_MEMORY = 400_000  # chunks that a worker remembers
+_MEMORY = 300_000  # chunks that a worker remembers
 
 
 def tokenizer_path() -> str:
@@ -34,54 +36,165 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Merges:
+    """Byte-pair merges of many words at once: in every word the pair of least rank, the leftmost if tied, is merged, until none is left."""
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], end: str) -> None:
+        names = _byte_names()
+        self.inner = np.array([vocabulary[c] for c in names], np.int64)
+        self.last = np.array([vocabulary[c + end] for c in names], np.int64)
+        self.made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        pairs = np.array([(vocabulary[a] << 16) + vocabulary[b] for a, b in merges], np.uint32)
+        self.none = len(merges)
+        self.slots = np.full(1 << 18, self.none, np.int64)
+        self.pairs = np.append(pairs, np.uint32(0xFFFFFFFF))
+        todo, at = np.arange(len(merges)), self._at(pairs)
+        while len(todo):  # open addressing; of those that want a free slot the last written has it
+            free = self.slots[at] == self.none
+            self.slots[at[free]] = todo[free]
+            lost = self.slots[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    @staticmethod
+    def _at(pairs: np.ndarray) -> np.ndarray:
+        return ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(14)).astype(np.int64)
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair of tokens, or ``none``; a token -1 is in no pair."""
+        key = ((a << 16) + b).astype(np.uint32)
+        at = self._at(key)
+        out = self.slots[at]
+        wrong = np.flatnonzero((out != self.none) & (self.pairs[out] != key))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self.slots) - 1)
+            out[wrong] = self.slots[at[wrong]]
+            wrong = wrong[(out[wrong] != self.none) & (self.pairs[out[wrong]] != key[wrong])]
+        out[(a < 0) | (b < 0)] = self.none
+        return out
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words one after the other, and where each word's end."""
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        letter = data != 32
+        ends = np.append(np.flatnonzero(~letter) - np.arange(len(words) - 1), letter.sum())
+        data, starts, n = data[letter], np.append(0, ends[:-1]), len(data) - len(words) + 1
+        token = np.append(self.inner[data], -1)  # the last stands for what is outside a word
+        token[ends - 1] = self.last[data[ends - 1]]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1], before[starts] = n, -1
+        never = self.none * n
+        key = self.rank(token[:n], token[after]) * n + np.arange(n)  # least for the pair to merge
+        while True:
+            best = np.minimum.reduceat(key, starts)
+            best = best[best < never]
+            if not len(best):
+                return token[token >= 0].astype(np.uint32), np.cumsum(np.add.reduceat((token[:n] >= 0).astype(np.int64), starts))
+            at = best % n
+            right = after[at]
+            token[at], token[right] = self.made[best // n], -1
+            key[right] = never + right
+            after[at] = after[right]
+            inside = after[at] < n
+            before[after[at][inside]] = at[inside]
+            key[at] = self.rank(token[at], token[after[at]]) * n + at
+            left = before[at]
+            at, left = at[left >= 0], left[left >= 0]
+            key[left] = self.rank(token[left], token[at]) * n + left
+
+
+def _byte_names() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable ones name themselves, others follow from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class Chunked:
-    """Ids of texts by a tokenizer whose tokens never reach over white space: each chunk between white space is
-    encoded once and remembered. Texts with special tokens, or with the separators that the tokenizer doesn't take
-    as white space, are encoded whole."""
+    """Ids of texts by a lower-casing tokenizer whose tokens never reach over white space or from letters to punctuation.
+
+    Each chunk between white space is encoded once and remembered: words of letters by :class:`Merges`, a word with a full stop or
+    comma after it as both, the rest by the tokenizer. Texts with special tokens, with separators that the tokenizer
+    doesn't take as white space, or with characters for which lower case may depend on their neighbours, are encoded
+    whole by the tokenizer."""
 
     def __init__(self, path: str, separator: str = "<|endoftext|>") -> None:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        with open(path) as f:
+            model = json.load(f)["model"]
+        self.merges = Merges(model["vocab"], [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]], model["end_of_word_suffix"])
+        self.stops = {c: model["vocab"][c + model["end_of_word_suffix"]] for c in ".,"}
         self.separator, self.mark = separator, self.t.token_to_id(separator)
+        self.odd = re.compile("[^\x00-\x1b\x20-\u017f]|" + re.escape(_MARK))
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        ids = np.asarray(self.t.encode(self.separator.join(chunks), add_special_tokens=False).ids, np.uint32)
-        cuts = np.flatnonzero(ids == self.mark)
-        if len(cuts) != len(chunks) - 1:
-            raise ValueError("a chunk holds the separator")
-        ends = np.append(cuts, len(ids))
-        starts = np.append(0, cuts + 1)
-        keep = ids[ids != self.mark]
-        if self.used + len(keep) > len(self.flat):
-            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(keep)), np.uint32)])
-        self.flat[self.used : self.used + len(keep)] = keep
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _add(self, chunks: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : self.used + len(ids)] = ids
         n = len(self.known)
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(ends - starts)])
-        self.used += len(keep)
+        self.starts = np.concatenate([self.starts, self.used + ends])
+        self.used += len(ids)
         self.known.update(zip(chunks, range(n, n + len(chunks))))
 
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these chunks one after the other, and where each ends."""
+        start = self.starts[at]
+        n = self.starts[at + 1] - start
+        ends = np.cumsum(n)
+        return self.flat[np.arange(ends[-1]) + np.repeat(start - ends + n, n)], ends
+
+    def _learn(self, chunks: set[str]) -> None:
+        words, stopped, others = [], [], []
+        for c in chunks:
+            if c.isalpha():
+                words.append(c)
+            elif c[-1] in self.stops and c[:-1].isalpha():
+                stopped.append(c)
+            else:
+                others.append(c)
+        words += {c[:-1] for c in stopped}.difference(self.known, words)
+        if words:
+            self._add(words, *self.merges.encode(words))
+        for i in range(0, len(others), 2000):
+            part = others[i : i + 2000]
+            ids = self._ids(self.separator.join(part) + self.separator)
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(part):
+                raise ValueError("a chunk holds the separator")
+            self._add(part, ids[ids != self.mark], cuts - np.arange(len(cuts)))
+        if stopped:
+            ids, ends = self._gather(np.array([self.known[c[:-1]] for c in stopped]))
+            self._add(stopped, np.insert(ids, ends, [self.stops[c[-1]] for c in stopped]), ends + np.arange(1, len(ends) + 1))
+
+    def _whole(self, text: str) -> bool:
+        if text.isascii():
+            return _MARK in text or "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text
+        return self.odd.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > _MEMORY:
-            self.known, self.starts, self.used = {}, np.zeros(1, np.int64), 0
-        plain = [None if _MARK in x or any(c in x for c in "\x1c\x1d\x1e\x1f") else x.split() for x in texts]
-        new = {c for x in plain if x for c in x}.difference(self.known)
+            self._forget()
+        plain = [None if self._whole(x) else x.lower().split() for x in texts]
+        new = set().union(*(x for x in plain if x)).difference(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         known, out = self.known, []
         for text, chunks in zip(texts, plain):
             if chunks is None:
-                out.append(np.asarray(self.t.encode(text, add_special_tokens=False).ids, np.uint32))
+                out.append(self._ids(text))
             elif not chunks:
                 out.append(np.zeros(0, np.uint32))
             else:
-                at = np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-                start = self.starts[at]
-                n = self.starts[at + 1] - start
-                ends = np.cumsum(n)
-                out.append(self.flat[np.arange(ends[-1]) + np.repeat(start - ends + n, n)])
+                out.append(self._gather(np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks)))[0])
         return out
 
 
@@ -89,14 +202,14 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     """(doc_id, text) to pieces, numbered within the task among those of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Chunked(path)
+        coder = once(f"tokenizer {path}", lambda: Chunked(path))
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             a, n, texts = 0, batch.num_rows, batch.column(1)
             while a < n:
                 block, size = [], 0
-                while a + len(block) < n and (size < 1 << 20 or not block):
+                while a + len(block) < n and (size < 1 << 19 or not block):
                     block.append(texts[a + len(block)].as_py() or "")
                     size += len(block[-1])
                 docs, rows = batch.column(0).slice(a, len(block)).to_pylist(), []
