@@ -1,15 +1,443 @@
-"""The registered queries of the grid engine, with DuckDB SQL for each."""
+"""The registered queries of the grid engine, with DuckDB SQL for each.
+
+Measured values are rounded to six decimals on both sides: engines add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..frame import GridFrame
+from ..functions import calendar
+from ..functions.layers import layer_heights_table
+from ..operators.actions import run_action
+from ..operators.align import align_outer, with_mask
+from ..operators.bottom_map import BottomCellMap, nearest_water
+from ..operators.domain import MultiPolygonalDomain, PolygonalDomain, RectangularDomain, cut_to
+from ..operators.extract import first_time, nearest_time, water_mask
+from ..operators.plotdata import map_at, timeseries
+from ..sources import collection, filenames
+from ..sources.sinks import ascii_lines, csv_table, raster
+from ..sources.tables import DEPTHS, daily_cube, monthly_cube, order_points
+from ..sources.variables import KNOWN, variables_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+_MON = """
+mon as (select cast(date_trunc('month', l_shipdate) as timestamp) "time", cast(l_linenumber - 1 as integer) depth_idx, cast(l_suppkey % 4 as integer) lat_idx,
+               cast(l_partkey % 5 as integer) lon_idx, avg(l_quantity) thetao, avg(l_extendedprice) so
+        from lineitem where l_linenumber <= 7 - ((l_suppkey % 4) * 5 + l_partkey % 5) % 8 group by 1, 2, 3, 4),
+cube as (select *, ([0.5, 2, 5, 10, 20, 40, 80]::double[])[depth_idx + 1] depth, ([1, 2, 4, 6, 14, 26, 54]::double[])[depth_idx + 1] h,
+                42.0::double + lat_idx latitude, 30.0::double + lon_idx * 0.5::double longitude,
+                (sin(radians(42.5::double + lat_idx)) - sin(radians(41.5::double + lat_idx))) * 6371000.0::double * 6371000.0::double * radians(0.5::double) area from mon)"""
+_DAY = """
+days as (select cast(date_trunc('day', l_shipdate) as timestamp) "time", cast(l_suppkey % 2 as integer) lat_idx, cast(l_partkey % 2 as integer) lon_idx, avg(l_quantity) chl
+         from lineitem group by 1, 2, 3),
+times as (select distinct "time" from days),
+firsts as (select cast(dayofyear("time") as integer) doy, arg_min(cast(month("time") as integer), "time") "month" from times group by 1),
+doys as (select d.doy, f."month", lat_idx, lon_idx, chl from (select cast(dayofyear("time") as integer) doy, lat_idx, lon_idx, avg(chl) chl from days group by 1, 2, 3) d join firsts f using (doy))"""
+_POINTS = """
+points as (select o_orderkey pid, 42.0::double + o_custkey % 31 * 0.1::double latitude, 30.0::double + o_custkey % 21 * 0.1::double longitude, cast(o_orderdate as timestamp) "time" from orders),
+wet as (select distinct lat_idx, lon_idx, latitude, longitude from cube where "time" = (select min("time") from cube)),
+dist as (select pid, p."time", w.lat_idx, w.lon_idx,
+                round(2 * 6371000.0::double * asin(least(sqrt(pow(sin(radians(w.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(w.latitude)) * pow(sin(radians(w.longitude - p.longitude) / 2), 2)), 1.0::double)), 3) distance
+         from points p cross join wet w),
+near as (select * from (select *, row_number() over (partition by pid order by distance, lat_idx, lon_idx) k from dist) where k = 1),
+t0 as (select lat_idx, lon_idx, count(thetao) n from cube where "time" = (select min("time") from cube) group by 1, 2),
+bottom as (select c.lat_idx, c.lon_idx, cast(case when coalesce(t0.n, 0) = 0 then 6 else t0.n - 1 end as integer) bottom_idx from (select distinct lat_idx, lon_idx from cube) c left join t0 using (lat_idx, lon_idx))"""
+_SEASON = "case when m in (12, 1, 2) then 'DJF' when m in (3, 4, 5) then 'MAM' when m in (6, 7, 8) then 'JJA' else 'SON' end"
+
+
+def _query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[name], _SQL[name] = f, sql
+        return f
+
+    return add
+
+
+def _tidy(t: DataFrame, *values: str, drop: tuple[str, ...] = ("depth", "latitude", "longitude"), digits: int = 6) -> DataFrame:
+    return t.drop(*[c for c in drop if c in t.columns]).withColumns({v: F.round(F.col(v).cast("double"), digits) for v in values})
+
+
+def _reduced(name: str, axes: list[str], operator: str, keys: str, value: str, scale: float = 1.0, where: str = "true", **depth: float) -> None:
+    """Register a reduction of thetao and its SQL."""
+    by = f"group by {keys}" if keys else ""
+    sql = f"with {_MON} select {keys + ', ' if keys else ''}round({value} / {scale}, 6) thetao from cube where {where} {by}"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = monthly_cube(spark, sf_dir).select(["thetao"])
+        out = run_action("reduce_axes", frame, axes=axes, operator=operator, **depth).table()
+        return _tidy(out.withColumn("thetao", F.col("thetao") / F.lit(scale)), "thetao")
+
+    _query(name, sql)(run)
+
+
+_CELL = '"time", depth_idx, lat_idx, lon_idx'
+_reduced("reduce_lat_mean", ["latitude"], "mean", '"time", depth_idx, lon_idx', "sum(thetao * latitude) / sum(latitude)")
+_reduced("reduce_lon_mean", ["longitude"], "mean", '"time", depth_idx, lat_idx', "sum(thetao * longitude) / sum(longitude)")
+_reduced("reduce_lat_integral", ["latitude"], "integral", '"time", depth_idx, lon_idx', "sum(thetao * latitude)")
+_reduced("reduce_lon_integral", ["longitude"], "integral", '"time", depth_idx, lat_idx', "sum(thetao * longitude)")
+_reduced("reduce_latlon_mean", ["latitude", "longitude"], "mean", '"time", depth_idx', "sum(thetao * area) / sum(area)")
+_reduced("reduce_latlon_integral", ["latitude", "longitude"], "integral", '"time", depth_idx', "sum(thetao * area)", 1e10)
+_reduced("reduce_time_mean", ["time"], "mean", "depth_idx, lat_idx, lon_idx", "avg(thetao)")
+_reduced("reduce_time_integral", ["time"], "integral", "depth_idx, lat_idx, lon_idx", "sum(thetao)")
+_reduced("reduce_depth_time_mean", ["depth", "time"], "mean", "lat_idx, lon_idx", "sum(thetao * h) / sum(h)")
+_reduced("reduce_volume_mean", ["depth", "latitude", "longitude"], "mean", '"time"', "sum(thetao * area * h) / sum(area * h)")
+_reduced("reduce_volume_integral", ["depth", "latitude", "longitude"], "integral", '"time"', "sum(thetao * area * h)", 1e12)
+_reduced("reduce_all_mean", ["time", "depth", "latitude", "longitude"], "mean", "", "sum(thetao * area * h) / sum(area * h)")
+_reduced("reduce_all_integral", ["time", "depth", "latitude", "longitude"], "integral", "", "sum(thetao * area * h)", 1e14)
+for _how in ("max", "min"):
+    _reduced(f"reduce_depth_{_how}", ["depth"], _how, '"time", lat_idx, lon_idx', f"{_how}(thetao)")
+    _reduced(f"reduce_latlon_{_how}", ["latitude", "longitude"], _how, '"time", depth_idx', f"{_how}(thetao)")
+    _reduced(f"reduce_time_{_how}", ["time"], _how, "depth_idx, lat_idx, lon_idx", f"{_how}(thetao)")
+    _reduced(f"reduce_all_{_how}", ["time", "depth", "latitude", "longitude"], _how, "", f"{_how}(thetao)")
+# depths 2 to 20 have heights 4, 2, 8, 12 of their own: the first reaches to the surface
+_CUT = "([0, 4, 2, 8, 12, 0, 0]::double[])[depth_idx + 1]"
+_reduced("depth_average_range", ["depth"], "mean", '"time", lat_idx, lon_idx', f"sum(thetao * {_CUT}) / sum({_CUT})", where="depth between 2 and 20", depth_min=2.0, depth_max=20.0)
+_reduced("depth_integral_range", ["depth"], "integral", '"time", lat_idx, lon_idx', f"sum(thetao * {_CUT})", where="depth between 2 and 20", depth_min=2.0, depth_max=20.0)
+
+
+@_query("depth_average", f'with {_MON} select "time", lat_idx, lon_idx, round(sum(thetao * h) / sum(h), 6) thetao, round(sum(so * h) / sum(h), 6) so from cube group by 1, 2, 3')
+def depth_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("compute_depth_average", monthly_cube(spark, sf_dir)).table(), "thetao", "so")
+
+
+@_query("depth_integral", f'with {_MON} select "time", lat_idx, lon_idx, round(sum(thetao * h), 6) thetao, round(sum(so * h), 6) so from cube group by 1, 2, 3')
+def depth_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("compute_depth_integral", monthly_cube(spark, sf_dir)).table(), "thetao", "so")
+
+
+def _stats(name: str, operations: list[str], columns: dict[str, str]) -> None:
+    whole = "case when count(thetao) = max(n) then round({}, 6) end"
+    values = ", ".join(f"{whole.format(sql)} {c}" for c, sql in columns.items())
+    sql = f'with {_MON}, steps as (select count(distinct "time") n from cube) select depth_idx, lat_idx, lon_idx, {values} from cube cross join steps group by 1, 2, 3'
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _tidy(run_action("calculate_stats", monthly_cube(spark, sf_dir).select(["thetao"]), operations=operations).table(), *columns)
+
+    _query(name, sql)(run)
+
+
+_QUART = {f"thetao_quartiles_{p}": f"quantile_cont(thetao, {p / 100})" for p in (5, 25, 75, 95)}
+_stats("stats_mean", ["mean"], {"thetao_mean": "avg(thetao)"})
+_stats("stats_variance", ["variance"], {"thetao_variance": "var_pop(thetao)"})
+_stats("stats_median", ["median"], {"thetao_median": "median(thetao)"})
+_stats("stats_minmax", ["minimum", "maximum"], {"thetao_minimum": "min(thetao)", "thetao_maximum": "max(thetao)"})
+_stats("stats_quartiles", ["quartiles"], _QUART)
+_stats("stats_all", ["all"], {"thetao_mean": "avg(thetao)", "thetao_variance": "var_pop(thetao)", "thetao_median": "median(thetao)", "thetao_minimum": "min(thetao)", "thetao_maximum": "max(thetao)"} | _QUART)
+
+
+@_query(
+    "clim_monthly_from_monthly",
+    f"""with {_MON}, t as (select distinct "time" from cube), w as (select cast(month("time") as integer) "month", sum(day(last_day("time"))) nd from t group by 1),
+    g as (select cast(month("time") as integer) "month", depth_idx, lat_idx, lon_idx, sum(thetao * day(last_day("time"))) total from cube group by 1, 2, 3, 4)
+    select w."month", c.depth_idx, c.lat_idx, c.lon_idx, round(coalesce(g.total, 0) / w.nd, 6) thetao
+    from w cross join (select distinct depth_idx, lat_idx, lon_idx from cube) c left join g on g."month" = w."month" and g.depth_idx = c.depth_idx and g.lat_idx = c.lat_idx and g.lon_idx = c.lon_idx""",
+)
+def clim_monthly_from_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("climatology", monthly_cube(spark, sf_dir), variable="thetao", frequency="monthly").table(), "thetao")
+
+
+@_query(
+    "clim_monthly_from_monthly_1996_1998",
+    f"""with {_MON}, part as (select * from cube where "time" between timestamp '1996-01-01' and timestamp '1998-12-31'), t as (select distinct "time" from part), w as (select cast(month("time") as integer) "month", sum(day(last_day("time"))) nd from t group by 1),
+    g as (select cast(month("time") as integer) "month", depth_idx, lat_idx, lon_idx, sum(so * day(last_day("time"))) total from part group by 1, 2, 3, 4)
+    select w."month", c.depth_idx, c.lat_idx, c.lon_idx, round(coalesce(g.total, 0) / w.nd, 6) so
+    from w cross join (select distinct depth_idx, lat_idx, lon_idx from part) c left join g on g."month" = w."month" and g.depth_idx = c.depth_idx and g.lat_idx = c.lat_idx and g.lon_idx = c.lon_idx""",
+)
+def clim_monthly_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir)
+    return _tidy(run_action("climatology", frame, variable="so", frequency="monthly", start_date=datetime(1996, 1, 1), end_date=datetime(1998, 12, 31)).table(), "so")
+
+
+@_query("clim_seasonal_from_monthly", f'with {_MON}, s as (select *, month("time") m from cube) select {_SEASON} season, depth_idx, lat_idx, lon_idx, round(avg(thetao), 6) thetao from s group by 1, 2, 3, 4')
+def clim_seasonal_from_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("climatology", monthly_cube(spark, sf_dir), variable="thetao", frequency="seasonal").table(), "thetao")
+
+
+@_query("clim_daily_from_daily", f'with {_DAY} select doy, "month", lat_idx, lon_idx, round(chl, 6) chl from doys')
+def clim_daily_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("climatology", daily_cube(spark, sf_dir), variable="chl", frequency="daily").table(), "chl")
+
+
+@_query("clim_monthly_from_daily", f'with {_DAY} select "month", lat_idx, lon_idx, round(avg(chl), 6) chl from doys group by 1, 2, 3')
+def clim_monthly_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("climatology", daily_cube(spark, sf_dir), variable="chl", frequency="monthly").table(), "chl")
+
+
+@_query("clim_seasonal_from_daily", f'with {_DAY}, s as (select *, "month" m from doys) select {_SEASON} season, lat_idx, lon_idx, round(avg(chl), 6) chl from s group by 1, 2, 3')
+def clim_seasonal_from_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("climatology", daily_cube(spark, sf_dir), variable="chl", frequency="seasonal").table(), "chl")
+
+
+_EXTREMES = ", ".join(f"round({f}({v}), 6) {v}_{f}" for v in ("thetao", "so") for f in ("min", "max"))
+_BOTH = ("thetao_min", "thetao_max", "so_min", "so_max")
+
+
+@_query("extremes", f"""with {_MON} select cast(date_trunc('year', "time") as timestamp) "time", {_EXTREMES} from cube group by 1""")
+def extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_annual_extremes", monthly_cube(spark, sf_dir)).table(), *_BOTH)
+
+
+@_query("extremes_per_layer", f"""with {_MON} select cast(date_trunc('year', "time") as timestamp) "time", depth_idx, {_EXTREMES} from cube group by 1, 2""")
+def extremes_per_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_annual_extremes_per_layer", monthly_cube(spark, sf_dir)).table(), *_BOTH)
+
+
+_VALUES = "round(thetao, 6) thetao, round(so, 6) so"
+
+
+@_query("surface", f'with {_MON} select "time", lat_idx, lon_idx, {_VALUES} from cube where depth_idx = 0')
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_surface", monthly_cube(spark, sf_dir)).table(), "thetao", "so")
+
+
+@_query("layer_nearest", f'with {_MON} select "time", lat_idx, lon_idx, {_VALUES} from cube where depth_idx = 4')
+def layer_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """15 m lies half-way between 10 and 20."""
+    return _tidy(run_action("extract_layer", monthly_cube(spark, sf_dir), depth=15.0).table(), "thetao", "so")
+
+
+@_query("bottom", f'with {_MON}, {_POINTS} select "time", lat_idx, lon_idx, round(thetao, 6) thetao from cube join bottom using (lat_idx, lon_idx) where depth_idx = bottom_idx')
+def bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_bottom", monthly_cube(spark, sf_dir).select(["thetao"])).table(), "thetao")
+
+
+@_query("mask", f'with {_MON} select depth_idx, lat_idx, lon_idx, true tmask from cube where "time" = (select min("time") from cube)')
+def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(water_mask(monthly_cube(spark, sf_dir)))
+
+
+@_query(
+    "masked_cells",
+    f'with {_MON}, m as (select distinct depth_idx, lat_idx, lon_idx, true t from cube where "time" = (select min("time") from cube)) select {_CELL}, round(thetao, 6) thetao, coalesce(t, false) tmask from cube left join m using (depth_idx, lat_idx, lon_idx)',
+)
+def masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).select(["thetao"])
+    return _tidy(with_mask(frame.table(), water_mask(frame)), "thetao").select("time", "depth_idx", "lat_idx", "lon_idx", "thetao", "tmask")
+
+
+def _domain(name: str, domain, condition: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _tidy(cut_to(monthly_cube(spark, sf_dir), domain).table(), "thetao", "so")
+
+    _query(name, f"with {_MON} select {_CELL}, {_VALUES} from cube where {condition}")(run)
+
+
+_TRIANGLE = ((29.8, 41.7), (32.3, 43.2), (30.4, 45.4))
+_SQUARE = ((31.2, 43.6), (32.2, 43.6), (32.2, 45.2), (31.2, 45.2))
+
+
+def _even_odd(ring: tuple[tuple[float, float], ...]) -> str:
+    edges = [(*a, *b) for a, b in zip(ring, (*ring[1:], ring[0])) if a[1] != b[1]]
+    d = "{}::double".format
+    hits = [f"(case when ({d(y1)} > latitude) <> ({d(y2)} > latitude) and longitude < ({d(x2)} - {d(x1)}) * (latitude - {d(y1)}) / ({d(y2)} - {d(y1)}) + {d(x1)} then 1 else 0 end)" for x1, y1, x2, y2 in edges]
+    return f"(({' + '.join(hits)}) % 2 = 1)"
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+_domain("domain_rect", RectangularDomain("box", (42.5, 44.0), (30.5, 31.5)), "latitude between 42.5 and 44 and longitude between 30.5 and 31.5")
+_domain("domain_polygon", PolygonalDomain("triangle", _TRIANGLE), _even_odd(_TRIANGLE))
+_domain("domain_multipolygon", MultiPolygonalDomain("both", (PolygonalDomain("triangle", _TRIANGLE), PolygonalDomain("square", _SQUARE))), f"{_even_odd(_TRIANGLE)} or {_even_odd(_SQUARE)}")
+
+
+@_query("variables_selected", f"with {_MON} select {_CELL}, round(so, 6) so from cube")
+def variables_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(monthly_cube(spark, sf_dir).select(["so"]).table(), "so")
+
+
+@_query("depth_slice", f"with {_MON} select {_CELL}, {_VALUES} from cube where depth >= 2 and depth <= 10")
+def depth_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(monthly_cube(spark, sf_dir).between("depth", 2.0, 10.0).table(), "thetao", "so")
+
+
+@_query("time_slice", f"""with {_MON} select {_CELL}, {_VALUES} from cube where "time" between timestamp '1997-03-01' and timestamp '1997-08-15'""")
+def time_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(monthly_cube(spark, sf_dir).between("time", datetime(1997, 3, 1), datetime(1997, 8, 15)).table(), "thetao", "so")
+
+
+@_query("first_time_step", f'with {_MON} select {_CELL}, {_VALUES} from cube where "time" = (select min("time") from cube)')
+def first_time_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(first_time(monthly_cube(spark, sf_dir)).table(), "thetao", "so")
+
+
+@_query(
+    "nearest_time_step",
+    f"""with {_MON} select {_CELL}, {_VALUES} from cube where "time" = (select "time" from (select distinct "time" from cube) order by abs(epoch_us("time") - epoch_us(timestamp '1998-03-20')), "time" desc limit 1)""",
+)
+def nearest_time_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(nearest_time(monthly_cube(spark, sf_dir), datetime(1998, 3, 20)).table(), "thetao", "so")
+
+
+@_query(
+    "align_outer",
+    f"with {_MON}, a as (select {_CELL}, thetao from cube where (depth_idx + lat_idx) % 3 <> 0), b as (select {_CELL}, so from cube where (depth_idx + lon_idx) % 4 <> 0) select {_CELL}, {_VALUES} from a full join b using ({_CELL})",
+)
+def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir)
+    a = frame.select(["thetao"]).table().where("(depth_idx + lat_idx) % 3 != 0")
+    b = frame.select(["so"]).table().where("(depth_idx + lon_idx) % 4 != 0")
+    return _tidy(align_outer([a, b]), "thetao", "so")
+
+
+@_query("timeseries_mean", f'with {_MON} select "time", depth_idx, round(avg(thetao), 9) thetao from cube group by 1, 2')
+def timeseries_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(timeseries(monthly_cube(spark, sf_dir), "thetao"), "thetao", digits=9)
+
+
+@_query("timeseries_daily_1997", f"""with {_DAY} select "time", round(avg(chl), 6) chl from days where "time" between timestamp '1997-01-01' and timestamp '1997-12-31' group by 1""")
+def timeseries_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(timeseries(daily_cube(spark, sf_dir), "chl", datetime(1997, 1, 1), datetime(1997, 12, 31)), "chl")
+
+
+def _map(how: str) -> None:
+    sql = f"""with {_MON}, t as (select "time" from (select distinct "time" from cube) order by abs(epoch_us("time") - epoch_us(timestamp '1998-03-20')), "time" desc limit 1)
+    select lat_idx, lon_idx, round({'avg' if how == 'mean' else how}(thetao), 6) thetao from cube where "time" = (select "time" from t) group by 1, 2"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _tidy(map_at(monthly_cube(spark, sf_dir), "thetao", datetime(1998, 3, 20), "depth", how), "thetao")
+
+    _query(f"map_nearest_time_{how}", sql)(run)
+
+
+for _how in ("mean", "max", "min"):
+    _map(_how)
+
+
+@_query("raster_time_mean", f"with {_MON} select lat_idx, lon_idx, round(avg(thetao), 6) thetao from cube where depth_idx = 0 group by 1, 2")
+def raster_time_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(raster(run_action("extract_surface", monthly_cube(spark, sf_dir).select(["thetao"]))), "thetao")
+
+
+@_query(
+    "ascii_grid",
+    f"""with {_MON}, m as (select lat_idx, lon_idx, avg(thetao) x from cube where depth_idx = 4 group by 1, 2), g as (select y, x from range(4) a(y) cross join range(5) b(x))
+    select cast(3 - g.y as integer) "row", string_agg(coalesce(printf('%.8f', m.x), '-9999'), ' ' order by g.x) line from g left join m on m.lat_idx = g.y and m.lon_idx = g.x group by g.y""",
+)
+def ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ascii_lines(run_action("extract_layer", monthly_cube(spark, sf_dir).select(["thetao"]), depth=20.0))
+
+
+@_query("csv_rows", f'with {_MON} select "time", latitude, longitude, round(thetao, 6) thetao from cube where depth_idx = 0')
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(csv_table(run_action("extract_surface", monthly_cube(spark, sf_dir).select(["thetao"]))), "thetao", drop=())
+
+
+@_query("nearest_wet_point", f"with {_MON}, {_POINTS} select pid, lat_idx, lon_idx, distance from near")
+def nearest_wet_point(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).select(["thetao"])
+    water = water_mask(frame).select("lat_idx", "lon_idx", "latitude", "longitude").distinct()
+    return nearest_water(order_points(spark, sf_dir), water).select("pid", "lat_idx", "lon_idx", "distance")
+
+
+_SERIES = f"""with {_MON}, {_POINTS}, series as (select n.pid, n.distance, c."time" model_time, c.depth model_depth, c.thetao from near n join bottom b using (lat_idx, lon_idx)
+    left join cube c on c.lat_idx = n.lat_idx and c.lon_idx = n.lon_idx and c.depth_idx = b.bottom_idx and c."time" between n."time" - interval 90 day and n."time" + interval 1 millisecond)"""
+
+
+@_query("bottom_series", f"{_SERIES} select pid, distance, model_time, model_depth, round(thetao, 6) thetao from series")
+def bottom_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = BottomCellMap(monthly_cube(spark, sf_dir).select(["thetao"]), timedelta(days=90)).series(order_points(spark, sf_dir))
+    return _tidy(found.select("pid", "distance", "model_time", "model_depth", "thetao"), "thetao")
+
+
+def _summary(series: pd.DataFrame) -> dict:
+    return {"steps": len(series), "mean": float(series["thetao"].mean()) if len(series) else None, "last": float(series["thetao"].iloc[-1]) if len(series) else None}
+
+
+@_query("bottom_cell_map", f"{_SERIES} select pid, cast(count(model_time) as bigint) steps, round(avg(thetao), 6) mean, round(arg_max(thetao, model_time), 6) last from series group by pid")
+def bottom_cell_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = order_points(spark, sf_dir)
+    out = BottomCellMap(monthly_cube(spark, sf_dir).select(["thetao"]), timedelta(days=90)).map(_summary, points, "steps long, mean double, last double")
+    return _tidy(out.select("pid", "steps", "mean", "last"), "mean", "last")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return o.groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp_ntz").alias("start"), F.max("o_orderdate").cast("timestamp_ntz").alias("end"))
+
+
+def _split(by: str) -> None:
+    sql = f"""with s as (select o_custkey, cast(min(o_orderdate) as timestamp) a, cast(max(o_orderdate) as timestamp) b from orders group by 1),
+    cuts as (select o_custkey, a c, b from s where a < b union all
+             select o_custkey, c, b from (select o_custkey, b, unnest(generate_series(cast(date_trunc('{by}', a) + interval 1 {by} as timestamp), b, interval 1 {by})) c from s where a < b) where c < b)
+    select o_custkey, c part_start, coalesce(lead(c) over (partition by o_custkey order by c) - interval 1 second, b) part_end from cuts"""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return calendar.split_intervals(_spans(spark, sf_dir), by).select("o_custkey", "part_start", "part_end")
+
+    _query(f"split_by_{by}", sql)(run)
+
+
+_split("month")
+_split("year")
+
+
+@_query(
+    "n_time_steps",
+    """with s as (select o_custkey, min(o_orderdate) a, max(o_orderdate) b from orders group by 1)
+    select o_custkey, cast(date_diff('day', cast(a as date), cast(b as date)) + 1 as integer) daily, cast((year(b) - year(a)) * 12 + month(b) - month(a) + 1 as integer) monthly from s""",
+)
+def n_time_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = {f: calendar.n_time_steps(F.col("start"), F.col("end"), f) for f in ("daily", "monthly")}
+    return _spans(spark, sf_dir).select("o_custkey", *[c.cast("int").alias(f) for f, c in count.items()])
+
+
+@_query(
+    "file_names",
+    """with s as (select o_custkey, min(o_orderdate) a, max(o_orderdate) b from orders group by 1)
+    select o_custkey, 'Adriatic_thetao_daily_' || strftime(a, '%Y-%m-%d') || '--' || strftime(b, '%Y-%m-%d') || '.nc' name, 'Adriatic' "domain", 'thetao' variable, 'daily' frequency, cast(a as date) "start", cast(b as date) "end" from s""",
+)
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = filenames.data_file_name_column(F.lit("Adriatic"), F.lit("thetao"), F.lit("daily"), F.col("start"), F.col("end"))
+    named = _spans(spark, sf_dir).select("o_custkey", name.alias("name"))
+    return named.select("o_custkey", "name", *filenames.data_file_parts(F.col("name")))
+
+
+@_query(
+    "resume_missing",
+    """with m as (select distinct strftime(o_orderdate, '%Y-%m') m from orders), w as (select v, 'Adriatic_' || v || '_monthly_' || m || '-01--' || m || '-01.nc' name, m from m cross join (values ('thetao'), ('so')) x(v)),
+    there as (select distinct 'Adriatic_thetao_monthly_' || strftime(l_shipdate, '%Y-%m') || '-01--' || strftime(l_shipdate, '%Y-%m') || '-01.nc' name from lineitem where l_suppkey % 97 = 3 and l_linenumber = 7)
+    select v variable, name from w where name not in (select name from there)""",
+)
+def resume_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    month = lambda c: calendar.month_start(F.col(c))
+    name = lambda v, t: filenames.data_file_name_column(F.lit("Adriatic"), v, F.lit("monthly"), t, t)
+    months = spark.read.parquet(f"{sf_dir}/orders.parquet").select(month("o_orderdate").alias("m")).distinct()
+    wanted = months.select("m", F.explode(F.array(F.lit("thetao"), F.lit("so"))).alias("variable")).withColumn("name", name(F.col("variable"), F.col("m")))
+    there = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_suppkey % 97 = 3 and l_linenumber = 7").select(name(F.lit("thetao"), month("l_shipdate")).alias("name")).distinct()
+    return collection.missing_files(wanted, there).select("variable", "name")
+
+
+@_query("validate", f"with {_MON} select (min(depth) >= 0 and max(depth) <= 100) ok, case when min(depth) >= 0 and max(depth) <= 100 then '' else 'depths from ' || min(depth) || ' to ' || max(depth) end reason from cube")
+def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collection.validate(monthly_cube(spark, sf_dir).table(), "thetao", (0.0, 100.0))
+
+
+@_query("layer_heights", "select * from (values (0, 0.5::double, 1.0::double), (1, 2, 2), (2, 5, 4), (3, 10, 6), (4, 20, 14), (5, 40, 26), (6, 80, 54)) t(idx, depth, height)")
+def layer_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layer_heights_table(spark.createDataFrame(list(enumerate(DEPTHS)), "idx int, depth double"))
+
+
+@_query("variables", "select * from (values " + ", ".join("('{}', '{}', '{}')".format(*v) for v in KNOWN) + ") t(name, label, cmap)")
+def known_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variables_table(spark)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def frame_of(spark: SparkSession, sf_dir: str) -> GridFrame:
+    """The cube that most queries use."""
+    return monthly_cube(spark, sf_dir)

@@ -1,0 +1 @@
+"""No operator of this engine is a streaming one: data arrive as complete time steps, and ingestion is an idempotent batch job (see sources.ingest)."""
