@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected, cut, table
@@ -87,6 +87,35 @@ def signatures(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: in
     return out, has
 
 
+BITS = 2048
+
+
+def bitmaps(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """For each document ``BITS`` bits as 64-bit words: each unit of each item's weight turns one bit over.
+
+    The bits in which two documents differ are at most the units that they don't share."""
+    at = np.repeat(np.arange(len(doc)), weight)
+    copy = np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)
+    bit = mix(item[at] + _GOLD * copy.astype(np.uint64)) >> np.uint64(65 - BITS.bit_length())
+    odd = np.bincount(doc[at] * BITS + bit.astype(np.int64), minlength=n_docs * BITS) % 2
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(n_docs, BITS // 64)
+
+
+def apart(x: str, y: str) -> Column:
+    """Number of bits in which the bitmaps ``x`` and ``y`` differ."""
+    out = F.lit(0)
+    for i in range(BITS // 64):
+        out = out + F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i))))
+    return out
+
+
+def could_link(x: str, y: str, similarity: float) -> Column:
+    """Whether the weights ``n`` and bitmaps of two documents leave room for a link: shared weight of at least
+    similarity / (1 + similarity) of the sum, where twice the shared weight is at most the sum less the differing bits."""
+    both = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return (both - apart(f"{x}.bits", f"{y}.bits")) / 2 >= similarity / (1 + similarity) * both - 1e-6
+
+
 def _sketch(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bp, wp = byte_powers(), word_powers()
@@ -106,11 +135,21 @@ def _sketch(shingle: int, bands: int, rows: int):
     return run
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        z = [press.compress((x or "").encode()) for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["doc_id", "z"])
+def _pack(shingle: int):
+    """Texts to their packed form, the weight of their bag and its bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bp, wp = byte_powers(), word_powers()
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for a, b, data, bounds in blocks(batch.column(1)):
+                bag = bags(Words(data, bounds, bp), shingle, wp)
+                n = np.bincount(bag[0], weights=bag[2], minlength=b - a).astype(np.int64)
+                z = [press.compress(data[bounds[i] : bounds[i + 1]].tobytes()) for i in range(b - a)]
+                bits = pa.FixedSizeListArray.from_arrays(pa.array(bitmaps(*bag, b - a).reshape(-1)), BITS // 64).cast(pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(z, pa.binary()), pa.array(n), bits], ["id", "z", "n", "bits"])
+
+    return run
 
 
 def _overlap(shingle: int):
@@ -140,46 +179,92 @@ def _overlap(shingle: int):
     return run
 
 
+def _shingles(shingle: int):
+    """Packed texts to their bags: one row for each distinct shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bp, wp = byte_powers(), word_powers()
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for doc, z in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = np.frombuffer(expand.decompress(z.as_py()), np.uint8)
+                _, h, n = bags(Words(text, np.array([0, len(text)]), bp), shingle, wp)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc, np.int64)), pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["id", "h", "c"])
+
+    return run
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
     """Class of each document under the links of weighted Jaccard ``similarity`` between bags of word shingles.
 
     Texts equal word for word are collapsed first; BagMinHash signatures of the rest are cut into bands
-    (a pair at 0.8 misses all 24 bands of 4 rows with probability 3e-6). In each bucket every member is
-    verified against the smallest; after classes are formed of these links, members of different
-    classes that share a bucket are verified with each other, save those whose distances to the bucket's
-    smallest differ by more than the allowed distance (the distance is a metric, so they can't link).
-    So no candidate link between classes is lost and no bucket is expanded into all its pairs unless
-    its members are truly unrelated. A null or wordless text is a class of its own; repeated rows of a doc_id
-    give one row. Other columns are ignored. Returns doc_id, class_id (smallest doc_id of
-    the class), same_as (smallest doc_id with the same words).
+    (a pair at 0.8 misses all 24 bands of 4 rows with probability 3e-6). Candidates share a bucket; those that weights and
+    bitmaps of their bags leave room for a link are verified on the bags, so that no bucket is expanded into its pairs:
+    first each member with the bucket's smallest id, then, in buckets that still hold several classes, with one that
+    has the smallest share of private shingles (a group's original, where there is one), and then members of
+    different classes with each other. Before the last two, members are set aside that can't link to anyone there: weight
+    of shingles that no other such document has can't be shared, and what is left is too little for the
+    smallest member of the bucket. So no candidate link between classes is lost.
+
+    A null or wordless text is a class of its own; repeated rows of a doc_id give one row; without documents there are no
+    rows. Other columns are ignored. Returns doc_id, class_id (smallest doc_id of the class), same_as (smallest
+    doc_id with the same words).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, print binary, bands array<long>"), "near-sketch")
-    firsts = seen.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("same_as"))
-    same = cut(seen.where("print is not null").join(firsts, "print").select("doc_id", "same_as", F.when(F.col("doc_id") == F.col("same_as"), F.col("bands")).alias("bands")), "near-same")
-    members = same.where("bands is not null").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    leads = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead")
+    firsts = cut(seen.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("same_as")), "near-firsts")
+    same = cut(seen.where("print is not null").select("doc_id", "print").join(firsts, "print").select("doc_id", "same_as"), "near-same")
+    heads = seen.join(same.where("doc_id = same_as").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = cut(heads.select(F.col("doc_id").alias("id"), "bands"), "near-heads")
+    members = heads.select("id", F.explode("bands").alias("key"))
+    leads = cut(members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "near-leads")
     shared = cut(members.join(leads, "key").select("key", "lead", "id"), "near-buckets")
-    texts = cut(docs.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id").mapInArrow(_pack, "doc_id long, z binary").dropDuplicates(["doc_id"]), "near-texts")
+    asked = cut(shared.select("id").distinct(), "near-asked")
+    # the same plan at every size: texts are dealt by id, never the ids to all tasks
+    texts = docs.withColumnRenamed("doc_id", "id").join(asked.hint("merge"), "id", "left_semi").mapInArrow(_pack(shingle), "id long, z binary, n long, bits array<long>")
+    texts = cut(texts.dropDuplicates(["id"]), "near-texts")
+    marks = texts.select("id", "n", "bits")
+
+    def able_to_link(pairs: DataFrame) -> DataFrame:
+        """Of the pairs a < b those that could link."""
+        left, right = (marks.select(F.col("id").alias(x), F.struct("n", "bits").alias(y)) for x, y in (("a", "l"), ("b", "r")))
+        return pairs.distinct().join(left, "a").join(right, "b").where(could_link("l", "r", similarity)).select("a", "b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("z").alias("zb")), "b")
-        both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("z").alias("za")), "a")
+        """Distinct pairs with their similarity."""
+        pairs = cut(pairs, "near-pairs")
+        with_b = pairs.join(texts.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b")
+        both = with_b.join(texts.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
         return cut(both.select("a", "b", "za", "zb").mapInArrow(_overlap(shingle), "a long, b long, sim double"), "near-verified")
 
-    stars = verified(shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-    links = stars.where(F.col("sim") >= similarity).select("a", "b")
+    def mixed(known: DataFrame) -> DataFrame:
+        """Rows of buckets that hold several classes."""
+        keys = cut(known.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key"), "near-mixed")
+        return known.join(keys, "key")
+
+    def labelled(known: DataFrame, classes: DataFrame) -> DataFrame:
+        """``known`` with the present class of each id."""
+        return known.drop("class").join(classes.select("id", F.col("class_id").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
+
+    done = verified(able_to_link(shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
+    links = done.where(F.col("sim") >= similarity).select("a", "b")
     classes = connected(links, "near-classes")
-    label = classes.select("id", F.col("class_id").alias("class"))
-    known = shared.join(label, "id", "left").withColumn("class", F.coalesce("class", "id"))
-    mixed = known.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).where("c0 < c1").select("key")
-    open_ = known.join(mixed, "key").join(stars.select(F.col("a").alias("lead"), F.col("b").alias("id"), "sim"), ["lead", "id"], "left").select("key", "id", "class", (1 - F.coalesce("sim", F.lit(1.0))).alias("d"))
-    open_ = cut(open_, "near-open")
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.class") != F.col("y.class")) & (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - similarity + 1e-9))
-    cross = cut(cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti"), "near-cross")
-    if not cross.isEmpty():
-        more = verified(cross).where(F.col("sim") >= similarity).select("a", "b")
+    open_ = cut(mixed(labelled(shared.select("key", "id"), classes)).join(marks.select("id", "n"), "id"), "near-open")
+    if not open_.isEmpty():
+        bag = texts.select("id", "z").join(open_.select("id").distinct(), "id", "left_semi").mapInArrow(_shingles(shingle), "id long, h long, c long")
+        private = bag.groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.any_value("id").alias("id"), F.any_value("c").alias("c")).where("k = 1").groupBy("id").agg(F.sum("c").alias("u"))
+        least = cut(open_.groupBy("key").agg(F.min("n").alias("least")), "near-least")
+        able = open_.join(cut(private, "near-private"), "id", "left").join(least, "key").withColumn("u", F.coalesce("u", F.lit(0)))
+        need = similarity / (1 + similarity) * (F.col("n") + F.greatest(F.col("least"), similarity * F.col("n")))  # of shared weight
+        able = cut(mixed(able.where(F.col("n") - F.col("u") >= need - 1e-6)).select("key", "id", "n", "u", "class"), "near-able")
+        pivot = cut(able.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "class")).alias("p")).select("key", F.col("p.id").alias("y"), F.col("p.class").alias("other")), "near-pivots")
+        round_ = able.join(pivot, "key").where("class != other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
+        links = links.union(verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
+        classes = connected(links, "near-classes")
+        left = cut(mixed(labelled(able, classes)).join(marks.select("id", "bits"), "id"), "near-left")
+        crossing = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
+        cross = left.alias("l").join(left.alias("r"), crossing & could_link("l", "r", similarity)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        more = verified(cross.distinct()).where(F.col("sim") >= similarity).select("a", "b")
         if not more.isEmpty():
             classes = connected(links.union(more), "near-classes")
     out = seen.select("doc_id").dropDuplicates().join(same.select("doc_id", "same_as").dropDuplicates(), "doc_id", "left")
