@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..frame import GridFrame
 from ..functions.geo import RADIUS, haversine
+from ..lineage import settled
 from .extract import bottom_index
 
 DEGREE = RADIUS * 3.141592653589793 / 180  # metres of a degree of latitude
@@ -30,7 +31,7 @@ def nearest_water(points: DataFrame, water: DataFrame, latitude: str = "latitude
     these could have a nearer one, and is tried again with tiles twice as large, until one tile is the world. Points
     without coordinates are left out; without water there are no rows. Longitudes are not wrapped around."""
     todo = points.select("pid", F.col(latitude).alias("_y"), F.col(longitude).alias("_x")).where("_y is not null and _x is not null")
-    cells = water.select("lat_idx", "lon_idx", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude"))
+    cells = settled(water.select("lat_idx", "lon_idx", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude")))
     found: DataFrame | None = None
     while True:
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
@@ -43,11 +44,11 @@ def nearest_water(points: DataFrame, water: DataFrame, latitude: str = "latitude
         narrow = F.cos(F.radians(F.least(F.abs("_y") + 2 * tile, F.lit(90.0))))
         sure = F.col("b.distance") <= tile * DEGREE * F.least(F.lit(1.0), narrow) * 0.999
         last = tile >= 360
-        done = (best if last else best.where(sure)).select("pid", "b.lat_idx", "b.lon_idx", "b.model_latitude", "b.model_longitude", "b.distance")
+        done = settled((best if last else best.where(sure)).select("pid", "b.lat_idx", "b.lon_idx", "b.model_latitude", "b.model_longitude", "b.distance"))
         found = done if found is None else found.union(done)
         if last:
             return found
-        todo = todo.join(done.select("pid"), "pid", "left_anti")
+        todo = settled(todo.join(done.select("pid"), "pid", "left_anti"))
         if todo.isEmpty():
             return found
         tile = min(360.0, tile * 2)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import io
+import re
 import tarfile
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,31 +29,39 @@ def decode(raw: bytes) -> pd.DataFrame:
     return xarray.open_dataset(io.BytesIO(raw)).to_dataframe().reset_index()
 
 
-def _decoded(decoder: Decoder, schema_names: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for time, raw in zip(pdf["time"], pdf["content"]):
-                yield decoder(raw).assign(time=time)[schema_names]
+def members(folder: str, variable: str, start: datetime | None = None, end: datetime | None = None) -> list[tuple[str, datetime]]:
+    """Paths and times of the members of a variable anywhere under ``folder``, from start to end (inclusive), the earliest first.
 
-    return run
+    Listed through ``pyarrow.fs``: their names hold colons, which Spark's own file listing doesn't take."""
+    store, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    found = []
+    for info in store.get_file_info(pafs.FileSelector(root, recursive=True)):
+        if info.type == pafs.FileType.File and re.match(ARCHIVE_MEMBER, info.base_name):
+            time, of = parse_archive_member(info.base_name)
+            if of == variable and (start is None or time >= start) and (end is None or time <= end):
+                found.append((info.path, time))
+    return sorted(found, key=lambda m: m[1])
 
 
 def local_archive(spark: SparkSession, folder: str, variable: str, schema: str, start: datetime | None = None, end: datetime | None = None, decoder: Decoder = decode) -> DataFrame:
     """Cells of the members ``ave.YYYYMMDD-HH:MM:SS.variable.*`` anywhere under ``folder``, from start to end (inclusive).
 
-    ``schema`` is that of the cells, with ``time``. Names are filtered before contents are read; no member left is a ValueError."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"ave.*.{variable}.*").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    stamp = F.regexp_extract(F.url_decode(name), ARCHIVE_MEMBER, 1)
-    files = files.where(F.regexp_extract(F.url_decode(name), ARCHIVE_MEMBER, 2) == variable).withColumn("time", F.to_timestamp_ntz(stamp, F.lit("yyyyMMdd-HH:mm:ss")))
-    if start is not None:
-        files = files.where(F.col("time") >= F.lit(start))
-    if end is not None:
-        files = files.where(F.col("time") <= F.lit(end))
-    if files.select("path").isEmpty():
-        raise ValueError(f"there are no members of {variable} under {folder} in that time")
+    ``schema`` is that of the cells, with ``time``. Names are chosen before contents are read, one member in a task at a time;
+    no member left is a ValueError."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
-    return files.select("time", "content").mapInPandas(_decoded(decoder, names), schema)
+    found = members(folder, variable, start, end)
+    if not found:
+        raise ValueError(f"there are no members of {variable} under {folder} in that time")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = pafs.FileSystem.from_uri(folder)[0] if "://" in folder else pafs.LocalFileSystem()
+        for pdf in batches:
+            for path, time in zip(pdf["path"], pdf["time"]):
+                with store.open_input_stream(path) as f:
+                    yield decoder(f.read()).assign(time=time)[names]
+
+    listed = spark.createDataFrame(found, "path string, time timestamp_ntz")
+    return listed.repartition(min(len(found), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, schema)
 
 
 def tar_archive(spark: SparkSession, folder: str, dataset: str, variable: str, schema: str, start: datetime | None = None, end: datetime | None = None, decoder: Decoder = decode) -> DataFrame:
