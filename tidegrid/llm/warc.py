@@ -37,15 +37,17 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _gunzip(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
+def _gunzip(data: bytes, window: int = 1 << 14) -> bytes:
+    """All members of a gzip file, fed window by window: what a member leaves over is copied."""
+    out, view, at = [], memoryview(data), 0
+    while at < len(data):
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        if not z.eof:
-            raise ValueError("the archive ends within a member")
-        data = z.unused_data
+        while not z.eof:
+            if at >= len(data):
+                raise ValueError("the archive ends within a member")
+            fed = view[at : at + window]
+            out.append(z.decompress(fed))
+            at += len(fed) - len(z.unused_data)
     return b"".join(out)
 
 
@@ -266,7 +268,7 @@ def arc_to_warc(files: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     big = big.select("path", "offset", "digest", *[F.when(~same, F.col(c)).alias(c) for c in ("of_page", "of_path", "of_offset")])
     small = records.where(F.col("payload_bytes") < least).select("path", "offset", "digest", F.lit(None).cast("long").alias("of_page"), F.lit(None).cast("string").alias("of_path"), F.lit(None).cast("long").alias("of_offset"))
     known = big.union(small).groupBy("path").agg(F.collect_list(F.struct("offset", "digest", "of_page", "of_path", "of_offset")).alias("known"))  # at most FILE_RECORDS of a file
-    return cut(known.mapInArrow(_to_warc(folder), "path string"), "warc-files")
+    return cut(known.repartition(max(1, files.count())).mapInArrow(_to_warc(folder), "path string"), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
