@@ -30,5 +30,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_tool_call_linking": OP3_SQL, "op5_arc_to_warc": sql.OP5, "op6_link_trust_filter": sql.OP6,
-        "op7_substring_dedup": sql.OP7, "op8_minhash_neardup": sql.OP8,
+        "op7_substring_dedup": sql.OP7, "op8_minhash_neardup": sql.OP8, "op9_template_decontamination": sql.op9(),
     }

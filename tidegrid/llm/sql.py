@@ -67,3 +67,38 @@ class as (select id, min(low) class_id from reach group by id)
 select w.doc_id, coalesce(class.class_id, w.doc_id) class_id, coalesce(same.same_as, w.doc_id) same_as
 from w left join same using (doc_id) left join class on class.id = same.same_as
 """
+
+_TEMPLATE = r"""
+raw as (select src, id, string_split(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') r from (select 'd' src, doc_id id, text from documents union all select 'b', item_id, text from benchmark) where id is not null),
+tok as (select src, id, i, r[i] w, regexp_replace(r[i], '^(["''(+$€£-]{0,3})[0-9](?:[^ ]*[^ .,;:!?"'')])?', '\1<num>') t from (select src, id, r, unnest(range(1, len(r) + 1)) i from raw)),
+uni as (select *, case when ends_with(coalesce(lag(t) over o, ''), '<num>') then regexp_replace(t, '^(?i:UNITS)([.,;:!?"'')]*)$', '<unit>\1') else t end u from tok window o as (partition by src, id order by i)),
+nam as (select *, case when regexp_matches(u, '^\p{Lu}') and i > 1 and right(lag(u) over o, 1) not in ('.', '!', '?', ':') then '<name>' else u end n from uni window o as (partition by src, id order by i)),
+can as (select src, id, list(w order by i) raw, list(regexp_replace(regexp_replace(lower(n), '[.,;:!?"'')]+$', ''), '^["''(+$€£-]+', '') order by i) c from nam group by src, id),
+item as (select arg_min(raw, id) raw, min(id) item_id, c from can where src = 'b' group by c),
+bw as (select item_id, p, raw, c, array_to_string(c[p:p + 7], ' ') h, len(list_filter(c[p:p + 7], lambda x: x in ('<num>', '<unit>', '<name>'))) <= 6 counted from (select *, unnest(range(1, len(c) - 6)) p from item)),
+br as (select item_id, count(*) n from (select item_id, p - row_number() over (partition by item_id order by p) g from bw where counted) group by item_id, g),
+need as (select item_id, least(6, max(n)) need from br group by item_id),
+dw as (select id doc_id, p, raw, array_to_string(c[p:p + 7], ' ') h from (select *, unnest(range(1, len(c) - 6)) p from can where src = 'd')),
+hit as (select dw.doc_id, bw.item_id, dw.p - bw.p diagonal, bw.p, dw.p dp, bw.raw braw, bw.c, dw.raw draw from dw join bw on dw.h = bw.h and bw.counted),
+runs as (select doc_id, item_id, diagonal, max(n) run from (select doc_id, item_id, diagonal, count(*) n from
+    (select doc_id, item_id, diagonal, p - row_number() over (partition by doc_id, item_id, diagonal order by p) g from (select distinct doc_id, item_id, diagonal, p from hit)) group by doc_id, item_id, diagonal, g) group by 1, 2, 3),
+val as (select distinct doc_id, item_id, diagonal, c[k] || lower(regexp_replace(braw[k], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) "of", lower(regexp_replace(braw[k], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) was,
+        lower(regexp_replace(draw[k + diagonal], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) is_ from (select *, unnest(range(p, p + 8)) k from hit) where c[k] in ('<num>', '<unit>', '<name>')),
+ok as (select doc_id, item_id, diagonal, count(distinct "of") = count(*) consistent, bool_or(is_ <> was) changed from val group by 1, 2, 3)
+"""
+
+OP9 = (
+    "with "
+    + _TEMPLATE
+    + """
+select r.doc_id, r.item_id, cast(max(r.run + 7) as integer) words, bool_and(coalesce(ok.changed, false)) changed
+from runs r join need using (item_id) left join ok on ok.doc_id = r.doc_id and ok.item_id = r.item_id and ok.diagonal = r.diagonal
+where r.run >= need.need and coalesce(ok.consistent, true) group by r.doc_id, r.item_id
+"""
+)
+
+
+def op9() -> str:
+    from .decontam import UNITS
+
+    return OP9.replace("UNITS", UNITS)
