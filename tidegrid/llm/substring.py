@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, lean, table
 from .words import Words, blocks, byte_powers, mix, word_powers
 
 
@@ -131,16 +131,18 @@ def drop_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     repeat a doc_id must repeat its text and get equal rows; a null doc_id is never judged. Other
     columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went).
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     steps = lengths(words)
     seen = cut(docs.mapInArrow(_survey(words, steps[0]), "doc_id long, n_words long, sha string, print binary, signs array<long>"), "repeats-survey")
     long = seen.where(F.col("n_words") >= words)
-    first = long.groupBy("print").agg(F.min("doc_id").alias("first"))
+    # what a hot key is joined with is a table of its own, so that Spark can split that key's rows over tasks
+    first = cut(long.groupBy("print").agg(F.min("doc_id").alias("first")), "repeats-first")
     judged = cut(long.join(first, "print").select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy"), F.when(F.col("doc_id") == F.col("first"), F.col("signs")).alias("signs")), "repeats-copies")
     now = judged.where(~F.col("copy")).select("doc_id", F.explode("signs").alias("h"))
     marks = None
     for length, after in zip(steps, [*steps[1:], words]):
-        again = now.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h")
+        again = cut(now.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "repeats-again")
         hits = now.join(again, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
         deep = cut(docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_deepen(words, length, after), "doc_id long, z binary, at array<int>, h array<long>, c array<int>"), "repeats-level")
         if after == words:
@@ -157,7 +159,8 @@ def drop_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     else:
         rows = marks.select("doc_id", F.explode(F.arrays_zip("at", "h", "c")).alias("w")).select("doc_id", "w.at", "w.h", "w.c")
         least = rows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-        bad = rows.join(least.select("h", "c", "lo"), ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("bad"))
+        least = cut(least.select("h", "c", "lo"), "repeats-least")
+        bad = rows.join(least, ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("bad"))
         gone = marks.select("doc_id", "z").join(bad, "doc_id").select("doc_id", "z", "bad").mapInArrow(_remove(words), "doc_id long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id"])
     if gone is None:
         gone = docs.sparkSession.createDataFrame([], "doc_id long, n_removed long, kept_sha256 string, kept_text string")
