@@ -29,6 +29,16 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of one Arrow batch between Spark and a Python worker: whole texts are long, and a batch is held on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def lean(spark: SparkSession) -> None:
+    """Let the session send small batches to Python workers (it keeps the setting): an executor's memory is shared by its JVM and its workers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as a table in the shared folder and read back: a lost executor costs no recomputation."""
     spark = df.sparkSession

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, table
+from .common import cut, lean, table
 from .words import blocks
 
 BITS = 16
@@ -95,7 +95,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
     """Train on (language, buckets, counts) and calibrate on every eighth row, which is not trained on.
 
     The temperature minimises the log loss there; the rejection threshold is the confidence that the share
-    ``keep`` of these rows reaches, and at most half-way between a guess and certainty. None without rows.
+    ``keep`` of these rows reaches, but never above half-way between a guess among all languages and even odds. None without rows.
     """
     rows = [r for r in rows if len(r[1])]
     langs = sorted({r[0] for r in rows})
@@ -132,7 +132,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
             if loss < best:
                 best, temperature = loss, float(t)
         top = np.sort(_softmax(z / temperature).max(axis=1))
-        threshold = float(min(top[int((1 - keep) * len(top))], 0.5 + 0.5 / k))
+        threshold = float(min(top[int((1 - keep) * len(top))], (1 / k + 0.5) / 2))
     return Model(langs, folded, bias, temperature, threshold, bits)
 
 
@@ -143,12 +143,16 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int =
     n-gram counts. Documents without id, language or letters are never learned from.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    langs = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    known = known.where(F.col("lang").isin(langs))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    # of a language with many documents only the smallest hashes are ranked: eight times as many as wanted, on average
+    at = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(2**63 - 1, 2**63 * 8 * per_lang // n))]) if counts else F.lit(None).cast("map<string,long>")
+    known = known.where(F.col("lang").isin(list(counts)))
     first = Window.partitionBy("lang").orderBy("at", "doc_id")
-    picked = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("at")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
+    low = known.select("lang", "doc_id", at.alias("at")).where(F.col("at") <= F.element_at(share, F.col("lang")))
+    picked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
     chosen = picked.select("doc_id").distinct()  # at most per_lang * max_langs ids
-    sample = known.join(F.broadcast(chosen), "doc_id").select("lang", "text").mapInArrow(_counts(bits), "lang string, at array<int>, n array<float>")
+    sample = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text").mapInArrow(_counts(bits), "lang string, at array<int>, n array<float>")
     rows = [(r["lang"], np.asarray(r["at"], np.int64), np.asarray(r["n"], np.float32)) for r in sample.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # the same model whatever order the tasks end in
     np.random.default_rng(11).shuffle(rows)
@@ -199,13 +203,14 @@ def identify(docs: DataFrame, learn_from: DataFrame, **bounds) -> DataFrame:
 
     Learns from ``learn_from`` (doc_id, text, lang; see :func:`train`). A null text, or one without any letter,
     is ``und`` with score 0 and rejected; a text whose calibrated probability is under the model's threshold is
-    rejected too, but keeps its most likely language. Without anything to learn from all are ``und``. Every row gives
+    rejected too, but keeps its most likely language. Without anything to learn from all are ``und``, and only texts without letters are rejected. Every row gives
     one row, repeated rows too; columns of ``docs`` named as the three new ones are replaced, others stay.
     """
     spark = docs.sparkSession
+    lean(spark)
     model = train(learn_from, **bounds)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "rejected": F.lit(True)})
+        return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "rejected": F.coalesce(~F.col("text").rlike(r"\p{L}"), F.lit(True))})
     out = docs.withColumn("_said", predictor(spark, model)("text"))
     return out.withColumns({c: F.col(f"_said.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_said")
 
