@@ -22,12 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, once, table
+from .common import cut, lean, once, table
+from .words import spare
 
 CAPACITY = 2048
 END = 0
 _MARK = "<|"  # what special tokens begin with
-_MEMORY = 300_000  # chunks that a worker remembers
+_MEMORY = 200_000  # chunks that a worker remembers
 
 
 def tokenizer_path() -> str:
@@ -224,6 +225,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"])
+            spare()
 
     return run
 
@@ -315,15 +317,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     too; without documents there are no pieces. Other columns are ignored.
     """
     spark = docs.sparkSession
+    lean(spark)
     made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids), _PIECES)
     pieces = cut(made if with_ids else made.drop("ids"), "pack-pieces")
-    # rank among the pieces of a length = those of earlier tasks + the number within its task
+    # rank among the pieces of a length = those of earlier tasks + the number within its task; the counts of earlier
+    # tasks grow with the input, and so are dealt out and not broadcast
     by_task = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     before = cut(by_task.select("length", "task", "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "pack-counts")
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     place = _place(_runs(plan(counts, capacity)))
-    ranked = pieces.join(before.drop("n"), ["length", "task"]).withColumn("at", place(F.col("length"), F.col("before") + F.col("nth")))
+    ranked = pieces.join(before.drop("n").hint("merge"), ["length", "task"]).withColumn("at", place(F.col("length"), F.col("before") + F.col("nth")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset", *(["ids"] if with_ids else []))
 
 
