@@ -16,7 +16,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
+from .words import spare
 
 # The patterns and least lengths of the base kinds, in the order in which kinds are listed.
 BASE = (
@@ -114,6 +115,7 @@ def scanner(reach: int = 40, least: float = 0.75):
             found = _base(text, patterns)
             found += _novel(text, [(a, b) for a, _, _, b in found], press, reach, least)
             out.append([{"kind": kind, "start": a, "end": b} for a, _, kind, b in sorted(found)])
+        spare()
         return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
 
     return scan
@@ -124,6 +126,7 @@ def find_secrets(docs: DataFrame, **limits) -> DataFrame:
 
     A null or empty text has none. Each row is judged alone, repeated rows too; a column named spans is replaced.
     """
+    lean(docs.sparkSession)
     return docs.withColumn("spans", scanner(**limits)(F.coalesce("text", F.lit(""))))
 
 
