@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,16 +46,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def once(name: str, make: Callable[[], object]) -> object:
-    """``make()``, called at its first use in a worker process. Functions come to workers by value, so the object is kept in the process's main module."""
-    import __main__
-
-    kept = __main__.__dict__.setdefault("_tidegrid_once", {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected, cut, table
+from .common import connected, cut, lean, table
 from .words import Words, blocks, byte_powers, mix, word_powers
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -206,10 +206,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     of shingles that no other such document has can't be shared, and what is left is too little for the
     smallest member of the bucket. So no candidate link between classes is lost.
 
-    A null or wordless text is a class of its own; repeated rows of a doc_id give one row; without documents there are no
-    rows. Other columns are ignored. Returns doc_id, class_id (smallest doc_id of the class), same_as (smallest
+    A null or wordless text is a class of its own; repeated rows of a doc_id give one row, and rows without doc_id one
+    row of nulls; without documents there are no rows. Other columns are ignored. Returns doc_id, class_id (smallest doc_id of the class), same_as (smallest
     doc_id with the same words).
     """
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, print binary, bands array<long>"), "near-sketch")
     firsts = cut(seen.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("same_as")), "near-firsts")
@@ -261,10 +262,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         round_ = able.join(pivot, "key").where("class != other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
         links = links.union(verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
         classes = connected(links, "near-classes")
-        left = cut(mixed(labelled(able, classes)).join(marks.select("id", "bits"), "id"), "near-left")
+        left = cut(mixed(labelled(able, classes)), "near-mixed")
+        keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+        left = cut(left.join(keys, "id").join(marks.select("id", "bits"), "id"), "near-left")
         crossing = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
-        cross = left.alias("l").join(left.alias("r"), crossing & could_link("l", "r", similarity)).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        more = verified(cross.distinct()).where(F.col("sim") >= similarity).select("a", "b")
+        once = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")  # of the buckets that a pair shares, in one
+        cross = left.alias("l").join(left.alias("r"), crossing & could_link("l", "r", similarity) & once).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+        more = verified(cross).where(F.col("sim") >= similarity).select("a", "b")
         if not more.isEmpty():
             classes = connected(links.union(more), "near-classes")
     out = seen.select("doc_id").dropDuplicates().join(same.select("doc_id", "same_as").dropDuplicates(), "doc_id", "left")

@@ -9,6 +9,7 @@ their places in the plan by their rank among the pieces of their length, in Spar
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut, lean, once, table
+from .common import cut, lean, table
 from .words import spare
 
 CAPACITY = 2048
@@ -203,7 +204,7 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     """(doc_id, text) to pieces, numbered within the task among those of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = once(f"tokenizer {path}", lambda: Chunked(path))
+        coder = Chunked(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -226,6 +227,9 @@ def _pieces(path: str, capacity: int, with_ids: bool):
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth", "ids"])
             spare()
+        del coder  # a worker that waits for its next task holds no words
+        gc.collect()
+        spare()
 
     return run
 

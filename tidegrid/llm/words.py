@@ -7,6 +7,7 @@ here run inside Spark tasks on Arrow string columns; they hold one bounded block
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,5 +106,8 @@ def blocks(texts: pa.Array | pa.ChunkedArray, block: int = BLOCK) -> Iterator[tu
 
 
 def spare() -> None:
-    """Give memory that Arrow no longer uses back to the system: an executor's Python workers share it with its JVM."""
+    """Give memory that is no longer used back to the system: an executor's Python workers share it with its JVM."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+    if trim is not None:
+        trim(0)
