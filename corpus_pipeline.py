@@ -26,8 +26,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each class of near copies, that of the smallest id; documents without id stay.
 
     Rows that repeat a kept id and its text stay one row."""
-    kept = near_copies(docs).where("doc_id = class_id").select("doc_id")
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.where("doc_id is null")).select(docs.columns)
+    named = docs.where("doc_id is not null")
+    kept = cut(near_copies(docs).where("doc_id = class_id").select("doc_id"), "pipeline-kept")
+    out = named.join(kept, "doc_id", "left_semi").select(docs.columns)
+    again = named.groupBy("doc_id").count().where("count > 1")
+    if not again.isEmpty():  # else no text needs to be grouped
+        out = out.dropDuplicates(["doc_id"])
+    return out.union(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
