@@ -247,6 +247,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         """``known`` with the present class of each id."""
         return known.drop("class").join(classes.select("id", F.col("class_id").alias("class")), "id", "left").withColumn("class", F.coalesce("class", "id"))
 
+    def merged(classes: DataFrame, found: DataFrame) -> DataFrame:
+        """The classes once those that the links ``found`` connect are one: only the classes' labels are connected."""
+        of = lambda side: classes.select(F.col("id").alias(side), F.col("class_id").alias(f"_{side}"))
+        ends = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        ends = cut(ends.select("a", "b", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y")), "near-ends")
+        low = connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), "near-merged").select(F.col("id").alias("class_id"), F.col("class_id").alias("low"))
+        everyone = classes.union(ends.select("a", "x")).union(ends.select("b", "y")).distinct()
+        return cut(everyone.join(low, "class_id", "left").select("id", F.coalesce("low", "class_id").alias("class_id")), "near-classes")
+
     done = verified(able_to_link(shared.where("lead < id").select(F.col("lead").alias("a"), F.col("id").alias("b"))))
     links = done.where(F.col("sim") >= similarity).select("a", "b")
     classes = connected(links, "near-classes")
@@ -260,8 +269,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         able = cut(mixed(able.where(F.col("n") - F.col("u") >= need - 1e-6)).select("key", "id", "n", "u", "class"), "near-able")
         pivot = cut(able.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "class")).alias("p")).select("key", F.col("p.id").alias("y"), F.col("p.class").alias("other")), "near-pivots")
         round_ = able.join(pivot, "key").where("class != other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
-        links = links.union(verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
-        classes = connected(links, "near-classes")
+        classes = merged(classes, verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
         left = cut(mixed(labelled(able, classes)), "near-mixed")
         keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one for each band
         left = cut(left.join(keys, "id").join(marks.select("id", "bits"), "id"), "near-left")
@@ -270,7 +278,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         cross = left.alias("l").join(left.alias("r"), crossing & could_link("l", "r", similarity) & once).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         more = verified(cross).where(F.col("sim") >= similarity).select("a", "b")
         if not more.isEmpty():
-            classes = connected(links.union(more), "near-classes")
+            classes = merged(classes, more)
     out = seen.select("doc_id").dropDuplicates().join(same.select("doc_id", "same_as").dropDuplicates(), "doc_id", "left")
     return out.withColumn("same_as", F.coalesce("same_as", "doc_id")).join(classes.withColumnRenamed("id", "same_as"), "same_as", "left").select("doc_id", F.coalesce("class_id", "same_as").alias("class_id"), "same_as")
 
