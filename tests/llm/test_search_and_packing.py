@@ -66,6 +66,25 @@ def test_recall_of_the_default_factor(spark):
     assert len(got) == 150 and hits / (20 * len(got)) >= 0.9
 
 
+def test_recall_of_the_default_with_mixed_norms_and_a_very_long_vector(spark):
+    gen = np.random.default_rng(3)
+    x = gen.normal(size=(40, 16))[gen.integers(0, 40, 3000)] + 0.2 * gen.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1::3] *= gen.uniform(0.3, 2, (1000, 1))
+    for longest in (1, 10, 1000):
+        x[2999] *= longest / np.linalg.norm(x[2999])
+        v = np.float32(x)
+        df = spark.createDataFrame([(i, [float(a) for a in y], 1, 0.0, 2) for i, y in enumerate(v)], VECTORS)
+        v = v.astype(float)
+        for rows in (4096, 700):
+            got = found(nearest(df, shard_rows=rows))
+            assert len(got) == 150
+            for q, near in got.items():
+                s = v @ v[q]
+                s[q] = -np.inf
+                assert {i for i, _ in near} == set(np.argsort(-s)[:20])
+
+
 def test_few_candidates_and_empty_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0, 2), (1, [0.5, 0.5], 1, 0.0, 2)], VECTORS)
     assert found(nearest(df)) == {0: [(1, 0.5)]}

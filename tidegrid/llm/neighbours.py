@@ -218,7 +218,7 @@ def usable(vec: Column) -> Column:
     return vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.5, shard_rows: int = 8192, sample_rows: int = 20_000, max_cells: int = 512, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.0, shard_rows: int = 8192, sample_rows: int = 20_000, max_cells: int = 512, block: int = 2048) -> DataFrame:
     """The ``k`` vectors of largest inner product for each vector whose vec_id is divisible by ``every``.
 
     ``vectors``: vec_id, embedding; other columns are ignored. Returns query_id, rank (from 1), vec_id, score, where ties go
@@ -226,6 +226,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, factor: float = 1.
     or holds null or non-finite components, a row takes no part; nor do vectors of another than the most frequent length (the
     smaller, if tied). Rows that repeat a vec_id count once, with the least of their vectors. An empty table gives no rows.
 
+    ``factor`` 1 finds exactly these. A larger one is measured against lifted distances, which one long vector raises for all
+    queries alike, so it may then miss most of them; it is for vectors of like norms.
+
     Equal vectors are searched once, for at most k + 1 of their ids, which is all that any query can return of them. The
     router's sample (``sample_rows``) and number of cells (``max_cells``) are bounded; every vector is indexed.
     """
