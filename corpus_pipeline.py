@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no item of ``benchmark`` is found."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    found = leaks(docs, table(spark, sf_dir, "benchmark"), parts=True).select("doc_id").distinct()
     return docs.join(cut(found, "leaks-found"), "doc_id", "left_anti").select(docs.columns)
 
 

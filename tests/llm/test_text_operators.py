@@ -109,6 +109,20 @@ def test_templates_find_changed_questions(spark):
     assert leaks(spark.createDataFrame([], SCHEMA), bench).count() == 0 and leaks(docs, bench.where("item_id in (2, 3)")).count() == 0
 
 
+def test_stretches_of_a_diagonal_are_judged_alone(spark):
+    item = "we saw that Anna went to the river and then she met old friends with Anna near the mill while they sang all night until Anna fell asleep"
+    words = item.split()
+    texts = [
+        " ".join([*words[:-3], "Ann", *words[-2:]]),  # one name edited at the end: the words before it are a copy
+        " ".join([*words[:-3], "Ann", *words[-2:]]).replace("Anna", "Berta"),  # the same, with another name elsewhere
+        item.replace("that Anna", "that Cleo").replace("with Anna", "with Dora").replace("until Anna", "until Ed"),
+        " ".join([*words[:10], *words[:3], "Ann", *words[4:10]]),  # no stretch is long enough
+    ]
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["words"], r["changed"]) for r in leaks(frame(spark, texts), bench, parts=True).collect()}
+    assert got == {(0, 0): (25, False), (1, 0): (25, True), (2, 0): (21, True)}
+
+
 def _call(**k):
     return f"<tool_call>{json.dumps(k)}</tool_call>"
 

@@ -72,11 +72,24 @@ def _longer(s: Column, at: Column) -> Column:
     return F.struct(at.alias("last"), now.alias("now"), F.greatest(s["most"], now).alias("most"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch: int = STRETCH) -> DataFrame:
+def _longest(at: Column, bars: Column, window: int) -> Column:
+    """The most consecutive windows of the positions ``at`` of which no two words are at odds: a word at ``p`` of ``bars`` allows none that start before ``start``."""
+
+    def step(s: Column, a: Column) -> Column:
+        bar = F.array_max(F.transform(F.filter(bars, lambda b: (b["p"] >= a) & (b["p"] < a + window)), lambda b: b["start"]))
+        first = F.greatest(F.when(a == s["last"] + 1, s["first"]).otherwise(a), bar)
+        return F.struct(a.alias("last"), first.alias("first"), F.greatest(s["most"], a - first + 1).alias("most"))
+
+    return F.aggregate(at, F.struct(F.lit(-2).alias("last"), F.lit(0).alias("first"), F.lit(0).alias("most")), step, lambda s: s["most"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch: int = STRETCH, parts: bool = False) -> DataFrame:
     """Leaks of items in documents: doc_id, item_id, words (template words in the longest stretch), changed (some slot differs).
 
     A leak is ``window + need - 1`` (13, if the item has as many) consecutive words of equal template and consistent
-    slots; need as in :func:`indexed`. A stretch that long holds a window at every position modulo the least need,
+    slots; need as in :func:`indexed`. With ``parts``, as the query has it, any such stretch of a diagonal is one, and where
+    the diagonal as a whole is inconsistent, ``changed`` is false if a stretch that long has all slots of the item; without,
+    one inconsistent pair anywhere on the diagonal rejects all of it. A stretch that long holds a window at every position modulo the least need,
     so only each so many-th window of a document is hashed to find the candidates; these are then judged on all their
     windows. Null and empty texts hold nothing; a document without id is never reported; repeated rows of a doc_id give one row;
     other columns are ignored. Whether the benchmark's windows are broadcast is left to Spark, which knows their size.
@@ -95,15 +108,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
     full = F.transform(_windows(F.col("canon"), window, 1), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.array_join(F.slice("raw", w["pos"] + 1, window), " ").alias("raw")))
     full = near.select("doc_id", F.explode(full).alias("w")).select("doc_id", F.col("w.pos").alias("at"), F.col("w.h").alias("h"), F.col("w.raw").alias("raw"))
     both = full.join(items.where("counted"), "h")
-    pair = F.transform("slots", lambda s: F.struct(F.concat(s["kind"], s["value"]).alias("of"), _value(F.element_at(F.split("raw", " "), s["at"] + 1)).alias("is"), s["value"].alias("was")))
+    pair = F.transform("slots", lambda s: F.struct((F.col("pos") + s["at"]).alias("p"), F.concat(s["kind"], s["value"]).alias("of"), _value(F.element_at(F.split("raw", " "), s["at"] + 1)).alias("is"), s["value"].alias("was")))
     group = both.select("doc_id", "item_id", "need", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pair.alias("pairs"))
-    group = group.groupBy("doc_id", "item_id", "need", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    group = group.groupBy("doc_id", "item_id", "need", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("placed"))
+    group = group.withColumn("pairs", F.array_distinct(F.transform("placed", lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is"), p["was"].alias("was")))))
     run = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), _longer, lambda s: s["most"])
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["of"]))) == F.size("pairs")
     changed = F.exists("pairs", lambda p: p["is"] != p["was"])
-    leak = group.withColumn("run", run).where((F.col("run") >= F.col("need")) & consistent)
-    return leak.groupBy("doc_id", "item_id").agg(F.max(F.col("run") + window - 1).cast("int").alias("words"), F.min(changed).alias("changed"))
+    group = group.withColumn("run", run).where(F.col("run") >= F.col("need")).withColumn("changed", changed).withColumn("consistent", consistent)
+    if parts:
+        odd = F.transform("placed", lambda w: F.struct(w["p"].alias("p"), (F.array_max(F.transform(F.filter("placed", lambda v: (v["p"] < w["p"]) & (v["of"] == w["of"]) & (v["is"] != w["is"])), lambda v: v["p"])) + 1).alias("start")))
+        other = F.transform(F.filter("placed", lambda w: w["is"] != w["was"]), lambda w: F.struct(w["p"].alias("p"), (w["p"] + 1).alias("start")))
+        group = group.withColumn("run", F.when(F.col("consistent"), F.col("run")).otherwise(_longest(F.col("at"), odd, window)))
+        group = group.withColumn("changed", F.when(F.col("consistent"), F.col("changed")).otherwise(_longest(F.col("at"), other, window) < F.col("need")))
+        leak = group.where(F.col("run") >= F.col("need"))
+    else:
+        leak = group.where("consistent")
+    return leak.groupBy("doc_id", "item_id").agg(F.max(F.col("run") + window - 1).cast("int").alias("words"), F.min("changed").alias("changed"))
 
 
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), parts=True)
