@@ -123,6 +123,16 @@ def test_stretches_of_a_diagonal_are_judged_alone(spark):
     assert got == {(0, 0): (25, False), (1, 0): (25, True), (2, 0): (21, True)}
 
 
+def test_items_of_equal_template_keep_their_own_values(spark):
+    item = "if 5 red apples cost as much as 5 green pears then what do all of them cost"
+    items = [(3, item), (4, item.replace("5 green", "7 green")), (7, item.replace("5", "6"))]
+    texts = [items[1][1], items[0][1], item.replace("5 red", "8 red"), item.replace("5", "6"), item.replace("green", "blue")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for parts in (False, True):
+        rows = leaks(frame(spark, texts), bench, parts=parts).collect()
+        assert {(r["doc_id"], r["item_id"]): r["changed"] for r in rows} == {(0, 3): False, (1, 3): False, (2, 3): True, (3, 3): True}
+
+
 def _call(**k):
     return f"<tool_call>{json.dumps(k)}</tool_call>"
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import cut, table
 
@@ -50,21 +51,25 @@ def _value(word: Column) -> Column:
 
 
 def indexed(benchmark: DataFrame, window: int = WINDOW, stretch: int = STRETCH, literals: int = LITERALS) -> DataFrame:
-    """Every window of the items: item_id, pos, h, slots (offset, value), counted (it has ``literals`` words that are not
+    """Every window of the items: item_id, variant, pos, h, slots (offset, value), counted (it has ``literals`` words that are not
     slots), need (consecutive counted windows that make a leak: ``stretch``, or all where an item has fewer).
 
-    Items of equal template are one, under the smallest id; items of fewer than ``window`` words or without id have none.
+    Items of equal template are one, under the smallest id, but each way in which their slots equal one another is a ``variant``
+    (the smallest id of those that share it), as consistency depends on it. Items of fewer than ``window`` words or without id have none.
     """
     t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("words")).where("item_id is not null")
     t = with_template(t)
-    t = t.groupBy("template").agg(F.min(F.struct("item_id", "words")).alias("i")).select("i.item_id", F.split("i.words", " ").alias("raw"), F.split("template", " ").alias("canon"))
-    w = t.select("item_id", "raw", "canon", F.explode(_windows(F.col("canon"), window, 1)).alias("w")).select("item_id", "w.pos", "w.h", F.slice("raw", F.col("w.pos") + 1, window).alias("raw"), F.slice("canon", F.col("w.pos") + 1, window).alias("canon"))
     kinds = F.array(*[F.lit(f"<{k}>") for k in ("num", "unit", "name")])
+    t = t.select("item_id", "template", F.split("words", " ").alias("raw"), F.split("template", " ").alias("canon"))
+    filled = F.transform("canon", lambda c, i: F.when(F.array_contains(kinds, c), F.concat(c, _value(F.element_at("raw", i + 1)))))
+    t = t.withColumn("filled", filled).withColumn("alike", F.transform("filled", lambda x: F.array_position("filled", x)))
+    t = t.groupBy("template", "alike").agg(F.min(F.struct("item_id", "raw", "canon")).alias("i")).select(F.min("i.item_id").over(Window.partitionBy("template")).alias("item_id"), F.col("i.item_id").alias("variant"), "i.raw", "i.canon")
+    w = t.select("item_id", "variant", "raw", "canon", F.explode(_windows(F.col("canon"), window, 1)).alias("w")).select("item_id", "variant", "w.pos", "w.h", F.slice("raw", F.col("w.pos") + 1, window).alias("raw"), F.slice("canon", F.col("w.pos") + 1, window).alias("canon"))
     slots = F.filter(F.transform("canon", lambda c, i: F.struct(i.alias("at"), c.alias("kind"), _value(F.element_at("raw", i + 1)).alias("value"))), lambda s: F.array_contains(kinds, s["kind"]))
-    w = w.select("item_id", "pos", "h", slots.alias("slots")).withColumn("counted", F.size("slots") <= window - literals)
-    runs = w.where("counted").groupBy("item_id").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    w = w.select("item_id", "variant", "pos", "h", slots.alias("slots")).withColumn("counted", F.size("slots") <= window - literals)
+    runs = w.where("counted").groupBy("variant").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     run = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), _longer, lambda s: s["most"])
-    return w.join(runs.select("item_id", F.least(F.lit(stretch), run).alias("need")), "item_id", "left")
+    return w.join(runs.select("variant", F.least(F.lit(stretch), run).alias("need")), "variant", "left").select("item_id", "variant", "pos", "h", "slots", "counted", "need")
 
 
 def _longer(s: Column, at: Column) -> Column:
@@ -86,6 +91,7 @@ def _longest(at: Column, bars: Column, window: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch: int = STRETCH, parts: bool = False) -> DataFrame:
     """Leaks of items in documents: doc_id, item_id, words (template words in the longest stretch), changed (some slot differs).
 
+    Of items of equal template the smallest id is reported, if any variant of them is consistent; changed is against that variant.
     A leak is ``window + need - 1`` (13, if the item has as many) consecutive words of equal template and consistent
     slots; need as in :func:`indexed`. With ``parts``, as the query has it, any such stretch of a diagonal is one, and where
     the diagonal as a whole is inconsistent, ``changed`` is false if a stretch that long has all slots of the item; without,
@@ -109,8 +115,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
     full = near.select("doc_id", F.explode(full).alias("w")).select("doc_id", F.col("w.pos").alias("at"), F.col("w.h").alias("h"), F.col("w.raw").alias("raw"))
     both = full.join(items.where("counted"), "h")
     pair = F.transform("slots", lambda s: F.struct((F.col("pos") + s["at"]).alias("p"), F.concat(s["kind"], s["value"]).alias("of"), _value(F.element_at(F.split("raw", " "), s["at"] + 1)).alias("is"), s["value"].alias("was")))
-    group = both.select("doc_id", "item_id", "need", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pair.alias("pairs"))
-    group = group.groupBy("doc_id", "item_id", "need", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("placed"))
+    group = both.select("doc_id", "item_id", "variant", "need", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pair.alias("pairs"))
+    group = group.groupBy("doc_id", "item_id", "variant", "need", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("placed"))
     group = group.withColumn("pairs", F.array_distinct(F.transform("placed", lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is"), p["was"].alias("was")))))
     run = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), _longer, lambda s: s["most"])
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["of"]))) == F.size("pairs")
