@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm.common import cut, table
-from tidegrid.llm.decontam import leaks
+from tidegrid.llm.decontam import contaminated
 from tidegrid.llm.langid import held_out, identify
 from tidegrid.llm.neardup import near_copies
 from tidegrid.llm.packing import pack
@@ -37,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no item of ``benchmark`` is found."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark"), parts=True).select("doc_id").distinct()
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(cut(found, "leaks-found"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, frame, prose
-from tidegrid.llm.decontam import leaks
+from tidegrid.llm.decontam import contaminated, leaks
 from tidegrid.llm.langid import held_out, identify
 from tidegrid.llm.secrets import BASE, find_secrets, redact
 from tidegrid.llm.toolcalls import canonical, faults, link_calls
@@ -133,6 +133,22 @@ def test_items_of_equal_template_keep_their_own_values(spark):
         assert {(r["doc_id"], r["item_id"]): r["changed"] for r in rows} == {(0, 3): False, (1, 3): False, (2, 3): True, (3, 3): True}
 
 
+def test_word_for_word_copies_that_templates_miss(spark):
+    items = [
+        (0, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15"), (1, "WHICH OF THESE RIVERS RUNS THROUGH FOUR OLD CAPITALS OF EUROPE TODAY"), (2, "too short to count"),
+        (3, "Many small birds fly to the south coast every single year"), (4, "\u65e5\u672c\u306e\u9996\u90fd\u306f\u3069\u3053\u3067\u3059\u304b"), (5, "?!"), (6, None), (7, ""),
+    ]
+    texts = [
+        "so 1 2 3 4 5 6 7 8 9 10 11 12 13 and on", "1 2 3 4 5 6 7 8 9 10 11 12 0", f"he asked: {items[1][1].lower()}?", "it was (too short to count), they said", "too short to be counted",
+        "they say Many small birds fly to the south coast every single year", items[4][1] + " ok", "?! ?!", None, "",
+    ]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(spark, texts)
+    rows = contaminated(docs.union(docs), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["words"], r["changed"]) for r in rows) == [(0, 0, 13, False), (2, 1, 12, False), (3, 2, 4, False), (5, 3, 11, False), (6, 4, 1, False)]
+    assert contaminated(docs, bench.where("item_id > 4")).count() == 0
+
+
 def _call(**k):
     return f"<tool_call>{json.dumps(k)}</tool_call>"
 

@@ -93,7 +93,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
 
     Of items of equal template the smallest id is reported, if any variant of them is consistent; changed is against that variant.
     A leak is ``window + need - 1`` (13, if the item has as many) consecutive words of equal template and consistent
-    slots; need as in :func:`indexed`. With ``parts``, as the query has it, any such stretch of a diagonal is one, and where
+    slots; need as in :func:`indexed`. With ``parts``, as the query has it, any such stretch of a diagonal is one (also over
+    windows that aren't counted, where their slots are the item's), and where
     the diagonal as a whole is inconsistent, ``changed`` is false if a stretch that long has all slots of the item; without,
     one inconsistent pair anywhere on the diagonal rejects all of it. A stretch that long holds a window at every position modulo the least need,
     so only each so many-th window of a document is hashed to find the candidates; these are then judged on all their
@@ -113,9 +114,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
     near = canon.join(found, "doc_id", "left_semi").select("doc_id", F.split("words", " ").alias("raw"), "canon")
     full = F.transform(_windows(F.col("canon"), window, 1), lambda w: F.struct(w["pos"].alias("pos"), w["h"].alias("h"), F.array_join(F.slice("raw", w["pos"] + 1, window), " ").alias("raw")))
     full = near.select("doc_id", F.explode(full).alias("w")).select("doc_id", F.col("w.pos").alias("at"), F.col("w.h").alias("h"), F.col("w.raw").alias("raw"))
-    both = full.join(items.where("counted"), "h")
+    both = full.join(items if parts else items.where("counted"), "h")
     pair = F.transform("slots", lambda s: F.struct((F.col("pos") + s["at"]).alias("p"), F.concat(s["kind"], s["value"]).alias("of"), _value(F.element_at(F.split("raw", " "), s["at"] + 1)).alias("is"), s["value"].alias("was")))
-    group = both.select("doc_id", "item_id", "variant", "need", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pair.alias("pairs"))
+    group = both.select("doc_id", "item_id", "variant", "need", "counted", "pos", (F.col("at") - F.col("pos")).alias("diagonal"), pair.alias("pairs"))
+    if parts:
+        group = group.where(F.col("counted") | F.forall("pairs", lambda p: p["is"] == p["was"]))
     group = group.groupBy("doc_id", "item_id", "variant", "need", "diagonal").agg(F.sort_array(F.collect_set("pos")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("placed"))
     group = group.withColumn("pairs", F.array_distinct(F.transform("placed", lambda p: F.struct(p["of"].alias("of"), p["is"].alias("is"), p["was"].alias("was")))))
     run = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), _longer, lambda s: s["most"])
@@ -133,5 +136,51 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
     return leak.groupBy("doc_id", "item_id").agg(F.max(F.col("run") + window - 1).cast("int").alias("words"), F.min("changed").alias("changed"))
 
 
+def _literal(words: Column) -> Column:
+    """Words in lower case, without punctuation at their ends."""
+    return F.split(F.regexp_replace(F.regexp_replace(F.lower(words), r"""[.,;:!?"')]+(?= |$)""", ""), r"""(^| )["'(]+""", "$1"), " ")
+
+
+def verbatim(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch: int = STRETCH) -> DataFrame:
+    """Word for word copies, whatever would be slots in them: doc_id, item_id, words (of the longest).
+
+    A copy is ``window + stretch - 1`` (13) consecutive words of an item, or all of an item of fewer, but for case and
+    punctuation at the ends of words. Items without a letter or digit have none; ids, nulls, repeated rows and items
+    of equal template as in :func:`leaks`. Items shorter than a window are one window of their own size."""
+    t = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spaced(F.col("text")).alias("words")).where("item_id is not null")
+    t = with_template(t.where(F.col("words").rlike(r"[\p{L}\p{N}]"))).withColumn("item_id", F.min("item_id").over(Window.partitionBy("template")))
+    t = t.groupBy(_literal(F.col("words")).alias("lit")).agg(F.min("item_id").alias("item_id")).withColumn("size", F.least(F.size("lit"), F.lit(window)))
+    # items that differ only in what isn't compared are one; need counts consecutive windows
+    t = t.withColumn("need", F.least(F.lit(stretch), F.size("lit") - F.col("size") + 1)).withColumn("variant", F.xxhash64("lit"))
+    at = F.sequence(F.lit(0), F.size("lit") - F.col("size"))
+    items = t.select("item_id", "variant", "size", "need", F.explode(F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice("lit", i + 1, F.col("size"))).alias("h")))).alias("w"))
+    items = cut(items.select("item_id", "variant", "size", "need", "w.pos", "w.h"), "verbatim-items")
+    sizes = sorted((r["size"], r["need"]) for r in items.groupBy("size").agg(F.min("need").alias("need")).collect())
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, words int")
+    marks = cut(items.select("size", "h").distinct(), "verbatim-marks")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text")).alias("words")).where("doc_id is not null")
+    lit = docs.select("doc_id", "words", _literal(F.col("words")).alias("lit"))
+
+    def windows(sparse: bool) -> Column:
+        return F.concat(*[F.transform(_windows(F.col("lit"), n, need if sparse else 1), lambda w: F.struct(F.lit(n).alias("size"), w["pos"].alias("at"), w["h"].alias("h"))) for n, need in sizes])
+
+    probe = lit.select("doc_id", F.explode(windows(True)).alias("w")).select("doc_id", "w.size", "w.h")
+    found = cut(probe.join(marks, ["size", "h"], "left_semi").select("doc_id").distinct(), "verbatim-candidates")
+    near = lit.join(found, "doc_id", "left_semi").select("doc_id", F.xxhash64("words").alias("copy"), F.explode(windows(False)).alias("w"))
+    both = near.select("doc_id", "copy", "w.size", "w.at", "w.h").join(items, ["size", "h"])
+    group = both.groupBy("doc_id", "copy", "item_id", "variant", "size", "need", (F.col("at") - F.col("pos")).alias("diagonal")).agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    run = F.aggregate("at", F.struct(F.lit(-2).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most")), _longer, lambda s: s["most"])
+    return group.withColumn("run", run).where("run >= need").groupBy("doc_id", "item_id").agg(F.max(F.col("run") + F.col("size") - 1).cast("int").alias("words"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """All that :func:`leaks` finds in parts of diagonals, and the :func:`verbatim` copies of items that it can't find, with changed false."""
+    known = leaks(docs, benchmark, parts=True).withColumn("by", F.lit(0))
+    exact = verbatim(docs, benchmark).select("doc_id", "item_id", "words", F.lit(False).alias("changed"), F.lit(1).alias("by"))
+    first = F.min_by(F.struct("words", "changed"), "by").alias("first")
+    return known.union(exact).groupBy("doc_id", "item_id").agg(first).select("doc_id", "item_id", "first.words", "first.changed")
+
+
 def op9_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), parts=True)
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
