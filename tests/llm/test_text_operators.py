@@ -79,6 +79,15 @@ def test_language_is_learned_and_held_out_documents_are_not_read(spark):
     assert identify(spark.createDataFrame([], schema), docs, per_lang=20).count() == 0
 
 
+def test_texts_of_languages_left_out_are_rejected(spark):
+    rows = _languages(np.random.default_rng(5), 600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for known in (["aa"], ["aa", "cc"]):
+        out = identify(docs, docs.where(~held_out()).where(F.col("lang").isin(known)), per_lang=150).where(held_out()).collect()
+        assert np.mean([r["rejected"] for r in out if r["lang"] in known]) < 0.03
+        assert np.mean([r["rejected"] for r in out if r["lang"] not in known]) > 0.95
+
+
 BENCH = [
     (0, "A train leaves the old station at 10 km per hour and meets Anna after 3 hours on the long bridge today."),
     (1, "If 5 apples cost 5 coins then how many pears cost exactly 7 coins in the same small market there?"),

@@ -80,10 +80,19 @@ def _counts(bits: int):
 
 
 class Model:
-    """Folded log-odds table (a last row of zeros for n-grams that don't count), bias, languages, and the calibration."""
+    """Folded log-odds table (a last row of zeros for n-grams that don't count), bias, languages, and the calibration.
 
-    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, bits: int) -> None:
+    The table's last column is the log-likelihood of an n-gram among those learned; ``usual`` is its mean in texts of each language,
+    and a text that falls short of that by more than ``short`` (infinite: not calibrated) is in none of them."""
+
+    def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float, threshold: float, bits: int, usual: np.ndarray, short: float) -> None:
         self.langs, self.weights, self.bias, self.temperature, self.threshold, self.bits = langs, weights, bias, temperature, threshold, bits
+        self.usual, self.short = usual, short
+
+
+def _shortfall(mean: np.ndarray, n: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """How far a text's mean log-likelihood falls short of its language's, less for one of few n-grams, whose mean varies more."""
+    return (usual - mean) / np.sqrt(1 + 200 / np.maximum(n, 1))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -95,7 +104,9 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
     """Train on (language, buckets, counts) and calibrate on every eighth row, which is not trained on.
 
     The temperature minimises the log loss there; the rejection threshold is the confidence that the share
-    ``keep`` of these rows reaches, but never above half-way between a guess among all languages and even odds. None without rows.
+    ``keep`` of these rows reaches, but never above half-way between a guess among all languages and even odds. As that can't
+    tell texts of other languages, least of all with one or two learned, a text is also rejected whose n-grams are less likely
+    than those of any calibration row by half as much again, and by 0.5 at least. With fewer than 8 such rows nothing is. None without rows.
     """
     rows = [r for r in rows if len(r[1])]
     langs = sorted({r[0] for r in rows})
@@ -121,9 +132,16 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
             bias -= step * 0.1 * g
     folded = np.zeros(((1 << bits) + 1, k), np.float32)
     folded[:-1] = emb @ out.T
-    temperature, threshold = 1.0, 0.0
+    seen = np.zeros((k, 1 << bits))
+    for y, at, w in train:
+        seen[y, at] += w
+    likely = np.log(np.mean([(s + 1e-7) / (s.sum() + 1e-7 * len(s)) for s in seen], axis=0))
+    folded = np.column_stack([folded, np.append(likely, 0).astype(np.float32)])
+    temperature, threshold, short = 1.0, 0.0, np.inf
+    usual = np.zeros(k)
     if held:
-        z = np.array([w @ folded[at] + bias for _, at, w in held], np.float64)
+        z = np.array([w @ folded[at] for _, at, w in held], np.float64)
+        z, mean = z[:, :-1] + bias, z[:, -1]
         y = np.array([d[0] for d in held])
         best = np.inf
         for t in np.geomspace(0.05, 20, 61):
@@ -133,7 +151,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
                 best, temperature = loss, float(t)
         top = np.sort(_softmax(z / temperature).max(axis=1))
         threshold = float(min(top[int((1 - keep) * len(top))], (1 / k + 0.5) / 2))
-    return Model(langs, folded, bias, temperature, threshold, bits)
+        n = np.array([r[2].sum() for i, r in enumerate(rows) if i % 8 == 7])
+        said = z.argmax(axis=1)
+        usual = np.array([np.average(mean[said == j], weights=np.minimum(n[said == j], 2000)) if (said == j).any() else mean.mean() for j in range(k)])
+        if len(held) >= 8:
+            short = max(0.5, 1.5 * float(_shortfall(mean, n, usual[said]).max()))
+    return Model(langs, folded, bias, temperature, threshold, bits, usual, short)
 
 
 def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int = BITS) -> Model | None:
@@ -170,7 +193,7 @@ def predictor(spark: SparkSession, model: Model):
         original = texts
         for a, b, data, bounds in blocks(pc.utf8_lower(texts)):
             k = len(m.langs)
-            z, n = np.zeros((b - a, k)), np.zeros(b - a)
+            z, n = np.zeros((b - a, k + 1)), np.zeros(b - a)
             full = np.flatnonzero(np.diff(bounds))
             for code, ok in grams(data, bounds, m.bits) if len(full) else []:
                 code = np.where(ok, code, np.uint32(1 << m.bits))
@@ -179,15 +202,17 @@ def predictor(spark: SparkSession, model: Model):
                 starts = bounds[live]
                 n[live] += np.add.reduceat(ok.astype(np.float64), starts)
                 z[live] += np.add.reduceat(m.weights[code], starts, axis=0)
-            p = _softmax((z / np.maximum(n, 1)[:, None] + m.bias) / m.temperature)
+            z /= np.maximum(n, 1)[:, None]
+            p = _softmax((z[:, :-1] + m.bias) / m.temperature)
             best = p.argmax(axis=1)
+            foreign = _shortfall(z[:, -1], n, m.usual[best]) > m.short
             for i in range(b - a):
                 text = original[a + i].as_py()
                 if text is None or not _LETTER.search(text):
                     names.append(UNDECIDED), scores.append(0.0), rejected.append(True)
                 else:
                     s = float(p[i, best[i]])
-                    names.append(m.langs[best[i]]), scores.append(s), rejected.append(s < m.threshold)
+                    names.append(m.langs[best[i]]), scores.append(s), rejected.append(s < m.threshold or bool(foreign[i]))
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang_pred", "score", "rejected"])
 
     return predict
@@ -202,8 +227,8 @@ def identify(docs: DataFrame, learn_from: DataFrame, **bounds) -> DataFrame:
     """``docs`` with lang_pred, score (calibrated probability, 0 to 1) and rejected.
 
     Learns from ``learn_from`` (doc_id, text, lang; see :func:`train`). A null text, or one without any letter,
-    is ``und`` with score 0 and rejected; a text whose calibrated probability is under the model's threshold is
-    rejected too, but keeps its most likely language. Without anything to learn from all are ``und``, and only texts without letters are rejected. Every row gives
+    is ``und`` with score 0 and rejected; a text whose calibrated probability is under the model's threshold, or whose n-grams are
+    too unlike those learned (see :func:`fit`), is rejected too, but keeps its most likely language. Without anything to learn from all are ``und``, and only texts without letters are rejected. Every row gives
     one row, repeated rows too; columns of ``docs`` named as the three new ones are replaced, others stay.
     """
     spark = docs.sparkSession
