@@ -88,6 +88,18 @@ def test_texts_of_languages_left_out_are_rejected(spark):
         assert np.mean([r["rejected"] for r in out if r["lang"] not in known]) > 0.95
 
 
+def test_every_language_is_learned(spark):
+    gen = np.random.default_rng(6)
+    rows = []
+    for g in range(9):
+        sounds = ["".join(gen.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(6)]
+        rows += [(1000 * g + i, " ".join(gen.choice(sounds, 30)), f"l{g}") for i in range(40 if g < 8 else 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = identify(docs, docs, per_lang=20, max_langs=4).collect()
+    assert {r["lang_pred"] for r in out} == {f"l{g}" for g in range(9)}
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.95
+
+
 BENCH = [
     (0, "A train leaves the old station at 10 km per hour and meets Anna after 3 hours on the long bridge today."),
     (1, "If 5 apples cost 5 coins then how many pears cost exactly 7 coins in the same small market there?"),

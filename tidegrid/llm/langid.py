@@ -2,8 +2,8 @@
 
 A text is the mean of the embeddings of its hashed byte n-grams; a linear softmax on that mean gives
 the language. Embeddings and softmax are trained together by stochastic gradient descent in numpy on a
-bounded sample of labelled documents (``per_lang`` documents of each of at most ``max_langs``
-languages), whose n-gram counts are made by Spark tasks. For prediction both linear maps are folded
+bounded sample of labelled documents (``per_lang`` documents of each language, fewer where there are more than
+``max_langs``, but of every one), whose n-gram counts are made by Spark tasks. For prediction both linear maps are folded
 into one table of ``2**bits`` rows of log-odds, looked up for every n-gram of every text.
 """
 
@@ -101,7 +101,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> Model | None:
-    """Train on (language, buckets, counts) and calibrate on every eighth row, which is not trained on.
+    """Train on (language, buckets, counts) and calibrate on every eighth row of a language, which is not trained on.
 
     The temperature minimises the log loss there; the rejection threshold is the confidence that the share
     ``keep`` of these rows reaches, but never above half-way between a guess among all languages and even odds. As that can't
@@ -116,8 +116,12 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
     emb = gen.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((k, dim), np.float32), np.zeros(k, np.float32)
     data = [(langs.index(g), at, (n / n.sum()).astype(np.float32)) for g, at, n in rows]
-    held = [d for i, d in enumerate(data) if i % 8 == 7]
-    train = [d for i, d in enumerate(data) if i % 8 != 7]
+    nth, apart = [0] * k, []
+    for d in data:
+        nth[d[0]] += 1
+        apart.append(nth[d[0]] % 8 == 0)
+    held = [d for d, out_ in zip(data, apart) if out_]
+    train = [d for d, out_ in zip(data, apart) if not out_]
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in gen.permutation(len(train)):
@@ -151,7 +155,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
                 best, temperature = loss, float(t)
         top = np.sort(_softmax(z / temperature).max(axis=1))
         threshold = float(min(top[int((1 - keep) * len(top))], (1 / k + 0.5) / 2))
-        n = np.array([r[2].sum() for i, r in enumerate(rows) if i % 8 == 7])
+        n = np.array([r[2].sum() for r, out_ in zip(rows, apart) if out_])
         said = z.argmax(axis=1)
         usual = np.array([np.average(mean[said == j], weights=np.minimum(n[said == j], 2000)) if (said == j).any() else mean.mean() for j in range(k)])
         if len(held) >= 8:
@@ -160,21 +164,21 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
 
 
 def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int = BITS) -> Model | None:
-    """Fit on the ``per_lang`` labelled documents of smallest id hash of each of the ``max_langs`` most frequent languages.
+    """Fit on the labelled documents of smallest id hash of every language: ``per_lang`` of each, or, with more than ``max_langs``
+    languages, so many that all have ``per_lang * max_langs`` together, but one at least.
 
-    Both numbers bound what reaches the driver, whatever the input: the whole texts stay in tasks, which send
-    n-gram counts. Documents without id, language or letters are never learned from.
+    The whole texts stay in tasks, which send n-gram counts. The model's table has a column for each language. Documents without id, language or letters are never learned from.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
-    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
-    # of a language with many documents only the smallest hashes are ranked: eight times as many as wanted, on average
+    counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").collect()}
+    per_lang = min(per_lang, max(1, per_lang * max_langs // max(1, len(counts))))
+    # of a language with many documents only the smallest hashes are ranked: over eight times as many as wanted, on average
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(2**63 - 1, 2**63 * 8 * per_lang // n))]) if counts else F.lit(None).cast("map<string,long>")
-    known = known.where(F.col("lang").isin(list(counts)))
+    share = known.sparkSession.createDataFrame([(g, min(2**63 - 1, 2**63 * (8 * per_lang + 32) // n)) for g, n in counts.items()], "lang string, share long")
     first = Window.partitionBy("lang").orderBy("at", "doc_id")
-    low = known.select("lang", "doc_id", at.alias("at")).where(F.col("at") <= F.element_at(share, F.col("lang")))
+    low = known.select("lang", "doc_id", at.alias("at")).join(F.broadcast(share), "lang").where("at <= share")
     picked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
-    chosen = picked.select("doc_id").distinct()  # at most per_lang * max_langs ids
+    chosen = picked.select("doc_id").distinct()  # at most per_lang * max_langs ids, or one of each language
     sample = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text").mapInArrow(_counts(bits), "lang string, at array<int>, n array<float>")
     rows = [(r["lang"], np.asarray(r["at"], np.int64), np.asarray(r["n"], np.float32)) for r in sample.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # the same model whatever order the tasks end in
