@@ -1,4 +1,4 @@
-"""Command line: reduce a collection by an analysis, ingest and resume collections, list variables and providers."""
+"""Command line: reduce a collection by an analysis, ingest and resume collections, write the data of plots, list variables and providers."""
 
 from __future__ import annotations
 
@@ -6,14 +6,18 @@ import argparse
 import json
 from datetime import datetime
 
+from .frame import DIMS
 from .functions.calendar import FREQUENCIES
 from .operators.actions import ACTIONS, run_action
 from .operators.domain import cut_to
+from .operators.plotdata import MAP_AGGREGATES
 from .session import session
 from .sources.collection import Collection
 from .sources.domains import read_domain
+from .sources.plots import MODES, plot_data
 from .sources.providers import ingest, provider_from, providers_table, resume
 from .sources.sinks import write_ascii, write_csv, write_parquet
+from .sources.store import write_text
 from .sources.variables import variables_table
 
 SINKS = {"parquet": write_parquet, "csv": write_csv, "ascii": write_ascii}
@@ -57,6 +61,15 @@ def parser() -> argparse.ArgumentParser:
         x.add_argument("--dataset", required=True)
         x.add_argument("--provider", required=True, help="YAML file of a provider")
         x.add_argument("--domain", required=True, help="YAML file of a region")
+    g = sub.add_parser("plot", help="write the data of a plot, and its label, unit and colour map, as CSV and JSON")
+    g.add_argument("mode", choices=MODES)
+    g.add_argument("--input-file", required=True)
+    g.add_argument("--variable", required=True)
+    g.add_argument("--output-dir", required=True)
+    for x in ("--start-date", "--end-date", "--time"):
+        g.add_argument(x, type=_day)
+    g.add_argument("--aggregation-dimension", choices=DIMS)
+    g.add_argument("--aggregation-method", choices=sorted(MAP_AGGREGATES), default="mean")
     sub.add_parser("variables", help="list the known variables")
     s = sub.add_parser("providers", help="list what providers have")
     s.add_argument("configs", nargs="+")
@@ -74,6 +87,10 @@ def main(argv: list[str] | None = None) -> int:
         ingest(spark, a.dataset, read_domain(a.domain), a.variables, a.frequency, a.start, a.end, provider_from(a.provider), a.split_by)
     elif a.command == "resume":
         resume(spark, a.dataset, read_domain(a.domain), provider_from(a.provider), print)
+    elif a.command == "plot":
+        data, about = plot_data(spark, a.input_file, a.variable, a.mode, a.start_date, a.end_date, a.time, a.aggregation_dimension, a.aggregation_method)
+        data.write.csv(f"{a.output_dir}/{a.variable}_{a.mode}", header=True)
+        write_text(f"{a.output_dir}/{a.variable}_{a.mode}.json", json.dumps(about, ensure_ascii=False))
     elif a.command == "variables":
         variables_table(spark).show(100, truncate=False)
     else:

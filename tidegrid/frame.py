@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,11 @@ EXTRA = ("year", "month", "doy", "season", "tmask")
 MISSING = 1e19
 
 
+def _numbered(values: Sequence[float] | dict[int, float]) -> dict[int, float]:
+    """Values by index, in the order of the indices."""
+    return dict(sorted(values.items()) if isinstance(values, dict) else enumerate(values))
+
+
 def clean(df: DataFrame, variables: Iterable[str]) -> DataFrame:
     """NaN, infinities and fill values (1e20 and the like) of the variables become null, as all operators assume."""
     return df.withColumns({v: F.when(~F.isnan(v) & (F.abs(F.col(v)) < MISSING), F.col(v)) for v in variables})
@@ -27,13 +33,32 @@ def clean(df: DataFrame, variables: Iterable[str]) -> DataFrame:
 
 @dataclass(frozen=True)
 class GridFrame:
-    """``tables``: one for each set of dimensions; ``axes``: values of depth, latitude, longitude; ``times``: table of
-    the distinct ``time`` values, or None for the ones stored; ``attrs``: attributes such as the title."""
+    """``tables``: one for each set of dimensions; ``axes``: values of depth, latitude, longitude by the index that cells carry;
+    ``times``: table of the ``time`` values; ``grid``: latitudes and longitudes of the whole grid; ``attrs``: attributes such as
+    the title.
+
+    An axis may be given as a list, whose indices then count from 0. A cut shortens ``axes`` and never renumbers cells;
+    ``grid`` keeps the neighbours that cell edges lie between. Without ``times`` the axis is that of the tables as given
+    here: cells that are cut away later stay on it, as steps without data."""
 
     tables: tuple[DataFrame, ...]
-    axes: dict[str, list[float]] = field(default_factory=dict)
+    axes: dict[str, dict[int, float]] = field(default_factory=dict)
     times: DataFrame | None = None
     attrs: dict[str, str] = field(default_factory=dict)
+    grid: dict[str, dict[int, float]] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        axes = {k: _numbered(v) for k, v in self.axes.items()}
+        object.__setattr__(self, "axes", axes)
+        grid = {k: self.grid.get(k, v) for k, v in axes.items() if k in ("latitude", "longitude")}
+        object.__setattr__(self, "grid", {k: v if axes[k].items() <= v.items() else axes[k] for k, v in grid.items()})
+        stored = [t.select("time") for t in self.tables if "time" in t.columns]
+        if self.times is None and stored:
+            object.__setattr__(self, "times", reduce(DataFrame.union, stored))
+
+    def values(self, axis: str) -> list[float]:
+        """Coordinates of an axis, in the order of their indices."""
+        return list(self.axes[axis].values())
 
     @staticmethod
     def dims_of(table: DataFrame) -> tuple[str, ...]:
@@ -91,23 +116,21 @@ class GridFrame:
 
         axes = dict(self.axes)
         if dim in axes:
-            axes[dim] = [v for v in axes[dim] if (low is None or v >= low) and (high is None or v <= high)]
+            axes[dim] = {i: v for i, v in axes[dim].items() if (low is None or v >= low) and (high is None or v <= high)}
         out = replace(self.map(cut), axes=axes)
         if dim == "time" and self.times is not None:
             out = replace(out, times=cut(self.times))
         return out
 
     def time_axis(self) -> DataFrame:
-        """The distinct times: those given, else those of the stored cells."""
-        if self.times is not None:
-            return self.times.select("time").distinct()
-        stored = [t.select("time") for t in self.tables if "time" in t.columns]
-        if not stored:
+        """The distinct times, also those at which no cell is stored."""
+        if self.times is None:
             raise ValueError("the dataset has no time axis")
-        out = stored[0]
-        for t in stored[1:]:
-            out = out.union(t)
-        return out.distinct()
+        return self.times.select("time").distinct()
+
+    def first_step(self) -> Column:
+        """The first time of the axis, as an expression."""
+        return self.time_axis().agg(F.min("time")).scalar()
 
 
 def keep_columns(table: DataFrame, without: Iterable[str]) -> list[str]:
@@ -115,12 +138,19 @@ def keep_columns(table: DataFrame, without: Iterable[str]) -> list[str]:
     return [c for d in GridFrame.dims_of(table) if d not in without for c in COLUMNS[d]] + [c for c in EXTRA if c in table.columns and c != "tmask"]
 
 
-def nearest(values: Sequence[float], target: float) -> int:
+def nearest(values: Sequence[float] | dict[int, float], target: float) -> int:
     """Index of the value nearest to ``target``, the larger of two equally near."""
-    if not values:
+    by = _numbered(values)
+    if not by:
         raise ValueError("the axis has no values")
-    return min(range(len(values)), key=lambda i: (abs(values[i] - target), -values[i]))
+    return min(by, key=lambda i: (abs(by[i] - target), -by[i]))
 
 
-def is_water(column: str) -> Column:
-    return F.col(column).isNotNull()
+def at_index(values: Sequence[float] | dict[int, float], index: Column) -> Column:
+    """The value of an index as an expression (null where there is none): axis metadata as an array literal, so that no join is needed."""
+    by = _numbered(values)
+    if not by:
+        return F.lit(None).cast("double")
+    low, high = min(by), max(by)
+    known = F.array(*[F.lit(None if by.get(i) is None else float(by[i])).cast("double") for i in range(low, high + 1)])
+    return F.get(known, index - low)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -65,10 +65,13 @@ def split_intervals(table: DataFrame, by: str, start: str = "start", end: str =
     first = F.add_months(F.trunc(checked.cast("date"), unit), months)
     last = F.when(b > F.trunc(b.cast("date"), unit).cast("timestamp_ntz"), F.trunc(b.cast("date"), unit)).otherwise(F.add_months(F.trunc(b.cast("date"), unit), -months))
     inner = F.when(first <= last, F.sequence(first, last, F.make_ym_interval(F.lit(0), F.lit(months)))).otherwise(F.array().cast("array<date>"))
-    inner = F.transform(inner, lambda d: d.cast("timestamp_ntz"))
-    cuts = F.concat(F.array(a), inner)
-    parts = F.transform(cuts, lambda c, i: F.struct(c.alias("part_start"), F.coalesce(F.get(cuts, i + 1) - F.expr("interval 1 second"), b).alias("part_end")))
-    return table.where((a < b) | (checked > b)).withColumn("_parts", F.explode(parts)).select(*table.columns, "_parts.part_start", "_parts.part_end")
+    # a part begins at the start or a cut and ends before the next cut or at the end: both are functions of the cut alone
+    inner = F.concat(F.array(F.lit(None).cast("date")), inner)
+    begin = F.coalesce(F.col("_cut").cast("timestamp_ntz"), a)
+    following = F.add_months(F.trunc(begin.cast("date"), unit), months).cast("timestamp_ntz")
+    end_ = F.when(following < b, following - F.expr("interval 1 second")).otherwise(b)
+    rows = table.where((a < b) | (checked > b)).withColumn("_cut", F.explode(inner))
+    return rows.select(*table.columns, begin.alias("part_start"), end_.alias("part_end"))
 
 
 def n_time_steps(start: Column, end: Column, frequency: str) -> Column:
@@ -80,16 +83,12 @@ def n_time_steps(start: Column, end: Column, frequency: str) -> Column:
     raise ValueError(f"the number of steps is not known for the frequency {frequency}")
 
 
-def listed(spark: SparkSession, parts: list[tuple[datetime, datetime]]) -> DataFrame:
-    return spark.createDataFrame(parts, "part_start timestamp_ntz, part_end timestamp_ntz")
-
-
 def first_month_of_day(times: DataFrame) -> DataFrame:
     """doy -> month of its first occurrence on the time axis (after 28 February the day of the year shifts in leap years)."""
     return times.groupBy(F.dayofyear("time").alias("doy")).agg(F.min_by(F.month("time"), F.col("time")).alias("month"))
 
 
-def lead_parts(points: DataFrame, column: str = "time") -> DataFrame:
-    """Each split point with the next one, as ``start`` and ``end``; the last is left out."""
-    following = F.lead(column).over(Window.orderBy(column))
-    return points.select(F.col(column).alias("start"), following.alias("end")).where("end is not null")
+def lead_parts(points: DataFrame, by: list[str], column: str = "time") -> DataFrame:
+    """Each split point with the next one of the same ``by`` (a dataset, a variable), as ``start`` and ``end``; the last is left out."""
+    following = F.lead(column).over(Window.partitionBy(*by).orderBy(column))
+    return points.select(*by, F.col(column).alias("start"), following.alias("end")).where("end is not null")

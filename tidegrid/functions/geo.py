@@ -11,19 +11,26 @@ from pyspark.sql import functions as F
 RADIUS = 6_371_000.0  # of the sphere, in metres
 
 
-def _edges(centres: Sequence[float]) -> list[float]:
-    """Boundaries half-way between neighbouring centres, the outer ones mirrored; a lone centre is one unit wide."""
-    if len(centres) == 1:
-        return [centres[0] - 0.5, centres[0] + 0.5]
-    mid = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
-    return [2 * centres[0] - mid[0], *mid, 2 * centres[-1] - mid[-1]]
-
-
-def area_factors(latitudes: Sequence[float], longitudes: Sequence[float], radius: float = RADIUS) -> tuple[list[float], list[float]]:
-    """Two lists whose products are the areas of the cells of a regular grid on a sphere: R^2 (sin b - sin a) and the width in radians."""
-    lat, lon = _edges(latitudes), _edges(longitudes)
-    rows = [radius * radius * abs(math.sin(math.radians(b)) - math.sin(math.radians(a))) for a, b in zip(lat, lat[1:])]
-    return rows, [abs(math.radians(b - a)) for a, b in zip(lon, lon[1:])]
+def _edges(centres: dict[int, float]) -> dict[int, tuple[float, float]]:
+    """Lower and upper boundary of each cell by index: half-way to its neighbours, mirrored where it has none on that side.
+
+    A lone centre is one unit wide. Where indices in between are missing, the spacing is taken to be even there."""
+    at = sorted(centres)
+    if len(at) == 1:
+        return {at[0]: (centres[at[0]] - 0.5, centres[at[0]] + 0.5)}
+    half = {i: (centres[j] - centres[i]) / (j - i) / 2 for i, j in zip(at, at[1:])}
+    half[at[-1]] = half[at[-2]]
+    below = dict(zip(at[1:], at))
+    return {i: (centres[i] - half[below.get(i, i)], centres[i] + half[i]) for i in at}
+
+
+def area_factors(latitudes: Sequence[float] | dict[int, float], longitudes: Sequence[float] | dict[int, float], radius: float = RADIUS):
+    """Factors by index whose products are the areas of the cells of a regular grid on a sphere: R^2 (sin b - sin a) and the width
+    in radians. Two lists for axes given as lists, else two dicts."""
+    lat, lon = (_edges(x if isinstance(x, dict) else dict(enumerate(x))) for x in (latitudes, longitudes))
+    rows = {i: radius * radius * abs(math.sin(math.radians(b)) - math.sin(math.radians(a))) for i, (a, b) in lat.items()}
+    columns = {i: abs(math.radians(b - a)) for i, (a, b) in lon.items()}
+    return (rows, columns) if isinstance(latitudes, dict) else (list(rows.values()), list(columns.values()))
 
 
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float = RADIUS) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -22,36 +22,48 @@ def _tile(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("int")
 
 
-def nearest_water(points: DataFrame, water: DataFrame, latitude: str = "latitude", longitude: str = "longitude", tile: float = 1.0) -> DataFrame:
+def nearest_water(points: DataFrame, water: DataFrame, latitude: str = "latitude", longitude: str = "longitude", tile: float | None = None) -> DataFrame:
     """pid, lat_idx, lon_idx, model_latitude, model_longitude, distance of the water cell nearest to each point.
 
     ``points``: pid and coordinates in degrees; ``water``: lat_idx, lon_idx, latitude, longitude of all water cells. Distances are
     along the sphere, rounded to millimetres; ties go to the smaller lat_idx, then lon_idx. Points and cells meet on tiles
-    of ``tile`` degrees: a point whose nearest cell in its own and the eight tiles around is farther than the edge of
+    of ``tile`` degrees (about two cells of the grid, if None): a point whose nearest cell in its own and the eight tiles around is farther than the edge of
     these could have a nearer one, and is tried again with tiles twice as large, until one tile is the world. Points
-    without coordinates are left out; without water there are no rows. Longitudes are not wrapped around."""
-    todo = points.select("pid", F.col(latitude).alias("_y"), F.col(longitude).alias("_x")).where("_y is not null and _x is not null")
+    without coordinates are left out; without water there are no rows. Longitudes are not wrapped around. Points that share
+    coordinates are searched once."""
+    named = points.select("pid", F.col(latitude).alias("_y"), F.col(longitude).alias("_x")).where("_y is not null and _x is not null")
+    todo = settled(named.select("_y", "_x").distinct())
     cells = settled(water.select("lat_idx", "lon_idx", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude")))
     found: DataFrame | None = None
+    if tile is None:
+        tile = _two_cells(cells)
     while True:
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         near = cells.withColumn("_t", F.explode(around)).select("*", (_tile(F.col("model_latitude"), tile) + F.col("_t.i")).alias("_ty"), (_tile(F.col("model_longitude"), tile) + F.col("_t.j")).alias("_tx")).drop("_t")
         asked = todo.select("*", _tile(F.col("_y"), tile).alias("_ty"), _tile(F.col("_x"), tile).alias("_tx"))
         pairs = asked.join(near, ["_ty", "_tx"])
         distance = F.round(haversine(F.col("_y"), F.col("_x"), F.col("model_latitude"), F.col("model_longitude")), 3)
-        best = pairs.groupBy("pid", "_y", "_x").agg(F.min(F.struct(distance.alias("distance"), "lat_idx", "lon_idx", "model_latitude", "model_longitude")).alias("b"))
+        best = pairs.groupBy("_y", "_x").agg(F.min(F.struct(distance.alias("distance"), "lat_idx", "lon_idx", "model_latitude", "model_longitude")).alias("b"))
         # nothing outside the nine tiles is nearer than a tile's width, in longitude measured at its narrowest
         narrow = F.cos(F.radians(F.least(F.abs("_y") + 2 * tile, F.lit(90.0))))
         sure = F.col("b.distance") <= tile * DEGREE * F.least(F.lit(1.0), narrow) * 0.999
         last = tile >= 360
-        done = settled((best if last else best.where(sure)).select("pid", "b.lat_idx", "b.lon_idx", "b.model_latitude", "b.model_longitude", "b.distance"))
+        done = settled((best if last else best.where(sure)).select("_y", "_x", "b.lat_idx", "b.lon_idx", "b.model_latitude", "b.model_longitude", "b.distance"))
         found = done if found is None else found.union(done)
         if last:
-            return found
-        todo = settled(todo.join(done.select("pid"), "pid", "left_anti"))
+            break
+        todo = settled(todo.join(done.select("_y", "_x"), ["_y", "_x"], "left_anti"))
         if todo.isEmpty():
-            return found
+            break
         tile = min(360.0, tile * 2)
+    return named.join(found, ["_y", "_x"]).select("pid", "lat_idx", "lon_idx", "model_latitude", "model_longitude", "distance")
+
+
+def _two_cells(cells: DataFrame) -> float:
+    """Twice the mean spacing of the grid in degrees, the larger of both directions; 1 where there is one cell or none."""
+    ends = cells.agg(*[f(c) for c in ("lat_idx", "lon_idx", "model_latitude", "model_longitude") for f in (F.min, F.max)]).first()
+    steps = [(ends[k + 1] - ends[k]) / (ends[i + 1] - ends[i]) for i, k in ((0, 4), (2, 6)) if ends[i] is not None and ends[i + 1] > ends[i]]
+    return min(360.0, max(2 * max(abs(s) for s in steps), 1e-3)) if steps else 1.0
 
 
 class BottomCellMap:
@@ -64,7 +76,7 @@ class BottomCellMap:
         self.lat, self.lon, self.time = lat_column, lon_column, time_column
         self.variable = variable or frame.variables[0]
 
-    def series(self, points: DataFrame, tile: float = 1.0) -> DataFrame:
+    def series(self, points: DataFrame, tile: float | None = None) -> DataFrame:
         """Every step of each point's cell from ``time_range`` before the point's time to a millisecond after it.
 
         ``points`` have pid, unique. Columns: those of ``points``, model_time, model_latitude, model_longitude, model_depth,
@@ -74,7 +86,7 @@ class BottomCellMap:
         cells = t.select("lat_idx", "lon_idx", "latitude", "longitude").distinct()
         deep = "depth_idx" in t.columns
         if deep:
-            first = t.where(F.col("time") == t.agg(F.min("time")).scalar()) if "time" in t.columns else t
+            first = t.where(F.col("time") == self.frame.first_step()) if "time" in t.columns else t
             wet = first.where(F.col(self.variable).isNotNull()).select("lat_idx", "lon_idx").distinct()
             cells = cells.join(wet, ["lat_idx", "lon_idx"], "left_semi")
         at = points.join(nearest_water(points, cells, self.lat, self.lon, tile), "pid", "left")
@@ -90,11 +102,15 @@ class BottomCellMap:
             on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
         return a.join(b, on, "left").select("a.*", *[F.col(f"b.{c}") for c in own.columns if c not in keys]).drop(*keys)
 
-    def map(self, func: Callable[[pd.DataFrame], dict], points: DataFrame, schema: str, tile: float = 1.0) -> DataFrame:
+    def map(self, func: Callable[[pd.DataFrame], dict], points: DataFrame, schema: str | None = None, tile: float | None = None) -> DataFrame:
         """``points`` (pid, unique and not null) with the columns that ``func`` returns for each, as a dict of the fields of ``schema``.
 
         ``func`` gets the point's series ordered by model_time (empty where no step lies in the range), with the point's own
-        columns on every row. It runs in pandas, once for each point; its input is one cell's steps in ``time_range``."""
+        columns on every row. It runs in pandas, once for each point; its input is one cell's steps in ``time_range``. Without a
+        ``schema`` it is inferred by a run of ``func`` on the first point with steps (else on an empty series): integers as long, floats as double.
+        """
+        if schema is None:
+            schema = self._inferred(func, points, tile)
         names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,3 +140,21 @@ class BottomCellMap:
 
         rows = self.series(points, tile).repartition("pid").sortWithinPartitions("pid", "model_time")
         return points.join(rows.mapInPandas(run, f"pid {dict(points.dtypes)['pid']}, {schema}"), "pid", "left")
+
+    def _inferred(self, func: Callable[[pd.DataFrame], dict], points: DataFrame, tile: float | None) -> str:
+        """The schema of what ``func`` returns, from one point: the smallest pid that has steps."""
+        rows = self.series(points, tile)
+        first = rows.where("model_time is not null").agg(F.min("pid")).first()[0]
+        one = rows.where(F.col("pid") == F.lit(first)).orderBy("model_time") if first is not None else rows.where("false")
+        made = func(one.toPandas())
+
+        def kind(x: object) -> str:
+            if isinstance(x, (bool, np.bool_)):
+                return "boolean"
+            if isinstance(x, (int, np.integer)):
+                return "long"
+            if isinstance(x, (pd.Timestamp, datetime)):
+                return "timestamp_ntz"
+            return "string" if isinstance(x, str) else "double"
+
+        return ", ".join(f"{k} {kind(v)}" for k, v in made.items())

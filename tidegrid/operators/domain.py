@@ -107,7 +107,7 @@ class MultiPolygonalDomain(Domain):
 
 
 def cut_to(frame: GridFrame, domain: Domain) -> GridFrame:
-    """Cells inside the domain; the others have no rows any more, which is how missing cells are stored.
+    """Cells inside the domain; the others have no rows any more, which is how missing cells are stored. All axes stay, time too.
 
     Tables without latitude and longitude stay."""
 

@@ -9,35 +9,38 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import DIMS, GridFrame, keep_columns
+from ..frame import DIMS, GridFrame, at_index, keep_columns
 from ..functions.geo import area_factors
 from ..functions.layers import layer_heights
 
 OPERATORS = ("mean", "integral", "max", "min")
 
 
-def _by_value(column: str, values: Sequence[float], weights: Sequence[float]) -> Column:
-    """Weight of a cell by the index of its coordinate; indices count from the axis as stored."""
-    return F.get(F.array(*[F.lit(float(w)) for w in weights]), F.col(column))
+def _first(by_index: dict[int, float], at: dict[int, float]) -> Column:
+    """The value at the first index of an axis, 0 for an axis that a cut has emptied."""
+    return F.lit(float(by_index[next(iter(at))]) if at else 0.0)
 
 
-def weight(frame: GridFrame, axes: Sequence[str], dims: Sequence[str], heights: Sequence[float], stored: dict[str, list[float]]) -> Column | None:
+def weight(frame: GridFrame, axes: Sequence[str], dims: Sequence[str]) -> Column | None:
     """Weight of a cell of a table with ``dims`` when ``axes`` are reduced; None where all cells weigh the same.
 
-    Latitude and longitude together weigh by area; either alone weighs by the coordinate itself; depth by the height of
-    the layer; time by nothing. A weight along a dimension that the table lacks, or that isn't reduced there, is that of index 0.
+    Latitude and longitude together weigh by area, whose edges are those of the whole grid; either alone weighs by the
+    coordinate itself; depth by the height of the layer; time by nothing. Weights go by the index that a cell carries, so they are
+    the same after any cut. A weight along a dimension that the table lacks, or that isn't reduced there, is that of the axis's first index.
     """
     parts: list[Column] = []
     if "latitude" in axes and "longitude" in axes:
-        rows, columns = area_factors(stored["latitude"], stored["longitude"])
-        parts.append(_by_value("lat_idx", stored["latitude"], rows) if "latitude" in dims else F.lit(rows[0]))
-        parts.append(_by_value("lon_idx", stored["longitude"], columns) if "longitude" in dims else F.lit(columns[0]))
+        rows, columns = area_factors(frame.grid["latitude"], frame.grid["longitude"])
+        parts.append(at_index(rows, F.col("lat_idx")) if "latitude" in dims else _first(rows, frame.axes["latitude"]))
+        parts.append(at_index(columns, F.col("lon_idx")) if "longitude" in dims else _first(columns, frame.axes["longitude"]))
     else:
         for axis in ("latitude", "longitude"):
             if axis in axes:
-                parts.append(F.col(axis).cast("double") if axis in dims else F.lit(float(stored[axis][0])))
+                parts.append(F.col(axis).cast("double") if axis in dims else _first(frame.axes[axis], frame.axes[axis]))
     if "depth" in axes:
-        parts.append(_by_value("depth_idx", stored["depth"], heights) if "depth" in dims else F.lit(float(next(h for h in heights if h is not None))))
+        depth = frame.axes["depth"]
+        heights = dict(zip(depth, layer_heights(list(depth.values()))))
+        parts.append(at_index(heights, F.col("depth_idx")) if "depth" in dims else _first(heights, depth))
     if not parts:
         return None
     out = parts[0]
@@ -88,22 +91,16 @@ def reduce_axes(frame: GridFrame, axes: Sequence[str], depth_min: float | None =
             warnings.warn(f"the axis {axis} has one value; it is ignored", UserWarning, stacklevel=2)
         else:
             over.append(axis)
-    stored = frame.axes
-    depths = stored.get("depth", [])
     if depth_min is not None or depth_max is not None:
         if "depth" not in frame.dims:
             raise ValueError("a depth range needs a depth axis")
         frame = frame.between("depth", depth_min, depth_max)
-    kept = iter(layer_heights(frame.axes.get("depth", [])))
-    inside = set(frame.axes.get("depth", []))
-    heights = [next(kept) if d in inside else None for d in depths]
-    heights_ = [0.0 if h is None else h for h in heights]
 
     def change(t: DataFrame) -> DataFrame:
         own = [a for a in over if a in GridFrame.dims_of(t)]
         if not own:
             return t
-        w = weight(frame, over, own, heights_ if any(h is not None for h in heights) else [0.0], stored) if operator in ("mean", "integral") else None
+        w = weight(frame, over, own) if operator in ("mean", "integral") else None
         return _reduced(t, own, operator, w)
 
     left = {k: v for k, v in frame.axes.items() if k not in over}

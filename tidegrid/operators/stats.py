@@ -14,12 +14,16 @@ OPERATIONS = ("mean", "variance", "median", "minimum", "maximum", "quartiles")
 QUARTILES = (5, 25, 75, 95)
 
 
+RANKS = (5, 25, 50, 75, 95)
+
+
 def _of(v: str, operation: str) -> list[tuple[str, Column]]:
-    x = F.col(v).cast("double")
+    """Names and expressions of an operation's results, over ``v`` or over its percentiles at ``RANKS`` in ``_p_v``."""
     if operation == "quartiles":
-        return [(f"{v}_quartiles_{p}", F.percentile(x, F.lit(p / 100))) for p in QUARTILES]
-    one = {"mean": F.avg, "variance": F.var_pop, "median": F.median, "minimum": F.min, "maximum": F.max}[operation]
-    return [(f"{v}_{operation}", one(x))]
+        return [(f"{v}_quartiles_{p}", F.get(f"_p_{v}", F.lit(RANKS.index(p)))) for p in QUARTILES]
+    if operation == "median":
+        return [(f"{v}_median", F.get(f"_p_{v}", F.lit(RANKS.index(50))))]
+    return [(f"{v}_{operation}", F.col(f"{v}_{operation}"))]
 
 
 def calculate_stats(frame: GridFrame, operations: Sequence[str] = ("all",)) -> GridFrame:
@@ -44,11 +48,14 @@ def calculate_stats(frame: GridFrame, operations: Sequence[str] = ("all",)) -> G
 
     def change(t: DataFrame) -> DataFrame:
         own = GridFrame.variables_of(t)
-        aggregates = [c.alias(name) for v in own for o in operations for name, c in _of(v, o)]
+        cell = keep_columns(t, ["time"])
+        simple = {"mean": F.avg, "variance": F.var_pop, "minimum": F.min, "maximum": F.max}
+        aggregates = [simple[o](F.col(v).cast("double")).alias(f"{v}_{o}") for v in own for o in operations if o in simple]
+        if {"median", "quartiles"} & set(operations):  # one buffer of values for all ranks
+            aggregates += [F.percentile(F.col(v).cast("double"), F.array(*[F.lit(p / 100) for p in RANKS])).alias(f"_p_{v}") for v in own]
         counts = [F.count(F.col(v)).alias(f"_n_{v}") for v in own]
-        out = t.groupBy(*keep_columns(t, ["time"])).agg(*aggregates, *counts)
-        whole = {name: F.when(F.col(f"_n_{v}") == steps.scalar(), F.col(name)) for v in own for o in operations for name, _ in _of(v, o)}
-        return out.withColumns(whole).drop(*[f"_n_{v}" for v in own])
+        out = t.groupBy(*cell).agg(*aggregates, *counts)
+        return out.select(*cell, *[F.when(F.col(f"_n_{v}") == steps.scalar(), c).alias(name) for v in own for o in operations for name, c in _of(v, o)])
 
     timed = replace(frame, tables=tuple(t for t in frame.tables if "time" in t.columns))
     return replace(timed.map(change), times=None)

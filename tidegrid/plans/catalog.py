@@ -5,6 +5,7 @@ Measured values are rounded to six decimals on both sides: engines add in differ
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -12,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import GridFrame
 from ..functions import calendar
 from ..functions.layers import layer_heights_table
 from ..operators.actions import run_action
@@ -21,7 +21,8 @@ from ..operators.bottom_map import BottomCellMap, nearest_water
 from ..operators.domain import MultiPolygonalDomain, PolygonalDomain, RectangularDomain, cut_to
 from ..operators.extract import first_time, nearest_time, water_mask
 from ..operators.plotdata import map_at, timeseries
-from ..sources import collection, filenames
+from ..lineage import shared_folder
+from ..sources import collection, filenames, providers
 from ..sources.sinks import ascii_lines, csv_table, raster
 from ..sources.tables import DEPTHS, daily_cube, monthly_cube, order_points
 from ..sources.variables import KNOWN, variables_table
@@ -248,6 +249,101 @@ _domain("domain_polygon", PolygonalDomain("triangle", _TRIANGLE), _even_odd(_TRI
 _domain("domain_multipolygon", MultiPolygonalDomain("both", (PolygonalDomain("triangle", _TRIANGLE), PolygonalDomain("square", _SQUARE))), f"{_even_odd(_TRIANGLE)} or {_even_odd(_SQUARE)}")
 
 
+# a domain or a slice, then the variables, then an action
+
+_TRI = PolygonalDomain("triangle", _TRIANGLE)
+_INSIDE = f"inside as (select * from cube where {_even_odd(_TRIANGLE)}), t as (select distinct \"time\" from cube)"
+
+
+@_query(
+    "domain_then_monthly_climatology",
+    f"""with {_MON}, {_INSIDE}, w as (select cast(month("time") as integer) "month", sum(day(last_day("time"))) nd from t group by 1),
+    g as (select cast(month("time") as integer) "month", depth_idx, lat_idx, lon_idx, sum(thetao * day(last_day("time"))) total from inside group by 1, 2, 3, 4)
+    select w."month", c.depth_idx, c.lat_idx, c.lon_idx, round(coalesce(g.total, 0) / w.nd, 6) thetao
+    from w cross join (select distinct depth_idx, lat_idx, lon_idx from inside) c left join g on g."month" = w."month" and g.depth_idx = c.depth_idx and g.lat_idx = c.lat_idx and g.lon_idx = c.lon_idx""",
+)
+def domain_then_monthly_climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = cut_to(monthly_cube(spark, sf_dir), _TRI).select(["thetao"])
+    return _tidy(run_action("climatology", frame, variable="thetao", frequency="monthly").table(), "thetao")
+
+
+@_query(
+    "domain_then_stats",
+    f"""with {_MON}, {_INSIDE}, one as (select * from inside where "time" <> (select min("time") from cube) or lat_idx <> 1)
+    select depth_idx, lat_idx, lon_idx, case when count(so) = (select count(*) from t) then round(avg(so), 6) end so_mean, case when count(so) = (select count(*) from t) then round(median(so), 6) end so_median
+    from one group by 1, 2, 3""",
+)
+def domain_then_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row of the domain lacks the first step, which the time axis keeps."""
+    frame = cut_to(monthly_cube(spark, sf_dir), _TRI).select(["so"])
+    frame = frame.map(lambda t: t.where((F.col("time") != frame.first_step()) | (F.col("lat_idx") != 1)))
+    return _tidy(run_action("calculate_stats", frame, operations=["mean", "median"]).table(), "so_mean", "so_median")
+
+
+@_query("slice_then_depth_average", f'with {_MON} select "time", lat_idx, lon_idx, round(sum(thetao * {_CUT}) / sum({_CUT}), 6) thetao from cube where depth between 2 and 20 group by 1, 2, 3')
+def slice_then_depth_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("compute_depth_average", monthly_cube(spark, sf_dir).between("depth", 2.0, 20.0).select(["thetao"])).table(), "thetao")
+
+
+@_query("slice_then_area_mean", f'with {_MON} select "time", depth_idx, round(sum(thetao * area) / sum(area), 6) thetao from cube where latitude between 43 and 45 and longitude between 30.5 and 31.5 group by 1, 2')
+def slice_then_area_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).between("latitude", 43.0, 45.0).between("longitude", 30.5, 31.5).select(["thetao"])
+    return _tidy(run_action("reduce_axes", frame, axes=["latitude", "longitude"]).table(), "thetao")
+
+
+@_query(
+    "slice_then_ascii",
+    f"""with {_MON}, m as (select lat_idx, lon_idx, avg(thetao) x from cube where depth_idx = 2 and latitude between 43 and 44 and longitude >= 30.5 group by 1, 2), g as (select y, x from range(1, 3) a(y) cross join range(1, 5) b(x))
+    select cast(2 - g.y as integer) "row", string_agg(coalesce(printf('%.8f', m.x), '-9999'), ' ' order by g.x) line from g left join m on m.lat_idx = g.y and m.lon_idx = g.x group by g.y""",
+)
+def slice_then_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).between("latitude", 43.0, 44.0).between("longitude", 30.5).select(["thetao"])
+    return ascii_lines(run_action("extract_layer", frame, depth=5.0))
+
+
+@_query("slice_then_bottom", f"""with {_MON}, part as (select * from cube where depth >= 2 and depth <= 40), n as (select lat_idx, lon_idx, count(*) n from part where "time" = (select min("time") from cube) group by 1, 2),
+    b as (select c.lat_idx, c.lon_idx, coalesce(n.n, 5) bottom from (select distinct lat_idx, lon_idx from part) c left join n using (lat_idx, lon_idx))
+    select "time", lat_idx, lon_idx, {_VALUES} from part join b using (lat_idx, lon_idx) where depth_idx = bottom""")
+def slice_then_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_bottom", monthly_cube(spark, sf_dir).between("depth", 2.0, 40.0)).table(), "thetao", "so")
+
+
+class _Cube(providers.Provider):
+    """The monthly cube as a provider, with the indices of the whole grid."""
+
+    kind = "cube"
+
+    def __init__(self, sf_dir: str) -> None:
+        self.sf_dir = sf_dir
+
+    def available_variables(self, frequency: str) -> list[str]:
+        return ["thetao", "so"] if frequency == "monthly" else []
+
+    def read(self, spark: SparkSession, variable: str, frequency: str, start: datetime, end: datetime) -> DataFrame:
+        return monthly_cube(spark, self.sf_dir).select([variable]).between("time", start, end).table()
+
+    def describe(self) -> str:
+        return "the monthly cube"
+
+
+@_query(
+    "ingest_box_then_volume_mean",
+    f"""with {_MON} select "time", round(sum(thetao * area * {_CUT}) / sum(area * {_CUT}), 6) thetao, round(sum(so * area * {_CUT}) / sum(area * {_CUT}), 6) so from cube
+    where depth between 2 and 20 and latitude between 43 and 45 and longitude between 30.5 and 31.5 and "time" between timestamp '1995-01-01' and timestamp '1996-12-31' group by 1""",
+)
+def ingest_box_then_volume_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection made from the cube in a box that begins at no index 0, in files by year; then reduced."""
+    box = RectangularDomain("Box", (43.0, 45.0), (30.5, 31.5), (2.0, 20.0))
+    folder = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    made = providers.ingest(spark, folder, box, ["thetao", "so"], "monthly", datetime(1995, 1, 1), datetime(1996, 12, 31), _Cube(sf_dir), "year")
+    return _tidy(run_action("reduce_axes", made.frame(spark), axes=["depth", "latitude", "longitude"]).table(), "thetao", "so")
+
+
+@_query("bottom_both", f'with {_MON}, {_POINTS} select "time", lat_idx, lon_idx, {_VALUES} from cube join bottom using (lat_idx, lon_idx) where depth_idx = bottom_idx')
+def bottom_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tidy(run_action("extract_bottom", monthly_cube(spark, sf_dir)).table(), "thetao", "so")
+
+
 @_query("variables_selected", f"with {_MON} select {_CELL}, round(so, 6) so from cube")
 def variables_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(monthly_cube(spark, sf_dir).select(["so"]).table(), "so")
@@ -436,8 +532,3 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
-
-
-def frame_of(spark: SparkSession, sf_dir: str) -> GridFrame:
-    """The cube that most queries use."""
-    return monthly_cube(spark, sf_dir)

@@ -11,9 +11,9 @@ from datetime import datetime
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .filenames import ARCHIVE_MEMBER, parse_archive_member
+from .store import place
 
 Decoder = Callable[[bytes], pd.DataFrame]
 
@@ -33,7 +33,7 @@ def members(folder: str, variable: str, start: datetime | None = None, end: date
     """Paths and times of the members of a variable anywhere under ``folder``, from start to end (inclusive), the earliest first.
 
     Listed through ``pyarrow.fs``: their names hold colons, which Spark's own file listing doesn't take."""
-    store, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    store, root = place(folder)
     found = []
     for info in store.get_file_info(pafs.FileSelector(root, recursive=True)):
         if info.type == pafs.FileType.File and re.match(ARCHIVE_MEMBER, info.base_name):
@@ -54,7 +54,7 @@ def local_archive(spark: SparkSession, folder: str, variable: str, schema: str,
         raise ValueError(f"there are no members of {variable} under {folder} in that time")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        store = pafs.FileSystem.from_uri(folder)[0] if "://" in folder else pafs.LocalFileSystem()
+        store = place(folder)[0]
         for pdf in batches:
             for path, time in zip(pdf["path"], pdf["time"]):
                 with store.open_input_stream(path) as f:
@@ -67,24 +67,40 @@ def local_archive(spark: SparkSession, folder: str, variable: str, schema: str,
 def tar_archive(spark: SparkSession, folder: str, dataset: str, variable: str, schema: str, start: datetime | None = None, end: datetime | None = None, decoder: Decoder = decode) -> DataFrame:
     """Cells of the members of every ``dataset.tar`` under ``folder`` (folders called bottom are skipped), from start to end.
 
-    Members that aren't data files are ignored; a nested one, one with another name, or one of another variable is a
-    ValueError. A tar file is read by one task, member by member."""
+    Members that aren't data files are ignored; a nested one, one with another name, or one of another variable (it goes by its
+    own name or the dataset's) is a ValueError. First one task for each tar file reads its headers, passing over the contents;
+    then the members are dealt out and each is read at its place, so that a tar file may be larger than any task."""
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    store, root = place(folder)
+    tars = [i.path for i in store.get_file_info(pafs.FileSelector(root, recursive=True)) if i.base_name == f"{dataset}.tar" and "/bottom/" not in i.path]
+    if not tars:
+        raise ValueError(f"there is no {dataset}.tar under {folder}")
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = place(folder)[0]
+        for path in (p for pdf in batches for p in pdf["path"]):
+            rows = []
+            with store.open_input_file(path) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                for member in tar:
+                    if not member.isfile() or not member.name.endswith((".nc", ".parquet")):
+                        continue
+                    if "/" in member.name.removeprefix("./"):
+                        raise ValueError(f"{path}: {member.name} is in a folder")
+                    time, of = parse_archive_member(member.name.removeprefix("./"))
+                    if of not in (variable, dataset):
+                        raise ValueError(f"{path}: {member.name} is not of {variable}")
+                    if (start is None or time >= start) and (end is None or time <= end):
+                        rows.append((path, time, member.offset_data, member.size))
+            yield pd.DataFrame(rows, columns=["path", "time", "at", "size"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = place(folder)[0]
         for pdf in batches:
-            for path, raw in zip(pdf["path"], pdf["content"]):
-                with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                    for member in tar:
-                        if not member.isfile() or not member.name.endswith((".nc", ".parquet")):
-                            continue
-                        if "/" in member.name.removeprefix("./"):
-                            raise ValueError(f"{path}: {member.name} is in a folder")
-                        time, of = parse_archive_member(member.name.removeprefix("./"))
-                        if of != variable:
-                            raise ValueError(f"{path}: {member.name} is not of {variable}")
-                        if (start is None or time >= start) and (end is None or time <= end):
-                            yield decoder(tar.extractfile(member).read()).assign(time=time)[names]
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{dataset}.tar").load(folder)
-    return files.where(~F.col("path").contains("/bottom/")).select("path", "content").mapInPandas(run, schema)
+            for path, time, at, size in zip(pdf["path"], pdf["time"], pdf["at"], pdf["size"]):
+                with store.open_input_file(path) as f:
+                    f.seek(int(at))
+                    yield decoder(f.read(int(size))).assign(time=time)[names]
+
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    found = spark.createDataFrame([(p,) for p in tars], "path string").repartition(min(len(tars), tasks)).mapInPandas(listed, "path string, time timestamp_ntz, at long, size long")
+    return found.repartition(tasks, "path", "at").mapInPandas(run, schema)

@@ -6,17 +6,19 @@ import json
 from dataclasses import dataclass, field
 from datetime import datetime
 from functools import reduce
-from pathlib import Path
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import COLUMNS, GridFrame, clean
+from ..frame import COLUMNS, GridFrame, _numbered, clean
 from ..operators.align import align_outer, along_time
 from ..operators.extract import water_mask
+from .store import Location, exists, join, kind, read_text, write_text
 from .variables import REGISTRY
 
 CATALOGUE = "geodata_collection.json"
+SNAP = 1e-6  # fixed value: how near to 0 a longitude is the meridian
 
 
 @dataclass(frozen=True)
@@ -31,7 +33,9 @@ class DataFile:
 
 @dataclass
 class Collection:
-    """Catalogue of a dataset: ``files`` by variable, ``axes`` of depth, latitude and longitude, and how it was made."""
+    """Catalogue of a dataset: ``files`` by variable, ``axes`` of depth, latitude and longitude, and how it was made.
+
+    An axis is a list if its indices count from 0, else its values by index: a box keeps the indices of the whole grid."""
 
     domain: str
     start: datetime
@@ -39,67 +43,87 @@ class Collection:
     frequency: str
     provider: str
     files: dict[str, list[DataFile]]
-    axes: dict[str, list[float]] = field(default_factory=dict)
+    axes: dict[str, list[float] | dict[int, float]] = field(default_factory=dict)
     title: str = ""
     provider_config: str | None = None
-    main_path: Path | None = None
-
-    def save(self, folder: str | Path) -> Path:
-        """Write the catalogue; one that is there already is a FileExistsError."""
-        target = Path(folder) / CATALOGUE
+    main_path: str | None = None
+
+    def save(self, folder: Location, again: bool = False) -> str:
+        """Write the catalogue, as a whole; one that is there already is a FileExistsError, unless it is written ``again``."""
+        target = join(folder, CATALOGUE)
+        if not again and exists(target):
+            raise FileExistsError(target)
+        by_index = {k: v if isinstance(v, dict) else dict(enumerate(v)) for k, v in self.axes.items()}
+        indices = {k: list(v) for k, v in by_index.items() if list(v) != list(range(len(v)))}
         day = lambda t: t.isoformat()
         files = {v: [{"start": day(f.start), "end": day(f.end), "variable": f.variable, "path": f.path} for f in fs] for v, fs in self.files.items()}
-        out = {"domain": self.domain, "start": day(self.start), "end": day(self.end), "frequency": self.frequency, "provider": self.provider, "provider_config": self.provider_config, "title": self.title, "axes": self.axes, "files": files}
-        with open(target, "x") as f:
-            json.dump(out, f, indent=1)
+        out = {"domain": self.domain, "start": day(self.start), "end": day(self.end), "frequency": self.frequency, "provider": self.provider, "provider_config": self.provider_config, "title": self.title, "axes": {k: list(v.values()) for k, v in by_index.items()}, "indices": indices, "files": files}
+        write_text(target, json.dumps(out, indent=1))
         return target
 
     @staticmethod
-    def load(path: str | Path) -> Collection:
+    def load(path: Location) -> Collection:
         """The catalogue at a path or in a folder; a missing one is a FileNotFoundError, a provider config that is missing a ValueError."""
-        path = Path(path)
-        path = path / CATALOGUE if path.is_dir() else path
-        if not path.exists():
-            raise FileNotFoundError(str(path))
-        data = json.loads(path.read_text())
+        path = join(path, CATALOGUE) if kind(path) == pafs.FileType.Directory else str(path)
+        if not exists(path):
+            raise FileNotFoundError(path)
+        data = json.loads(read_text(path))
         when = datetime.fromisoformat
-        if data["provider_config"] and not Path(data["provider_config"]).exists():
+        if data["provider_config"] and not exists(data["provider_config"]):
             raise ValueError(f"the provider config {data['provider_config']} does not exist")
         files = {v: [DataFile(when(f["start"]), when(f["end"]), f["variable"], f["path"]) for f in fs] for v, fs in data["files"].items()}
-        return Collection(data["domain"], when(data["start"]), when(data["end"]), data["frequency"], data["provider"], files, data["axes"], data["title"], data["provider_config"], path.parent)
+        axes = {k: dict(zip(data.get("indices", {})[k], v)) if k in data.get("indices", {}) else v for k, v in data["axes"].items()}
+        return Collection(data["domain"], when(data["start"]), when(data["end"]), data["frequency"], data["provider"], files, axes, data["title"], data["provider_config"], path.rpartition("/")[0] or ".")
 
     def variables(self) -> list[str]:
         return list(self.files)
 
     def paths(self, variable: str) -> list[str]:
         """Full paths of a variable's files, the earliest first."""
-        return [str(self.main_path / f.path) if self.main_path else f.path for f in sorted(self.files[variable], key=lambda f: f.start)]
+        return [self._path(f) for f in sorted(self.files[variable], key=lambda f: f.start)]
+
+    def _path(self, f: DataFile) -> str:
+        return join(self.main_path, f.path) if self.main_path else f.path
 
     def frame(self, spark: SparkSession, variables: list[str] | None = None, start: datetime | None = None, end: datetime | None = None) -> GridFrame:
         """The data of these variables (all, if None), read lazily; files that don't touch start to end aren't read.
 
-        Variables of equal dimensions are aligned in one table. An empty list of variables is a ValueError."""
+        Variables of equal dimensions are aligned in one table. The time axis is that of the files, before any cut; longitudes
+        at the meridian are snapped where the axis has one near 0. An empty list of variables is a ValueError."""
         variables = self.variables() if variables is None else list(variables)
         if not variables:
             raise ValueError("there are no variables to read")
         by_dims: dict[tuple[str, ...], list[DataFrame]] = {}
+        axes = dict(self.axes)
+        near = [x for x in _values(axes.get("longitude", [])) if abs(x) <= SNAP]
+        odd = "longitude" not in axes or any(near)  # else the filters on longitude reach the scan as they are
+        if any(near):
+            axes["longitude"] = {i: 0.0 if abs(x) <= SNAP else x for i, x in _numbered(axes["longitude"]).items()}
+        times: list[DataFrame] = []
         for v in REGISTRY.check(variables):
             wanted = [f for f in self.files[v.name] if (end is None or f.start <= end) and (start is None or f.end >= start)]
-            parts = [spark.read.parquet(str(self.main_path / f.path) if self.main_path else f.path) for f in sorted(wanted, key=lambda f: f.start)]
+            parts = [spark.read.parquet(self._path(f)) for f in sorted(wanted, key=lambda f: f.start)]
             if not parts:
                 raise ValueError(f"there are no files of {v.name} in that time")
             t = clean(along_time(parts), [v.name])
+            if "time" in t.columns:
+                times.append(t.select("time"))
+            t = snap_longitudes(t) if odd and "longitude" in t.columns else t
             by_dims.setdefault(GridFrame.dims_of(t), []).append(t)
-        out = GridFrame(tuple(align_outer(ts) if len(ts) > 1 else ts[0] for ts in by_dims.values()), self.axes, attrs={"title": self.title})
+        out = GridFrame(tuple(align_outer(ts) if len(ts) > 1 else ts[0] for ts in by_dims.values()), axes, along_time(times) if times else None, {"title": self.title})
         return out.between("time", start, end)
 
     def mask(self, spark: SparkSession) -> DataFrame:
         return water_mask(self.frame(spark))
 
 
+def _values(axis: list[float] | dict[int, float]) -> list[float]:
+    return list(_numbered(axis).values())
+
+
 def snap_longitudes(table: DataFrame) -> DataFrame:
     """Longitudes within 1e-6 of 0 become 0, so that files written by different models align."""
-    return table.withColumn("longitude", F.when(F.abs("longitude") <= 1e-6, F.lit(0.0)).otherwise(F.col("longitude")))
+    return table.withColumn("longitude", F.when(F.abs("longitude") <= SNAP, F.lit(0.0)).otherwise(F.col("longitude")))
 
 
 def validate(table: DataFrame, variable: str, depth: tuple[float, float] | None = None) -> DataFrame:
@@ -131,5 +155,5 @@ def missing_files(wanted: DataFrame, present: DataFrame) -> DataFrame:
 
 
 def merge_all(tables: list[DataFrame]) -> DataFrame:
-    """Distinct rows of all tables."""
+    """Distinct rows of all tables, such as what providers list for different frequencies (see providers.providers_table)."""
     return reduce(lambda a, b: a.unionByName(b), tables).distinct()

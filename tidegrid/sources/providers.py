@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
-from dataclasses import dataclass
-from datetime import datetime
-from pathlib import Path
+from dataclasses import dataclass, field
+from datetime import date, datetime
 
 import yaml
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.calendar import FREQUENCIES, split_interval
 from ..operators.domain import BoundingBox, Domain
 from .archives import Decoder, decode, local_archive, tar_archive
-from .collection import CATALOGUE, Collection, DataFile, validate
+from .collection import CATALOGUE, Collection, DataFile, merge_all, validate
 from .filenames import data_file_name
+from .store import Location, exists, join, make_folder, place, read_text
 from .variables import REGISTRY
 
-KEYS = {"name", "kind", "source", "variables", "frequencies"}
+NEEDED = {"variables", "frequencies"}
+KEYS = NEEDED | {"name", "kind", "source", "meshmask", "start_date", "end_date"}
 
 
 class Provider(ABC):
@@ -47,34 +50,67 @@ class Provider(ABC):
 
 @dataclass(frozen=True)
 class ProviderConfig:
-    """``variables``: name -> name of its dataset; ``frequencies``: name -> (variables, folder within ``source``)."""
+    """``variables``: name -> name of its dataset; ``frequencies``: name -> (variables, folder within ``source``, if that isn't empty);
+    ``units`` of the variables; ``meshmask``: type and path of the grid's description; ``start`` and ``end`` of what it has."""
 
     name: str
     kind: str
     source: str
     variables: dict[str, str]
     frequencies: dict[str, tuple[list[str], str]]
-
-
-def read_config(path: str | Path) -> ProviderConfig:
-    """A provider's YAML file. Missing or unknown keys, variables, kinds and frequencies are ValueErrors; so is a variable
-    of a frequency that isn't listed under ``variables``."""
-    data = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
-    if not isinstance(data, dict) or set(data) != KEYS:
-        odd = KEYS.symmetric_difference(data if isinstance(data, dict) else ())
+    units: dict[str, str | None] = field(default_factory=dict)
+    meshmask: dict[str, str] = field(default_factory=dict)
+    start: date | None = None
+    end: date | None = None
+
+
+def _entries(path: Location, data: dict, section: str, needed: set[str], more: set[str]) -> list[dict]:
+    rows = data[section]
+    if not isinstance(rows, list):
+        raise ValueError(f"{path}: {section} is not a list")
+    for row in rows:
+        if not isinstance(row, dict) or not needed <= set(row) <= needed | more:
+            raise ValueError(f"{path}: an entry of {section} has the keys {', '.join(sorted(needed))}, not {row}")
+    return rows
+
+
+def read_config(path: Location) -> ProviderConfig:
+    """A provider's YAML file; a missing one is a FileNotFoundError.
+
+    ``variables`` (variable, unit, and dataset_name if it differs) and ``frequencies`` (frequency, variables, path) are needed.
+    ``source`` is a folder that the paths lie in, or a mapping whose ``type`` is local (paths are then whole); ``kind`` is tar, unless it says
+    otherwise; ``name``, ``meshmask`` (a mapping with a type), ``start_date`` and ``end_date`` are optional. Missing or
+    unknown keys, variables, kinds and frequencies, a frequency given twice, and a variable of a frequency that isn't described are ValueErrors."""
+    if not exists(path):
+        raise FileNotFoundError(str(path))
+    data = yaml.safe_load(read_text(path))
+    if not isinstance(data, dict) or not NEEDED <= set(data) <= KEYS:
+        odd = NEEDED - set(data) | set(data) - KEYS if isinstance(data, dict) else NEEDED
         raise ValueError(f"{path}: missing or unknown keys: {', '.join(sorted(map(str, odd)))}")
-    if data["kind"] not in Provider.known:
-        raise ValueError(f"{path}: the kind {data['kind']!r} is unknown; known are {', '.join(sorted(Provider.known))}")
-    variables = {v["variable"]: v.get("dataset_name", v["variable"]) for v in data["variables"]}
+    kind, source, mask = data.get("kind", "tar"), data.get("source", ""), data.get("meshmask", {})
+    if kind not in Provider.known:
+        raise ValueError(f"{path}: the kind {kind!r} is unknown; known are {', '.join(sorted(Provider.known))}")
+    if isinstance(source, dict):
+        if source.get("type") != "local":
+            raise ValueError(f"{path}: the source {source} is unknown; known is the type local")
+        source = source.get("path", "")
+    if not isinstance(mask, dict) or mask and "type" not in mask:
+        raise ValueError(f"{path}: meshmask is not a mapping with a type")
+    described = _entries(path, data, "variables", {"variable"}, {"unit", "dataset_name"})
+    variables = {v["variable"]: v.get("dataset_name", v["variable"]) for v in described}
     REGISTRY.check(list(variables))
-    frequencies = {}
-    for f in data["frequencies"]:
-        if f["frequency"] not in FREQUENCIES:
-            raise ValueError(f"{path}: the frequency {f['frequency']!r} is unknown; known are {', '.join(FREQUENCIES)}")
+    frequencies: dict[str, tuple[list[str], str]] = {}
+    for f in _entries(path, data, "frequencies", {"frequency", "variables", "path"}, set()):
+        name = str(f["frequency"]).lower()
+        if name not in FREQUENCIES:
+            raise ValueError(f"{path}: the frequency {name!r} is unknown; known are {', '.join(FREQUENCIES)}")
+        if name in frequencies:
+            raise ValueError(f"{path}: the frequency {name} is given twice")
         if lost := [v for v in f["variables"] if v not in variables]:
             raise ValueError(f"{path}: variables that aren't described: {', '.join(lost)}")
-        frequencies[f["frequency"]] = (list(f["variables"]), str(f["path"]))
-    return ProviderConfig(str(data["name"]), data["kind"], str(data["source"]), variables, frequencies)
+        frequencies[name] = (list(f["variables"]), str(f["path"]))
+    units = {v["variable"]: v.get("unit") for v in described}
+    return ProviderConfig(str(data.get("name", "tar_archive")), kind, str(source), variables, frequencies, units, {k: str(v) for k, v in mask.items()}, data.get("start_date"), data.get("end_date"))
 
 
 class ArchiveProvider(Provider):
@@ -90,13 +126,14 @@ class ArchiveProvider(Provider):
         return list(self.config.frequencies.get(frequency, ([], ""))[0])
 
     def _folder(self, frequency: str) -> str:
-        return f"{self.config.source}/{self.config.frequencies[frequency][1]}"
+        folder = self.config.frequencies[frequency][1]
+        return join(self.config.source, folder) if self.config.source else folder
 
     def read(self, spark: SparkSession, variable: str, frequency: str, start: datetime, end: datetime) -> DataFrame:
         return local_archive(spark, self._folder(frequency), variable, self.schema.format(variable), start, end, self.decoder)
 
     def describe(self) -> str:
-        return f"{self.config.name}: {self.kind} archive at {self.config.source}"
+        return f"{self.config.name}: {self.kind} archive at {self.config.source or 'the paths of its frequencies'}"
 
 
 class TarProvider(ArchiveProvider):
@@ -108,15 +145,16 @@ class TarProvider(ArchiveProvider):
         return tar_archive(spark, self._folder(frequency), self.config.variables[variable], variable, self.schema.format(variable), start, end, self.decoder)
 
 
-def provider_from(path: str | Path, decoder: Decoder = decode) -> Provider:
+def provider_from(path: Location, decoder: Decoder = decode) -> Provider:
     config = read_config(path)
     return Provider.known[config.kind](config, decoder)
 
 
 def providers_table(spark: SparkSession, providers: list[Provider]) -> DataFrame:
-    """description, frequency, variable of what the providers have."""
-    rows = [(p.describe(), f, v) for p in providers for f in FREQUENCIES for v in p.available_variables(f)]
-    return spark.createDataFrame(rows, "description string, frequency string, variable string").orderBy("description", "frequency", "variable")
+    """description, frequency, variable of what the providers have, each once: the union over providers and frequencies."""
+    schema = "description string, frequency string, variable string"
+    lists = [spark.createDataFrame([(p.describe(), f, v) for v in p.available_variables(f)], schema) for p in providers for f in FREQUENCIES]
+    return merge_all(lists or [spark.createDataFrame([], schema)]).orderBy("description", "frequency", "variable")
 
 
 def inside(table: DataFrame, box: BoundingBox) -> DataFrame:
@@ -125,51 +163,72 @@ def inside(table: DataFrame, box: BoundingBox) -> DataFrame:
     return out.where(F.col("depth").between(*box.depth)) if box.depth and "depth" in table.columns else out
 
 
-def _axes(tables: list[DataFrame]) -> dict[str, list[float]]:
-    """Axis metadata of written files: distinct coordinates by index, as few as a grid has."""
+def _axes(tables: list[DataFrame]) -> dict[str, list[float] | dict[int, float]]:
+    """Axis metadata of written files: distinct coordinates by the provider's indices, as few as a grid has; a list where these count from 0."""
     out: dict[str, dict[int, float]] = {}
     for t in tables:
         for axis, index in (("depth", "depth_idx"), ("latitude", "lat_idx"), ("longitude", "lon_idx")):
             if axis in t.columns:
                 out.setdefault(axis, {}).update({r[0]: r[1] for r in t.select(index, axis).distinct().collect()})
-    return {axis: [by[i] for i in sorted(by)] for axis, by in out.items()}
+    return {axis: [by[i] for i in sorted(by)] if sorted(by) == list(range(len(by))) else dict(sorted(by.items())) for axis, by in out.items()}
 
 
-def ingest(spark: SparkSession, folder: str | Path, domain: Domain, variables: list[str], frequency: str, start: datetime, end: datetime, provider: Provider, split_by: str | None = None, title: str | None = None) -> Collection:
+def ingest(spark: SparkSession, folder: Location, domain: Domain, variables: list[str], frequency: str, start: datetime, end: datetime, provider: Provider, split_by: str | None = None, title: str | None = None) -> Collection:
     """Read variables of a provider within a domain and time into Parquet files under ``folder``, with a catalogue.
 
     ``split_by``: a file for each month or year, else one for each variable. The catalogue is written before the data, so that
     :func:`resume` can go on; one that is there already is a FileExistsError. Variables that the provider lacks are a ValueError."""
-    folder = Path(folder)
-    if (folder / CATALOGUE).exists():
-        raise FileExistsError(str(folder / CATALOGUE))
+    if exists(join(folder, CATALOGUE)):
+        raise FileExistsError(join(folder, CATALOGUE))
     REGISTRY.check(variables)
     if lost := [v for v in variables if v not in provider.available_variables(frequency)]:
         raise ValueError(f"not available at the frequency {frequency}: {', '.join(lost)}")
     parts = split_interval(start, end, split_by) if split_by else [(start, end)]
     files = {v: [DataFile(a, b, v, data_file_name(domain.name, v, frequency, a, b).removesuffix(".nc") + ".parquet") for a, b in parts] for v in variables}
     made = Collection(domain.name, start, end, frequency, provider.kind, files, {}, title or f"{frequency} means")
-    folder.mkdir(parents=True, exist_ok=True)
+    make_folder(folder)
     made.save(folder)
     return resume(spark, folder, domain, provider)
 
 
-def resume(spark: SparkSession, folder: str | Path, domain: Domain, provider: Provider, report: Callable[[str], None] = lambda _: None) -> Collection:
-    """Make those files of a collection that aren't there yet; a file is there once Spark has committed it. ``report`` gets faults that validation finds."""
-    folder = Path(folder)
+def _write_parts(cells: DataFrame, folder: Location, wanted: list[DataFile]) -> None:
+    """The files ``wanted`` from one reading of the cells: written side by side in a draft, from which whole parts are moved into place."""
+    spark = cells.sparkSession
+    part = F.lit(None).cast("int")
+    for i, f in enumerate(wanted):
+        part = F.when((F.col("time") >= F.lit(f.start)) & (F.col("time") <= F.lit(f.end)), F.lit(i)).otherwise(part)
+    draft = join(folder, f"tmp.{uuid.uuid4().hex}")
+    cells.withColumn("part", part).where("part is not null").write.partitionBy("part").option("compression", "zstd").parquet(draft)
+    store, root = place(draft)
+    for i, f in enumerate(wanted):
+        made, target = f"{root}/part={i}", place(join(folder, f.path))[1]
+        if store.get_file_info(target).type != pafs.FileType.NotFound:  # left by a job that was stopped
+            store.delete_dir(target)
+        if store.get_file_info(made).type == pafs.FileType.NotFound:  # no cell at that time
+            spark.createDataFrame([], cells.schema).write.parquet(join(folder, f.path))
+            continue
+        store.open_output_stream(f"{made}/_SUCCESS").close()
+        store.move(made, target)
+    store.delete_dir(root)
+
+
+def resume(spark: SparkSession, folder: Location, domain: Domain, provider: Provider, report: Callable[[str], None] = lambda _: None) -> Collection:
+    """Make those files of a collection that aren't there yet; a file is there once it is committed as a whole.
+
+    Each variable is read once, for the time of all its missing files. ``report`` gets faults that validation finds."""
     made = Collection.load(folder)
     written = []
     for variable, files in made.files.items():
+        missing = [f for f in files if not exists(join(join(folder, f.path), "_SUCCESS"))]
+        if missing:
+            cells = inside(provider.read(spark, variable, made.frequency, min(f.start for f in missing), max(f.end for f in missing)), domain.box())
+            _write_parts(cells, folder, missing)
         for f in files:
-            target = folder / f.path
-            if not (target / "_SUCCESS").exists():
-                inside(provider.read(spark, variable, made.frequency, f.start, f.end), domain.box()).write.mode("overwrite").option("compression", "zstd").parquet(str(target))
-            table = spark.read.parquet(str(target))
+            table = spark.read.parquet(join(folder, f.path))
             found = validate(table, variable, domain.box().depth).first()
             if not found["ok"]:
                 report(f"{f.path}: {found['reason']}")
             written.append(table)
     made.axes = _axes(written)
-    (folder / CATALOGUE).unlink()
-    made.save(folder)
+    made.save(folder, again=True)
     return Collection.load(folder)

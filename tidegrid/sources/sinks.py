@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import COLUMNS, GridFrame
 from ..operators.plotdata import time_mean
+from .store import write_text
 
 
 def _single(frame: GridFrame) -> tuple[DataFrame, str]:
@@ -49,13 +50,13 @@ def ascii_lines(frame: GridFrame, nodata: int = -9999, north_first: bool = True)
     Each line is made by one group of at most as many cells as there are longitudes. ``north_first=False`` keeps the axis's order."""
     v = frame.variables[0] if frame.variables else ""
     t = raster(frame)
-    n_lat, n_lon = len(frame.axes["latitude"]), len(frame.axes["longitude"])
+    lat, lon = list(frame.axes["latitude"]), list(frame.axes["longitude"])
     lines = t.groupBy("lat_idx").agg(F.map_from_entries(F.collect_list(F.struct("lon_idx", F.col(v).alias("x")))).alias("m"))
-    every = t.sparkSession.range(n_lat).select(F.col("id").cast("int").alias("lat_idx"))
+    every = t.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(i) for i in lat])).alias("_row", "lat_idx"))
     cell = lambda j: F.coalesce(F.format_string("%.8f", F.element_at(F.col("m"), j)), F.lit(str(nodata)))
-    empty = F.transform(F.sequence(F.lit(0), F.lit(n_lon - 1)), lambda j: F.when(F.element_at(F.col("m"), j).isNull(), F.lit(str(nodata))).otherwise(cell(j)))
+    empty = F.transform(F.array(*[F.lit(j) for j in lon]), lambda j: F.when(F.element_at(F.col("m"), j).isNull(), F.lit(str(nodata))).otherwise(cell(j)))
     rows = every.join(lines, "lat_idx", "left").withColumn("m", F.coalesce("m", F.expr("map()").cast(lines.schema["m"].dataType)))
-    order = (F.lit(n_lat - 1) - F.col("lat_idx")) if north_first else F.col("lat_idx")
+    order = (F.lit(len(lat) - 1) - F.col("_row")) if north_first else F.col("_row")
     return rows.select(order.cast("int").alias("row"), F.array_join(empty, " ").alias("line"))
 
 
@@ -65,7 +66,7 @@ def _step(values: Sequence[float]) -> float | None:
 
 def ascii_header(frame: GridFrame, nodata: int = -9999) -> list[str]:
     """Header of the grid: corners are those of the cells, the cell size is the mean of both spacings (or the one there is, or 1)."""
-    lat, lon = frame.axes["latitude"], frame.axes["longitude"]
+    lat, lon = frame.values("latitude"), frame.values("longitude")
     steps = [s for s in (_step(lat), _step(lon)) if s is not None] or [1.0]
     size = sum(steps) / len(steps)
     return [f"ncols {len(lon)}", f"nrows {len(lat)}", f"xllcorner {lon[0] - size / 2:.8f}", f"yllcorner {lat[0] - size / 2:.8f}", f"cellsize {size:.8f}", f"NODATA_value {nodata}"]
@@ -74,5 +75,4 @@ def ascii_header(frame: GridFrame, nodata: int = -9999) -> list[str]:
 def write_ascii(frame: GridFrame, path: str, nodata: int = -9999) -> None:
     """One text file: the size of a raster is bounded by its axes, so its lines pass the driver."""
     lines = [r["line"] for r in ascii_lines(frame, nodata).orderBy("row").collect()]
-    with open(path, "w") as f:
-        f.write("\n".join([*ascii_header(frame, nodata), *lines]) + "\n")
+    write_text(path, "\n".join([*ascii_header(frame, nodata), *lines]) + "\n")

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import GridFrame
+from ..frame import GridFrame, at_index
 from ..functions.calendar import month_start
-from ..functions.layers import at_index
 from .variables import REGISTRY
 
 DEPTHS = [0.5, 2.0, 5.0, 10.0, 20.0, 40.0, 80.0]
@@ -40,7 +39,7 @@ def monthly_cube(spark: SparkSession, sf_dir: str) -> GridFrame:
     keys = [month_start(F.col("l_shipdate")).alias("time"), (F.col("l_linenumber") - 1).cast("int").alias("depth_idx"), (F.col("l_suppkey") % 4).cast("int").alias("lat_idx"), (F.col("l_partkey") % 5).cast("int").alias("lon_idx")]
     cells = li.groupBy(*keys).agg(F.avg("l_quantity").alias("thetao"), F.avg("l_extendedprice").alias("so"))
     cells = _coordinates(cells).select("time", "depth_idx", "depth", "lat_idx", "latitude", "lon_idx", "longitude", "thetao", "so")
-    return GridFrame((cells,), {"depth": DEPTHS, "latitude": LATITUDES, "longitude": LONGITUDES}, attrs={"title": "monthly means"})
+    return GridFrame((cells,), {"depth": DEPTHS, "latitude": LATITUDES, "longitude": LONGITUDES}, li.select(keys[0]), {"title": "monthly means"})
 
 
 def daily_cube(spark: SparkSession, sf_dir: str) -> GridFrame:
@@ -49,7 +48,7 @@ def daily_cube(spark: SparkSession, sf_dir: str) -> GridFrame:
     keys = [F.col("l_shipdate").cast("date").cast("timestamp_ntz").alias("time"), (F.col("l_suppkey") % 2).cast("int").alias("lat_idx"), (F.col("l_partkey") % 2).cast("int").alias("lon_idx")]
     cells = li.groupBy(*keys).agg(F.avg("l_quantity").alias("chl"))
     cells = cells.withColumns({"latitude": at_index(LATITUDES[:2], F.col("lat_idx")), "longitude": at_index(LONGITUDES[:2], F.col("lon_idx"))})
-    return GridFrame((cells.select("time", "lat_idx", "latitude", "lon_idx", "longitude", "chl"),), {"latitude": LATITUDES[:2], "longitude": LONGITUDES[:2]}, attrs={"title": "daily means"})
+    return GridFrame((cells.select("time", "lat_idx", "latitude", "lon_idx", "longitude", "chl"),), {"latitude": LATITUDES[:2], "longitude": LONGITUDES[:2]}, li.select(keys[0]), {"title": "daily means"})
 
 
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:

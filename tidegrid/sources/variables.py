@@ -40,6 +40,15 @@ KNOWN = [
     ("R6c", "Particulate Organic Carbon", "cmo:matter"),
 ]
 
+# Label, unit and colour map of the variables that plots name in their own way.
+PLOTTED = {
+    "o2": ("Oxygen", "µmol/m³", "cmo:deep"),
+    "chl": ("Chlorophyll-a", "mg/m³", "cmo:algae"),
+    "nppv": ("Net Primary Production", "mg C/m²/day", "cmo:matter"),
+    "thetao": ("Temperature", "°C", "coolwarm"),
+    "so": ("Salinity", "PSU", "viridis"),
+}
+
 
 @dataclass(frozen=True)
 class Variable:
@@ -79,6 +88,16 @@ class Registry:
 REGISTRY = Registry()
 
 
+def plot_metadata(name: str, labelled: bool = False) -> dict[str, str]:
+    """label, unit and cmap for a plot of the variable; a variable without its own has no unit, and its name as label.
+
+    ``labelled``: for tables, whose label is the registry's, where the variable is known, without a unit."""
+    if labelled:
+        known = {v.name: v.label for v in REGISTRY.all()}
+        return {"label": known.get(name, name), "unit": "", "cmap": "viridis"}
+    return dict(zip(("label", "unit", "cmap"), PLOTTED.get(name, (name, "", "viridis"))))
+
+
 def variables_table(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """name, label, cmap of the known variables (or of these), by name."""
     rows = REGISTRY.all() if names is None else [REGISTRY.get(n) for n in names]
