@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, frame, prose
-from tidegrid.llm.decontam import contaminated, leaks
+from tidegrid.llm.decontam import contaminated, leaks, spaced, with_template
 from tidegrid.llm.langid import held_out, identify
 from tidegrid.llm.secrets import BASE, find_secrets, redact
 from tidegrid.llm.toolcalls import canonical, faults, link_calls
@@ -170,6 +170,57 @@ def test_word_for_word_copies_that_templates_miss(spark):
     assert contaminated(docs, bench.where("item_id > 4")).count() == 0
 
 
+NAMES = ["Tom", "Anna", "Natalia", "Rome", "New York", "Eva Maria", "San Jose Norte", "Berlin", "Maria"]
+FORMS = [
+    "{n} has {d} apples. {m} has {e} apples more than {n} has. How many apples do they have in all?",
+    "{n} sold clips to {d} friends, and then she sold half as many to {m}. How many clips did {n} sell altogether?",
+    "The train from {n} leaves at {d} {u} per hour and arrives in {m} after {e} stops. When does it reach the old bridge?",
+    "A shop in {n} sells {d} {u} of flour and a shop in {m} sells {e} {u} of it. What do both of them sell together?",
+    "If {n} reads {d} pages on each day of the week and {m} reads {e}, then how many pages do they read?",
+]
+
+
+def _questions(gen, n):
+    """Questions, and each with other numbers, names and units."""
+    out = []
+    for i in range(n):
+        form = FORMS[i % len(FORMS)].replace("?", f" of thing{i}?")
+        sides = []
+        for _ in range(2):
+            a, b = gen.choice(NAMES, 2, replace=False)
+            d, e = gen.choice(np.arange(2, 5000), 2, replace=False)
+            sides.append(form.format(n=a, m=b, d=d, e=e, u=gen.choice(["km", "miles", "kg", "pounds"])))
+        out.append(tuple(sides))
+    return out
+
+
+def test_questions_with_other_numbers_names_and_units_are_found(spark):
+    gen = np.random.default_rng(8)
+    pairs = _questions(gen, 60)
+    bench = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    said = "He went home. {} and that was all of it."
+    clean = [" ".join(gen.choice("the old man saw a Tom of 5 km in Rome and then he went on to New York with 7 apples".split(), 60)) for _ in range(60)]
+    docs = frame(spark, [said.format(b) for _, b in pairs] + [said.format(a) for a, _ in pairs] + clean)
+    got = {(r["doc_id"], r["item_id"]): r["changed"] for r in contaminated(docs, bench).collect()}
+    assert np.mean([(i, i) in got for i in range(60)]) >= 0.9 and all(not got[60 + i, i] for i in range(60))
+    assert not [k for k in got if k[0] >= 120]
+
+
+def test_names_stand_anywhere_and_have_any_number_of_words(spark):
+    rows = [("in Rome. The \"New York\" train of 5km", "in <name> the <name> train of <num> <unit>"), ("10 KM, In 2019 Maria's cat", "<num> <unit> in <num> <name> cat"), ("Eva, Tom Sawyer AND I", "<name> <name> and i"), ("", "")]
+    t = with_template(spark.createDataFrame([(i, a) for i, (a, _) in enumerate(rows)], "i int, text string").select("i", spaced(F.col("text")).alias("words")))
+    got = {r["i"]: r for r in t.collect()}
+    for i, (_, template) in enumerate(rows):
+        assert got[i]["template"] == template and len(got[i]["words"].split(" ")) == len(template.split(" "))
+
+
+def test_different_texts_of_one_id_are_judged_apart(spark):
+    words = "we saw that many people went to the river and then they met old friends near the mill".split()
+    bench = spark.createDataFrame([(0, " ".join(words))], "item_id long, text string")
+    halves = spark.createDataFrame([(1, " ".join(words[:10])), (1, "x " * 10 + " ".join(words[10:])), (2, "clean"), (2, " ".join(words))], "doc_id long, text string")
+    assert [(r["doc_id"], r["words"]) for r in contaminated(halves, bench).collect()] == [(2, 18)]
+
+
 def _call(**k):
     return f"<tool_call>{json.dumps(k)}</tool_call>"
 

@@ -68,37 +68,53 @@ select w.doc_id, coalesce(class.class_id, w.doc_id) class_id, coalesce(same.same
 from w left join same using (doc_id) left join class on class.id = same.same_as
 """
 
-_TEMPLATE = r"""
-raw as (select src, id, string_split(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' ') r from (select 'd' src, doc_id id, text from documents union all select 'b', item_id, text from benchmark) where id is not null),
-tok as (select src, id, i, r[i] w, regexp_replace(r[i], '^(["''(+$€£-]{0,3})[0-9](?:[^ ]*[^ .,;:!?"'')])?', '\1<num>') t from (select src, id, r, unnest(range(1, len(r) + 1)) i from raw)),
-uni as (select *, case when ends_with(coalesce(lag(t) over o, ''), '<num>') then regexp_replace(t, '^(?i:UNITS)([.,;:!?"'')]*)$', '<unit>\1') else t end u from tok window o as (partition by src, id order by i)),
-nam as (select *, case when regexp_matches(u, '^\p{Lu}') and i > 1 and right(lag(u) over o, 1) not in ('.', '!', '?', ':') then '<name>' else u end n from uni window o as (partition by src, id order by i)),
-can as (select src, id, list(w order by i) raw, list(regexp_replace(regexp_replace(lower(n), '[.,;:!?"'')]+$', ''), '^["''(+$€£-]+', '') order by i) c from nam group by src, id),
-item as (select arg_min(raw, id) raw, min(id) item_id, c from can where src = 'b' group by c),
-bw as (select item_id, p, raw, c, array_to_string(c[p:p + 7], ' ') h, len(list_filter(c[p:p + 7], lambda x: x in ('<num>', '<unit>', '<name>'))) <= 6 counted from (select *, unnest(range(1, len(c) - 6)) p from item)),
-br as (select item_id, count(*) n from (select item_id, p - row_number() over (partition by item_id order by p) g from bw where counted) group by item_id, g),
-need as (select item_id, least(6, max(n)) need from br group by item_id),
-dw as (select id doc_id, p, raw, array_to_string(c[p:p + 7], ' ') h from (select *, unnest(range(1, len(c) - 6)) p from can where src = 'd')),
-hit as (select dw.doc_id, bw.item_id, dw.p - bw.p diagonal, bw.p, dw.p dp, bw.raw braw, bw.c, dw.raw draw from dw join bw on dw.h = bw.h and bw.counted),
-runs as (select doc_id, item_id, diagonal, max(n) run from (select doc_id, item_id, diagonal, count(*) n from
-    (select doc_id, item_id, diagonal, p - row_number() over (partition by doc_id, item_id, diagonal order by p) g from (select distinct doc_id, item_id, diagonal, p from hit)) group by doc_id, item_id, diagonal, g) group by 1, 2, 3),
-val as (select distinct doc_id, item_id, diagonal, c[k] || lower(regexp_replace(braw[k], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) "of", lower(regexp_replace(braw[k], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) was,
-        lower(regexp_replace(draw[k + diagonal], '^["''(]+|[.,;:!?"'')]+$', '', 'g')) is_ from (select *, unnest(range(p, p + 8)) k from hit) where c[k] in ('<num>', '<unit>', '<name>')),
-ok as (select doc_id, item_id, diagonal, count(distinct "of") = count(*) consistent, bool_or(is_ <> was) changed from val group by 1, 2, 3)
+#: Of operator 9. Tokens, of which name words that follow one another are joined; templates; windows; hits by diagonal; words at odds.
+OP9 = r"""
+with cutw as (select src, id, string_split(array_to_string(list_transform(string_split(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), ' '),
+                     lambda x: regexp_replace(x, '^(.*[0-9])((?i:UNITS)[.,;:!?"'')]*)$', '\1 \2')), ' '), ' ') r
+              from (select 'd' src, doc_id id, text from documents union all select 'b', item_id, text from benchmark) where id is not null),
+tok as (select src, id, i, r[i] w, coalesce(r[i - 1], '') before from (select src, id, r, unnest(range(1, len(r) + 1)) i from cutw)),
+nam as (select *, regexp_matches(w, '^["''(]{0,3}\p{Lu}') and lower(regexp_extract(w, '^["''(]{0,3}([\p{L}\p{N}]+)', 1)) not in (COMMON)
+                  and not (regexp_matches(before, '[0-9]$') and regexp_matches(w, '^(?i:UNITS)[.,;:!?"'')]*$')) is_name from tok),
+tie as (select *, is_name and coalesce(lag(is_name) over o, false) and not regexp_matches(before, '[ .,;:!?"'')]$') tied from nam window o as (partition by src, id order by i)),
+grp as (select *, sum(case when tied then 0 else 1 end) over (partition by src, id order by i) g from tie),
+joined as (select src, id, g, string_agg(w, ' ' order by i) w, bool_or(is_name) is_name from grp group by src, id, g),
+num as (select *, case when is_name then '<name>' else regexp_replace(w, '^(["''(+$€£-]{0,3})[0-9](?:[^ ]*[^ .,;:!?"'')])?', '\1<num>') end t from joined),
+uni as (select *, case when not is_name and ends_with(coalesce(lag(t) over o, ''), '<num>') then regexp_replace(t, '^(?i:UNITS)([.,;:!?"'')]*)$', '<unit>\1') else t end u from num window o as (partition by src, id order by g)),
+word as (select src, id, cast(g as bigint) k, lower(regexp_replace(w, '^["''(]+|[.,;:!?"'')]+$', '', 'g')) v, regexp_replace(regexp_replace(lower(u), '[.,;:!?"'')]+$', ''), '^["''(+$€£-]+', '') c from uni),
+canon as (select src, id, list(c order by k) c, list(case when c in ('<num>', '<unit>', '<name>') then c || v end order by k) f from word group by src, id),
+alike as (select id, c, f, list_transform(f, lambda x: case when x is null then 0 else list_position(f, x) end) e from canon where src = 'b'),
+of_one as (select min(id) variant, c from alike group by c, e),
+variant as (select variant, min(variant) over (partition by c) item_id, c from of_one),
+bw as (select variant, item_id, p, array_to_string(c[p:p + 7], ' ') h, len(list_filter(c[p:p + 7], lambda x: x in ('<num>', '<unit>', '<name>'))) <= 6 counted from (select *, unnest(range(1, len(c) - 6)) p from variant)),
+need as (select variant, least(6, max(n)) need from (select variant, count(*) n from (select variant, p - row_number() over (partition by variant order by p) g from bw where counted) group by variant, g) group by variant),
+dw as (select id doc_id, p, array_to_string(c[p:p + 7], ' ') h from (select *, unnest(range(1, len(c) - 6)) p from canon where src = 'd')),
+touch as (select dw.doc_id, bw.item_id, bw.variant, bw.p, dw.p - bw.p dg, bw.counted from dw join bw using (h)),
+slot as (select id variant, k, c || v "of", v was from word where src = 'b' and c in ('<num>', '<unit>', '<name>')),
+val as (select id doc_id, k, v from word where src = 'd'),
+cell as (select t.*, s.k, s."of", s.was, v.v is_ from touch t join slot s on s.variant = t.variant and s.k between t.p and t.p + 7 join val v on v.doc_id = t.doc_id and v.k = s.k + t.dg),
+wrong as (select distinct doc_id, variant, p, dg from cell where is_ <> was and not counted),
+hit as (select t.*, min(p) over (partition by doc_id, variant, dg, g) s from (select *, p - row_number() over (partition by doc_id, variant, dg order by p) g from touch anti join wrong using (doc_id, variant, p, dg)) t),
+placed as (select distinct c.doc_id, c.variant, c.dg, c.k, c."of", c.was, c.is_ from cell c anti join wrong w using (doc_id, variant, p, dg)),
+odds as (select a.doc_id, a.variant, a.dg, a.k p, b.k q from placed a join placed b on a.doc_id = b.doc_id and a.variant = b.variant and a.dg = b.dg and a."of" = b."of" and a.is_ <> b.is_ and a.k < b.k),
+len as (select h.doc_id, h.item_id, h.variant, h.dg, h.p, h.s, greatest(h.s, coalesce(max(o.p) + 1, h.s)) first from hit h left join odds o on o.doc_id = h.doc_id and o.variant = h.variant and o.dg = h.dg and o.q <= h.p + 7 group by h.doc_id, h.item_id, h.variant, h.dg, h.p, h.s),
+same as (select h.doc_id, h.variant, h.dg, h.p, greatest(h.s, coalesce(max(x.k) + 1, h.s)) first from hit h left join placed x on x.doc_id = h.doc_id and x.variant = h.variant and x.dg = h.dg and x.is_ <> x.was and x.k <= h.p + 7 group by h.doc_id, h.variant, h.dg, h.p, h.s),
+diag as (select l.doc_id, l.item_id, l.variant, l.dg, max(l.p - l.s + 1) run, max(l.p - l.first + 1) most, max(s.p - s.first + 1) exact from len l join same s using (doc_id, variant, dg, p) group by l.doc_id, l.item_id, l.variant, l.dg),
+state as (select d.*, n.need, exists (select 1 from odds o where o.doc_id = d.doc_id and o.variant = d.variant and o.dg = d.dg) odd, exists (select 1 from placed x where x.doc_id = d.doc_id and x.variant = d.variant and x.dg = d.dg and x.is_ <> x.was) other from diag d join need n using (variant)),
+leak as (select doc_id, item_id, max(most + 7) words, bool_and(case when odd then exact < need else other end) changed from state where run >= need and most >= need group by 1, 2),
+lit as (select src, id, list(regexp_replace(regexp_replace(lower(w), '[.,;:!?"'')]+$', ''), '^["''(]+', '') order by i) l from tok group by src, id),
+litem as (select l, min(item) item_id, least(len(l), 8) size, least(6, len(l) - least(len(l), 8) + 1) need from (
+            select lit.l, min(lit.id) over (partition by c.c) item from lit join canon c on c.src = 'b' and c.id = lit.id where lit.src = 'b' and regexp_matches(array_to_string(lit.l, ' '), '[\p{L}\p{N}]')) group by l),
+lw as (select l, item_id, size, need, p, array_to_string(l[p:p + size - 1], ' ') h from (select *, unnest(range(1, len(l) - size + 2)) p from litem)),
+dl as (select id doc_id, size, p, array_to_string(l[p:p + size - 1], ' ') h from (select *, unnest(range(1, len(l) - size + 2)) p from lit cross join (select distinct size from litem) where src = 'd')),
+exact as (select doc_id, item_id, max(n + size - 1) words from (select doc_id, item_id, l, size, need, dg, count(*) n from (
+            select *, p - row_number() over (partition by doc_id, l, dg order by p) g from (select distinct dl.doc_id, lw.item_id, lw.l, lw.size, lw.need, lw.p, dl.p - lw.p dg from dl join lw using (size, h))) group by doc_id, item_id, l, size, need, dg, g)
+          where n >= need group by 1, 2)
+select doc_id, item_id, cast(coalesce(leak.words, exact.words) as integer) words, coalesce(leak.changed, false) changed from leak full join exact using (doc_id, item_id)
 """
 
-OP9 = (
-    "with "
-    + _TEMPLATE
-    + """
-select r.doc_id, r.item_id, cast(max(r.run + 7) as integer) words, bool_and(coalesce(ok.changed, false)) changed
-from runs r join need using (item_id) left join ok on ok.doc_id = r.doc_id and ok.item_id = r.item_id and ok.diagonal = r.diagonal
-where r.run >= need.need and coalesce(ok.consistent, true) group by r.doc_id, r.item_id
-"""
-)
-
 
 def op9() -> str:
-    from .decontam import UNITS
+    from .decontam import COMMON, UNITS
 
-    return OP9.replace("UNITS", UNITS)
+    return OP9.replace("UNITS", UNITS).replace("COMMON", ", ".join(f"'{w}'" for w in COMMON))
