@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegrid.llm.common import cut, table
+from tidegrid.llm.common import cut, free_name, keyed, table
 from tidegrid.llm.decontam import contaminated
 from tidegrid.llm.langid import held_out, identify
 from tidegrid.llm.neardup import near_copies
@@ -23,22 +23,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, that of the smallest id; documents without id stay.
-
-    Rows that repeat a kept id and its text stay one row."""
-    named = docs.where("doc_id is not null")
-    kept = cut(near_copies(docs).where("doc_id = class_id").select("doc_id"), "pipeline-kept")
-    out = named.join(kept, "doc_id", "left_semi").select(docs.columns)
-    again = named.groupBy("doc_id").count().where("count > 1")
-    if not again.isEmpty():  # else no text needs to be grouped
-        out = out.dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id is null"))
+    """One document of each class of near copies, that of the smallest id. Every row is judged by its own text, also
+    rows without id and rows that share theirs (these come after all others, in an order of their own)."""
+    key = free_name(docs, "_key")
+    rows = keyed(docs, key)
+    kept = near_copies(rows.select(F.col(key).alias("doc_id"), "text")).where("doc_id = class_id").select(F.col("doc_id").alias(key))
+    return rows.join(cut(kept, "pipeline-kept"), key, "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no item of ``benchmark`` is found."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(cut(found, "leaks-found"), "doc_id", "left_anti").select(docs.columns)
+    """Documents in which no item of ``benchmark`` is found. Every row is judged by its own text, as in :func:`near_duplicates`."""
+    key = free_name(docs, "_key")
+    rows = keyed(docs, key)
+    found = contaminated(rows.select(F.col(key).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(cut(found, "leaks-found"), key, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

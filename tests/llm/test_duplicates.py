@@ -3,10 +3,11 @@ import hashlib
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, frame, near_corpus
-from tidegrid.llm.common import connected
-from tidegrid.llm.neardup import bitmaps, near_copies, signatures
+from tidegrid.llm.common import connected, free_name, keyed
+from tidegrid.llm.neardup import _crossing, _pack, bitmaps, near_copies, signatures
 from tidegrid.llm.substring import drop_repeats, lengths
 from tidegrid.llm.words import mix
 
@@ -49,6 +50,72 @@ def test_near_copies_of_repeated_rows_and_empty_tables(spark):
     assert near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def brute_with_ids(rows, similarity=0.8):
+    """Class of each id, where an id is linked by any of its texts."""
+    bags = []
+    for i, t in rows:
+        w = words(t)
+        if i is not None:
+            bags.append((i, collections.Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else None))
+    label = {i: i for i, _ in bags}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, (i, x) in enumerate(bags):
+        for j, y in bags[:a]:
+            if x and y and sum((x & y).values()) >= similarity * sum((x | y).values()):
+                p, q = sorted((root(i), root(j)))
+                label[q] = p
+    return {i: root(i) for i in label}
+
+
+def test_ids_with_several_texts_lose_no_link(spark):
+    gen = np.random.default_rng(12)
+    texts = near_corpus(3)
+    rows = [(int(gen.integers(0, 45)), t) for t in texts] + [(None, texts[0]), (None, None)] + [(2000 + i, t) for i, t in enumerate(texts[:20])]
+    rows += [(3000, texts[0]), (3000, texts[1]), (3001, texts[1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for df in (docs, docs.orderBy(F.rand(5))):
+        out = near_copies(df).collect()
+        got = {r["doc_id"]: r["class_id"] for r in out}
+        assert len(out) == len(got) and got.pop(None) is None
+        assert got == brute_with_ids(rows)
+
+
+def test_members_of_a_bucket_meet_by_their_rarest_shingles(spark):
+    """Texts that share a band but no original: chains in which only neighbours are links."""
+    gen = np.random.default_rng(13)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for g in range(4):
+        w = list(base) if g < 2 else [f"{x}_{g}" for x in base]
+        for _ in range(30):
+            for at in gen.integers(0, len(w), 2):
+                w[at] = f"v{gen.integers(1e6)}"
+            texts.append(" ".join(w))
+    got = {r["doc_id"]: r["class_id"] for r in near_copies(frame(spark, texts)).collect()}
+    assert got == brute_classes(texts)
+    everyone = spark.createDataFrame([(i, i) for i in range(len(texts))], "id long, class long")
+    packed = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, id long").select("id", "text").mapInArrow(_pack(5), "id long, z binary, n long, bits array<long>")
+    met = {(r["a"], r["b"]) for r in _crossing(everyone, packed, 5, 0.8).distinct().collect()}
+    bags = [collections.Counter(tuple(t.split()[k : k + 5]) for k in range(196)) for t in texts]
+    links = {(i, j) for j, y in enumerate(bags) for i, x in enumerate(bags[:j]) if sum((x & y).values()) >= 0.8 * sum((x | y).values())}
+    assert links <= met and len(met) < len(texts) * (len(texts) - 1) / 2
+
+
+def test_keys_tell_rows_apart(spark):
+    rows = [(None, "a"), (None, "a"), (5, "b"), (5, "b"), (5, "c"), (7, "d"), (-3, "e")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_key", F.lit(1))
+    out = keyed(df, free_name(df, "_key")).collect()
+    assert len(out) == 7 and len({r["_key_"] for r in out}) == 7
+    assert {r["_key_"] for r in out if r["doc_id"] in (7, -3)} == {7, -3} and all(r["_key_"] > 7 for r in out if r["doc_id"] in (5, None))
+    plain = df.where("doc_id in (7, -3)")
+    assert {r["k"] for r in keyed(plain, "k").collect()} == {7, -3} and keyed(plain.where("false"), "k").count() == 0
+
+
 def test_signatures_estimate_the_weighted_similarity():
     gen = np.random.default_rng(2)
     items = gen.integers(1, 2**62, 120).astype(np.uint64)

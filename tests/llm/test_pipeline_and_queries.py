@@ -79,3 +79,17 @@ def test_pipeline_on_hard_rows(spark):
         assert stage(spark, spark.createDataFrame([], DOCS), DATA).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, DATA).count() == 3
     assert "doc_id" in SCHEMA
+
+
+def test_rows_without_id_and_with_shared_ids_are_judged(spark):
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").first()["text"]
+    gen = np.random.default_rng(2)
+    a, b, c, d = (" ".join(f"w{i}" for i in gen.integers(0, 900, 80)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, a + " x"), (2, b), (2, c), (3, c), (None, d), (4, f"{b} {item}"), (None, f"{d} {item}"), (2, f"{c} {c} {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = sorted((r["text"] for r in stages["near_duplicates"](spark, docs, DATA).collect()), key=str)
+    left = [t for _, t in rows if t in kept]
+    assert len(kept) == 7 and set(kept) == {a, b, c, d, f"{b} {item}", f"{d} {item}", f"{c} {c} {item}"} and len(left) >= 7
+    clean = stages["decontamination"](spark, docs, DATA)
+    assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in rows if item not in t) and clean.columns == docs.columns

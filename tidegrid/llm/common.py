@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir), or one made for a local session."""
+    """The folder that all executors share (spark.checkpoint.dir). Only a local session gets one of its own where none is set; on a cluster that is a RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return re.sub("^file:/(?!/)", "file:///", found).rstrip("/")
@@ -50,6 +53,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has a column of that name already."""
+    while name.lower() in map(str.lower, df.columns):
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a column ``key``, a long that no two rows share: the doc_id where only this row has it, else a number above all ids.
+
+    Rows without id, and those that share theirs, are written once, so that their numbers stay."""
+    named = docs.where("doc_id is not null")
+    shared = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "keyed-shared")
+    many = not shared.isEmpty()
+    lone = named.join(shared, "doc_id", "left_anti").select(*docs.columns) if many else named
+    lone = lone.withColumn(key, F.col("doc_id").cast("long"))
+    odd = docs.where("doc_id is null")
+    if many:
+        odd = odd.union(named.join(shared, "doc_id", "left_semi").select(*docs.columns))
+    elif odd.isEmpty():
+        return lone
+    top = named.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).cast("long")).first()[0]
+    return lone.union(cut(odd.withColumn(key, F.monotonically_increasing_id() + (max(top, -1) + 1)), "keyed-odd"))
+
+
 def connected(nodes_with_links: DataFrame, name: str = "classes") -> DataFrame:
     """Connected components of the links ``a``, ``b`` (longs): rows ``id``, ``class_id`` (its smallest id).
 

@@ -10,6 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import connected, cut, lean, table
 from .words import Words, blocks, byte_powers, mix, word_powers
@@ -116,6 +117,11 @@ def could_link(x: str, y: str, similarity: float) -> Column:
     return (both - apart(f"{x}.bits", f"{y}.bits")) / 2 >= similarity / (1 + similarity) * both - 1e-6
 
 
+def _print(w: Words, i: int) -> bytes:
+    """128 bits for the words of a document."""
+    return hashlib.blake2b(w.hash[w.first[i] : w.first[i + 1]].tobytes(), digest_size=16).digest()
+
+
 def _sketch(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bp, wp = byte_powers(), word_powers()
@@ -127,7 +133,7 @@ def _sketch(shingle: int, bands: int, rows: int):
                 key = np.broadcast_to(key, (b - a, bands))
                 for k in range(rows):
                     key = mix(key ^ sig[:, k::rows])
-                prints = [hashlib.blake2b(w.hash[w.first[i] : w.first[i + 1]].tobytes(), digest_size=16).digest() if has[i] else None for i in range(b - a)]
+                prints = [_print(w, i) if has[i] else None for i in range(b - a)]
                 offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
                 arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[has].reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(prints, pa.binary()), arrays], ["doc_id", "print", "bands"])
@@ -194,6 +200,40 @@ def _shingles(shingle: int):
     return run
 
 
+def _printed():
+    """Rows of (any, text) to the print of the text's words and the text; texts without words give none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bp = byte_powers()
+        for batch in batches:
+            for a, b, data, bounds in blocks(batch.column(1)):
+                w = Words(data, bounds, bp)
+                has = np.flatnonzero(w.count > 0)
+                prints = [_print(w, i) for i in has]
+                yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), batch.column(1).slice(a, b - a).take(pa.array(has, pa.int64()))], ["print", "text"])
+
+    return run
+
+
+def _crossing(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Pairs a < b of different classes of ``left`` (id, class) that share one of the rarest shingles of both.
+
+    A link needs shared weight of at least ``similarity`` of either bag. So of a bag's shingles, the rarest first, those that
+    make up the rest and one more always hold a shared one, wherever the order is the same for all."""
+    bag = cut(texts.select("id", "z").join(left.select("id"), "id", "left_semi").mapInArrow(_shingles(shingle), "id long, h long, c long"), "near-bags")
+    rare = bag.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    total = bag.groupBy("id").agg(F.sum("c").alias("n"))
+    # shingles of one document only come first in the order and can't be shared: their weight is what the others fall short of n
+    order = Window.partitionBy("id").orderBy("f", "h").rowsBetween(Window.unboundedPreceding, -1)
+    shared = bag.join(rare, "h").withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
+    mine = Window.partitionBy("id")
+    shared = shared.withColumn("known", F.sum("c").over(mine)).join(total, "id")
+    first = shared.where(F.col("n") - F.col("known") + F.col("before") <= (1 - similarity) * F.col("n") + 1e-6)
+    first = cut(first.join(left, "id").select("h", "id", "class"), "near-rarest")
+    meet = (F.col("l.h") == F.col("r.h")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
+    return first.alias("l").join(first.alias("r"), meet).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
     """Class of each document under the links of weighted Jaccard ``similarity`` between bags of word shingles.
 
@@ -204,26 +244,41 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     has the smallest share of private shingles (a group's original, where there is one), and then members of
     different classes with each other. Before the last two, members are set aside that can't link to anyone there: weight
     of shingles that no other such document has can't be shared, and what is left is too little for the
-    smallest member of the bucket. So no candidate link between classes is lost.
+    smallest member of the bucket. So no candidate link between classes is lost. Members of different classes meet where they
+    share one of their rarest shingles, so many that any link needs one, and not as pairs of a bucket.
 
-    A null or wordless text is a class of its own; repeated rows of a doc_id give one row, and rows without doc_id one
-    row of nulls; without documents there are no rows. Other columns are ignored. Returns doc_id, class_id (smallest doc_id of the class), same_as (smallest
-    doc_id with the same words).
+    A null or wordless text is a class of its own; repeated rows of a doc_id give one row. A doc_id that stands with several
+    texts is linked to whatever any of them is, and all of them are in its class; same_as is then of the text of the smallest same_as. Rows without doc_id
+    are not compared and give one row of nulls (see common.keyed); without documents there are no rows. Other columns are
+    ignored. Returns doc_id, class_id (smallest doc_id of the class), same_as (smallest doc_id with the same words).
     """
     lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = cut(docs.mapInArrow(_sketch(shingle, bands, rows), "doc_id long, print binary, bands array<long>"), "near-sketch")
-    firsts = cut(seen.where("print is not null").groupBy("print").agg(F.min("doc_id").alias("same_as")), "near-firsts")
-    same = cut(seen.where("print is not null").select("doc_id", "print").join(firsts, "print").select("doc_id", "same_as"), "near-same")
-    heads = seen.join(same.where("doc_id = same_as").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    heads = cut(heads.select(F.col("doc_id").alias("id"), "bands"), "near-heads")
+    worded = seen.where("print is not null and doc_id is not null")
+    # a text's node: its smallest doc_id, or a number above all of them where another text has taken that
+    firsts = worded.groupBy("print").agg(F.min("doc_id").alias("same_as"), F.any_value("bands").alias("bands"))
+    taken = F.row_number().over(Window.partitionBy("same_as").orderBy("print"))
+    firsts = cut(firsts.withColumn("nth", taken), "near-firsts")
+    top = firsts.agg(F.max("same_as"), F.max("nth")).first()
+    if top[1] is not None and top[1] > 1:
+        free = F.monotonically_increasing_id() + (max(top[0], -1) + 1)
+        firsts = cut(firsts.withColumn("id", F.when(F.col("nth") == 1, F.col("same_as")).otherwise(free)), "near-nodes")
+    else:
+        firsts = firsts.withColumn("id", F.col("same_as"))
+    same = cut(worded.select("doc_id", "print").join(firsts.select("print", "same_as", "id"), "print").select("doc_id", "same_as", "id"), "near-same")
+    heads = firsts.select("id", "bands")
     members = heads.select("id", F.explode("bands").alias("key"))
     leads = cut(members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead < last").select("key", "lead"), "near-leads")
     shared = cut(members.join(leads, "key").select("key", "lead", "id"), "near-buckets")
     asked = cut(shared.select("id").distinct(), "near-asked")
     # the same plan at every size: texts are dealt by id, never the ids to all tasks
-    texts = docs.withColumnRenamed("doc_id", "id").join(asked.hint("merge"), "id", "left_semi").mapInArrow(_pack(shingle), "id long, z binary, n long, bits array<long>")
-    texts = cut(texts.dropDuplicates(["id"]), "near-texts")
+    if top[1] is not None and top[1] > 1:  # an id doesn't tell a text: by the words' print
+        who = asked.join(firsts.select("id", "print"), "id")
+        rows = docs.mapInArrow(_printed(), "print binary, text string").join(who.hint("merge"), "print").dropDuplicates(["id"]).select("id", "text")
+    else:
+        rows = docs.withColumnRenamed("doc_id", "id").join(asked.hint("merge"), "id", "left_semi").select("id", "text")
+    texts = cut(rows.mapInArrow(_pack(shingle), "id long, z binary, n long, bits array<long>").dropDuplicates(["id"]), "near-texts")
     marks = texts.select("id", "n", "bits")
 
     def able_to_link(pairs: DataFrame) -> DataFrame:
@@ -270,17 +325,19 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         pivot = cut(able.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "class")).alias("p")).select("key", F.col("p.id").alias("y"), F.col("p.class").alias("other")), "near-pivots")
         round_ = able.join(pivot, "key").where("class != other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
         classes = merged(classes, verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
-        left = cut(mixed(labelled(able, classes)), "near-mixed")
-        keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one for each band
-        left = cut(left.join(keys, "id").join(marks.select("id", "bits"), "id"), "near-left")
-        crossing = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
-        once = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")  # of the buckets that a pair shares, in one
-        cross = left.alias("l").join(left.alias("r"), crossing & could_link("l", "r", similarity) & once).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        more = verified(cross).where(F.col("sim") >= similarity).select("a", "b")
-        if not more.isEmpty():
-            classes = merged(classes, more)
-    out = seen.select("doc_id").dropDuplicates().join(same.select("doc_id", "same_as").dropDuplicates(), "doc_id", "left")
-    return out.withColumn("same_as", F.coalesce("same_as", "doc_id")).join(classes.withColumnRenamed("id", "same_as"), "same_as", "left").select("doc_id", F.coalesce("class_id", "same_as").alias("class_id"), "same_as")
+        left = cut(mixed(labelled(able, classes)).select("id", "class").distinct(), "near-left")
+        if not left.isEmpty():
+            more = verified(able_to_link(_crossing(left, texts, shingle, similarity))).where(F.col("sim") >= similarity).select("a", "b")
+            if not more.isEmpty():
+                classes = merged(classes, more)
+    if top[1] is not None and top[1] > 1:  # the texts of one id are in one class
+        nodes = same.select("doc_id", "id").distinct()
+        ends = nodes.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
+        joined = nodes.join(ends, "doc_id").where("id > a").select("a", F.col("id").alias("b"))
+        classes = merged(classes, joined)
+    own = same.groupBy("doc_id").agg(F.min_by(F.struct("same_as", "id"), F.struct("same_as", "id")).alias("s")).select("doc_id", "s.same_as", "s.id")
+    out = seen.select("doc_id").dropDuplicates().join(own, "doc_id", "left").withColumn("same_as", F.coalesce("same_as", "doc_id"))
+    return out.join(classes, "id", "left").select("doc_id", F.coalesce("class_id", "same_as").alias("class_id"), "same_as")
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
