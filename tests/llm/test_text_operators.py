@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.corpus import SCHEMA, frame, prose
 from tidegrid.llm.decontam import contaminated, leaks, spaced, with_template
 from tidegrid.llm.langid import held_out, identify
-from tidegrid.llm.secrets import BASE, find_secrets, redact
+from tidegrid.llm.secrets import BASE, IDENTIFIERS, find_secrets, harvest, redact
 from tidegrid.llm.toolcalls import canonical, faults, link_calls
 
 SECRETS = [
@@ -47,6 +47,41 @@ def test_redaction_covers_joined_spans(spark):
     assert again.where("size(spans) > 0").count() == 0
 
 
+WORDS = "thandered ononhaine thtion bleores quebea stionedth heeaund inganhe worthless rewing hainble gatherum florsten".split()
+SIGNS = {"alnum": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "upper hex": "0123456789ABCDEF", "digits": "0123456789"}
+AROUND = ["the secret key for service is {} ok", "{} is the api key of our client", "client id: {}", "Authorization: Bearer {}", "token_of = load('{}')"]
+
+
+def test_planted_keys_are_found_and_identifiers_are_not(spark):
+    gen = np.random.default_rng(21)
+    keys, names = [], []
+    for i in range(80):
+        sign = list(list(SIGNS.values())[i % 4])
+        keys.append(".".join("".join(gen.choice(sign, n)) for n in ((20, 40, 30) if i % 16 == 0 else (int(gen.integers(16, 48)),))))
+        while True:
+            parts = list(gen.choice(WORDS if i % 2 else IDENTIFIERS, int(gen.integers(3, 6))))
+            name = "_".join(parts) if i % 3 == 0 else parts[0] + "".join(x.title() for x in parts[1:]) if i % 3 == 1 else "_".join(parts).upper()
+            if len(name) >= 16:
+                break
+        names.append(name + str(i % 7))
+    prose_ = [" ".join(gen.choice(WORDS, 40)) for _ in range(160)]  # the corpus knows its words
+    texts = [f"{p[:200]} {AROUND[i % 5].format(k)} {p[200:]}" for i, (p, k) in enumerate(zip(prose_, keys + names))]
+    texts += [f"{prose_[0]} {keys[0]} {prose_[1]}", f"the secret is 0123456789abcdef{keys[4]}"]  # no context; a hex run begins it
+    rows = {r["doc_id"]: r["spans"] for r in find_secrets(frame(spark, texts)).collect()}
+    covered = [any(s["start"] <= t.index(k) and s["end"] >= t.index(k) + len(k) for s in rows[i]) or sum(s["end"] - s["start"] for s in rows[i]) >= len(k) for i, (t, k) in enumerate(zip(texts, keys))]
+    assert np.mean(covered) >= 0.95
+    assert np.mean([len(rows[80 + i]) > 0 for i in range(80)]) <= 0.05
+    assert not rows[160] and sum(s["end"] - s["start"] for s in rows[161]) == 16 + len(keys[4])
+    assert set(WORDS) <= set(harvest(frame(spark, texts))) and harvest(frame(spark, texts), 3)[-1] in WORDS + ["the"]
+
+
+def test_long_texts_and_repeated_keys(spark):
+    key = "q7Zp2Lx9Vb4Nt8Rw3Ky6"
+    texts = [f"{'word ' * 40_000}the signing key is {key}"] + [f"the signing key is {key} here"] * 30
+    rows = find_secrets(frame(spark, texts)).collect()
+    assert all([s["kind"] for s in r["spans"]] == ["novel"] for r in rows)
+
+
 def _languages(gen, n):
     sounds = {"aa": "bra kel mo tin sar ule", "bb": "zhi xo qua fle wyn gor", "cc": "äll öss üng ßer éta ñol"}
     out = []
