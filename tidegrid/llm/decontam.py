@@ -35,7 +35,7 @@ _ENDS = r"""[.,;:!?"')]"""
 def spaced(text: Column) -> Column:
     """Words with single spaces between them; a null is empty. A unit written onto its number is a word of its own."""
     words = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.regexp_replace(words, rf"(?<=[0-9])(?=(?i:{UNITS}){_ENDS}*(?: |$))", " ")
+    return F.regexp_replace(words, rf"([0-9])(?=(?i:{UNITS}){_ENDS}*(?: |$))", "$1 ")
 
 
 def with_template(df: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def with_template(df: DataFrame) -> DataFrame:
     df = df.withColumn("_m", marked).withColumn("_g", F.when(F.col("_m").contains(_MARK), glued).otherwise(F.col("_m")))
     df = df.withColumn("_t", number).withColumn("_u", F.when(F.col("_t").contains("<num> "), unit).otherwise(F.col("_t")))
     t = F.lower(F.regexp_replace("_u", f"{_MARK}[^ ]*", "<name>"))
-    t = F.regexp_replace(F.regexp_replace(t, rf"{_ENDS}+(?= |$)", ""), r"""(^| )["'(+$€£-]+""", "$1")
+    t = F.regexp_replace(F.regexp_replace(t, rf"{_ENDS}+(?= |$)", ""), r"""["'(+$€£-](?<![^ ].)["'(+$€£-]*""", "")
     return df.withColumn("template", t).withColumn("words", F.translate("_g", _MARK, "")).drop("_m", "_g", "_t", "_u")
 
 
@@ -161,14 +161,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, stretch:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, words int, changed boolean")
     marks = cut(items.select("h").distinct(), "leaks-marks")
     rows = _rows(docs)
-    probe = with_template(rows).select("doc_id", F.explode(_windows(F.split("template", " "), window, least)).alias("w")).select("doc_id", F.col("w.h").alias("h"))
+    probe = with_template(rows).withColumn("canon", F.split("template", " ")).select("doc_id", F.explode(_windows(F.col("canon"), window, least)).alias("w")).select("doc_id", F.col("w.h").alias("h"))
     found = cut(probe.join(marks, "h", "left_semi").select("doc_id").distinct(), "leaks-candidates")
     return _judged(rows.join(found, "doc_id", "left_semi"), items, window, parts)
 
 
 def _literal(words: Column) -> Column:
     """Words in lower case, without punctuation at their ends."""
-    return F.split(F.regexp_replace(F.regexp_replace(F.lower(words), rf"{_ENDS}+(?= |$)", ""), r"""(^| )["'(]+""", "$1"), " ")
+    return F.split(F.regexp_replace(F.regexp_replace(F.lower(words), rf"{_ENDS}+(?= |$)", ""), r"""["'(](?<![^ ].)["'(]*""", ""), " ")
 
 
 def _literal_items(benchmark: DataFrame, window: int, stretch: int) -> DataFrame:
@@ -213,9 +213,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, st
     rows = _rows(docs)
     probes = _literal_windows(sizes, True)
     if least:
-        templates = F.transform(_windows(F.split("template", " "), window, least), lambda w: F.struct(F.lit(0).alias("size"), w["pos"].alias("at"), w["h"].alias("h")))
+        templates = F.transform(_windows(F.col("canon"), window, least), lambda w: F.struct(F.lit(0).alias("size"), w["pos"].alias("at"), w["h"].alias("h")))
         probes = F.concat(templates, probes)
-    seen = with_template(rows.withColumn("lit", _literal(F.col("words"))))
+    seen = with_template(rows.withColumn("lit", _literal(F.col("words")))).withColumn("canon", F.split("template", " "))  # columns: a window's expression must not split the text anew
     probe = seen.select("doc_id", F.explode(probes).alias("w")).select("doc_id", "w.size", "w.h")
     found = cut(probe.join(marks, ["size", "h"], "left_semi").select("doc_id").distinct(), "leaks-candidates")
     near = cut(rows.join(found, "doc_id", "left_semi").distinct(), "leaks-texts")  # the candidates' texts, which both ways of judging read
