@@ -13,6 +13,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import cut, table
 
@@ -89,14 +90,12 @@ def parser(schemas: dict[str, dict]):
             body = _BLOCK.sub("", text) if blocks else text
             parts = [{"part": 0, "kind": "message", "id": None, "needs": [], "faults": [], "json": canonical({"content": body, "role": role})}]
             for k, m in enumerate(blocks, 1):
-                kind, wrong, needs, name = m[1], [], [], None
+                kind = m[1]
                 try:
                     made = json.loads(m[2], parse_constant=_refuse)
                     if not isinstance(made, dict):
                         raise ValueError("not an object")
-                except (ValueError, RecursionError):
-                    made, wrong = {"malformed": m[2]}, ["malformed"]
-                else:
+                    wrong, needs = [], []
                     name = made.get("id") if isinstance(made.get("id"), str) else None
                     if name is None:
                         wrong.append("no id")
@@ -104,34 +103,65 @@ def parser(schemas: dict[str, dict]):
                         schema = schemas.get(made["name"]) if isinstance(made.get("name"), str) else None
                         wrong += ["unknown tool"] if schema is None else faults(made.get("arguments"), schema)
                         needs = sorted(_needs(made.get("arguments")))
+                    text_of = canonical(made)
+                except (ValueError, RecursionError, OverflowError):  # also numbers beyond all bounds and nesting beyond the stack
+                    name, wrong, needs, text_of = None, ["malformed"], [], canonical({"malformed": m[2]})
                 clean = lambda x: None if x is None else x.encode("utf-8", "replace").decode()
-                parts.append({"part": k, "kind": kind, "id": clean(name), "needs": [clean(x) for x in needs], "faults": [clean(x) for x in wrong], "json": canonical(made)})
+                parts.append({"part": k, "kind": kind, "id": clean(name), "needs": [clean(x) for x in needs], "faults": [clean(x) for x in wrong], "json": text_of})
             out.append(parts)
         return pa.array(out, pa.list_(_PART))
 
     return parse
 
 
+def _jumps(singles: DataFrame) -> DataFrame:
+    """Of calls that need one result each (conv_id, id, to, steps, m): how far down a chain of such calls reaches.
+
+    By pointer doubling, in as many rounds as the logarithm of the longest chain: ``to`` is then a call that needs none or several, ``steps``
+    the calls passed, ``m`` the latest turn on the way. Calls that run into a cycle are left out."""
+    jumps = cut(singles, "calls-jumps")
+    for _ in range(jumps.count().bit_length() + 1):  # a chain without a cycle is no longer than there are calls
+        on = (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("a.to") == F.col("b.id"))
+        further = jumps.alias("a").join(jumps.alias("b"), on, "left")
+        m, steps = F.greatest("a.m", "b.m"), F.col("a.steps") + F.coalesce("b.steps", F.lit(0))
+        jumps = cut(further.select("a.conv_id", "a.id", F.coalesce("b.to", "a.to").alias("to"), steps.alias("steps"), m.alias("m"), F.col("b.id").isNotNull().alias("moved")), "calls-jumps")
+        if jumps.where("moved").isEmpty():
+            break
+        jumps = jumps.drop("moved")
+    ends = jumps.select("conv_id", F.col("id").alias("to"))
+    return cut(jumps.join(ends, ["conv_id", "to"], "left_anti").select("conv_id", "id", "to", "steps", "m"), "calls-jumps")
+
+
 def _levels(calls: DataFrame, has_result: DataFrame) -> DataFrame:
     """conv_id, id, level, at of each call that can be ordered.
 
-    ``calls``: conv_id, id, turn, needs. Round by round those calls are settled whose needed results are settled; a result is
-    one level above its call and not before it. Calls in a cycle, and those that need them, are never settled; needs
-    without a call and a result are passed over. There are as many rounds as the longest chain has calls."""
+    ``calls``: conv_id, id, turn, needs. A call is one level above the results that it needs and not before them; a result is
+    one level above its call. Chains of calls that need one result each are passed at once (:func:`_jumps`); what is left, calls that need
+    several, is settled round by round, in as many rounds as the longest chain has of these. Calls in a cycle, and those that
+    need them, are never settled; needs without a call and a result are passed over."""
     known = has_result.select("conv_id", F.col("id").alias("need"), F.col("turn").alias("came"))
-    edges = cut(calls.select("conv_id", "id", F.explode("needs").alias("need")).join(known, ["conv_id", "need"]), "calls-needs")
-    waiting = edges.select("conv_id", "id").distinct()
-    settled = cut(calls.join(waiting, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("level"), F.col("turn").alias("at")), "calls-settled")
-    left = cut(calls.join(waiting, ["conv_id", "id"], "left_semi").select("conv_id", "id", "turn"), "calls-left")
+    edges = calls.select("conv_id", "id", "turn", F.explode("needs").alias("need")).join(known, ["conv_id", "need"])
+    edges = cut(edges.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "id"))), "calls-needs")
+    settled = cut(calls.join(edges.select("conv_id", "id"), ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).cast("long").alias("level"), F.col("turn").alias("at")), "calls-settled")
+    if edges.isEmpty():
+        return settled
+    jumps = _jumps(edges.where("n = 1").select("conv_id", "id", F.col("need").alias("to"), F.lit(1).cast("long").alias("steps"), F.greatest("turn", "came").alias("m")))
+    hop = jumps.select("conv_id", F.col("id").alias("need"), "to", "steps", "m")
+    many = edges.where("n > 1").join(hop, ["conv_id", "need"], "left")
+    left = cut(many.select("conv_id", "id", "turn", F.coalesce("to", "need").alias("to"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.greatest("came", "m").alias("m")), "calls-left")
+    rounds = 0
     while not left.isEmpty():
-        done = settled.select("conv_id", F.col("id").alias("need"), F.col("level").alias("l"), F.col("at").alias("t"))
-        state = edges.join(left, ["conv_id", "id"]).join(done, ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.count_if(F.col("l").isNull()).alias("open"), F.max("l").alias("l"), F.max(F.greatest("t", "came")).alias("t"), F.first("turn").alias("turn"))
-        ready = cut(state.where("open = 0").select("conv_id", "id", (F.col("l") + 2).alias("level"), F.greatest("turn", "t").alias("at")), "calls-ready")
+        done = settled.select("conv_id", F.col("id").alias("to"), F.col("level").alias("l"), F.col("at").alias("t"))
+        state = left.join(done, ["conv_id", "to"], "left").groupBy("conv_id", "id").agg(F.count_if(F.col("l").isNull()).alias("open"), F.max(F.col("l") + 2 * F.col("steps")).alias("level"), F.max(F.greatest("turn", "m", "t")).alias("at"))
+        ready = cut(state.where("open = 0").select("conv_id", "id", "level", "at"), "calls-ready")
         if ready.isEmpty():
             break
-        settled = settled.union(ready)
-        left = cut(left.join(ready, ["conv_id", "id"], "left_anti"), "calls-left")
-    return settled
+        settled, rounds = settled.union(ready), rounds + 1
+        settled = cut(settled, "calls-settled") if rounds % 8 == 0 else settled
+        left = cut(left.join(ready, ["conv_id", "id"], "left_anti").select(*left.columns), "calls-left")
+    done = settled.select("conv_id", F.col("id").alias("to"), F.col("level").alias("l"), F.col("at").alias("t"))
+    reached = jumps.join(done, ["conv_id", "to"]).select("conv_id", "id", (F.col("l") + 2 * F.col("steps")).alias("level"), F.greatest("m", "t").alias("at"))
+    return settled.union(reached)
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataFrame:
@@ -144,8 +174,10 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict] = SCHEMAS) -> DataF
 
     Of calls, and of results, that share a conversation and an id the first by turn and part counts, the others are
     duplicates and not linked. Parts of unlinked kind and calls in a cycle keep their own turn and level 0. Conversations
-    are never gathered, so one may hold any share of the rows. A null text has null content; rows without conv_id, turn or
-    role are kept with nulls and link to nothing where conv_id is null; repeated rows give repeated parts. Other columns are ignored.
+    are never gathered, so one may hold any share of the rows. A block that is no JSON object, holds a number out of range or is
+    nested beyond the stack is malformed, and its text is kept. Texts of any length are read whole. A null text has null
+    content; rows without conv_id, turn or role are kept with nulls, and link to nothing where conv_id or turn is null; repeated
+    rows give repeated parts; an empty table gives no rows. Other columns are ignored.
     """
     base = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), F.explode(parser(schemas)("role", "text")).alias("p")).select("conv_id", "turn", "p.*")
     parts = cut(base, "calls-parts")
