@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,11 @@ ARC_FIELDS = {
     1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-length"),
     2: ("URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"),
 }
+#: What a header line looks like: between url and content type stand an address and a date.
+_LINES = {
+    1: re.compile(r"(.+?) (\S+) ([0-9]{14}|[0-9]{12}) (.*) ([0-9]+)"),
+    2: re.compile(r"(.+?) (\S+) ([0-9]{14}|[0-9]{12}) (.*) (\S+) (\S+) (\S+) (\S+) (\S+) ([0-9]+)"),
+}
 CRLF = b"\r\n"
 FILE_BYTES, FILE_RECORDS = 16 << 20, 10_000
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # of names that are URLs
@@ -77,10 +83,18 @@ def http_block(page_id: int | None, payload: bytes) -> bytes:
 
 
 def http_head(block: bytes) -> tuple[dict[str, str], int]:
-    """Header fields of an HTTP block (names in lower case) and where its payload begins."""
-    end = block.index(CRLF * 2)
-    lines = block[:end].decode().split("\r\n")
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end + 4
+    """Header fields of an HTTP block (names in lower case) and where its payload begins; a block of another kind is all payload."""
+    end = re.search(rb"\r?\n\r?\n", block) if block.startswith(b"HTTP/") else None
+    if end is None:
+        return {}, 0
+    lines = re.split("\r?\n", block[: end.start()].decode("utf-8", "replace"))
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}, end.end()
+
+
+def _page(fields: dict[str, str]) -> int | None:
+    """The page_id that a header carries, if it carries one."""
+    text = fields.get("x-page-id", "")
+    return int(text) if re.fullmatch(r"-?[0-9]{1,19}", text) and -(1 << 63) <= int(text) < 1 << 63 else None
 
 
 def arc_records(version: int, name: str, rows: list[tuple[int | None, str | None, bytes]]) -> Iterator[bytes]:
@@ -107,15 +121,20 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, block) of each record after the version block.
 
     The version block, whose header line has the fields of version 1 unless it declares more, says by the number at
-    its beginning how the header lines of the others are read; each block is as long as its line declares."""
+    its beginning how the header lines of the others are read; each block is as long as its line declares. A url and a content
+    type may hold spaces: the date, of 12 or 14 digits, tells them apart. Line ends between records may be missing or more than one."""
     at, fields = 0, None
     while at < len(data):
+        if fields and data[at] in b"\r\n":
+            at += 1
+            continue
         end = data.index(b"\n", at)
-        values = data[at:end].decode().split(" ")
-        names = fields or (ARC_FIELDS[1] if len(values) == len(ARC_FIELDS[1]) else ARC_FIELDS[2])
-        if len(values) != len(names):
-            raise ValueError(f"a header line of {len(values)} fields where {len(names)} are declared")
-        head = dict(zip(names, values))
+        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
+        names = fields or (ARC_FIELDS[2] if _LINES[2].fullmatch(line) else ARC_FIELDS[1])
+        values = _LINES[1 if names == ARC_FIELDS[1] else 2].fullmatch(line)
+        if values is None:
+            raise ValueError(f"a header line without the {len(names)} fields that are declared: {line[:200]!r}")
+        head = dict(zip(names, values.groups()))
         size = int(head["Archive-length"])
         block = data[end + 1 : end + 1 + size]
         if len(block) != size:
@@ -127,18 +146,27 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
             fields = ARC_FIELDS[version]
         else:
             yield at, head, block
-        at = end + 1 + size + 1
+        at = end + 1 + size
 
 
 def warc_record(kind: str, name: str, head: dict[str, str], block: bytes, digest: str, refers: tuple[str, dict[str, str]] | None) -> bytes:
-    """The WARC record equivalent to an ARC record: a response with its block, or a revisit with its HTTP header only."""
-    date = datetime.strptime(head["Archive-date"], "%Y%m%d%H%M%S")
+    """The WARC record equivalent to an ARC record: a response with its block, or a revisit with its HTTP header only.
+
+    What isn't HTTP (a name lookup, a file) is a resource of its own content type. A date that is none is that of the epoch."""
+    try:
+        date = datetime.strptime(head["Archive-date"].ljust(14, "0"), "%Y%m%d%H%M%S")
+    except ValueError:
+        date = datetime(1970, 1, 1)
+    start = http_head(block)[1]
+    if not start:
+        kind = "resource"
     lines = {
         "WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>", "WARC-Date": date.strftime("%Y-%m-%dT%H:%M:%SZ"), "WARC-Target-URI": head["URL"],
-        "WARC-IP-Address": head["IP-address"], "Content-Type": "application/http; msgtype=response", "WARC-Payload-Digest": f"sha1:{digest}",
+        "WARC-IP-Address": head["IP-address"], "Content-Type": "application/http; msgtype=response" if start else head["Content-type"],
+        "WARC-Payload-Digest": f"sha1:{digest}", "X-Payload-Bytes": str(len(block) - start),
     }
     if refers:
-        block = block[: http_head(block)[1]]
+        block = block[:start]
         lines |= {"WARC-Profile": "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{refers[0]}>"} | refers[1]
     lines |= {"WARC-Block-Digest": "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode(), "Content-Length": str(len(block))}
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + CRLF + block + CRLF * 2
@@ -198,11 +226,10 @@ def _scan_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for offset, _, block in parse_arc(_read(path)):
                 fields, start = http_head(block)
-                page = fields.get("x-page-id")
-                rows.append((path, offset, None if page is None else int(page), len(block) - start, hashlib.sha1(memoryview(block)[start:]).hexdigest()))
+                rows.append((path, offset, _page(fields), len(block) - start, start > 0, hashlib.sha1(memoryview(block)[start:]).hexdigest()))
             if rows:
-                p, o, i, n, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(o, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(d)], ["path", "offset", "page_id", "payload_bytes", "digest"])
+                p, o, i, n, h, d = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(o, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h), pa.array(d)], ["path", "offset", "page_id", "payload_bytes", "http", "digest"])
 
 
 def _to_warc(folder: str):
@@ -232,20 +259,25 @@ def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for head, block in parse_warc(_read(path)):
                 fields, start = http_head(block)
                 digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                size = int(fields["content-length"])
-                if head["WARC-Type"] == "response" and (len(block) - start, hashlib.sha1(memoryview(block)[start:]).hexdigest()) != (size, digest):
+                size = int(head["X-Payload-Bytes"])
+                if head["WARC-Type"] != "revisit" and (len(block) - start, hashlib.sha1(memoryview(block)[start:]).hexdigest()) != (size, digest):
                     raise ValueError(f"{path}: a payload differs from its digest")
-                page, of = fields.get("x-page-id"), head.get("X-Refers-To-Page-Id")
-                rows.append((None if page is None else int(page), size, digest, head["WARC-Type"], None if of is None else int(of), head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"]))
+                of = head.get("X-Refers-To-Page-Id")
+                rows.append((_page(fields), size, digest, head["WARC-Type"], None if of is None else int(of), head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"]))
             if rows:
                 cols = list(zip(*rows))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri"])
 
 
+def _tasks(files: DataFrame) -> int:
+    """Tasks for these files: one for each, up to a few for each core, and from there on sixteen files to a task."""
+    n = files.count()
+    return max(1, min(n, max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-n // 16))))
+
+
 def _dealt(files: DataFrame) -> DataFrame:
-    """One file to a partition, nearly."""
-    return files.repartition(max(1, files.count()))
+    return files.repartition(_tasks(files))
 
 
 def write_arc(pages: DataFrame, folder: str) -> DataFrame:
@@ -258,22 +290,24 @@ def arc_to_warc(files: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """WARC files equivalent to the ARC files at ``path``; returns their paths.
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id (then the last by
-    file and place) is a response and the others are revisits that refer to it; a null page_id is smaller than any.
+    file and place) is a response and the others are revisits that refer to it; a null page_id is smaller than any. Records that aren't
+    HTTP are resources, each with its payload.
     """
-    records = cut(_dealt(files).mapInArrow(_scan_arc, "path string, offset long, page_id long, payload_bytes long, digest string"), "arc-records")
-    last = records.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "path", "offset")).alias("m"))
+    records = cut(_dealt(files).mapInArrow(_scan_arc, "path string, offset long, page_id long, payload_bytes long, http boolean, digest string"), "arc-records")
+    shared = F.col("http") & (F.col("payload_bytes") >= least)
+    last = records.where(shared).groupBy("digest").agg(F.max(F.struct("page_id", "path", "offset")).alias("m"))
     last = cut(last.select("digest", F.col("m.page_id").alias("of_page"), F.col("m.path").alias("of_path"), F.col("m.offset").alias("of_offset")), "arc-last")
-    big = records.where(F.col("payload_bytes") >= least).join(last, "digest")
+    big = records.where(shared).join(last, "digest")
     same = (F.col("path") == F.col("of_path")) & (F.col("offset") == F.col("of_offset"))
     big = big.select("path", "offset", "digest", *[F.when(~same, F.col(c)).alias(c) for c in ("of_page", "of_path", "of_offset")])
-    small = records.where(F.col("payload_bytes") < least).select("path", "offset", "digest", F.lit(None).cast("long").alias("of_page"), F.lit(None).cast("string").alias("of_path"), F.lit(None).cast("long").alias("of_offset"))
+    small = records.where(~shared).select("path", "offset", "digest", F.lit(None).cast("long").alias("of_page"), F.lit(None).cast("string").alias("of_path"), F.lit(None).cast("long").alias("of_offset"))
     known = big.union(small).groupBy("path").agg(F.collect_list(F.struct("offset", "digest", "of_page", "of_path", "of_offset")).alias("known"))  # at most FILE_RECORDS of a file
-    return cut(known.repartition(max(1, files.count())).mapInArrow(_to_warc(folder), "path string"), "warc-files")
+    return cut(known.repartition(_tasks(files)).mapInArrow(_to_warc(folder), "path string"), "warc-files")
 
 
 def read_warc(files: DataFrame) -> DataFrame:
     """Records of the WARC files at ``path``: page_id, payload_bytes, payload_digest (lower-case hex SHA-1), record_type,
-    refers_to, record_id, warc_date, target_uri. A response whose payload differs from its digest is an error."""
+    refers_to, record_id, warc_date, target_uri. A payload that differs from its digest is an error."""
     return _dealt(files).mapInArrow(_read_warc, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, target_uri string")
 
 
