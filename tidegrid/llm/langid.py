@@ -9,7 +9,7 @@ into one table of ``2**bits`` rows of log-odds, looked up for every n-gram of ev
 
 from __future__ import annotations
 
-import re
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .common import cut, lean, table
-from .words import blocks
+from .words import blocks, spare
 
 BITS = 16
 ORDERS = (2, 3, 4)
 _ODD = {2: 0x9E3779B1, 3: 0x85EBCA77, 4: 0xC2B2AE3D}
-_LETTER = re.compile(r"[^\W\d_]")
+LETTER = r"\p{L}"
 UNDECIDED = "und"
 
 
@@ -100,6 +100,26 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
+def descend(train: list[tuple[int, np.ndarray, np.ndarray]], k: int, bits: int, dim: int, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Embeddings, softmax weights and bias after stochastic gradient descent on (number of the language, buckets, shares of the text)."""
+    gen = np.random.default_rng(seed)
+    emb = gen.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
+    out, bias = np.zeros((k, dim), np.float32), np.zeros(k, np.float32)
+    for epoch in range(epochs):
+        step = rate * (1 - epoch / epochs)
+        for i in gen.permutation(len(train)):
+            y, at, w = train[i]
+            rowsof = emb[at]
+            h = w @ rowsof
+            g = _softmax(out @ h + bias)
+            g[y] -= 1
+            # an n-gram's share of a text is small, so its embedding takes a step larger by the dimension
+            emb[at] = rowsof - (step * 50) * w[:, None] * (g @ out)[None, :]
+            out -= step * np.outer(g, h)
+            bias -= step * 0.1 * g
+    return emb, out, bias
+
+
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: int = 16, epochs: int = 6, rate: float = 0.5, keep: float = 0.999, seed: int = 7) -> Model | None:
     """Train on (language, buckets, counts) and calibrate on every eighth row of a language, which is not trained on.
 
@@ -112,28 +132,15 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
     langs = sorted({r[0] for r in rows})
     if not langs:
         return None
-    k, gen = len(langs), np.random.default_rng(seed)
-    emb = gen.normal(0, 0.1, (1 << bits, dim)).astype(np.float32)
-    out, bias = np.zeros((k, dim), np.float32), np.zeros(k, np.float32)
-    data = [(langs.index(g), at, (n / n.sum()).astype(np.float32)) for g, at, n in rows]
+    k, number = len(langs), {g: i for i, g in enumerate(langs)}
+    data = [(number[g], at, (n / n.sum()).astype(np.float32)) for g, at, n in rows]
     nth, apart = [0] * k, []
     for d in data:
         nth[d[0]] += 1
         apart.append(nth[d[0]] % 8 == 0)
     held = [d for d, out_ in zip(data, apart) if out_]
     train = [d for d, out_ in zip(data, apart) if not out_]
-    for epoch in range(epochs):
-        step = rate * (1 - epoch / epochs)
-        for i in gen.permutation(len(train)):
-            y, at, w = train[i]
-            rowsof = emb[at]
-            h = w @ rowsof
-            g = _softmax(out @ h + bias)
-            g[y] -= 1
-            # an n-gram's share of a text is small, so its embedding takes a step larger by the dimension
-            emb[at] = rowsof - (step * 50) * w[:, None] * (g @ out)[None, :]
-            out -= step * np.outer(g, h)
-            bias -= step * 0.1 * g
+    emb, out, bias = descend(train, k, bits, dim, epochs, rate, seed)
     folded = np.zeros(((1 << bits) + 1, k), np.float32)
     folded[:-1] = emb @ out.T
     seen = np.zeros((k, 1 << bits))
@@ -163,11 +170,13 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], bits: int = BITS, dim: i
     return Model(langs, folded, bias, temperature, threshold, bits, usual, short)
 
 
-def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int = BITS) -> Model | None:
+def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int = BITS, max_grams: int = 8_000_000) -> Model | None:
     """Fit on the labelled documents of smallest id hash of every language: ``per_lang`` of each, or, with more than ``max_langs``
     languages, so many that all have ``per_lang * max_langs`` together, but one at least.
 
-    The whole texts stay in tasks, which send n-gram counts. The model's table has a column for each language. Documents without id, language or letters are never learned from.
+    The whole texts stay in tasks, which make n-gram counts; of these the driver takes ``max_grams`` at most (8 bytes each), dealt out evenly over
+    the languages, but one document of each at least, of at most ``2**bits``. The model's table has a column for each language.
+    Documents without id, language or letters are never learned from.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").collect()}
@@ -179,11 +188,25 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int =
     low = known.select("lang", "doc_id", at.alias("at")).join(F.broadcast(share), "lang").where("at <= share")
     picked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
     chosen = picked.select("doc_id").distinct()  # at most per_lang * max_langs ids, or one of each language
-    sample = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("lang", "text").mapInArrow(_counts(bits), "lang string, at array<int>, n array<float>")
-    rows = [(r["lang"], np.asarray(r["at"], np.int64), np.asarray(r["n"], np.float32)) for r in sample.toLocalIterator()]
+    texts = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).where(F.col("text").rlike(LETTER))
+    made = texts.select(F.struct("lang", at.alias("at"), "doc_id").alias("doc"), "text").mapInArrow(_counts(bits), "doc struct<lang: string, at: bigint, doc_id: " + dict(docs.dtypes)["doc_id"] + ">, at array<int>, n array<float>")
+    sample = cut(made.select("doc.lang", F.col("doc.at").alias("place"), "doc.doc_id", "at", "n"), "language-sample")
+    sizes = sample.select("lang", "place", "doc_id", F.size("at").alias("n")).orderBy("lang", "place", "doc_id").collect()  # as many rows as are chosen
+    fits, used = set(), dict.fromkeys(counts, 0)
+    for r in sizes:
+        if not used[r["lang"]] or used[r["lang"]] + r["n"] <= max_grams // len(counts):
+            used[r["lang"]] += r["n"]
+            fits.add(r["doc_id"])
+    if len(fits) < len(sizes):
+        sample = sample.join(F.broadcast(known.sparkSession.createDataFrame([(x,) for x in fits], sample.select("doc_id").schema)), "doc_id")
+    rows = [(r["lang"], np.asarray(r["at"], np.int32), np.asarray(r["n"], np.float32)) for r in sample.select("lang", "at", "n").toLocalIterator()]
     rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # the same model whatever order the tasks end in
     np.random.default_rng(11).shuffle(rows)
-    return fit(rows, bits)
+    model = fit(rows, bits)
+    rows.clear()
+    gc.collect()
+    spare()
+    return model
 
 
 def predictor(spark: SparkSession, model: Model):
@@ -194,7 +217,7 @@ def predictor(spark: SparkSession, model: Model):
     def predict(texts: pa.Array) -> pa.Array:
         m = shared.value
         names, scores, rejected = [], [], []
-        original = texts
+        lettered = pc.match_substring_regex(texts, LETTER).to_pylist()
         for a, b, data, bounds in blocks(pc.utf8_lower(texts)):
             k = len(m.langs)
             z, n = np.zeros((b - a, k + 1)), np.zeros(b - a)
@@ -211,8 +234,7 @@ def predictor(spark: SparkSession, model: Model):
             best = p.argmax(axis=1)
             foreign = _shortfall(z[:, -1], n, m.usual[best]) > m.short
             for i in range(b - a):
-                text = original[a + i].as_py()
-                if text is None or not _LETTER.search(text):
+                if not lettered[a + i]:
                     names.append(UNDECIDED), scores.append(0.0), rejected.append(True)
                 else:
                     s = float(p[i, best[i]])
@@ -239,7 +261,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, **bounds) -> DataFrame:
     lean(spark)
     model = train(learn_from, **bounds)
     if model is None:
-        return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "rejected": F.coalesce(~F.col("text").rlike(r"\p{L}"), F.lit(True))})
+        return docs.withColumns({"lang_pred": F.lit(UNDECIDED), "score": F.lit(0.0), "rejected": F.coalesce(~F.col("text").rlike(LETTER), F.lit(True))})
     out = docs.withColumn("_said", predictor(spark, model)("text"))
     return out.withColumns({c: F.col(f"_said.{c}") for c in ("lang_pred", "score", "rejected")}).drop("_said")
 
