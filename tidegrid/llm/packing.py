@@ -111,8 +111,44 @@ def _byte_names() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+# How a tokenizer's file must normalise and split texts for its chunks to be encoded alone.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "byte_fallback": False, "ignore_merges": False}
+
+
+def suits(path: str) -> bool:
+    """Whether :class:`Chunked` gives the ids of the tokenizer in this file: it normalises and splits as stated above, marks the end of words,
+    has the bytes and full stop and comma as tokens, and fewer than 65 536 tokens."""
+    with open(path) as f:
+        made = json.load(f)
+    model, steps = made["model"], (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = steps[0] if len(steps) == 2 else {}
+    vocabulary, end = model.get("vocab", {}), model.get("end_of_word_suffix")
+    return (
+        made.get("normalizer") == _NORMALIZER and made.get("truncation") is None and made.get("padding") is None
+        and split.get("pattern") == {"Regex": _SPLIT} and (split.get("behavior"), split.get("invert")) == ("Removed", True)
+        and steps[1].get("type") == "ByteLevel" and not steps[1].get("use_regex") and not steps[1].get("add_prefix_space")
+        and all(model.get(k) == v for k, v in _MODEL.items()) and bool(end) and isinstance(vocabulary, dict) and len(vocabulary) < 1 << 16
+        and all(c in vocabulary and c + end in vocabulary for c in [*_byte_names(), ".", ","])
+        and all(t["content"].startswith(_MARK) for t in made.get("added_tokens", []))
+    )
+
+
+class Whole:
+    """Ids of texts by the tokenizer of any file, each text as a whole."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.t = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class Chunked:
-    """Ids of texts by a lower-casing tokenizer whose tokens never reach over white space or from letters to punctuation.
+    """Ids of texts by a lower-casing tokenizer whose tokens never reach over white space or from letters to punctuation (see :func:`suits`).
 
     Each chunk between white space is encoded once and remembered: words of letters by :class:`Merges`, a word with a full stop or
     comma after it as both, the rest by the tokenizer. Texts with special tokens, with separators that the tokenizer
@@ -200,11 +236,11 @@ class Chunked:
         return out
 
 
-def _pieces(path: str, capacity: int, with_ids: bool):
+def _pieces(path: str, whole: bool, capacity: int, with_ids: bool):
     """(doc_id, text) to pieces, numbered within the task among those of their length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Chunked(path)
+        coder = Whole(path) if whole else Chunked(path)
         task = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
@@ -318,11 +354,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, wit
     Returns doc_id, piece (from 0), start (its document's tokens before it), length, ids_crc32, sequence_id (from 0,
     gapless), offset, and with ``with_ids`` the ids (little-endian, 32 bits each). A document's tokens end with the id 0; only
     longer ones are cut. A null text is empty and so one token; every row is packed, repeated rows and null ids
-    too; without documents there are no pieces. Other columns are ignored.
+    too; without documents there are no pieces. Other columns are ignored. ``path``: the file of any tokenizer; where it
+    doesn't suit the encoding by chunks (:func:`suits`), whole texts are encoded.
     """
     spark = docs.sparkSession
     lean(spark)
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path or tokenizer_path(), capacity, with_ids), _PIECES)
+    path = path or tokenizer_path()
+    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path, not suits(path), capacity, with_ids), _PIECES)
     pieces = cut(made if with_ids else made.drop("ids"), "pack-pieces")
     # rank among the pieces of a length = those of earlier tasks + the number within its task; the counts of earlier
     # tasks grow with the input, and so are dealt out and not broadcast
