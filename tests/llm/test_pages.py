@@ -109,3 +109,31 @@ def test_trust_follows_links(spark):
     assert got == brute_judge(rows, urlfilter.RULES, links)
     assert {v for *_, v in got.values()} == {"allow", "block"}
     assert judge(_frame(spark, []), rules).count() == 0
+
+
+def _old_archive():
+    """A version 1 archive as others wrote them: no gzip members of ours, no page ids, dates of 12 digits, other protocols."""
+    about = b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n"
+    page = b"HTTP/1.0 200 Document follows\nDate: Mon, 04 Nov 1996 14:21:06 GMT\nX-Page-Id: none\n\n<HTML>\nHello \xe9 World"
+    no_head = b"HTTP/1.0 200 OK without an end"
+    parts = [(b"filedesc://IA-000001.arc 0.0.0.0 19960923142103 text/plain", about), (b"http://www.dryswamp.edu:80/index.html 127.10.100.2 199611041421 text/html; charset=utf-8", page), (b"dns:www.dryswamp.edu 127.10.100.2 19961104142103 text/dns", b"19961104142103\nwww.dryswamp.edu. 300 IN A 127.10.100.2\n"), (b"http://x/a b c 1.2.3.4 99999999999999 no-type", no_head), (b"ftp://x/empty 1.2.3.4 19961104142103 -", b"")]
+    return b"\n".join(head + b" " + str(len(block)).encode() + b"\n" + block for head, block in parts) + b"\n", parts[1:]
+
+
+def test_archives_of_other_writers(spark):
+    import gzip
+
+    from tidegrid.llm import warc
+
+    data, parts = _old_archive()
+    assert [block for _, _, block in parse_arc(data)] == [b for _, b in parts] and [h["URL"] for _, h, _ in parse_arc(data)] == ["http://www.dryswamp.edu:80/index.html", "dns:www.dryswamp.edu", "http://x/a b c", "ftp://x/empty"]
+    v2 = b"filedesc://a.arc 0.0.0.0 19960923142103 text/plain 200 - - 0 a.arc 122\n" + b"2 0 Alexa Internet\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n" + b"\n\nhttp://y/ 1.2.3.4 19961104142103 text/html; a=b 200 abc - 150 a.arc 5\nhello\n"
+    assert [(h["Content-type"], b) for _, h, b in parse_arc(v2)] == [("text/html; a=b", b"hello")]
+    folder = new_dir(spark, "old")
+    warc._write(f"{folder}/in/a.arc.gz", [gzip.compress(data)])
+    warc._write(f"{folder}/in/b.arc.gz", [gzip.compress(v2[:200]), gzip.compress(v2[200:])])
+    files = spark.createDataFrame([(f"{folder}/in/a.arc.gz",), (f"{folder}/in/b.arc.gz",)], "path string")
+    rows = {r["target_uri"]: r for r in read_warc(arc_to_warc(files, f"{folder}/out")).collect()}
+    assert {u: r["record_type"] for u, r in rows.items()} == {"http://www.dryswamp.edu:80/index.html": "response", "dns:www.dryswamp.edu": "resource", "http://x/a b c": "resource", "ftp://x/empty": "resource", "http://y/": "resource"}
+    assert rows["http://www.dryswamp.edu:80/index.html"]["warc_date"] == "1996-11-04T14:21:00Z" and rows["http://x/a b c"]["warc_date"] == "1970-01-01T00:00:00Z"
+    assert rows["http://www.dryswamp.edu:80/index.html"]["payload_digest"] == hashlib.sha1(b"<HTML>\nHello \xe9 World").hexdigest() and all(r["page_id"] is None for r in rows.values())

@@ -6,8 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tests.llm.corpus import SCHEMA, frame, near_corpus
-from tidegrid.llm.neighbours import Router, Shard, lift, nearest
-from tidegrid.llm.packing import Chunked, fullest, pack, plan, tokenizer_path
+from tidegrid.llm.neighbours import FACTOR, Router, Shard, lift, nearest
+from tidegrid.llm.packing import Chunked, fullest, pack, plan, suits, tokenizer_path
 
 VECTORS = "vec_id long, embedding array<float>, label int, score double, key int"
 
@@ -85,6 +85,29 @@ def test_recall_of_the_default_with_mixed_norms_and_a_very_long_vector(spark):
                 assert {i for i, _ in near} == set(np.argsort(-s)[:20])
 
 
+@pytest.mark.parametrize("longest", [1, 1000])
+def test_recall_of_the_querys_factor(spark, longest):
+    """Directions at random, norms of all sizes, one vector far longer than the others; some pairs are passed over."""
+    gen = np.random.default_rng(9)
+    x = gen.normal(size=(4000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[::3] *= gen.uniform(0.05, 2, (len(x[::3]), 1))
+    x[3999] *= longest
+    v = np.float32(x)
+    df = spark.createDataFrame([(i, [float(a) for a in y], 1, 0.0, 2) for i, y in enumerate(v)], VECTORS)
+    v = v.astype(float)
+    for rows in (8192, 700):
+        got, hits = found(nearest(df, factor=FACTOR, shard_rows=rows, crowd=1, block=64)), 0
+        for q, near in got.items():
+            s = v @ v[q]
+            s[q] = -np.inf
+            hits += len(set(np.argsort(-s)[:20]) & {i for i, _ in near})
+        assert len(got) == 200 and hits / (20 * len(got)) >= 0.9
+    shard = Shard(np.arange(4000), v)
+    shard.search(v[:200], np.full(200, -np.inf), 21, FACTOR)
+    assert shard.compared < 200 * 4000
+
+
 def test_few_candidates_and_empty_tables(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], 1, 0.0, 2), (1, [0.5, 0.5], 1, 0.0, 2)], VECTORS)
     assert found(nearest(df)) == {0: [(1, 0.5)]}
@@ -103,7 +126,7 @@ def test_pruning_bounds_hold():
     for c in range(least.shape[1]):
         if (home == c).any():
             assert (d[:, home == c].min(axis=1) >= least[:, c] - 1e-9).all()
-    best, place = Shard(np.arange(2000), x, most, 32).search(q[:, :4], np.full(50, np.inf), 7, 1.0)
+    best, place = Shard(np.arange(2000), x, 32).search(q[:, :4], np.full(50, -np.inf), 7, 1.0)
     assert np.allclose(np.sort(best, axis=1), np.sort(np.sort(q[:, :4] @ x.T, axis=1)[:, -7:], axis=1)) and (place >= 0).all()
 
 
@@ -169,3 +192,20 @@ def test_chunks_do_not_change_short_texts(text):
     from tokenizers import Tokenizer
 
     assert list(Chunked(tokenizer_path()).encode([text])[0]) == Tokenizer.from_file(tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    made = json.load(open(tokenizer_path()))
+    for i, change in enumerate([{"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}]):
+        (tmp_path / f"{i}.json").write_text(json.dumps(made | change))
+    texts = ["Hello, World. It's 3.5", "", None, "ÄÖ x"]
+    for path in (str(tmp_path / "0.json"), str(tmp_path / "1.json")):
+        assert not suits(path)
+        coder = Tokenizer.from_file(path)
+        got = {r["doc_id"]: list(np.frombuffer(r["ids"], "<u4")) for r in pack(frame(spark, texts), path=path, with_ids=True).collect()}
+        assert got == {i: coder.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert suits(tokenizer_path())

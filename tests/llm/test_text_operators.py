@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.corpus import SCHEMA, frame, prose
 from tidegrid.llm.decontam import contaminated, leaks, spaced, with_template
-from tidegrid.llm.langid import held_out, identify
+from tidegrid.llm.langid import descend, fit, held_out, identify, predictor
 from tidegrid.llm.secrets import BASE, IDENTIFIERS, find_secrets, harvest, redact
 from tidegrid.llm.toolcalls import canonical, faults, link_calls
 
@@ -301,3 +301,118 @@ def test_schema_faults(value, schema, wrong):
 def test_canonical_json():
     assert canonical({"b": [1, None], "a": "é\n\ud800"}) == '{"a":"é\\n?","b":[1,null]}'
     assert hashlib.sha256(canonical({"x": 1, "y": 2}).encode()).digest() == hashlib.sha256(canonical({"y": 2, "x": 1}).encode()).digest()
+
+
+def test_bad_blocks_are_malformed_and_stop_nothing(spark):
+    deep = '{"id":"d","name":"search","arguments":' + '{"query":' * 1500 + "1" + "}" * 1501
+    bad = ['{"id":"x","name":"search","arguments":{"limit":1e999}}', deep, '{"id":' + "[" * 5000 + "]" * 5000 + "}", '{"id":"n","limit":' + "9" * 5000 + "}", '{"id":"q","name":"search","arguments":NaN}', "", "null"]
+    rows = [(i, 0, "assistant", f"<tool_call>{b}</tool_call>ok") for i, b in enumerate(bad)] + [(99, 0, "user", "w " * 300_000)]
+    out = link_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r["conv_id"] for r in out if r["faults"] == ["malformed"]} >= {0, 3, 4, 5, 6} and len(out) == 2 * len(bad) + 1
+    assert all(json.loads(r["json"]) for r in out if r["conv_id"] not in (1, 2))
+
+
+def brute_order(rows):
+    """at and level of each call and result by recursion over all of a conversation's blocks."""
+    first = {}
+    for conv, turn, part, kind, name, needs in sorted(rows, key=lambda r: (r[1], r[2])):
+        first.setdefault((conv, kind, name), (turn, part, needs))
+    out = {}
+    for conv in {r[0] for r in rows}:
+        calls = {n: v for (c, k, n), v in first.items() if c == conv and k == "call"}
+        came = {n: v[0] for (c, k, n), v in first.items() if c == conv and k == "result"}
+        waits = {n: [x for x in v[2] if x in calls and x in came] for n, v in calls.items()}
+        done = {}
+        while ready := [n for n in waits if n not in done and all(x in done for x in waits[n])]:
+            for n in ready:
+                done[n] = (max([done[x][0] + 2 for x in waits[n]], default=0), max([calls[n][0], *[max(done[x][1], came[x]) for x in waits[n]]]))
+        for n in set(calls) | set(came):
+            out[conv, n] = done.get(n)
+    return first, out
+
+
+def test_random_conversations_are_ordered_as_by_recursion(spark):
+    gen = np.random.default_rng(31)
+    rows, messages = [], []
+
+    def add(conv, turn, blocks):
+        text = ""
+        for part, (kind, name, needs) in enumerate(blocks, 1):
+            rows.append((conv, turn, part, kind, name, sorted(needs)))
+            text += _call(id=name, name="calculate", arguments={"expression": [{"$result": x} for x in needs]}) if kind == "call" else _result(id=name, content=1)
+        messages.append((conv, turn, "assistant", text))
+
+    for conv in range(12):
+        names = [f"c{i}" for i in range(25)]
+        for turn in range(60):
+            blocks = []
+            for _ in range(int(gen.integers(0, 3))):
+                n = int(gen.integers(0, 25))
+                low = 0 if conv < 4 else max(0, n - 5)  # the first conversations have cycles
+                pool = names if conv < 4 else names[low:n]
+                needs = set(gen.choice(pool, min(len(pool), int(gen.integers(0, 3))), replace=False)) if pool else set()
+                blocks.append((str(gen.choice(["call", "result"])), names[n], needs))
+            add(conv, turn, blocks)
+    for i in range(1000):  # a chain that runs against the turns
+        add(50, 1000 - i, [("call", f"k{i}", {f"k{i - 1}"} if i else set()), ("result", f"k{i}", set())])
+    out = link_calls(spark.createDataFrame(messages, "conv_id long, turn long, role string, text string")).where("kind != 'message'").collect()
+    first, order = brute_order(rows)
+    assert len(out) == len(rows)
+    for r in out:
+        turn, part, _ = first[r["conv_id"], r["kind"], r["id"]]
+        if (r["turn"], r["part"]) != (turn, part):
+            assert "duplicate" in r["faults"] and r["linked"] is None
+            continue
+        of = order[r["conv_id"], r["id"]]
+        both = (r["conv_id"], "call", r["id"]) in first
+        assert ("cycle" in r["faults"]) == (both and of is None)
+        if of is not None:
+            assert (r["level"], r["at"]) == (of[0] + (r["kind"] == "result"), max(r["turn"], of[1]))
+    assert order[50, "k999"] == (1998, 1000)
+
+
+def test_the_folded_table_is_the_averaged_embeddings(spark):
+    """Grams, averages and softmax by plain loops on the unfolded model."""
+    gen = np.random.default_rng(41)
+    texts = [t for _, t, _ in _languages(gen, 90)]
+    langs = [g for _, _, g in _languages(np.random.default_rng(41), 90)]
+
+    def loops(text):
+        b = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in text.lower().encode())
+        found = []
+        for k, odd in ((2, 0x9E3779B1), (3, 0x85EBCA77), (4, 0xC2B2AE3D)):
+            for i in range(len(b) - k + 1):
+                if b[i : i + 2] != b"  ":
+                    x = int.from_bytes(b[i : i + k], "little") * odd & 0xFFFFFFFF
+                    x = (x ^ x >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+                    found.append(x >> 16)
+        return found
+
+    rows = []
+    for t, g in zip(texts, langs):
+        at, n = np.unique(loops(t), return_counts=True)
+        rows.append((g, at.astype(np.int32), n.astype(np.float32)))
+    model = fit(rows)
+    train, seen = [], dict.fromkeys(model.langs, 0)
+    for g, at, n in rows:
+        seen[g] += 1
+        if seen[g] % 8:
+            train.append((model.langs.index(g), at, (n / n.sum()).astype(np.float32)))
+    emb, out, bias = descend(train, len(model.langs), 16, 16, 6, 0.5, 7)
+    tested = texts[:20] + ["½ ² ① 12", "xy", "one two " * 3000]
+    said = predictor(spark, model)
+    got = {r["i"]: r["p"] for r in spark.createDataFrame(list(enumerate(tested)), "i int, text string").select("i", said("text").alias("p")).collect()}
+    for i, t in enumerate(tested):
+        if t == "½ ² ① 12":
+            assert got[i]["lang_pred"] == "und"
+            continue
+        z = (out @ np.mean([emb[x] for x in loops(t)], axis=0) + bias).astype(float) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["lang_pred"] == model.langs[int(p.argmax())] and abs(got[i]["score"] - p.max()) < 1e-3
+
+
+def test_the_drivers_sample_is_bounded_in_grams(spark):
+    rows = _languages(np.random.default_rng(43), 300)
+    docs = spark.createDataFrame(rows + [(900, "xq " * 40_000 + "zyx", "dd")], "doc_id long, text string, lang string")
+    out = identify(docs, docs, max_grams=20_000).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.9 and any(r["lang_pred"] == "dd" for r in out)
