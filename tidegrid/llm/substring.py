@@ -126,7 +126,10 @@ def drop_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     Windows are judged on the input. Level by level, each window stands for itself by the smallest
     hash among its parts of the level's length; only windows whose sign is repeated in another
     document are extended to twice that length, until the length is ``words`` (a longer repeat is
-    made of these, so going on would remove nothing more) or no candidate survives. Documents equal
+    made of these, so going on would remove nothing more) or no candidate survives. The first length is ``words`` halved as often
+    as it is even, down to 12 words (:func:`lengths`; of 50 that is 25), so that every level doubles into the next and ends at ``words`` exactly.
+    Equal windows have equal parts and so equal signs, which is why no repeat is lost; neighbouring windows mostly share their
+    smallest part, so that a document sends one sign for about every 13 of its windows, not all of them. Documents equal
     word for word to a smaller one are settled before. A null or empty text has no words; rows that
     repeat a doc_id must repeat its text and get equal rows; a null doc_id is never judged. Other
     columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went).
