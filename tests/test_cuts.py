@@ -19,7 +19,7 @@ from tidegrid.operators.stats import calculate_stats
 from tidegrid.sources.collection import Collection
 from tidegrid.sources.plots import plot_data
 from tidegrid.sources.providers import Provider, ingest, read_config
-from tidegrid.sources.sinks import ascii_header, ascii_lines, write_parquet
+from tidegrid.sources.sinks import ascii_header, ascii_lines, write_ascii, write_parquet
 
 CELL = ["time", "lat_idx", "lon_idx"]
 
@@ -126,6 +126,14 @@ def test_longitudes_are_snapped_in_the_scan(spark, tmp_path):
     assert {r["longitude"] for r in f.table().collect()} == {0.0, 0.5} and f.values("longitude") == [0.0, 0.5]
 
 
+def test_ascii_as_older_tools_write_it(spark, tmp_path):
+    flat = extract_surface(frame(spark).select(["so"]))
+    write_ascii(flat, str(tmp_path / "a.asc"), compat=True)
+    write_ascii(flat, str(tmp_path / "b.asc"))
+    old, new = ((tmp_path / n).read_text().splitlines() for n in ("a.asc", "b.asc"))
+    assert old[:6] == ["ncols 4", "nrows 5", "xllcorner 30.0", "yllcorner 42.0", "cellsize 0.75", "NODATA_value -9999"] and old[6:] == new[:5:-1]
+
+
 CONFIG = """
 name: {name}
 start_date: 1999-01-01

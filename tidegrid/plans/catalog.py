@@ -421,6 +421,15 @@ def ascii_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ascii_lines(run_action("extract_layer", monthly_cube(spark, sf_dir).select(["thetao"]), depth=20.0))
 
 
+@_query(
+    "ascii_grid_compat",
+    f"""with {_MON}, m as (select lat_idx, lon_idx, avg(thetao) x from cube where depth_idx = 4 group by 1, 2), g as (select y, x from range(4) a(y) cross join range(5) b(x))
+    select cast(g.y as integer) "row", string_agg(coalesce(printf('%.8f', m.x), '-9999'), ' ' order by g.x) line from g left join m on m.lat_idx = g.y and m.lon_idx = g.x group by g.y""",
+)
+def ascii_grid_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ascii_lines(run_action("extract_layer", monthly_cube(spark, sf_dir).select(["thetao"]), depth=20.0), north_first=False)
+
+
 @_query("csv_rows", f'with {_MON} select "time", latitude, longitude, round(thetao, 6) thetao from cube where depth_idx = 0')
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(csv_table(run_action("extract_surface", monthly_cube(spark, sf_dir).select(["thetao"]))), "thetao", drop=())

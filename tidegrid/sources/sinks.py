@@ -64,15 +64,26 @@ def _step(values: Sequence[float]) -> float | None:
     return (values[-1] - values[0]) / (len(values) - 1) if len(values) > 1 else None
 
 
-def ascii_header(frame: GridFrame, nodata: int = -9999) -> list[str]:
-    """Header of the grid: corners are those of the cells, the cell size is the mean of both spacings (or the one there is, or 1)."""
+def ascii_header(frame: GridFrame, nodata: int = -9999, compat: bool = False) -> list[str]:
+    """Header of the grid: corners are those of the cells, the cell size is the mean of both spacings (or the one there is, or 1).
+
+    ``compat``: as files of older tools have it, with the number of latitudes as ncols and of longitudes as nrows, centres of cells as
+    corners, and numbers in full."""
     lat, lon = frame.values("latitude"), frame.values("longitude")
     steps = [s for s in (_step(lat), _step(lon)) if s is not None] or [1.0]
     size = sum(steps) / len(steps)
+    if compat:
+        return [f"ncols {len(lat)}", f"nrows {len(lon)}", f"xllcorner {min(lon)}", f"yllcorner {min(lat)}", f"cellsize {size}", f"NODATA_value {nodata}"]
     return [f"ncols {len(lon)}", f"nrows {len(lat)}", f"xllcorner {lon[0] - size / 2:.8f}", f"yllcorner {lat[0] - size / 2:.8f}", f"cellsize {size:.8f}", f"NODATA_value {nodata}"]
 
 
-def write_ascii(frame: GridFrame, path: str, nodata: int = -9999) -> None:
-    """One text file: the size of a raster is bounded by its axes, so its lines pass the driver."""
-    lines = [r["line"] for r in ascii_lines(frame, nodata).orderBy("row").collect()]
-    write_text(path, "\n".join([*ascii_header(frame, nodata), *lines]) + "\n")
+def write_ascii(frame: GridFrame, path: str, nodata: int = -9999, compat: bool = False) -> None:
+    """One text file: the size of a raster is bounded by its axes, so its lines pass the driver.
+
+    ``compat``: the header as in :func:`ascii_header`, and rows in the order of the axis."""
+    lines = [r["line"] for r in ascii_lines(frame, nodata, north_first=not compat).orderBy("row").collect()]
+    write_text(path, "\n".join([*ascii_header(frame, nodata, compat), *lines]) + "\n")
+
+
+def write_ascii_compat(frame: GridFrame, path: str) -> None:
+    write_ascii(frame, path, compat=True)
