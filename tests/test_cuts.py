@@ -84,6 +84,13 @@ def test_bottom_of_several_variables_is_one_table(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out" / "time_latitude_longitude")).count() == both.table().count()
 
 
+def test_tables_of_equal_dimensions_are_written_as_one(spark, tmp_path):
+    f = extract_surface(frame(spark, flat=True))
+    write_parquet(f, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out" / "time_latitude_longitude"))
+    assert set(back.columns) >= {"thetao", "so", "mlotst"} and back.where("thetao = mlotst").count() == back.count() == f.table_of("so").count()
+
+
 class Cells(Provider):
     kind = "cells-of-tests"
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import COLUMNS, GridFrame
+from ..operators.align import align_outer
 from ..operators.plotdata import time_mean
 from .store import write_text
 
@@ -19,9 +20,15 @@ def _single(frame: GridFrame) -> tuple[DataFrame, str]:
 
 
 def write_parquet(frame: GridFrame, path: str) -> None:
-    """One folder for each set of dimensions, compressed with zstd; Spark's commit makes it appear as a whole."""
+    """One folder for each set of dimensions, compressed with zstd; Spark's commit makes it appear as a whole.
+
+    Tables that an analysis has left with equal dimensions (a surface beside a flat variable) are aligned into one."""
+    by_dims: dict[tuple[str, ...], list[DataFrame]] = {}
     for t in frame.tables:
-        t.write.option("compression", "zstd").parquet(f"{path}/{'_'.join(GridFrame.dims_of(t)) or 'scalar'}")
+        by_dims.setdefault(GridFrame.dims_of(t), []).append(t)
+    for dims, tables in by_dims.items():
+        whole = tables[0] if len(tables) == 1 else align_outer(tables)
+        whole.write.option("compression", "zstd").parquet(f"{path}/{'_'.join(dims) or 'scalar'}")
 
 
 def csv_table(frame: GridFrame) -> DataFrame:
