@@ -141,11 +141,10 @@ def _novel(text: str, taken: list[tuple[int, int]], press: zstandard.ZstdCompres
             continue
         while t < len(taken) and taken[t][1] <= a:
             t += 1
-        near = []
-        for span in taken[t:]:
-            if span[0] >= b:
-                break
-            near.append(span)
+        near, k = [], t
+        while k < len(taken) and taken[k][0] < b:
+            near.append(taken[k])
+            k += 1
         left = [(x, y) for x, y in _pieces(a, b, near) if y - x >= (4 if near else 1)]
         if left and novelty(token, text[max(0, a - 256) : a], text[b : b + 256], press) >= least * random_bytes(token):
             out += [(x, len(KINDS) - 1, "novel", y) for x, y in left]
