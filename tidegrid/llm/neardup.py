@@ -215,23 +215,19 @@ def _printed():
     return run
 
 
-def _crossing(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs a < b of different classes of ``left`` (id, class) that share one of the rarest shingles of both.
-
-    A link needs shared weight of at least ``similarity`` of either bag. So of a bag's shingles, the rarest first, those that
-    make up the rest and one more always hold a shared one, wherever the order is the same for all."""
-    bag = cut(texts.select("id", "z").join(left.select("id"), "id", "left_semi").mapInArrow(_shingles(shingle), "id long, h long, c long"), "near-bags")
-    rare = bag.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
-    total = bag.groupBy("id").agg(F.sum("c").alias("n"))
-    # shingles of one document only come first in the order and can't be shared: their weight is what the others fall short of n
-    order = Window.partitionBy("id").orderBy("f", "h").rowsBetween(Window.unboundedPreceding, -1)
-    shared = bag.join(rare, "h").withColumn("before", F.coalesce(F.sum("c").over(order), F.lit(0)))
-    mine = Window.partitionBy("id")
-    shared = shared.withColumn("known", F.sum("c").over(mine)).join(total, "id")
-    first = shared.where(F.col("n") - F.col("known") + F.col("before") <= (1 - similarity) * F.col("n") + 1e-6)
-    first = cut(first.join(left, "id").select("h", "id", "class"), "near-rarest")
-    meet = (F.col("l.h") == F.col("r.h")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
-    return first.alias("l").join(first.alias("r"), meet).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+def _crossing(left: DataFrame, similarity: float, share: int = 256) -> DataFrame:
+    """Pairs a < b of one bucket but different classes that could link, each once; ``left``: key, id, class, n, bits.
+
+    The bound on the overlap is a condition of the join, so that pairs that can't link are never made. A bucket of many members is
+    dealt out: its members to salts of about ``share`` on one side, to all salts on the other."""
+    keys = left.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one for each band
+    salts = cut(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(share)).cast("int").alias("salts")), "near-salts")
+    rows = cut(left.join(keys, "id").join(salts, "key"), "near-crossing")
+    l = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).alias("l")  # noqa: E741
+    r = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("r")
+    crossing = (F.col("l.key") == F.col("r.key")) & (F.col("l.salt") == F.col("r.salt")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.class") != F.col("r.class"))
+    once = F.array_min(F.array_intersect("l.keys", "r.keys")) == F.col("l.key")  # of the buckets that a pair shares, in one
+    return l.join(r, crossing & could_link("l", "r", similarity) & once).select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 24, rows: int = 4) -> DataFrame:
@@ -244,8 +240,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
     has the smallest share of private shingles (a group's original, where there is one), and then members of
     different classes with each other. Before the last two, members are set aside that can't link to anyone there: weight
     of shingles that no other such document has can't be shared, and what is left is too little for the
-    smallest member of the bucket. So no candidate link between classes is lost. Members of different classes meet where they
-    share one of their rarest shingles, so many that any link needs one, and not as pairs of a bucket.
+    smallest member of the bucket. So no candidate link between classes is lost. The work of a large
+    bucket is dealt out by salts.
 
     A null or wordless text is a class of its own; repeated rows of a doc_id give one row. A doc_id that stands with several
     texts is linked to whatever any of them is, and all of them are in its class; same_as is then of the text of the smallest same_as. Rows without doc_id
@@ -325,9 +321,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, band
         pivot = cut(able.groupBy("key").agg(F.min(F.struct((F.col("u") / F.col("n")).alias("share"), "id", "class")).alias("p")).select("key", F.col("p.id").alias("y"), F.col("p.class").alias("other")), "near-pivots")
         round_ = able.join(pivot, "key").where("class != other").select(F.least("id", "y").alias("a"), F.greatest("id", "y").alias("b"))
         classes = merged(classes, verified(able_to_link(round_)).where(F.col("sim") >= similarity).select("a", "b"))
-        left = cut(mixed(labelled(able, classes)).select("id", "class").distinct(), "near-left")
+        left = cut(mixed(labelled(able, classes)).select("key", "id", "class", "n").join(marks.select("id", "bits"), "id"), "near-left")
         if not left.isEmpty():
-            more = verified(able_to_link(_crossing(left, texts, shingle, similarity))).where(F.col("sim") >= similarity).select("a", "b")
+            more = verified(_crossing(left, similarity)).where(F.col("sim") >= similarity).select("a", "b")
             if not more.isEmpty():
                 classes = merged(classes, more)
     if top[1] is not None and top[1] > 1:  # the texts of one id are in one class
