@@ -183,7 +183,8 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int =
     per_lang = min(per_lang, max(1, per_lang * max_langs // max(1, len(counts))))
     # of a language with many documents only the smallest hashes are ranked: over eight times as many as wanted, on average
     at = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
-    share = known.sparkSession.createDataFrame([(g, min(2**63 - 1, 2**63 * (8 * per_lang + 32) // n)) for g, n in counts.items()], "lang string, share long")
+    # Arrow tables reach the JVM without a Python worker
+    share = known.sparkSession.createDataFrame(pa.table({"lang": pa.array(list(counts), pa.string()), "share": pa.array([min(2**63 - 1, 2**63 * (8 * per_lang + 32) // n) for n in counts.values()], pa.int64())}))
     first = Window.partitionBy("lang").orderBy("at", "doc_id")
     low = known.select("lang", "doc_id", at.alias("at")).join(F.broadcast(share), "lang").where("at <= share")
     picked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
