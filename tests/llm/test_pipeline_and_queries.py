@@ -93,3 +93,16 @@ def test_rows_without_id_and_with_shared_ids_are_judged(spark):
     assert len(kept) == 7 and set(kept) == {a, b, c, d, f"{b} {item}", f"{d} {item}", f"{c} {c} {item}"} and len(left) >= 7
     clean = stages["decontamination"](spark, docs, DATA)
     assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in rows if item not in t) and clean.columns == docs.columns
+
+
+def test_a_missing_library_leaves_the_other_queries(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.split(".")[:2] == ["tidegrid", "llm"]]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.warns(UserWarning, match="left out"):
+        found = entry.queries()
+    assert "depth_average" in found and "pipeline" not in found and not [n for n in found if re.match(r"op\d", n)]

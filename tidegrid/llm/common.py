@@ -36,8 +36,9 @@ BATCH_BYTES = 4 << 20
 
 
 def lean(spark: SparkSession) -> None:
-    """Let the session send small batches to Python workers (it keeps the setting): an executor's memory is shared by its JVM and its workers."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != str(BATCH_BYTES):
+    """Let the session send small batches to Python workers, unless it has a setting of its own: an executor's memory is shared by its
+    JVM and its workers. The setting stays, as the rows are only computed after the operator has returned."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
