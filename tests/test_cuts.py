@@ -148,7 +148,7 @@ end_date: 2022-12-31
 source:
   type: local
 meshmask:
-  type: bitsea
+  type: grid
   path: "/data/meshmask.nc"
 variables:
   - variable: thetao
@@ -167,9 +167,9 @@ def test_provider_files_with_whole_paths(tmp_path):
     (tmp_path / "a.yaml").write_text(CONFIG.format(name="archive"))
     c = read_config(tmp_path / "a.yaml")
     assert (c.name, c.kind, c.variables, c.frequencies) == ("archive", "tar", {"thetao": "votemper", "so": "so"}, {"monthly": (["thetao", "so"], "/data/AVE_FREQ_2_tar")})
-    assert c.units == {"thetao": "°C", "so": None} and c.meshmask["type"] == "bitsea" and c.start.year == 1999
+    assert c.units == {"thetao": "°C", "so": None} and c.meshmask["type"] == "grid" and c.start.year == 1999
     text = CONFIG.format(name="archive")
-    for i, bad in enumerate([text.replace("type: local", "type: remote"), text.replace("  type: bitsea\n", ""), text.replace("unit: null", "units: null"), text + "  - frequency: monthly\n    variables: [so]\n    path: /x\n"]):
+    for i, bad in enumerate([text.replace("type: local", "type: remote"), text.replace("  type: grid\n", ""), text.replace("unit: null", "units: null"), text + "  - frequency: monthly\n    variables: [so]\n    path: /x\n"]):
         (tmp_path / f"{i}.yaml").write_text(bad)
         with pytest.raises(ValueError):
             read_config(tmp_path / f"{i}.yaml")
