@@ -118,3 +118,25 @@ def op9() -> str:
     from .decontam import COMMON, UNITS
 
     return OP9.replace("UNITS", UNITS).replace("COMMON", ", ".join(f"'{w}'" for w in COMMON))
+
+#: CRC-32 by its table, words by wildcards: each word without one of its letters, and with one of them masked.
+OP13 = r"""
+with recursive
+steps(i, c, k) as (select range, range, 0 from range(256) union all select i, case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, k + 1 from steps where k < 8),
+tab as (select list(c order by i) t from steps where k = 8),
+runs as (select id, run, length(run) size, count(*) n from (
+           select coalesce(cast(doc_id as varchar), '') id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) run from documents) group by all),
+bytes as (select *, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: case when unicode(c) < 128 then [unicode(c)] else [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)] end)) b from runs),
+crcs as (select run, size, n, xor(list_reduce([4294967295::bigint] || b::bigint[], lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) h from bytes cross join tab),
+words as (select word, cast(sum(n) as bigint) n from (select case when h % 97 = 0 then left(run, h % size) || substr(run, h % size + 2) else run end word, n from crcs) where length(word) >= 5 group by word having sum(n) >= 3),
+spots as (select word, n, unnest(range(1, length(word) + 1)) i from words),
+masked as (select word, n, left(word, i - 1) || '*' || substr(word, i + 1) p from spots),
+less as (select distinct word, n, left(word, i - 1) || substr(word, i + 1) p from spots),
+near as (select a.word, a.n own, b.word other, b.n from masked a join masked b on a.p = b.p and a.word <> b.word
+         union all select l.word, l.n, w.word, w.n from less l join words w on l.p = w.word
+         union all select w.word, w.n, l.word, l.n from less l join words w on l.p = w.word),
+best as (select word, count(*) n_near, first(other order by n desc, other) form, max(n) form_n from near group by word),
+forms as (select w.word, w.n, coalesce(b.n_near, 0) n_near, case when b.form_n >= 2 * w.n then b.form end form, case when b.form_n >= 2 * w.n then b.form_n end form_n from words w left join best b using (word)),
+up(word, stop) as (select word, word from forms union all select up.word, f.form from up join forms f on f.word = up.stop where f.form is not null)
+select f.word, f.form, up.stop root, f.n, f.n_near, f.form_n from forms f join up using (word) join forms e on e.word = up.stop and e.form is null
+"""
