@@ -140,3 +140,23 @@ forms as (select w.word, w.n, coalesce(b.n_near, 0) n_near, case when b.form_n >
 up(word, stop) as (select word, word from forms union all select up.word, f.form from up join forms f on f.word = up.stop where f.form is not null)
 select f.word, f.form, up.stop root, f.n, f.n_near, f.form_n from forms f join up using (word) join forms e on e.word = up.stop and e.form is null
 """
+
+
+def op12(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """All distances to all entries, once for each round and once more."""
+    ctes = [f"""
+v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * x::double) as bigint)) z from embeddings
+      where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+x as materialized (select vec_id, i // (len(z) // {parts}) part, i % (len(z) // {parts}) pos, z[i + 1] x from (select vec_id, z, unnest(range(len(z))) i from v)),
+first as (select vec_id, row_number() over (order by vec_id) - 1 entry from v qualify entry < {entries}),
+c0 as materialized (select part, entry, pos, x c from x join first using (vec_id))"""]
+    for r in range(rounds + 1):
+        ctes.append(f"d{r} as (select vec_id, part, entry, cast(sum((x - c) * (x - c)) as bigint) d from x join c{r} using (part, pos) group by all)")
+        ctes.append(f"n{r} as materialized (select vec_id, part, entry, d from d{r} qualify row_number() over (partition by vec_id, part order by d, entry) = 1)")
+        if r < rounds:
+            ctes.append(f"s{r} as (select part, entry, pos, cast(sum(x) as bigint) s, count(*) n from x join n{r} using (vec_id, part) group by all)")
+            ctes.append(f"c{r + 1} as materialized (select c.part, c.entry, c.pos, coalesce((s - ((s % n) + n) % n) // n, c) c from c{r} c left join s{r} using (part, entry, pos))")
+    return f"""with {", ".join(ctes)},
+own as (select vec_id, string_agg(printf('%02x', entry), '' order by part) code, cast(sum(d) as bigint) error from n{rounds} group by vec_id),
+sha as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) s from c{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, s codebooks_sha256 from own join v using (vec_id) cross join sha"""
