@@ -160,3 +160,37 @@ c0 as materialized (select part, entry, pos, x c from x join first using (vec_id
 own as (select vec_id, string_agg(printf('%02x', entry), '' order by part) code, cast(sum(d) as bigint) error from n{rounds} group by vec_id),
 sha as (select sha256(string_agg(cast(c as varchar), ',' order by part, entry, pos)) s from c{rounds})
 select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, s codebooks_sha256 from own join v using (vec_id) cross join sha"""
+
+
+def _template_expression(parts) -> str:
+    """A template as an expression over words that end in a space each."""
+    out = []
+    for p in parts:
+        if p.word:
+            out.append(p.word + " ")
+        elif p.ways:
+            out.append(f"(?:{'|'.join(map(_template_expression, p.ways))})")
+        else:
+            out.append(f"(?:[^ ]+ ){{{p.least},{p.most}}}")
+    return "".join(out)
+
+
+def op11() -> str:
+    """Templates as expressions over the words of a text, joined by spaces; phrases by the places of their words."""
+    from .licenses import PHRASES, TEMPLATES, parse
+
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    own = " union all ".join(f"select doc_id, {q(label)} label from j where regexp_matches(j, {q(' ' + _template_expression(parse(t)))})" for label, t in TEMPLATES)
+    places = " union all ".join(f"select doc_id, {q(label)} label, i - 1 start from at1 where ws[i:i + {len(t.split()) - 1}] = {t.split()!r}" for label, t in PHRASES)
+    return rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+j as (select doc_id, ' ' || array_to_string(ws, ' ') || ' ' j from w),
+at1 as (select doc_id, ws, unnest(range(1, len(ws) + 1)) i from w),
+base as ({places}),
+own as ({own}),
+b as (select doc_id, count(*) n, min(start) lo, max(start) hi, string_agg(distinct label, ',' order by label) labels from base group by doc_id),
+l as (select doc_id, string_agg(distinct label, ',' order by label) labels from (select doc_id, label from base union all select * from own) group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) n_words, coalesce(b.n, 0) n_base, b.lo first_word, b.hi last_word, coalesce(b.labels, '') base_labels, coalesce(l.labels, '') labels,
+       case when w.doc_id in (select doc_id from own) then 1.0::double when b.n > 0 then 0.5 else 0 end score
+from w left join b using (doc_id) left join l using (doc_id)
+"""
