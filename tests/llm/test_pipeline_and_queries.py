@@ -37,7 +37,7 @@ def test_contract_columns(spark):
     assert {"n_assign": "bigint", "n_access": "bigint", "n_hex": "bigint", "base_sha256": "string", "spans": "string"}.items() <= types["op4_secret_scan"].items()
     assert types["op7_substring_dedup"] == {"doc_id": "bigint", "n_words": "bigint", "n_removed": "bigint", "kept_sha256": "string"}
     assert {"held_out": "boolean", "lang_pred": "string", "score": "double"}.items() <= types["op10_language_id"].items()
-    assert len(types) == 10
+    assert len(types) == 13
 
 
 def test_language_of_held_out_documents(spark):
