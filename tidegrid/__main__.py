@@ -50,7 +50,7 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--output", required=True)
     r.add_argument("--format", choices=sorted(SINKS), default="parquet")
     r.add_argument("--variables", nargs="+")
-    r.add_argument("--domain", help="YAML file of a region")
+    r.add_argument("--domain", help="YAML file of a region (the collection's own, if not given)")
     c = sub.add_parser("ingest", help="make a collection from a provider")
     c.add_argument("--variables", nargs="+", required=True)
     c.add_argument("--frequency", choices=FREQUENCIES, required=True)
@@ -80,8 +80,9 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
     if a.command == "reduce":
-        frame = Collection.load(a.dataset).frame(spark, a.variables)
-        frame = cut_to(frame, read_domain(a.domain)) if a.domain else frame
+        made = Collection.load(a.dataset)
+        frame = made.frame(spark, a.variables)
+        frame = cut_to(frame, read_domain(a.domain)) if a.domain else made.inside(frame)
         SINKS[a.format](run_action(a.action, frame, **dict(a.arguments)), a.output)
     elif a.command == "ingest":
         ingest(spark, a.dataset, read_domain(a.domain), a.variables, a.frequency, a.start, a.end, provider_from(a.provider), a.split_by)

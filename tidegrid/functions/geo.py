@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,17 +40,94 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
+def _numbers(values: Sequence[float]) -> Column:
+    """An array of doubles as one literal: parsed once, when the plan is made, however many they are."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if len(values) else F.array().cast("array<double>")
+
+
+def strips(ring: Sequence[tuple[float, float]], most: int = 4096) -> tuple[float, float, list[int], list[tuple[float, float, float, float]]]:
+    """Edges of a ring of (x, y) by strips of equal height: lowest y, height, the place of each strip's first edge (and the end), edges.
+
+    An edge is in every strip that it touches. Strips are about as high as the edges are on the mean, so that all strips together hold a few times as many edges as the ring;
+    there are ``most`` at most. Level edges are left out: no ray along them counts."""
+    points = np.asarray([*ring, ring[0]], np.float64)
+    x1, y1, x2, y2 = points[:-1, 0], points[:-1, 1], points[1:, 0], points[1:, 1]
+    edges = np.column_stack([x1, y1, x2, y2])[y1 != y2]
+    if not len(edges):
+        return 0.0, 1.0, [0, 0], []
+    low, high = points[:, 1].min(), points[:, 1].max()
+    n = max(1, min(most, int((high - low) / np.abs(edges[:, 3] - edges[:, 1]).mean())))
+    height = (high - low) / n
+
+    def strip(y: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((y - low) / height).astype(np.int64), 0, n - 1)
+
+    a, b = strip(np.minimum(edges[:, 1], edges[:, 3])), strip(np.maximum(edges[:, 1], edges[:, 3]))
+    count = b - a + 1
+    which = np.repeat(np.arange(len(edges)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(a, count)
+    order = np.argsort(at, kind="stable")
+    first = np.searchsorted(at[order], np.arange(n + 1))
+    return float(low), float(height), first.tolist(), [tuple(e) for e in edges[which[order]].tolist()]
+
+
+def tiles(ring: Sequence[tuple[float, float]], side: int = 128) -> list[list[int]]:
+    """Tiles of a ring's box, ``side`` x ``side``, row by row from the lowest: 0 outside, 1 inside, 2 where an edge passes or may pass."""
+    points = np.asarray([*ring, ring[0]], np.float64)
+    (x0, y0), (x9, y9) = points.min(axis=0), points.max(axis=0)
+    w, h = (x9 - x0) / side, (y9 - y0) / side
+    x1, y1, x2, y2 = points[:-1, 0], points[:-1, 1], points[1:, 0], points[1:, 1]
+    low, high = np.minimum(y1, y2), np.maximum(y1, y2)
+    out = []
+    for r in range(side):
+        a, b = y0 + (r - 1e-6) * h, y0 + (r + 1 + 1e-6) * h
+        on = (low <= b) & (high >= a)
+        xa, ya, xb, yb = x1[on], y1[on], x2[on], y2[on]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ends = [np.where(ya == yb, e, xa + (np.clip(y, a, b) - ya) * (xb - xa) / (yb - ya)) for y, e in ((ya, xa), (yb, xb))]
+        c, d = (np.clip(np.floor((e - x0) / w + s * 1e-6).astype(np.int64), 0, side - 1) for e, s in ((np.minimum(*ends), -1), (np.maximum(*ends), 1)))
+        steps = np.zeros(side + 1, np.int64)
+        np.add.at(steps, c, 1)
+        np.add.at(steps, d + 1, -1)
+        middle = y0 + (r + 0.5) * h
+        over = (ya > middle) != (yb > middle)
+        xs = np.sort((xb[over] - xa[over]) * (middle - ya[over]) / (yb[over] - ya[over]) + xa[over])
+        inside = (len(xs) - np.searchsorted(xs, x0 + (np.arange(side) + 0.5) * w, "right")) % 2
+        out.append(np.where(np.cumsum(steps[:-1]) > 0, 2, inside).tolist())
+    return out
+
+
+#: Edges of a ring for which whole tiles are decided first.
+MANY = 256
+
+
 def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
     """Even-odd test against a ring of (x, y): the number of edges that a ray to the right crosses is odd.
 
-    An edge counts its lower end and not its upper one, so that a shared vertex counts once."""
-    points = list(ring)
-    if points[0] != points[-1]:
-        points.append(points[0])
-    crossings = F.lit(0)
-    for (x1, y1), (x2, y2) in zip(points, points[1:]):
-        if y1 == y2:
-            continue
-        hit = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)
-        crossings = crossings + hit.cast("int")
-    return crossings % 2 == 1
+    An edge counts its lower end and not its upper one, so that a shared vertex counts once. The edges are data, in literals by
+    strips of y (see :func:`strips`), so that the plan has one size whatever the ring, and a point meets only the edges of its strip; in a ring of many edges
+    those points that no edge is near are decided by their tile (see :func:`tiles`). Null coordinates are nowhere: null."""
+    low, height, first, edges = strips(ring)
+    if not edges:
+        return F.lit(False)
+    n = len(first) - 1
+    k = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((y - F.lit(low)) / F.lit(height)).cast("int")))
+    at = _numbers(first)
+    own = F.sequence(F.get(at, k).cast("int"), F.get(at, k + 1).cast("int") - 1)  # a ring has an edge in every strip
+    xs, ys, xe, ye = (_numbers(c) for c in zip(*edges))
+
+    near = F.transform(own, lambda i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), F.get(xe, i).alias("x2"), F.get(ye, i).alias("y2")))
+
+    def crossed(e: Column) -> Column:
+        return F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0)
+
+    inside = F.aggregate(near, F.lit(0), lambda total, e: total + crossed(e)) % 2 == 1
+    if len(edges) > MANY:
+        xs0, xs9 = min(p[0] for p in ring), max(p[0] for p in ring)
+        known = tiles(ring)
+        side = len(known)
+        place = lambda v, a, b: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor((v - F.lit(a)) / F.lit((b - a) / side)).cast("int")))
+        tile = F.get(_numbers([v for row in known for v in row]), place(y, low, max(p[1] for p in ring)) * side + place(x, xs0, xs9))
+        box = x.between(xs0, xs9) & y.between(low, max(p[1] for p in ring))
+        inside = F.when(~box | (tile == 0), False).when(tile == 1, True).otherwise(inside)
+    return F.when(y.isNotNull() & x.isNotNull(), inside)

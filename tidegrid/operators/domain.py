@@ -106,6 +106,38 @@ class MultiPolygonalDomain(Domain):
         return replace(merged, depth=self.depth)
 
 
+def to_geometry(domain: Domain) -> dict:
+    """A domain as plain lists and dicts, to be kept as JSON."""
+    out: dict = {"name": domain.name, "depth": list(domain.depth) if domain.depth else None}
+    if isinstance(domain, RectangularDomain):
+        return out | {"type": "rectangle", "latitude": list(domain.latitude), "longitude": list(domain.longitude)}
+    if isinstance(domain, PolygonalDomain):
+        return out | {"type": "polygon", "ring": [list(p) for p in domain.ring]}
+    if isinstance(domain, MultiPolygonalDomain):
+        return out | {"type": "polygons", "polygons": [to_geometry(p) for p in domain.polygons]}
+    raise ValueError(f"a {type(domain).__name__} can't be kept")
+
+
+def from_geometry(kept: dict) -> Domain:
+    """The domain that :func:`to_geometry` has kept; an unknown type is a ValueError."""
+    name, depth = kept["name"], tuple(kept["depth"]) if kept.get("depth") else None
+    if kept["type"] == "rectangle":
+        return RectangularDomain(name, tuple(kept["latitude"]), tuple(kept["longitude"]), depth)
+    if kept["type"] == "polygon":
+        return PolygonalDomain(name, tuple(tuple(p) for p in kept["ring"]), depth)
+    if kept["type"] == "polygons":
+        return MultiPolygonalDomain(name, tuple(from_geometry(p) for p in kept["polygons"]), depth)
+    raise ValueError(f"the geometry type {kept['type']!r} is unknown")
+
+
+def of_rings(name: str, rings: Sequence[Sequence[tuple[float, float]]], depth: tuple[float, float] | None = None) -> Domain:
+    """A polygon, or the union of several; none is a ValueError."""
+    if not rings:
+        raise ValueError(f"{name} has no ring")
+    polygons = tuple(PolygonalDomain(name if len(rings) == 1 else f"{name}-{i}", tuple(tuple(p) for p in ring), depth if len(rings) == 1 else None) for i, ring in enumerate(rings))
+    return polygons[0] if len(polygons) == 1 else MultiPolygonalDomain(name, polygons, depth)
+
+
 def cut_to(frame: GridFrame, domain: Domain) -> GridFrame:
     """Cells inside the domain; the others have no rows any more, which is how missing cells are stored. All axes stay, time too.
 

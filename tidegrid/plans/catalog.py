@@ -7,20 +7,23 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..frame import GridFrame
 from ..functions import calendar
 from ..functions.layers import layer_heights_table
 from ..operators.actions import run_action
-from ..operators.align import align_outer, with_mask
+from ..operators.align import align_frames, align_outer, with_mask
 from ..operators.bottom_map import BottomCellMap, nearest_water
 from ..operators.domain import MultiPolygonalDomain, PolygonalDomain, RectangularDomain, cut_to
 from ..operators.extract import first_time, nearest_time, water_mask
 from ..operators.plotdata import map_at, timeseries
+from ..operators.regions import points_in_polygons
 from ..lineage import shared_folder
 from ..sources import collection, filenames, providers
 from ..sources.sinks import ascii_lines, csv_table, raster
@@ -249,6 +252,48 @@ _domain("domain_polygon", PolygonalDomain("triangle", _TRIANGLE), _even_odd(_TRI
 _domain("domain_multipolygon", MultiPolygonalDomain("both", (PolygonalDomain("triangle", _TRIANGLE), PolygonalDomain("square", _SQUARE))), f"{_even_odd(_TRIANGLE)} or {_even_odd(_SQUARE)}")
 
 
+def _coast(n: int) -> tuple[tuple[float, float], ...]:
+    """A ring of 2 n vertices: a ragged southern coast from west to east, and a northern one back."""
+    south = [(29.7 + 2.0 * i / n, 41.6 + (i * 7919) % 101 / 60) for i in range(n)]
+    north = [(29.7 + 2.0 * i / n, 44.2 + (i * 6007) % 89 / 60) for i in range(n)]
+    return (*south, *reversed(north))
+
+
+_COAST = 1500
+_domain(
+    "domain_coast", PolygonalDomain("coast", _coast(_COAST)),
+    f"""(lat_idx, lon_idx) in (
+      with p as (select i k, 29.7 + 2.0::double * i / {_COAST} x, 41.6 + (i * 7919) % 101 / 60::double y from range({_COAST}) t(i)
+                 union all select {2 * _COAST - 1} - i, 29.7 + 2.0::double * i / {_COAST}, 44.2 + (i * 6007) % 89 / 60::double from range({_COAST}) t(i)),
+      e as (select x x1, y y1, lead(x, 1, 29.7::double) over (order by k) x2, lead(y, 1, 41.6::double) over (order by k) y2 from p),
+      c as (select distinct lat_idx, lon_idx, latitude, longitude from cube)
+      select lat_idx, lon_idx from c join e on (y1 > latitude) <> (y2 > latitude) and longitude < (x2 - x1) * (latitude - y1) / (y2 - y1) + x1 group by 1, 2 having count(*) % 2 = 1)""",
+)
+
+# Corners of a ragged star around a middle, in steps that both engines compute alike.
+_STAR = ((2, 0), (1, 1), (0, 3), (-1, 1), (-2, 0), (-1, -1), (0, -3), (1, -1))
+_STARS = "select s_suppkey polygon, 30 + s_suppkey * 37 % 101 * 0.02::double cx, 42 + s_suppkey * 53 % 97 * 0.03::double cy, 0.1 + s_suppkey % 7 * 0.05::double r from supplier"
+
+
+@_query(
+    "points_in_regions",
+    f"""with s as ({_STARS}), corner as (select * from (values {", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(_STAR))}) c(k, dx, dy)),
+    v as (select polygon, k, cx + dx * r x, cy + dy * r y from s cross join corner),
+    e as (select a.polygon, a.x x1, a.y y1, b.x x2, b.y y2 from v a join v b on a.polygon = b.polygon and b.k = (a.k + 1) % {len(_STAR)}),
+    p as (select distinct 30.0::double + o_custkey % 21 * 0.1::double x, 42.0::double + o_custkey % 31 * 0.1::double y from orders)
+    select round(p.x, 6) x, round(p.y, 6) y, polygon from p join e on (y1 > p.y) <> (y2 > p.y) and p.x < (x2 - x1) * (p.y - y1) / (y2 - y1) + x1 group by p.x, p.y, polygon having count(*) % 2 = 1""",
+)
+def points_in_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region for each supplier, and the places of orders that lie in it."""
+    star = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.col("s_suppkey").alias("polygon"), (F.lit(30) + F.col("s_suppkey") * 37 % 101 * F.lit(0.02)).alias("cx"), (F.lit(42) + F.col("s_suppkey") * 53 % 97 * F.lit(0.03)).alias("cy"),
+        (F.lit(0.1) + F.col("s_suppkey") % 7 * F.lit(0.05)).alias("r"),
+    )
+    ring = F.array(*[F.struct((F.col("cx") + x * F.col("r")).alias("x"), (F.col("cy") + y * F.col("r")).alias("y")) for x, y in _STAR])
+    places = order_points(spark, sf_dir).select(F.col("longitude").alias("x"), F.col("latitude").alias("y"))
+    return points_in_polygons(places, star.select("polygon", ring.alias("ring"))).select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "polygon")
+
+
 # a domain or a slice, then the variables, then an action
 
 _TRI = PolygonalDomain("triangle", _TRIANGLE)
@@ -339,6 +384,54 @@ def ingest_box_then_volume_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(run_action("reduce_axes", made.frame(spark), axes=["depth", "latitude", "longitude"]).table(), "thetao", "so")
 
 
+class _TwoGrids(_Cube):
+    """The monthly cube with salinity on latitudes of its own, half a degree to the north."""
+
+    kind = "two-grids"
+
+    def read(self, spark: SparkSession, variable: str, frequency: str, start: datetime, end: datetime) -> DataFrame:
+        cells = super().read(spark, variable, frequency, start, end)
+        return cells.withColumn("latitude", F.col("latitude") + 0.5) if variable == "so" else cells
+
+
+@_query(
+    "ingest_different_grids",
+    f"""with {_MON}, part as (select * from cube where "time" between timestamp '1995-03-01' and timestamp '1995-12-31'), a as (select "time", depth_idx, latitude, lon_idx, thetao from part),
+    b as (select "time", depth_idx, latitude + 0.5 latitude, lon_idx, so from part where latitude <= 44)
+    select "time", depth_idx, latitude, lon_idx, {_VALUES} from a full join b using ("time", depth_idx, latitude, lon_idx)""",
+)
+def ingest_different_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two variables on grids of their own in one collection, in files by month; read on the union of their coordinates."""
+    folder = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    box = RectangularDomain("Box", (42.0, 45.0), (30.0, 32.0))
+    made = providers.ingest(spark, folder, box, ["thetao", "so"], "monthly", datetime(1995, 3, 1), datetime(1995, 12, 31), _TwoGrids(sf_dir), "month")
+    return _tidy(made.frame(spark).table().drop("lat_idx"), "thetao", "so", drop=("depth", "longitude"))
+
+
+@_query(
+    "ingest_polygon_then_mean",
+    f"""with {_MON}, {_INSIDE} select "time", depth_idx, round(sum(thetao * area) / sum(area), 6) thetao from inside where "time" between timestamp '1995-01-01' and timestamp '1996-06-30' group by 1, 2""",
+)
+def ingest_polygon_then_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of a polygon holds its box; an analysis takes the cells in the polygon, which the catalogue keeps."""
+    folder = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    providers.ingest(spark, folder, _TRI, ["thetao"], "monthly", datetime(1995, 1, 1), datetime(1996, 6, 30), _Cube(sf_dir), "year")
+    made = collection.Collection.load(folder)
+    return _tidy(run_action("reduce_axes", made.inside(made.frame(spark)), axes=["latitude", "longitude"]).table(), "thetao")
+
+
+@_query(
+    "collection_slice",
+    f"""with {_MON} select {_CELL}, round(thetao, 6) thetao from cube where "time" between timestamp '1996-02-01' and timestamp '1996-05-15' and latitude between 43 and 44 and depth between 0 and 10""",
+)
+def collection_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a collection in files by month only those are read that may hold cells of the slice, by what the catalogue keeps of each."""
+    folder = f"{shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    box = RectangularDomain("Box", (42.0, 45.0), (30.0, 32.0))
+    made = providers.ingest(spark, folder, box, ["thetao"], "monthly", datetime(1995, 1, 1), datetime(1996, 12, 31), _Cube(sf_dir), "month")
+    return _tidy(made.frame(spark, ["thetao"], datetime(1996, 2, 1), datetime(1996, 5, 15), {"latitude": (43.0, 44.0), "depth": (0.0, 10.0)}).table(), "thetao")
+
+
 @_query("bottom_both", f'with {_MON}, {_POINTS} select "time", lat_idx, lon_idx, {_VALUES} from cube join bottom using (lat_idx, lon_idx) where depth_idx = bottom_idx')
 def bottom_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(run_action("extract_bottom", monthly_cube(spark, sf_dir)).table(), "thetao", "so")
@@ -383,6 +476,21 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(align_outer([a, b]), "thetao", "so")
 
 
+@_query(
+    "align_different_grids",
+    f"""with {_MON}, a as (select "time", depth_idx, latitude, lon_idx, thetao from cube where (depth_idx + lat_idx) % 3 <> 0), b as (select "time", depth_idx, 42 + lat_idx * 0.5::double latitude, lon_idx, so from cube where lat_idx < 3)
+    select "time", depth_idx, latitude, lon_idx, {_VALUES} from a full join b using ("time", depth_idx, latitude, lon_idx)""",
+)
+def align_different_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Salinity on a grid of half the spacing in latitude, whose index 1 is 42.5 and not 43."""
+    frame = monthly_cube(spark, sf_dir)
+    a = frame.select(["thetao"]).map(lambda t: t.where("(depth_idx + lat_idx) % 3 != 0"))
+    half = {i: 42 + i * 0.5 for i in range(3)}
+    b = frame.select(["so"]).map(lambda t: t.where("lat_idx < 3").withColumn("latitude", F.lit(42.0) + F.col("lat_idx") * 0.5))
+    b = replace(b, axes=b.axes | {"latitude": half}, grid=b.grid | {"latitude": half})
+    return _tidy(align_frames([a, b]).table().drop("lat_idx"), "thetao", "so", drop=("depth", "longitude"))
+
+
 @_query("timeseries_mean", f'with {_MON} select "time", depth_idx, round(avg(thetao), 9) thetao from cube group by 1, 2')
 def timeseries_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(timeseries(monthly_cube(spark, sf_dir), "thetao"), "thetao", digits=9)
@@ -525,14 +633,23 @@ def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collection.validate(monthly_cube(spark, sf_dir).table(), "thetao", (0.0, 100.0))
 
 
-@_query("layer_heights", "select * from (values (0, 0.5::double, 1.0::double), (1, 2, 2), (2, 5, 4), (3, 10, 6), (4, 20, 14), (5, 40, 26), (6, 80, 54)) t(idx, depth, height)")
+@_query("layer_heights", f"with {_MON} select distinct depth_idx idx, depth, h height from cube")
 def layer_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layer_heights_table(spark.createDataFrame(list(enumerate(DEPTHS)), "idx int, depth double"))
+    """Of the depths at which the cube has cells."""
+    levels = monthly_cube(spark, sf_dir).table().select(F.col("depth_idx").alias("idx"), "depth").distinct()
+    return layer_heights_table(levels)
 
 
-@_query("variables", "select * from (values " + ", ".join("('{}', '{}', '{}')".format(*v) for v in KNOWN) + ") t(name, label, cmap)")
+@_query(
+    "variables",
+    f"""with {_MON}, {_DAY}, n as (select 'thetao' name, count(thetao) cells from cube union all select 'so', count(so) from cube union all select 'chl', count(chl) from days)
+    select v.*, coalesce(n.cells, 0) cells from (values {", ".join("('{}', '{}', '{}')".format(*v) for v in KNOWN)}) v(name, label, cmap) left join n using (name)""",
+)
 def known_variables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variables_table(spark)
+    """The known variables, and the number of cells of each in the cubes."""
+    frames = [monthly_cube(spark, sf_dir).table(), daily_cube(spark, sf_dir).table()]
+    counts = [t.agg(*[F.count(v).alias(v) for v in GridFrame.variables_of(t)]).unpivot([], GridFrame.variables_of(t), "name", "cells") for t in frames]
+    return variables_table(spark).join(counts[0].union(counts[1]), "name", "left").withColumn("cells", F.coalesce("cells", F.lit(0)).cast("long"))
 
 
 def queries() -> dict[str, Query]:

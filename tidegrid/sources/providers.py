@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import uuid
 from abc import ABC, abstractmethod
 from collections.abc import Callable
-from dataclasses import dataclass, field
-from datetime import date, datetime
+from dataclasses import dataclass, field, replace
+from datetime import date, datetime, timedelta
 
 import yaml
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from ..functions.calendar import FREQUENCIES, split_interval
+from ..frame import COLUMNS
+from ..functions.calendar import FREQUENCIES, month_start, split_interval
+from ..operators.align import Grid, one_numbering, reconciled
 from ..operators.domain import BoundingBox, Domain
 from .archives import Decoder, decode, local_archive, tar_archive
-from .collection import CATALOGUE, Collection, DataFile, merge_all, validate
+from .collection import CATALOGUE, Collection, DataFile, as_axis, fault, merge_all
 from .filenames import data_file_name
 from .store import Location, exists, join, make_folder, place, read_text
 from .variables import REGISTRY
@@ -163,16 +165,6 @@ def inside(table: DataFrame, box: BoundingBox) -> DataFrame:
     return out.where(F.col("depth").between(*box.depth)) if box.depth and "depth" in table.columns else out
 
 
-def _axes(tables: list[DataFrame]) -> dict[str, list[float] | dict[int, float]]:
-    """Axis metadata of written files: distinct coordinates by the provider's indices, as few as a grid has; a list where these count from 0."""
-    out: dict[str, dict[int, float]] = {}
-    for t in tables:
-        for axis, index in (("depth", "depth_idx"), ("latitude", "lat_idx"), ("longitude", "lon_idx")):
-            if axis in t.columns:
-                out.setdefault(axis, {}).update({r[0]: r[1] for r in t.select(index, axis).distinct().collect()})
-    return {axis: [by[i] for i in sorted(by)] if sorted(by) == list(range(len(by))) else dict(sorted(by.items())) for axis, by in out.items()}
-
-
 def ingest(spark: SparkSession, folder: Location, domain: Domain, variables: list[str], frequency: str, start: datetime, end: datetime, provider: Provider, split_by: str | None = None, title: str | None = None) -> Collection:
     """Read variables of a provider within a domain and time into Parquet files under ``folder``, with a catalogue.
 
@@ -184,51 +176,113 @@ def ingest(spark: SparkSession, folder: Location, domain: Domain, variables: lis
     if lost := [v for v in variables if v not in provider.available_variables(frequency)]:
         raise ValueError(f"not available at the frequency {frequency}: {', '.join(lost)}")
     parts = split_interval(start, end, split_by) if split_by else [(start, end)]
-    files = {v: [DataFile(a, b, v, data_file_name(domain.name, v, frequency, a, b).removesuffix(".nc") + ".parquet") for a, b in parts] for v in variables}
-    made = Collection(domain.name, start, end, frequency, provider.kind, files, {}, title or f"{frequency} means")
+    files = {v: [DataFile(a, b, v, f"file={data_file_name(domain.name, v, frequency, a, b).removesuffix('.nc')}.parquet") for a, b in parts] for v in variables}
+    made = Collection(domain.name, start, end, frequency, provider.kind, files, {}, title or f"{frequency} means", region=domain)
     make_folder(folder)
     made.save(folder)
     return resume(spark, folder, domain, provider)
 
 
-def _write_parts(cells: DataFrame, folder: Location, wanted: list[DataFile]) -> None:
-    """The files ``wanted`` from one reading of the cells: written side by side in a draft, from which whole parts are moved into place."""
+def _until(files: list[DataFile]) -> list[tuple[DataFile, datetime, bool]]:
+    """Each file with the time up to which its cells go, and whether that time belongs to it: a part goes up to the start of the one that follows within a second, so that
+    no cell of a part's last second is lost."""
+    ordered = sorted(files, key=lambda f: f.start)
+    out = []
+    for f, after in zip(ordered, [*ordered[1:], None]):
+        joins = after is not None and f.end < after.start <= f.end + timedelta(seconds=1)
+        out.append((f, after.start if joins else f.end, not joins))
+    return out
+
+
+def with_file(cells: DataFrame, files: list[DataFile], all_files: list[DataFile]) -> DataFrame:
+    """``cells`` with ``file``, the name of the file among ``files`` that their time belongs to; cells of no file are left out.
+
+    Files meet cells by month, as a join with a table of (month, file): the plan has one size whatever their number."""
     spark = cells.sparkSession
-    part = F.lit(None).cast("int")
-    for i, f in enumerate(wanted):
-        part = F.when((F.col("time") >= F.lit(f.start)) & (F.col("time") <= F.lit(f.end)), F.lit(i)).otherwise(part)
-    draft = join(folder, f"tmp.{uuid.uuid4().hex}")
-    cells.withColumn("part", part).where("part is not null").write.partitionBy("part").option("compression", "zstd").parquet(draft)
-    store, root = place(draft)
-    for i, f in enumerate(wanted):
-        made, target = f"{root}/part={i}", place(join(folder, f.path))[1]
-        if store.get_file_info(target).type != pafs.FileType.NotFound:  # left by a job that was stopped
-            store.delete_dir(target)
-        if store.get_file_info(made).type == pafs.FileType.NotFound:  # no cell at that time
-            spark.createDataFrame([], cells.schema).write.parquet(join(folder, f.path))
-            continue
-        store.open_output_stream(f"{made}/_SUCCESS").close()
-        store.move(made, target)
-    store.delete_dir(root)
+    chosen = {f.path for f in files}
+    rows = [(f.path.removeprefix("file="), f.start, until, last) for f, until, last in _until(all_files) if f.path in chosen]
+    parts = spark.createDataFrame(rows, "file string, _start timestamp_ntz, _until timestamp_ntz, _last boolean")
+    months = F.sequence(month_start(F.col("_start")), month_start(F.col("_until")), F.expr("interval 1 month"))
+    parts = parts.withColumn("_month", F.explode(months))
+    own = (F.col("time") >= F.col("_start")) & ((F.col("time") < F.col("_until")) | F.col("_last") & (F.col("time") == F.col("_until")))
+    named = cells.withColumn("_month", month_start(F.col("time"))).join(parts, "_month").where(own)
+    return named.select(*cells.columns, "file")
+
+
+def _write_parts(cells: DataFrame, folder: Location, files: list[DataFile], all_files: list[DataFile]) -> None:
+    """The files ``files`` from one reading of the cells, in one job of Spark.
+
+    Cells are brought together by file, and files that are much larger than others dealt out over tasks. Tasks write beside the collection; the job's commit puts whole files in place of
+    what a stopped job may have left there, and a failing job leaves what was there. Then each file is marked as whole."""
+    named = with_file(cells, files, all_files).hint("rebalance", "file")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("file").parquet(str(folder))
+    store, root = place(folder)
+    for f in files:  # also those of a time without cells
+        store.create_dir(f"{root}/{f.path}", recursive=True)
+        store.open_output_stream(f"{root}/{f.path}/_SUCCESS").close()
+
+
+def _described(spark: SparkSession, folder: Location, files: list[DataFile], schema: StructType) -> list[tuple[DataFile, Grid]]:
+    """Written files with their rows, least and largest values, and their axes by index: what is read by later scans, resumes and checks instead of the data.
+
+    Axes come as distinct arrays, each with the files that have it, so that the driver gets an axis once however many files have it."""
+    schema = StructType([*schema.fields, StructField("file", StringType())])
+    cells = spark.read.schema(schema).option("basePath", str(folder)).parquet(*[join(folder, f.path) for f in files])
+    zones = [a for a in ("time", "depth", "latitude", "longitude") if a in cells.columns]
+    ends = [f(a).alias(f"{a}_{n}") for a in zones for n, f in (("low", F.min), ("high", F.max))]
+    about = {r["file"]: r for r in cells.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), *ends).collect()}
+    flat = [a for a in zones if a != "time"]
+    entry = F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(COLUMNS[a][0]).alias("i"), F.col(a).cast("double").alias("x")) for a in flat])).alias("e")
+    axes = cells.select("file", entry).select("file", "e.*").where("i is not null").distinct() if flat else None
+    grids: dict[str, Grid] = {}
+    if axes is not None:
+        whole = axes.groupBy("file", "axis").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("values"))
+        for r in whole.groupBy("axis", "values").agg(F.collect_list("file").alias("files")).collect():
+            for name in r["files"]:
+                grids.setdefault(name, {})[r["axis"]] = {v["i"]: v["x"] for v in r["values"]}
+    out = []
+    for f in files:
+        name = f.path.removeprefix("file=")
+        r = about.get(name)
+        found = {a: tuple(v.isoformat() if isinstance(v, datetime) else v for v in (r[f"{a}_low"], r[f"{a}_high"])) for a in zones if r[f"{a}_low"] is not None} if r else {}
+        out.append((replace(f, rows=r["rows"] if r else 0, zones=found), grids.get(name, {})))
+    return out
+
+
+def _placed(grid: Grid, grids: list[Grid]) -> int:
+    """The place of a grid among ``grids``: of one that it goes together with by indices, which then holds both, else a new one."""
+    for k, known in enumerate(grids):
+        merged = {a: one_numbering([g[a] for g in (known, grid) if a in g]) for a in {*known, *grid}}
+        if None not in merged.values():
+            grids[k] = {a: merged[a] for a in ("depth", "latitude", "longitude") if a in merged}
+            return k
+    grids.append(grid)
+    return len(grids) - 1
 
 
 def resume(spark: SparkSession, folder: Location, domain: Domain, provider: Provider, report: Callable[[str], None] = lambda _: None) -> Collection:
-    """Make those files of a collection that aren't there yet; a file is there once it is committed as a whole.
+    """Make those files of a collection that aren't there yet; a file is there once it is marked as whole and the catalogue describes it.
 
-    Each variable is read once, for the time of all its missing files. ``report`` gets faults that validation finds."""
+    Each variable is read once, for the time of all its missing files; for files that are there no job is run. ``report`` gets faults that
+    validation finds in what the catalogue keeps of each file."""
     made = Collection.load(folder)
-    written = []
+    store, root = place(folder)
+    changed = False
     for variable, files in made.files.items():
-        missing = [f for f in files if not exists(join(join(folder, f.path), "_SUCCESS"))]
+        marks = store.get_file_info([f"{root}/{f.path}/_SUCCESS" for f in files])
+        missing = [f for f, mark in zip(files, marks) if mark.type == pafs.FileType.NotFound or f.rows is None]
         if missing:
-            cells = inside(provider.read(spark, variable, made.frequency, min(f.start for f in missing), max(f.end for f in missing)), domain.box())
-            _write_parts(cells, folder, missing)
-        for f in files:
-            table = spark.read.parquet(join(folder, f.path))
-            found = validate(table, variable, domain.box().depth).first()
-            if not found["ok"]:
-                report(f"{f.path}: {found['reason']}")
-            written.append(table)
-    made.axes = _axes(written)
-    made.save(folder, again=True)
+            until = max(end for f, end, _ in _until(files) if f in missing)
+            cells = inside(provider.read(spark, variable, made.frequency, min(f.start for f in missing), until), domain.box())
+            _write_parts(cells, folder, missing, files)
+            made.schemas[variable] = ", ".join(f"{n} {t}" for n, t in cells.dtypes)
+            new = {f.path: replace(f, grid=_placed(grid, made.grids)) for f, grid in _described(spark, folder, missing, cells.schema)}
+            made.files[variable] = [new.get(f.path, f) for f in files]
+            changed = True
+        for f in made.files[variable]:
+            if found := fault(f, made.schemas[variable], domain.box().depth):
+                report(f"{f.path}: {found}")
+    if changed:
+        made.axes = {a: as_axis(v) for a, v in reconciled(made.grids)[0].items()}
+        made.save(folder, again=True)
     return Collection.load(folder)
