@@ -52,7 +52,7 @@ def _survey(words: int, length: int):
         bp, wp = byte_powers(), word_powers()
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, bounds in blocks(batch.column(1)):
+            for a, b, data, bounds in blocks(batch.column(2)):
                 w = Words(data, bounds, bp)
                 sign, whole = _signs(w, length, words, wp)
                 rows = []
@@ -63,7 +63,7 @@ def _survey(words: int, length: int):
                     seen = np.unique(sign[lo : hi - words + 1][whole[lo : hi - words + 1]]).view(np.int64) if hi - lo >= words else np.zeros(0, np.int64)
                     rows.append((hi - lo, _digest(parts), hashlib.blake2b(raw, digest_size=16).digest(), seen))
                 n, sha, prints, seen = zip(*rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(prints, pa.binary()), pa.array(seen, pa.list_(pa.int64()))], ["doc_id", "n_words", "sha", "print", "signs"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), batch.column(1).slice(a, b - a), pa.array(n, pa.int64()), pa.array(sha), pa.array(prints, pa.binary()), pa.array(seen, pa.list_(pa.int64()))], ["doc_id", "mark", "n_words", "sha", "print", "signs"])
 
     return run
 
@@ -75,8 +75,8 @@ def _deepen(words: int, length: int, after: int):
         bp, wp = byte_powers(), word_powers()
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            hits = batch.column(2)
-            for a, b, data, bounds in blocks(batch.column(1)):
+            hits = batch.column(3)
+            for a, b, data, bounds in blocks(batch.column(2)):
                 w = Words(data, bounds, bp)
                 sign, whole = _signs(w, length, words, wp)
                 deep, _ = _signs(w, after, words, wp)
@@ -92,7 +92,7 @@ def _deepen(words: int, length: int, after: int):
                     else:
                         out.append((press.compress(data[bounds[i] : bounds[i + 1]].tobytes()), (at - lo).astype(np.int32), deep[at].view(np.int64), check[at].astype(np.uint32).view(np.int32)))
                 z, pos, h, c = zip(*out)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(z, pa.binary()), pa.array(pos, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.int32()))], ["doc_id", "z", "at", "h", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(z, pa.binary()), pa.array(pos, pa.list_(pa.int32())), pa.array(h, pa.list_(pa.int64())), pa.array(c, pa.list_(pa.int32()))], ["doc_id", "mark", "z", "at", "h", "c"])
 
     return run
 
@@ -104,7 +104,7 @@ def _remove(words: int):
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for doc, z, at in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, mark, z, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 parts = expand.decompress(z.as_py()).split()
                 gone = np.zeros(len(parts) + 1, np.int32)
                 first = np.asarray(at.values, np.int64)
@@ -112,10 +112,10 @@ def _remove(words: int):
                 np.add.at(gone, np.minimum(first + words, len(parts)), -1)
                 keep = np.cumsum(gone[:-1]) == 0
                 kept = [parts[k] for k in np.flatnonzero(keep)]
-                rows.append((doc, len(parts) - len(kept), _digest(kept), b" ".join(kept).decode()))
+                rows.append((doc, mark, len(parts) - len(kept), _digest(kept), b" ".join(kept).decode()))
             if rows:
-                d, n, sha, text = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(n, pa.int64()), pa.array(sha), pa.array(text, pa.string())], ["doc_id", "n_removed", "kept_sha256", "kept_text"])
+                d, m, n, sha, text = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(m, pa.binary()), pa.array(n, pa.int64()), pa.array(sha), pa.array(text, pa.string())], ["doc_id", "mark", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
@@ -131,44 +131,44 @@ def drop_repeats(docs: DataFrame, words: int = 50) -> DataFrame:
     Equal windows have equal parts and so equal signs, which is why no repeat is lost; neighbouring windows mostly share their
     smallest part, so that a document sends one sign for about every 13 of its windows, not all of them. Documents equal
     word for word to a smaller one are settled before. A null or empty text has no words; rows that
-    repeat a doc_id must repeat its text and get equal rows; a null doc_id is never judged. Other
+    repeat a doc_id are judged each by its own text, against texts of smaller ids only, and equal rows give equal rows; a null doc_id is never judged. Other
     columns are ignored. Returns doc_id, n_words, n_removed, kept_sha256, kept_text (null where nothing went).
     """
     lean(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    row = ["doc_id", "mark"]  # rows of one id are told apart by their texts
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("mark"), "text")
     steps = lengths(words)
-    seen = cut(docs.mapInArrow(_survey(words, steps[0]), "doc_id long, n_words long, sha string, print binary, signs array<long>"), "repeats-survey")
+    seen = cut(docs.mapInArrow(_survey(words, steps[0]), "doc_id long, mark binary, n_words long, sha string, print binary, signs array<long>"), "repeats-survey")
     long = seen.where(F.col("n_words") >= words)
     # what a hot key is joined with is a table of its own, so that Spark can split that key's rows over tasks
     first = cut(long.groupBy("print").agg(F.min("doc_id").alias("first")), "repeats-first")
-    judged = cut(long.join(first, "print").select("doc_id", (F.col("doc_id") > F.col("first")).alias("copy"), F.when(F.col("doc_id") == F.col("first"), F.col("signs")).alias("signs")), "repeats-copies")
-    now = judged.where(~F.col("copy")).select("doc_id", F.explode("signs").alias("h"))
+    judged = cut(long.join(first, "print").select(*row, (F.col("doc_id") > F.col("first")).alias("copy"), F.when(F.col("doc_id") == F.col("first"), F.col("signs")).alias("signs")), "repeats-copies")
+    now = judged.where(~F.col("copy")).select(*row, F.explode("signs").alias("h"))
     marks = None
     for length, after in zip(steps, [*steps[1:], words]):
         again = cut(now.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "repeats-again")
-        hits = now.join(again, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
-        deep = cut(docs.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_deepen(words, length, after), "doc_id long, z binary, at array<int>, h array<long>, c array<int>"), "repeats-level")
+        hits = now.join(again, "h").groupBy(*row).agg(F.collect_set("h").alias("hits"))
+        found = docs.join(hits, row).select(*row, "text", "hits").mapInArrow(_deepen(words, length, after), "doc_id long, mark binary, z binary, at array<int>, h array<long>, c array<int>")
+        deep = cut(found.dropDuplicates(row) if after == words else found, "repeats-level")
         if after == words:
             marks = deep
             break
-        now = deep.select("doc_id", F.explode("h").alias("h"))
+        now = deep.select(*row, F.explode("h").alias("h"))
         if now.isEmpty():
             break
-    out = seen.join(judged.where("copy").select("doc_id", "copy").distinct(), "doc_id", "left")
+    out = seen.join(judged.where("copy").select(*row, "copy").distinct(), row, "left")
     none = F.sha2(F.lit(""), 256)
     base = (F.coalesce("copy", F.lit(False)), F.col("n_words"), F.col("sha"))
     if marks is None:
-        gone = None
+        gone = docs.sparkSession.createDataFrame([], "doc_id long, mark binary, n_removed long, kept_sha256 string, kept_text string")
     else:
-        rows = marks.select("doc_id", F.explode(F.arrays_zip("at", "h", "c")).alias("w")).select("doc_id", "w.at", "w.h", "w.c")
+        rows = marks.select(*row, F.explode(F.arrays_zip("at", "h", "c")).alias("w")).select(*row, "w.at", "w.h", "w.c")
         least = rows.groupBy("h", "c").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
         least = cut(least.select("h", "c", "lo"), "repeats-least")
-        bad = rows.join(least, ["h", "c"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("at").alias("bad"))
-        gone = marks.select("doc_id", "z").join(bad, "doc_id").select("doc_id", "z", "bad").mapInArrow(_remove(words), "doc_id long, n_removed long, kept_sha256 string, kept_text string").dropDuplicates(["doc_id"])
-    if gone is None:
-        gone = docs.sparkSession.createDataFrame([], "doc_id long, n_removed long, kept_sha256 string, kept_text string")
+        bad = rows.join(least, ["h", "c"]).where("doc_id > lo").groupBy(*row).agg(F.collect_set("at").alias("bad"))
+        gone = marks.select(*row, "z").join(bad, row).select(*row, "z", "bad").mapInArrow(_remove(words), "doc_id long, mark binary, n_removed long, kept_sha256 string, kept_text string")
     copy, n, sha = base
-    return out.join(gone, "doc_id", "left").select(
+    return out.join(gone, row, "left").select(
         "doc_id", n.alias("n_words"),
         F.when(copy, n).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, none).otherwise(F.coalesce("kept_sha256", sha)).alias("kept_sha256"),
