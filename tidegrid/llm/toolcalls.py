@@ -27,20 +27,56 @@ SCHEMAS = {
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "integer": int, "number": (int, float)}
 
 
+_CHECKED = {"type", "enum", "minimum", "maximum", "properties", "required", "additionalProperties", "items"}
+_SAID = {"title", "description", "default", "examples", "$schema", "$comment"}  # say nothing about what is valid
+
+
+def checked(schema: object, at: str = "$") -> dict:
+    """A schema as :func:`faults` reads it, its type as a list. A keyword that isn't checked, an unknown type or a part of the wrong kind is a ValueError, before any row is read."""
+    if not isinstance(schema, dict):
+        raise ValueError(f"the schema at {at} is not an object")
+    if odd := set(schema) - _CHECKED - _SAID:
+        raise ValueError(f"the schema at {at} has keywords that aren't checked: {', '.join(sorted(map(str, odd)))}")
+    out = {k: v for k, v in schema.items() if k in _CHECKED}
+    if "type" in out:
+        kinds = [out["type"]] if isinstance(out["type"], str) else out["type"]
+        if not isinstance(kinds, list) or not kinds or not all(isinstance(k, str) and k in _KINDS for k in kinds):
+            raise ValueError(f"the schema at {at} has the type {schema['type']!r}; known are {', '.join(_KINDS)}")
+        out["type"] = kinds
+    for key, kind in (("enum", list), ("required", list), ("properties", dict), ("additionalProperties", bool)):
+        if key in out and not isinstance(out[key], kind):
+            raise ValueError(f"{key} of the schema at {at} is not a {kind.__name__}")
+    for key in ("minimum", "maximum"):
+        if key in out and (not isinstance(out[key], (int, float)) or isinstance(out[key], bool)):
+            raise ValueError(f"{key} of the schema at {at} is not a number")
+    if "properties" in out:
+        out["properties"] = {str(k): checked(v, f"{at}.{k}") for k, v in out["properties"].items()}
+    if "items" in out:
+        out["items"] = checked(out["items"], f"{at}[]")
+    return out
+
+
+def _is(x: object, kind: str) -> bool:
+    if isinstance(x, bool):
+        return kind == "boolean"
+    return isinstance(x, _KINDS[kind]) or kind == "integer" and isinstance(x, float) and x.is_integer()
+
+
 def canonical(x: object) -> str:
     """JSON with sorted keys, no spaces, and characters as they are; a lone surrogate becomes a question mark."""
     return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode("utf-8", "replace").decode()
 
 
 def faults(x: object, schema: dict, at: str = "$") -> list[str]:
-    """What in ``x`` breaks the schema (type, enum, minimum, maximum, properties, required, additionalProperties, items).
+    """What in ``x`` breaks a :func:`checked` schema (type, enum, minimum, maximum, properties, required, additionalProperties, items). A whole number is an integer, however written.
 
     An object with the only key $result stands for any value."""
     if isinstance(x, dict) and set(x) == {"$result"}:
         return []
-    kind = schema.get("type")
-    if kind and (not isinstance(x, _KINDS[kind]) or isinstance(x, bool) and kind in ("integer", "number")):
-        return [f"{at}: not of type {kind}"]
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if kinds and not any(_is(x, kind) for kind in kinds):
+        return [f"{at}: not of type {' or '.join(kinds)}"]
     out = []
     if "enum" in schema and x not in schema["enum"]:
         out.append(f"{at}: not in enum")
@@ -80,6 +116,7 @@ _PART = pa.struct([("part", pa.int32()), ("kind", pa.string()), ("id", pa.string
 
 def parser(schemas: dict[str, dict]):
     """Arrow function of role and text: the message itself (part 0) and its blocks, each as canonical JSON."""
+    schemas = {name: checked(schema, name) for name, schema in schemas.items()}
 
     @F.arrow_udf("array<struct<part: int, kind: string, id: string, needs: array<string>, faults: array<string>, json: string>>")
     def parse(roles: pa.Array, texts: pa.Array) -> pa.Array:
