@@ -1,7 +1,7 @@
 """Operator 5: legacy ARC archives converted to WARC, with payloads stored once.
 
-Archives are files in a shared folder, written and read by tasks through ``pyarrow.fs`` (any store it knows by URI), in
-gzip members of one record each. A task names its files by a random mark, and only the names that successful tasks
+Archives are files in a shared folder, written and read by tasks through ``pyarrow.fs`` (any store it knows by URI), record by record; they are written in
+gzip members of one record each, and read packed or plain. A task names its files by a random mark, and only the names that successful tasks
 return count, so a lost executor leaves at most unused files. Records are found by their declared lengths, never by
 searching payloads for separators.
 """
@@ -9,12 +9,16 @@ searching payloads for separators.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
+import io
+import itertools
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -43,30 +47,97 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def _gunzip(data: bytes, window: int = 1 << 14) -> bytes:
-    """All members of a gzip file, fed window by window: what a member leaves over is copied."""
-    out, view, at = [], memoryview(data), 0
-    while at < len(data):
-        z = zlib.decompressobj(31)
-        while not z.eof:
-            if at >= len(data):
-                raise ValueError("the archive ends within a member")
-            fed = view[at : at + window]
-            out.append(z.decompress(fed))
-            at += len(fed) - len(z.unused_data)
-    return b"".join(out)
+class Broken(ValueError):
+    """An archive that can't be read on from a place."""
+
+
+class _Members(io.RawIOBase):
+    """The contents of a gzip file's members one after the other, or of a plain file as it is; what is read at once is all that is held."""
+
+    def __init__(self, stream: BinaryIO, window: int = 1 << 14) -> None:
+        self.stream, self.window = stream, window
+        self.left = stream.read(window)
+        self.packed = self.left[:2] == b"\x1f\x8b"
+        self.member: zlib._Decompress | None = None
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        size = len(into)
+        while True:
+            ended = not self.left and not (self.packed and self.member and self.member.unconsumed_tail)
+            if ended:
+                self.left = self.stream.read(self.window)
+            if not self.packed:
+                made, self.left = self.left[:size], self.left[size:]
+                into[: len(made)] = made
+                return len(made)
+            if self.member is None:
+                if not self.left:
+                    return 0
+                self.member = zlib.decompressobj(31)
+            over = not self.left
+            made = self.member.decompress(self.left, size)
+            self.left = self.member.unused_data if self.member.eof else self.member.unconsumed_tail
+            if self.member.eof:
+                self.member = None
+            elif over and not made:
+                raise Broken("the archive ends within a member")
+            if made:
+                into[: len(made)] = made
+                return len(made)
+
+
+class Archive:
+    """A file of records, read in order: lines and stretches of bytes, with the place in its (unpacked) contents. For bytes, or a stream of them."""
+
+    def __init__(self, of: bytes | BinaryIO) -> None:
+        self.buffer = io.BufferedReader(_Members(io.BytesIO(of) if isinstance(of, bytes) else of), 1 << 16)
+        self.at = 0
+
+    def _passed(self, read: Callable[[int], bytes], n: int) -> bytes:
+        try:
+            made = read(n)
+        except zlib.error as e:
+            raise Broken(f"a member can't be unpacked: {e}") from e
+        self.at += len(made)
+        return made
+
+    def line(self, longest: int = 1 << 16) -> bytes:
+        """Up to and with the next line end, empty at the end of the file; a line of more than ``longest`` bytes in pieces."""
+        return self._passed(self.buffer.readline, longest)
+
+    def take(self, n: int) -> bytes:
+        made = self._passed(self.buffer.read, n)
+        if len(made) != n:
+            raise Broken("the archive ends within a record")
+        return made
+
+
+@contextlib.contextmanager
+def _opened(uri: str) -> Iterator[Archive]:
+    store, path = pafs.FileSystem.from_uri(uri)
+    with store.open_input_stream(path, compression=None) as f:
+        yield Archive(f)
 
 
-def _read(uri: str) -> bytes:
+@contextlib.contextmanager
+def _written(uri: str) -> Iterator[BinaryIO]:
     store, path = pafs.FileSystem.from_uri(uri)
-    with store.open_input_stream(path) as f:
-        return _gunzip(f.read())
+    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(path, compression=None) as f:
+        yield f
+
+
+def _read(uri: str) -> bytes:
+    """All contents of a file, unpacked."""
+    with _opened(uri) as archive:
+        return archive.buffer.read()
 
 
 def _write(uri: str, members: list[bytes]) -> None:
-    store, path = pafs.FileSystem.from_uri(uri)
-    store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(path) as f:
+    with _written(uri) as f:
         f.write(b"".join(members))
 
 
@@ -117,36 +188,55 @@ def arc_records(version: int, name: str, rows: list[tuple[int | None, str | None
         yield record
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def parse_arc(archive: Archive | bytes, strict: bool = True) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """(offset, header fields, block) of each record after the version block.
 
     The version block, whose header line has the fields of version 1 unless it declares more, says by the number at
     its beginning how the header lines of the others are read; each block is as long as its line declares. A url and a content
-    type may hold spaces: the date, of 12 or 14 digits, tells them apart. Line ends between records may be missing or more than one."""
-    at, fields = 0, None
-    while at < len(data):
-        if fields and data[at] in b"\r\n":
-            at += 1
-            continue
-        end = data.index(b"\n", at)
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        names = fields or (ARC_FIELDS[2] if _LINES[2].fullmatch(line) else ARC_FIELDS[1])
-        values = _LINES[1 if names == ARC_FIELDS[1] else 2].fullmatch(line)
-        if values is None:
-            raise ValueError(f"a header line without the {len(names)} fields that are declared: {line[:200]!r}")
-        head = dict(zip(names, values.groups()))
-        size = int(head["Archive-length"])
-        block = data[end + 1 : end + 1 + size]
-        if len(block) != size:
-            raise ValueError("the archive ends within a record")
+    type may hold spaces: the date, of 12 or 14 digits, tells them apart. Line ends between records may be missing or more than one.
+
+    What can't be read is a :class:`Broken`, or, if not ``strict``, gives (offset, {"fault": reason}, b""): a stretch of lines that are no header lines, after which reading goes on at the next one that is;
+    an archive that ends within a record or a member; one without a version block of a known version, of which nothing else is read."""
+    archive = Archive(archive) if isinstance(archive, bytes) else archive
+    fields, lost = None, None
+
+    def fault(at: int, reason: str) -> tuple[int, dict[str, str], bytes]:
+        if strict:
+            raise Broken(reason)
+        return at, {"fault": reason}, b""
+
+    while True:
+        at = archive.at
+        try:
+            raw = archive.line()
+            if not raw:
+                break
+            if fields and not raw.strip(b"\r\n"):
+                continue
+            line = raw.decode("utf-8", "replace").rstrip("\r\n")
+            names = fields or (ARC_FIELDS[2] if _LINES[2].fullmatch(line) else ARC_FIELDS[1])
+            values = _LINES[1 if names == ARC_FIELDS[1] else 2].fullmatch(line) if raw.endswith(b"\n") else None
+            if values is None:
+                if lost is None:
+                    lost = at
+                    yield fault(at, f"not a header line with the {len(names)} fields that are declared: {line[:200]!r}")
+                if fields is None:
+                    break
+                continue
+            head = dict(zip(names, values.groups()))
+            block = archive.take(int(head["Archive-length"]))
+        except Broken as e:
+            yield fault(at, str(e))
+            break
+        lost = None
         if fields is None:
-            version = int(block.split(b" ", 1)[0])
-            if version not in ARC_FIELDS:
-                raise ValueError(f"ARC version {version} is unknown")
-            fields = ARC_FIELDS[version]
+            version = block.split(b" ", 1)[0]
+            fields = ARC_FIELDS.get(int(version) if version.isdigit() and len(version) < 9 else -1)
+            if fields is None:
+                yield fault(at, f"ARC version {version[:20].decode('utf-8', 'replace')} is unknown")
+                break
         else:
             yield at, head, block
-        at = end + 1 + size
 
 
 def warc_record(kind: str, name: str, head: dict[str, str], block: bytes, digest: str, refers: tuple[str, dict[str, str]] | None) -> bytes:
@@ -172,20 +262,20 @@ def warc_record(kind: str, name: str, head: dict[str, str], block: bytes, digest
     return b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines.items()).encode() + CRLF + block + CRLF * 2
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    at = 0
-    while at < len(data):
-        end = data.index(CRLF * 2, at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
+def parse_warc(archive: Archive | bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    archive = Archive(archive) if isinstance(archive, bytes) else archive
+    while first := archive.line():
+        if not first.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        head = dict(x.split(": ", 1) for x in lines[1:])
-        size = int(head["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        if len(block) != size:
-            raise ValueError("the archive ends within a record")
+        head = {}
+        while (line := archive.line()) != CRLF:
+            if not line:
+                raise Broken("the archive ends within a record")
+            name, _, value = line.decode().removesuffix("\r\n").partition(": ")
+            head[name] = value
+        block = archive.take(int(head["Content-Length"]))
+        archive.take(4)
         yield head, block
-        at = end + 4 + size + 4
 
 
 def record_name(path: str, offset: int) -> str:
@@ -201,7 +291,9 @@ def _to_arc(folder: str):
         def flush() -> pa.RecordBatch:
             nonlocal rows, size, n_files
             name = f"{uuid.uuid4().hex}.arc.gz"
-            _write(f"{folder}/{name}", [_gzip(r) for r in arc_records(1 + n_files % 2, name, rows)])
+            with _written(f"{folder}/{name}") as f:
+                for r in arc_records(1 + n_files % 2, name, rows):
+                    f.write(_gzip(r))
             n_files += 1
             out = pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
             rows, size = [], 0
@@ -220,16 +312,29 @@ def _to_arc(folder: str):
     return run
 
 
+_ROWS = 4096  # records that a task describes at once
+_FOUND = {"path": pa.string(), "offset": pa.int64(), "page_id": pa.int64(), "payload_bytes": pa.int64(), "http": pa.bool_(), "digest": pa.string(), "fault": pa.string()}
+_BACK = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "record_id": pa.string(), "warc_date": pa.string(), "target_uri": pa.string()}
+
+
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(rows, _ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds.values())], list(kinds))
+
+
 def _scan_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(path: str) -> Iterator[tuple]:
+        with _opened(path) as archive:
+            for offset, head, block in parse_arc(archive, strict=False):
+                if "fault" in head:
+                    yield path, offset, None, None, False, None, head["fault"]
+                    continue
+                fields, start = http_head(block)
+                yield path, offset, _page(fields), len(block) - start, start > 0, hashlib.sha1(memoryview(block)[start:]).hexdigest(), None
+
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            rows = []
-            for offset, _, block in parse_arc(_read(path)):
-                fields, start = http_head(block)
-                rows.append((path, offset, _page(fields), len(block) - start, start > 0, hashlib.sha1(memoryview(block)[start:]).hexdigest()))
-            if rows:
-                p, o, i, n, h, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(o, pa.int64()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(h), pa.array(d)], ["path", "offset", "page_id", "payload_bytes", "http", "digest"])
+            yield from _batches(rows(path), _FOUND)
 
 
 def _to_warc(folder: str):
@@ -237,37 +342,37 @@ def _to_warc(folder: str):
         for batch in batches:
             for path, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known = {x["offset"]: x for x in known}
-                members = []
-                for offset, head, block in parse_arc(_read(path)):
-                    k = known[offset]
-                    refers = None
-                    if k["of_path"] is not None:
-                        refers = record_name(k["of_path"], k["of_offset"]), {} if k["of_page"] is None else {"X-Refers-To-Page-Id": str(k["of_page"])}
-                    digest = base64.b32encode(bytes.fromhex(k["digest"])).decode()
-                    members.append(_gzip(warc_record("revisit" if refers else "response", record_name(path, offset), head, block, digest, refers)))
                 out = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                _write(out, members)
+                with _opened(path) as archive, _written(out) as f:
+                    for offset, head, block in parse_arc(archive, strict=False):
+                        if "fault" in head:
+                            continue
+                        k = known[offset]
+                        refers = None
+                        if k["of_path"] is not None:
+                            refers = record_name(k["of_path"], k["of_offset"]), {} if k["of_page"] is None else {"X-Refers-To-Page-Id": str(k["of_page"])}
+                        digest = base64.b32encode(bytes.fromhex(k["digest"])).decode()
+                        f.write(_gzip(warc_record("revisit" if refers else "response", record_name(path, offset), head, block, digest, refers)))
                 yield pa.RecordBatch.from_arrays([pa.array([out])], ["path"])
 
     return run
 
 
 def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            rows = []
-            for head, block in parse_warc(_read(path)):
+    def rows(path: str) -> Iterator[tuple]:
+        with _opened(path) as archive:
+            for head, block in parse_warc(archive):
                 fields, start = http_head(block)
                 digest = base64.b32decode(head["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                 size = int(head["X-Payload-Bytes"])
                 if head["WARC-Type"] != "revisit" and (len(block) - start, hashlib.sha1(memoryview(block)[start:]).hexdigest()) != (size, digest):
                     raise ValueError(f"{path}: a payload differs from its digest")
                 of = head.get("X-Refers-To-Page-Id")
-                rows.append((_page(fields), size, digest, head["WARC-Type"], None if of is None else int(of), head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"]))
-            if rows:
-                cols = list(zip(*rows))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "target_uri"])
+                yield _page(fields), size, digest, head["WARC-Type"], None if of is None else int(of), head["WARC-Record-ID"], head["WARC-Date"], head["WARC-Target-URI"]
+
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            yield from _batches(rows(path), _BACK)
 
 
 def _tasks(files: DataFrame) -> int:
@@ -286,14 +391,24 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
     return cut(rows.mapInArrow(_to_arc(folder), "path string"), "arc-files")
 
 
+def _scanned(files: DataFrame) -> DataFrame:
+    return _dealt(files).mapInArrow(_scan_arc, "path string, offset long, page_id long, payload_bytes long, http boolean, digest string, fault string")
+
+
+def broken_records(files: DataFrame) -> DataFrame:
+    """path, offset, fault: what of the ARC files at ``path`` can't be read, from which place on (see :func:`parse_arc`)."""
+    return _scanned(files).where("fault is not null").select("path", "offset", "fault")
+
+
 def arc_to_warc(files: DataFrame, folder: str, least: int = 1000) -> DataFrame:
     """WARC files equivalent to the ARC files at ``path``; returns their paths.
 
     Of records with equal payloads of at least ``least`` bytes the one with the largest page_id (then the last by
     file and place) is a response and the others are revisits that refer to it; a null page_id is smaller than any. Records that aren't
-    HTTP are resources, each with its payload.
+    HTTP are resources, each with its payload. What can't be read of a file is left out (:func:`broken_records` tells what), and stops nothing. Files may be gzip or plain, and of any size: one record
+    is held at a time.
     """
-    records = cut(_dealt(files).mapInArrow(_scan_arc, "path string, offset long, page_id long, payload_bytes long, http boolean, digest string"), "arc-records")
+    records = cut(_scanned(files).where("fault is null").drop("fault"), "arc-records")
     shared = F.col("http") & (F.col("payload_bytes") >= least)
     last = records.where(shared).groupBy("digest").agg(F.max(F.struct("page_id", "path", "offset")).alias("m"))
     last = cut(last.select("digest", F.col("m.page_id").alias("of_page"), F.col("m.path").alias("of_path"), F.col("m.offset").alias("of_offset")), "arc-last")
