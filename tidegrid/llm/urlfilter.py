@@ -47,24 +47,25 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fit.groupBy("host").agg(F.array_sort(F.collect_list("r")).alias("rules"))
 
 
-def _rank(seeds: DataFrame, edges: DataFrame, damping: float, rounds: int, tolerance: float, name: str) -> DataFrame:
+def _rank(seeds: DataFrame, edges: DataFrame, damping: float, tolerance: float, name: str) -> DataFrame:
     """Personalised PageRank: host, score. ``seeds``: host, seed (sums to 1); ``edges``: src, dst, w (w sums to 1 by src).
 
-    Each round is a join of scores with links and a sum; it ends after ``rounds`` or once the scores move by less than
-    ``tolerance`` together. What reaches a host without links ends there."""
+    Each round is a join of scores with links and a sum; it ends once the scores move by less than ``tolerance`` together, which takes as many
+    rounds as its logarithm to the base ``damping`` at most: what is then still to come is at most tolerance * damping / (1 - damping). What reaches a host without links ends there."""
+    if not 0 < damping < 1 or tolerance <= 0:
+        raise ValueError("scores settle for a damping between 0 and 1 and a tolerance above 0 only")
     start = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
     score = cut(start, name)
-    for _ in range(rounds):
+    while True:
         flow = edges.join(score.select(F.col("host").alias("src"), F.col("score").alias("s")), "src").select(F.col("dst").alias("host"), (damping * F.col("s") * F.col("w")).alias("score"))
         new = cut(start.union(flow).groupBy("host").agg(F.sum("score").alias("score")), name)
         moved = new.join(score.withColumnRenamed("score", "was"), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         score = new
         if (moved or 0.0) < tolerance:
-            break
-    return score
+            return score
 
 
-def judge(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-9, margin: float = 0.0) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, damping: float = 0.85, tolerance: float = 1e-9, margin: float = 0.0) -> DataFrame:
     """Each page's page_id, host, path, rule (the longest fitting, as host and path; else null), verdict, trust, distrust.
 
     ``rules``: host, path, verdict (allow or block). Pages without a fitting rule are blocked if their host's distrust is
@@ -91,7 +92,7 @@ def judge(pages: DataFrame, rules: DataFrame, damping: float = 0.85, rounds: int
         out = links.groupBy(src).agg(F.sum("n").alias("all"))
         edges = cut(links.join(out, src).select(F.col(src).alias("src"), F.col(dst).alias("dst"), (F.col("n") / F.col("all")).alias("w")), name + "-edges")
         seeds = seeds.select("host", (F.col("n") / total).alias("seed"))
-        return _rank(seeds, edges, damping, rounds, tolerance, name).withColumnRenamed("score", name[4:])
+        return _rank(seeds, edges, damping, tolerance, name).withColumnRenamed("score", name[4:])
 
     by_host = scores("allow", "url-trust", "src", "dst").join(scores("block", "url-distrust", "dst", "src"), "host", "full").fillna(0.0, ["trust", "distrust"])
     out = ruled.join(cut(by_host, "url-scores"), "host", "left").fillna(0.0, ["trust", "distrust"])
