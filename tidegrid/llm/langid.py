@@ -176,7 +176,7 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int =
 
     The whole texts stay in tasks, which make n-gram counts; of these the driver takes ``max_grams`` at most (8 bytes each), dealt out evenly over
     the languages, but one document of each at least, of at most ``2**bits``. The model's table has a column for each language.
-    Documents without id, language or letters are never learned from.
+    Documents without id, language or letters are never learned from; of rows that share an id that of the smallest text, then language, is.
     """
     known = docs.where("doc_id is not null and lang is not null and text is not null")
     counts = {r[0]: r[1] for r in known.groupBy("lang").count().orderBy("lang").collect()}
@@ -189,7 +189,7 @@ def train(docs: DataFrame, per_lang: int = 400, max_langs: int = 64, bits: int =
     low = known.select("lang", "doc_id", at.alias("at")).join(F.broadcast(share), "lang").where("at <= share")
     picked = low.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
     chosen = picked.select("doc_id").distinct()  # at most per_lang * max_langs ids, or one of each language
-    texts = known.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).where(F.col("text").rlike(LETTER))
+    texts = known.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("one")).select("doc_id", "one.text", "one.lang").where(F.col("text").rlike(LETTER))
     made = texts.select(F.struct("lang", at.alias("at"), "doc_id").alias("doc"), "text").mapInArrow(_counts(bits), "doc struct<lang: string, at: bigint, doc_id: " + dict(docs.dtypes)["doc_id"] + ">, at array<int>, n array<float>")
     sample = cut(made.select("doc.lang", F.col("doc.at").alias("place"), "doc.doc_id", "at", "n"), "language-sample")
     sizes = sample.select("lang", "place", "doc_id", F.size("at").alias("n")).orderBy("lang", "place", "doc_id").collect()  # as many rows as are chosen
