@@ -27,6 +27,21 @@ der die das ein eine und ist den von zu mit sich des auf nicht dem wie wenn
 le la les un une du de et en est que qui dans par pour sur avec il elle
 el los las una y es se con del al lo su como si
 """.split()
+#: Cardinals and ordinals that are written out, also several joined by hyphens; no words that are articles or units too.
+NUMBERS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen
+twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+first third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth twentieth thirtieth hundredth
+null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn
+zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend million millionen
+deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante cent cents mille
+dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve
+veinte veintiuno veintidós veintitrés treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil
+""".split()
+#: German numbers from 21 to 99 name the smaller part first.
+_UND = "(?:ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(?:zwanzig|dreißig|vierzig|fünfzig|sechzig|siebzig|achtzig|neunzig)"
+#: A number in words, without the case of its letters.
+SPELLED = rf"(?:{_UND}|{'|'.join(dict.fromkeys(NUMBERS))})"
 WINDOW, STRETCH, LITERALS = 8, 6, 2
 _MARK, _GLUE = "\x02", "\x03"  # before a name word, and between two of one run
 _ENDS = r"""[.,;:!?"')]"""
@@ -41,21 +56,22 @@ def spaced(text: Column) -> Column:
 def with_template(df: DataFrame) -> DataFrame:
     """``df`` (words: a :func:`spaced` text) with ``words`` joined where they are one name, and template: as many words.
 
-    A number is a word that begins with a digit, after at most three of "'(+-$€£; a unit is one of ``UNITS`` right
+    A number is a word that begins with a digit, after at most three of "'(+-$€£, or one of ``SPELLED`` or several joined by hyphens, after at most three of "'(; a unit is one of ``UNITS`` right
     after a number; a name word begins with a capital, after at most three of "'(, and is none of ``COMMON``, wherever it
     stands in its sentence. Name words that follow one another without punctuation are one name. The steps are columns of
     their own, so that each pattern runs once over a text."""
     unit_there = rf"(?<=[0-9] )(?i:{UNITS})(?={_ENDS}*(?: |$))"
-    name = rf"""(?=\p{{Lu}})(?<=(?:^| )["'(]{{0,3}})(?!(?i:{"|".join(COMMON)})(?![\p{{L}}\p{{N}}]))(?!{unit_there})"""
+    name = rf"""(?=\p{{Lu}})(?<=(?:^| )["'(]{{0,3}})(?!(?i:{"|".join(COMMON)})(?![\p{{L}}\p{{N}}]))(?!(?iu:{SPELLED})(?![\p{{L}}\p{{N}}]))(?!{unit_there})"""
     marked = F.regexp_replace("words", name, _MARK)
     glued = F.regexp_replace("_m", rf"""({_MARK}[^ ]*[^ .,;:!?"')]) (?=["'(]{{0,3}}{_MARK})""", f"$1{_GLUE}")
-    number = F.regexp_replace("_g", r"""[0-9](?<=(?:^| )["'(+$€£-]{0,3}[0-9])(?:[^ ]*[^ .,;:!?"')])?""", "<num>")
+    number = F.regexp_replace("_s", r"""[0-9](?<=(?:^| )["'(+$€£-]{0,3}[0-9])(?:[^ ]*[^ .,;:!?"')])?""", "<num>")
     unit = F.regexp_replace("_t", rf"(?<=<num> )(?i:{UNITS})(?={_ENDS}*(?: |$))", "<unit>")
+    spelled = F.regexp_replace("_g", rf"""(?<![^ ])(["'(]{{0,3}})(?iu:{SPELLED}(?:-{SPELLED})*)(?={_ENDS}*(?: |$))""", "$1<num>")
     df = df.withColumn("_m", marked).withColumn("_g", F.when(F.col("_m").contains(_MARK), glued).otherwise(F.col("_m")))
-    df = df.withColumn("_t", number).withColumn("_u", F.when(F.col("_t").contains("<num> "), unit).otherwise(F.col("_t")))
+    df = df.withColumn("_s", spelled).withColumn("_t", number).withColumn("_u", F.when(F.col("_t").contains("<num> "), unit).otherwise(F.col("_t")))
     t = F.lower(F.regexp_replace("_u", f"{_MARK}[^ ]*", "<name>"))
     t = F.regexp_replace(F.regexp_replace(t, rf"{_ENDS}+(?= |$)", ""), r"""["'(+$€£-](?<![^ ].)["'(+$€£-]*""", "")
-    return df.withColumn("template", t).withColumn("words", F.translate("_g", _MARK, "")).drop("_m", "_g", "_t", "_u")
+    return df.withColumn("template", t).withColumn("words", F.translate("_g", _MARK, "")).drop("_m", "_g", "_s", "_t", "_u")
 
 
 def _windows(words: Column, window: int | Column, stride: int) -> Column:

@@ -28,9 +28,9 @@ seeds as (select host, count(case when ruled = 'allow' then 1 end) good, count(c
 trust0 as (select host, good / cast(sum(good) over () as double) * (1 - 0.85) s from seeds),
 distrust0 as (select host, bad / cast(sum(bad) over () as double) * (1 - 0.85) s from seeds),
 trust(r, host, s) as (select 0, host, s from trust0 where s > 0
-    union all select r + 1, dst, sum(0.85 * s * w) from trust join ahead on src = host where r < 30 group by r, dst),
+    union all select r + 1, dst, sum(0.85 * s * w) from trust join ahead on src = host where r < 160 group by r, dst),
 distrust(r, host, s) as (select 0, host, s from distrust0 where s > 0
-    union all select r + 1, dst, sum(0.85 * s * w) from distrust join back on src = host where r < 30 group by r, dst),
+    union all select r + 1, dst, sum(0.85 * s * w) from distrust join back on src = host where r < 160 group by r, dst),
 t as (select host, sum(s) s from trust group by host),
 d as (select host, sum(s) s from distrust group by host)
 select ruled.page_id, ruled.host, ruled.path, ruled.rule,
@@ -75,11 +75,12 @@ with cutw as (select src, id, string_split(array_to_string(list_transform(string
               from (select 'd' src, doc_id id, text from documents union all select 'b', item_id, text from benchmark) where id is not null),
 tok as (select src, id, i, r[i] w, coalesce(r[i - 1], '') before from (select src, id, r, unnest(range(1, len(r) + 1)) i from cutw)),
 nam as (select *, regexp_matches(w, '^["''(]{0,3}\p{Lu}') and lower(regexp_extract(w, '^["''(]{0,3}([\p{L}\p{N}]+)', 1)) not in (COMMON)
+                  and not regexp_full_match(lower(regexp_extract(w, '^["''(]{0,3}([\p{L}\p{N}]+)', 1)), 'SPELLED')
                   and not (regexp_matches(before, '[0-9]$') and regexp_matches(w, '^(?i:UNITS)[.,;:!?"'')]*$')) is_name from tok),
 tie as (select *, is_name and coalesce(lag(is_name) over o, false) and not regexp_matches(before, '[ .,;:!?"'')]$') tied from nam window o as (partition by src, id order by i)),
 grp as (select *, sum(case when tied then 0 else 1 end) over (partition by src, id order by i) g from tie),
 joined as (select src, id, g, string_agg(w, ' ' order by i) w, bool_or(is_name) is_name from grp group by src, id, g),
-num as (select *, case when is_name then '<name>' else regexp_replace(w, '^(["''(+$€£-]{0,3})[0-9](?:[^ ]*[^ .,;:!?"'')])?', '\1<num>') end t from joined),
+num as (select *, case when is_name then '<name>' else regexp_replace(regexp_replace(w, '^(["''(]{0,3})(?i:SPELLED(?:-SPELLED)*)([.,;:!?"'')]*)$', '\1<num>\2'), '^(["''(+$€£-]{0,3})[0-9](?:[^ ]*[^ .,;:!?"'')])?', '\1<num>') end t from joined),
 uni as (select *, case when not is_name and ends_with(coalesce(lag(t) over o, ''), '<num>') then regexp_replace(t, '^(?i:UNITS)([.,;:!?"'')]*)$', '<unit>\1') else t end u from num window o as (partition by src, id order by g)),
 word as (select src, id, cast(g as bigint) k, lower(regexp_replace(w, '^["''(]+|[.,;:!?"'')]+$', '', 'g')) v, regexp_replace(regexp_replace(lower(u), '[.,;:!?"'')]+$', ''), '^["''(+$€£-]+', '') c from uni),
 canon as (select src, id, list(c order by k) c, list(case when c in ('<num>', '<unit>', '<name>') then c || v end order by k) f from word group by src, id),
@@ -115,9 +116,9 @@ select doc_id, item_id, cast(coalesce(leak.words, exact.words) as integer) words
 
 
 def op9() -> str:
-    from .decontam import COMMON, UNITS
+    from .decontam import COMMON, SPELLED, UNITS
 
-    return OP9.replace("UNITS", UNITS).replace("COMMON", ", ".join(f"'{w}'" for w in COMMON))
+    return OP9.replace("SPELLED", SPELLED).replace("UNITS", UNITS).replace("COMMON", ", ".join(f"'{w}'" for w in COMMON))
 
 #: CRC-32 by its table, words by wildcards: each word without one of its letters, and with one of them masked.
 OP13 = r"""
