@@ -175,3 +175,14 @@ def test_repeats_match_all_windows(spark):
         assert got == brute_removal(texts, n)
     assert lengths(50) == [25, 50] and lengths(96) == [12, 24, 48, 96]
     assert drop_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_repeats_of_ids_with_several_texts(spark):
+    gen = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in gen.integers(0, 5000, 60))
+    long = lambda n, k: " ".join(f"q{k}x{i}" for i in gen.integers(0, 5000, n))
+    rows = [(1, f"{long(300, 1)} {passage}"), (2, f"{long(300, 2)} {passage} {long(9, 2)}"), (2, f"{passage} {long(11, 3)}"), (2, f"{passage} {long(11, 3)}"), (None, passage), (3, passage), (3, None), (3, "")]
+    rows += [rows[2], (4, rows[1][1]), (4, long(70, 5))]
+    out = drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in out)
+    assert got == collections.Counter([(1, 360, 0), (2, 369, 60), (2, 71, 60), (2, 71, 60), (2, 71, 60), (None, 60, 0), (3, 60, 60), (3, 0, 0), (3, 0, 0), (4, 369, 369), (4, 70, 0)])

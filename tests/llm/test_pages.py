@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from tidegrid.llm import urlfilter
+from tidegrid.llm import urlfilter, warc
 from tidegrid.llm.common import new_dir
 from tidegrid.llm.urlfilter import judge
 from tidegrid.llm.warc import arc_records, arc_to_warc, convert, parse_arc, read_warc, write_arc
@@ -57,7 +57,7 @@ def test_a_damaged_payload_is_an_error(spark, monkeypatch):
         read_warc(files).collect()
 
 
-def brute_judge(rows, rules, links, rounds=30, damping=0.85):
+def brute_judge(rows, rules, links, rounds=300, damping=0.85):
     split, rule_of = {}, {}
     for i, url, _ in rows:
         host = path = ""
@@ -137,3 +137,42 @@ def test_archives_of_other_writers(spark):
     assert {u: r["record_type"] for u, r in rows.items()} == {"http://www.dryswamp.edu:80/index.html": "response", "dns:www.dryswamp.edu": "resource", "http://x/a b c": "resource", "ftp://x/empty": "resource", "http://y/": "resource"}
     assert rows["http://www.dryswamp.edu:80/index.html"]["warc_date"] == "1996-11-04T14:21:00Z" and rows["http://x/a b c"]["warc_date"] == "1970-01-01T00:00:00Z"
     assert rows["http://www.dryswamp.edu:80/index.html"]["payload_digest"] == hashlib.sha1(b"<HTML>\nHello \xe9 World").hexdigest() and all(r["page_id"] is None for r in rows.values())
+
+
+def test_scores_settle(spark):
+    """Two hosts whose scores nearly balance after a few rounds only: a long chain of links carries the rest."""
+    rows = [(0, "http://good.org/x", "<a href='http://h0.net/'>"), (1, "http://x.com/de/x", "")]
+    rows += [(10 + i, f"http://h{i}.net/", f"<a href='http://h{i + 1}.net/'>") for i in range(45)]
+    rows += [(99, "http://h45.net/", "<a href='http://x.com/'>")]
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    out = {r["page_id"]: r for r in judge(_frame(spark, rows), rules).collect()}
+    assert abs(out[99]["trust"] - 0.15 * 0.85**46) < 1e-6 and abs(out[10]["distrust"] - 0.15 * 0.85**46) < 1e-6 and out[99]["trust"] > 0
+    with pytest.raises(ValueError):
+        judge(_frame(spark, rows), rules, damping=1.0)
+
+
+def test_plain_broken_and_cut_off_archives(spark):
+    import gzip
+
+    rows = [(i, f"http://x/{i}", f"page {i} ".encode() * 300) for i in range(5)]
+    folder = new_dir(spark, "odd")
+    records = list(arc_records(1, "a", rows))
+    data = b"".join(records)
+    junk = b"this is no header line\nnor this\n"
+    files = {
+        "plain.arc": data, "packed.arc.gz": gzip.compress(data), "members.arc.gz": b"".join(map(gzip.compress, records)), "junk.arc": b"".join([*records[:3], junk, *records[3:]]),
+        "cut.arc": data[:-700], "cut.arc.gz": b"".join(map(gzip.compress, records))[:-40], "version.arc": data.replace(b"1 0 tidegrid", b"7 0 tidegrid", 1), "none.arc": b"", "other.arc": b"<html>\n" * 3,
+    }
+    for name, raw in files.items():
+        warc._write(f"{folder}/{name}", [raw])
+    paths = spark.createDataFrame([(f"{folder}/{n}",) for n in files], "path string")
+    broken = {}
+    for r in warc.broken_records(paths).collect():
+        broken.setdefault(r["path"].rpartition("/")[2], []).append((r["offset"], r["fault"]))
+    at = sum(map(len, records[:3]))
+    assert sorted(broken) == ["cut.arc", "cut.arc.gz", "junk.arc", "other.arc", "version.arc"] and all(len(v) == 1 for v in broken.values())
+    assert broken["junk.arc"][0][0] == at and "not a header line" in broken["junk.arc"][0][1] and "within a member" in broken["cut.arc.gz"][0][1] and "7" in broken["version.arc"][0][1]
+    back = read_warc(arc_to_warc(paths, f"{folder}/out")).collect()
+    assert len(back) == 4 * 5 + 2 * 4 and sum(r["record_type"] == "response" for r in back) == 5
+    one = warc.Archive(gzip.compress(b"a" * 100_000 + b"\n") + gzip.compress(b"bc"))
+    assert one.line(1 << 20) == b"a" * 100_000 + b"\n" and one.take(2) == b"bc" and one.line() == b"" and one.at == 100_003

@@ -11,7 +11,7 @@ from tests.llm.corpus import SCHEMA, frame, prose
 from tidegrid.llm.decontam import contaminated, leaks, spaced, with_template
 from tidegrid.llm.langid import descend, fit, held_out, identify, predictor
 from tidegrid.llm.secrets import BASE, IDENTIFIERS, find_secrets, harvest, redact
-from tidegrid.llm.toolcalls import canonical, faults, link_calls
+from tidegrid.llm.toolcalls import canonical, checked, faults, link_calls
 
 SECRETS = [
     None, "", "nothing here", "password=hunter2hunter2", 'API_KEY : "abcdefghijkl" tail', "Secret= 'short'", "token=abcdefghijk",
@@ -416,3 +416,46 @@ def test_the_drivers_sample_is_bounded_in_grams(spark):
     docs = spark.createDataFrame(rows + [(900, "xq " * 40_000 + "zyx", "dd")], "doc_id long, text string, lang string")
     out = identify(docs, docs, max_grams=20_000).collect()
     assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.9 and any(r["lang_pred"] == "dd" for r in out)
+
+
+def test_schemas_are_checked_before_any_row(spark):
+    ok = checked({"type": ["string", "null"], "description": "x", "properties": {"a": {"type": "integer", "minimum": 1}}, "items": {"enum": [1, None]}})
+    assert ok["type"] == ["string", "null"] and "description" not in ok
+    assert not faults(None, ok) and not faults("x", ok) and faults(1, ok) == ["$: not of type string or null"]
+    one = checked({"type": "integer"})
+    assert not faults(1.0, one) and not faults(3, one) and faults(1.5, one) and faults(True, one) and not faults(2.5, checked({"type": ["number"]}))
+    rows = spark.createDataFrame([("c", 1, "user", '<tool_call>{"id": "1", "name": "t", "arguments": {"a": null, "b": 2.0}}</tool_call>')], "conv_id string, turn int, role string, text string")
+    schema = {"type": "object", "properties": {"a": {"type": ["string", "null"]}, "b": {"type": "integer"}}}
+    assert [r["faults"] for r in link_calls(rows, {"t": schema}).where("kind = 'call'").collect()] == [["no result"]]
+    for bad in ({"type": "text"}, {"type": []}, {"type": [1]}, {"oneOf": []}, {"pattern": "a"}, {"properties": {"a": {"const": 1}}}, {"items": [1]}, {"minimum": "1"}, {"required": "a"}, "x"):
+        with pytest.raises(ValueError):
+            link_calls(rows, {"t": bad})
+
+
+def test_numbers_in_words_are_numbers(spark):
+    pairs = [
+        ("A farmer keeps five cows in the field and three more in the barn near the river today.", "A farmer keeps seven cows in the field and four more in the barn near the river today."),
+        ("Twenty-five boats left the harbour at dawn, how many of the boats came back before the night?", "Ninety boats left the harbour at dawn, how many of the boats came back before the night?"),
+        ("Der Bauer hat einundzwanzig Kühe auf der großen Weide hinter dem alten Haus am Fluss.", "Der Bauer hat 12 Kühe auf der großen Weide hinter dem alten Haus am Fluss."),
+        ("Il reste quatre-vingt-dix pommes sur la grande table de la cuisine après le repas du soir.", "Il reste douze pommes sur la grande table de la cuisine après le repas du soir."),
+        ("El tercer corredor ganó veinte monedas de oro en la carrera larga por la ciudad vieja ayer.", "El tercer corredor ganó cien monedas de oro en la carrera larga por la ciudad vieja ayer."),
+    ]
+    bench = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(pairs)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"Some words before it. {b} And some behind.") for i, (_, b) in enumerate(pairs)], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["changed"]) for r in contaminated(docs, bench).collect()}
+    assert found == {(i, i, True) for i in range(len(pairs))}
+    odd = spark.createDataFrame([("one-way (seven) Five, sixty-four. sixth second nineties tensix Zwei",)], "text string").select(spaced(F.col("text")).alias("words"))
+    assert with_template(odd).first()["template"].split() == ["one-way", "<num>", "<num>", "<num>", "<num>", "<unit>", "nineties", "tensix", "<num>"]
+
+
+def test_of_rows_that_share_an_id_the_least_is_learned(spark):
+    gen = np.random.default_rng(8)
+    rows = [(i, prose(gen, 60).replace("w", "ab" if i % 2 else "yz"), "aa" if i % 2 else "bb") for i in range(60)]
+    more = [(i, "zzzz zzzz " * 20, "bb") for i in range(0, 60, 3)]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema)
+    want = [r["score"] for r in identify(docs, spark.createDataFrame(rows + [x for x in more if x[1] < rows[x[0]][1]], schema)).orderBy("doc_id").collect()]
+    for seed in (1, 2):
+        mixed = [(rows + more)[k] for k in np.random.default_rng(seed).permutation(len(rows) + len(more))]
+        got = [r["score"] for r in identify(docs, spark.createDataFrame(mixed, schema).repartition(5)).orderBy("doc_id").collect()]
+        assert got == want
