@@ -301,3 +301,47 @@ def test_polygonal_collections_are_cut_to_their_polygon(spark, tmp_path):
     best = spark.read.parquet(str(tmp_path / "out" / "scalar")).first()["so"]
     assert best == cut_to(frame(spark).select(["so"]), triangle).table().agg(F.max("so")).first()[0]
     assert replace(made, region=None).inside(whole) is whole
+
+
+# the nearest cell, and series of cells
+
+
+def test_nearest_cells_of_a_global_grid(spark):
+    from tidegrid.operators.bottom_map import nearest_water
+
+    gen = np.random.default_rng(3)
+    lats, lons = np.arange(-90, 91, 15.0), np.arange(-180, 180, 15.0)
+    wet = [(i, j, float(y), float(x)) for i, y in enumerate(lats) for j, x in enumerate(lons) if gen.random() < 0.5]
+    points = [(179.9, 10.0), (-179.9, 10.0), (180.0, -89.9), (33.0, 90.0), (359.0, 0.0), (-200.0, 41.0)] + list(zip(gen.uniform(-180, 180, 80), gen.uniform(-90, 90, 80)))
+    df = spark.createDataFrame([(k, float(y), float(x)) for k, (x, y) in enumerate(points)] * 1 + [(999, None, 1.0)], "pid long, latitude double, longitude double")
+    water = spark.createDataFrame(wet, "lat_idx int, lon_idx int, latitude double, longitude double")
+
+    def metres(y, x):
+        a, b = np.radians(y), np.radians([c[2] for c in wet])
+        h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians([c[3] for c in wet] - np.float64(x)) / 2) ** 2
+        return np.round(2 * 6_371_000 * np.arcsin(np.minimum(1, np.sqrt(h))), 3)
+
+    for tile in (None, 4.0):
+        got = {r["pid"]: r for r in nearest_water(df, water, tile=tile).collect()}
+        assert len(got) == len(points)
+        for k, (x, y) in enumerate(points):
+            assert abs(got[k]["distance"] - metres(y, x).min()) < 0.01
+    few = spark.createDataFrame([(0, 0, 0.0, 0.0)], water.schema)
+    assert {r["pid"] for r in nearest_water(df.limit(7), few).collect()} == set(range(7)) and nearest_water(df, few.where("false")).count() == 0
+
+
+def test_series_of_a_hot_cell(spark):
+    from tidegrid.operators.bottom_map import BottomCellMap
+
+    start = datetime(2020, 1, 1)
+    steps = spark.createDataFrame([(start + timedelta(hours=6 * k), 0, 42.0, 0, 30.0, float(k)) for k in range(400)], "time timestamp_ntz, lat_idx int, latitude double, lon_idx int, longitude double, chl double")
+    f = GridFrame((steps,), {"latitude": [42.0], "longitude": [30.0]})
+    points = spark.range(20_000).select(F.col("id").alias("pid"), F.lit(42.1).alias("latitude"), F.lit(30.0).alias("longitude"), (F.lit(start) + F.make_dt_interval(mins=(F.col("id") % 7000) * 30)).cast("timestamp_ntz").alias("time"))
+    points = points.withColumn("time", F.when(F.col("pid") != 5, F.col("time")))
+    out = BottomCellMap(f, timedelta(days=1)).series(points)
+    got = {r["pid"]: (r["n"], r["last"]) for r in out.groupBy("pid").agg(F.count("model_time").alias("n"), F.max("chl").alias("last")).collect()}
+    assert len(got) == 20_000 and got[5] == (0, None)
+    for pid in (0, 1, 12, 47, 48, 100, 4799, 4800, 4850, 6999, 19_999):
+        hours = (pid % 7000) * 0.5
+        own = [k for k in range(400) if hours - 24 <= 6 * k <= hours]
+        assert got[pid] == (len(own), float(max(own)) if own else None)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
@@ -15,47 +17,45 @@ from ..functions.geo import RADIUS, haversine
 from ..lineage import settled
 from .extract import bottom_index
 
-DEGREE = RADIUS * 3.141592653589793 / 180  # metres of a degree of latitude
-
-
-def _tile(value: Column, size: float) -> Column:
-    return F.floor(value / size).cast("int")
+def _place(latitude: Column, longitude: Column) -> list[Column]:
+    """The point on the unit sphere: no date line and no poles, where degrees have theirs."""
+    y, x = F.radians(latitude), F.radians(longitude)
+    return [F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y)]
 
 
 def nearest_water(points: DataFrame, water: DataFrame, latitude: str = "latitude", longitude: str = "longitude", tile: float | None = None) -> DataFrame:
     """pid, lat_idx, lon_idx, model_latitude, model_longitude, distance of the water cell nearest to each point.
 
     ``points``: pid and coordinates in degrees; ``water``: lat_idx, lon_idx, latitude, longitude of all water cells. Distances are
-    along the sphere, rounded to millimetres; ties go to the smaller lat_idx, then lon_idx. Points and cells meet on tiles
-    of ``tile`` degrees (about two cells of the grid, if None): a point whose nearest cell in its own and the eight tiles around is farther than the edge of
-    these could have a nearer one, and is tried again with tiles twice as large, until one tile is the world. Points
-    without coordinates are left out; without water there are no rows. Longitudes are not wrapped around. Points that share
-    coordinates are searched once."""
+    along the sphere, rounded to millimetres; ties go to the smaller lat_idx, then lon_idx. Points and cells meet on cubes of space that the sphere passes
+    through, whose edge is about ``tile`` degrees (two cells of the grid, if None): the date line and the poles are places as any others. A point whose nearest cell in its own cube and those
+    around is farther than an edge could have a nearer one, and is tried again with edges twice as long, until a cube holds the sphere. Points
+    without coordinates are left out; without water there are no rows. Points that share coordinates are searched once."""
     named = points.select("pid", F.col(latitude).alias("_y"), F.col(longitude).alias("_x")).where("_y is not null and _x is not null")
-    todo = settled(named.select("_y", "_x").distinct())
-    cells = settled(water.select("lat_idx", "lon_idx", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude")))
+    cells = water.select("lat_idx", "lon_idx", F.col("latitude").alias("model_latitude"), F.col("longitude").alias("model_longitude"))
+    cells = settled(cells.withColumns(dict(zip(("_a", "_b", "_c"), _place(F.col("model_latitude"), F.col("model_longitude"))))))
+    todo = named.select("_y", "_x").distinct()
+    todo = todo.withColumns(dict(zip(("_a", "_b", "_c"), _place(F.col("_y"), F.col("_x")))))
     found: DataFrame | None = None
-    if tile is None:
-        tile = _two_cells(cells)
+    edge = math.radians(_two_cells(cells) if tile is None else tile)
+    keys = ("_i", "_j", "_k")
     while True:
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        near = cells.withColumn("_t", F.explode(around)).select("*", (_tile(F.col("model_latitude"), tile) + F.col("_t.i")).alias("_ty"), (_tile(F.col("model_longitude"), tile) + F.col("_t.j")).alias("_tx")).drop("_t")
-        asked = todo.select("*", _tile(F.col("_y"), tile).alias("_ty"), _tile(F.col("_x"), tile).alias("_tx"))
-        pairs = asked.join(near, ["_ty", "_tx"])
+        last = edge >= 2
+        cube = lambda c: F.floor(F.col(c) / F.lit(edge)).cast("int")  # noqa: E731, B023
+        shift = F.explode(F.array(*[F.struct(*[F.lit(d).alias(n) for d, n in zip(by, "ijk")]) for by in itertools.product((-1, 0, 1), repeat=3)]))
+        near = cells.withColumn("_s", shift).select("lat_idx", "lon_idx", "model_latitude", "model_longitude", *[(cube(c) + F.col(f"_s.{n}")).alias(k) for c, n, k in zip(("_a", "_b", "_c"), "ijk", keys)])
+        asked = todo.select("_y", "_x", *[cube(c).alias(k) for c, k in zip(("_a", "_b", "_c"), keys)])
         distance = F.round(haversine(F.col("_y"), F.col("_x"), F.col("model_latitude"), F.col("model_longitude")), 3)
-        best = pairs.groupBy("_y", "_x").agg(F.min(F.struct(distance.alias("distance"), "lat_idx", "lon_idx", "model_latitude", "model_longitude")).alias("b"))
-        # nothing outside the nine tiles is nearer than a tile's width, in longitude measured at its narrowest
-        narrow = F.cos(F.radians(F.least(F.abs("_y") + 2 * tile, F.lit(90.0))))
-        sure = F.col("b.distance") <= tile * DEGREE * F.least(F.lit(1.0), narrow) * 0.999
-        last = tile >= 360
-        done = settled((best if last else best.where(sure)).select("_y", "_x", "b.lat_idx", "b.lon_idx", "b.model_latitude", "b.model_longitude", "b.distance"))
+        best = asked.join(near, list(keys)).groupBy("_y", "_x").agg(F.min(F.struct(distance.alias("distance"), "lat_idx", "lon_idx", "model_latitude", "model_longitude")).alias("b"))
+        # whatever is not in these cubes is farther than a chord as long as an edge
+        sure = F.lit(True) if last else F.coalesce(F.col("b.distance") <= 2 * RADIUS * math.asin(edge / 2) * (1 - 1e-9) - 0.001, F.lit(False))
+        state = settled(todo.join(best, ["_y", "_x"], "left").withColumn("sure", sure))
+        done = state.where("sure and b is not null").select("_y", "_x", "b.*")
         found = done if found is None else found.union(done)
-        if last:
-            break
-        todo = settled(todo.join(done.select("_y", "_x"), ["_y", "_x"], "left_anti"))
-        if todo.isEmpty():
+        todo = state.where("not sure").select("_y", "_x", "_a", "_b", "_c")
+        if last or todo.isEmpty():
             break
-        tile = min(360.0, tile * 2)
+        edge *= 2
     return named.join(found, ["_y", "_x"]).select("pid", "lat_idx", "lon_idx", "model_latitude", "model_longitude", "distance")
 
 
@@ -63,7 +63,7 @@ def _two_cells(cells: DataFrame) -> float:
     """Twice the mean spacing of the grid in degrees, the larger of both directions; 1 where there is one cell or none."""
     ends = cells.agg(*[f(c) for c in ("lat_idx", "lon_idx", "model_latitude", "model_longitude") for f in (F.min, F.max)]).first()
     steps = [(ends[k + 1] - ends[k]) / (ends[i + 1] - ends[i]) for i, k in ((0, 4), (2, 6)) if ends[i] is not None and ends[i + 1] > ends[i]]
-    return min(360.0, max(2 * max(abs(s) for s in steps), 1e-3)) if steps else 1.0
+    return min(60.0, max(2 * max(abs(s) for s in steps), 1e-3)) if steps else 1.0
 
 
 class BottomCellMap:
@@ -81,7 +81,7 @@ class BottomCellMap:
 
         ``points`` have pid, unique. Columns: those of ``points``, model_time, model_latitude, model_longitude, model_depth,
         distance, and the variables; a point without steps has one row with null model_time. The join is on the cell's
-        indices, with the interval as a condition on it."""
+        indices and on buckets of time as long as the interval, of which a point asks two, so that its work goes with the steps that are found, also where many points share a cell."""
         t = self.frame.table_of(self.variable)
         cells = t.select("lat_idx", "lon_idx", "latitude", "longitude").distinct()
         deep = "depth_idx" in t.columns
@@ -95,12 +95,24 @@ class BottomCellMap:
             at = at.join(bottom_index(self.frame, self.variable).withColumnRenamed("bottom_idx", "depth_idx"), ["lat_idx", "lon_idx"], "left")
             own = own.withColumnRenamed("depth", "model_depth")
         keys = ["lat_idx", "lon_idx", *(["depth_idx"] if deep else [])]
-        a, b = at.alias("a"), own.alias("b")
+        at = settled(at)
+        reach, later = F.lit(self.time_range), F.lit(timedelta(milliseconds=1))
+        width = max(1, (self.time_range + timedelta(milliseconds=1)) // timedelta(microseconds=1))
+        bucket = lambda time: F.floor(F.unix_micros(time.cast("timestamp")) / F.lit(width)).cast("long")
+        when = F.col(self.time)
+        asked = at.withColumn("_buckets", F.sequence(bucket(when - reach), bucket(when + later)))
+        a = asked.withColumn("_bucket", F.explode_outer("_buckets")).alias("a")
+        b = own.withColumn("_bucket", bucket(F.col("model_time"))).alias("b")
         when = F.col(f"a.{self.time}")
-        on = (F.col("b.model_time") >= when - F.lit(self.time_range)) & (F.col("b.model_time") <= when + F.lit(timedelta(milliseconds=1)))
-        for k in keys:
+        on = (F.col("b.model_time") >= when - reach) & (F.col("b.model_time") <= when + later)
+        for k in [*keys, "_bucket"]:
             on = on & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-        return a.join(b, on, "left").select("a.*", *[F.col(f"b.{c}") for c in own.columns if c not in keys]).drop(*keys)
+        values = [c for c in own.columns if c not in keys]
+        met = a.join(b, on).select(*[f"a.{c}" for c in at.columns], *[f"b.{c}" for c in values])
+        # points that no step meets in any of their buckets
+        lone = a.join(b, on, "left_anti").groupBy("a.pid").agg(F.count(F.lit(1)).alias("n"), F.first(F.size("_buckets")).alias("asked")).where("n >= coalesce(asked, 1)")
+        none = at.join(lone.select("pid"), "pid", "left_semi").select(*at.columns, *[F.lit(None).cast(dict(own.dtypes)[c]).alias(c) for c in values])
+        return met.union(none).drop(*keys)
 
     def map(self, func: Callable[[pd.DataFrame], dict], points: DataFrame, schema: str | None = None, tile: float | None = None) -> DataFrame:
         """``points`` (pid, unique and not null) with the columns that ``func`` returns for each, as a dict of the fields of ``schema``.
