@@ -16,11 +16,11 @@ from .sources.collection import Collection
 from .sources.domains import read_domain
 from .sources.plots import MODES, plot_data
 from .sources.providers import ingest, provider_from, providers_table, resume
-from .sources.sinks import write_ascii, write_ascii_compat, write_csv, write_parquet
+from .sources.sinks import write_ascii, write_ascii_compat, write_csv, write_geotiff, write_netcdf, write_parquet
 from .sources.store import write_text
 from .sources.variables import variables_table
 
-SINKS = {"parquet": write_parquet, "csv": write_csv, "ascii": write_ascii, "ascii-compat": write_ascii_compat}
+SINKS = {"parquet": write_parquet, "csv": write_csv, "ascii": write_ascii, "ascii-compat": write_ascii_compat, "geotiff": write_geotiff, "netcdf": write_netcdf}
 
 
 def _argument(text: str) -> tuple[str, object]:

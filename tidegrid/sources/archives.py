@@ -8,25 +8,45 @@ import tarfile
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from ..frame import COLUMNS
+from . import netcdf
 from .filenames import ARCHIVE_MEMBER, parse_archive_member
+from .gridfiles import coordinates, dims_of
 from .store import place
 
 Decoder = Callable[[bytes], pd.DataFrame]
 
 
 def decode(raw: bytes) -> pd.DataFrame:
-    """A member's cells: Parquet, or NetCDF where xarray is installed."""
+    """A member's cells: Parquet, or NetCDF of a classic format, of which every variable with latitude or longitude is a column."""
     if raw[:4] == b"PAR1":
         return pd.read_parquet(io.BytesIO(raw))
-    try:
-        import xarray
-    except ImportError as e:
-        raise NotImplementedError("NetCDF members need xarray; give another decoder") from e
-    return xarray.open_dataset(io.BytesIO(raw)).to_dataframe().reset_index()
+    read = lambda at, n: raw[at : at + n]
+    header = netcdf.read_header(read)
+    out: pd.DataFrame | None = None
+    for name, v in header.variables.items():
+        if len(v.dims) < 2 or v.kind == 2:
+            continue
+        dims = dims_of(header, name)
+        axes = coordinates(header, dims, name, read)
+        values = netcdf.read_values(header, name, read)
+        where = np.nonzero(~np.isnan(values))
+        columns = {}
+        for d, i in zip(dims, where):
+            if d == "time":
+                columns["time"] = np.asarray(axes[d], "datetime64[us]")[i]
+            else:
+                columns[COLUMNS[d][0]], columns[COLUMNS[d][1]] = i.astype(np.int32), np.asarray(axes[d])[i]
+        own = pd.DataFrame(columns | {name: values[where]})
+        out = own if out is None else out.merge(own, how="outer")
+    if out is None:
+        raise ValueError("the file has no variable on a grid")
+    return out
 
 
 def members(folder: str, variable: str, start: datetime | None = None, end: datetime | None = None) -> list[tuple[str, datetime]]:

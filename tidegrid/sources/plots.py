@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..frame import COLUMNS, GridFrame, clean
 from ..operators.plotdata import map_at, timeseries
 from .collection import CATALOGUE, Collection
+from .gridfiles import netcdf_frame
+from .sinks import read_geotiff
 from .store import Location, exists, join, kind
 from .tables import read_csv
 from .variables import plot_metadata
@@ -38,8 +40,8 @@ def plot_data(
     """What a plot of ``variable`` shows, and its label, unit and cmap.
 
     ``mode`` timeseries: the mean over latitude and longitude at each time between start and end; map: values at the step
-    nearest to ``time``, reduced along one more axis (see operators.plotdata). A collection and Parquet give both, a CSV file
-    a time series only, from its rows in the order of time. A missing file is a FileNotFoundError; other kinds of files, an unknown mode or
+    nearest to ``time``, reduced along one more axis (see operators.plotdata). A collection, Parquet and NetCDF give both, a GeoTIFF
+    a map of its first band, and a CSV file a time series only, from its rows in the order of time. A missing file is a FileNotFoundError; other kinds of files, an unknown mode or
     variable, and a time series without time are ValueErrors."""
     if mode not in MODES:
         raise ValueError(f"the mode must be one of {', '.join(MODES)}, not {mode}")
@@ -59,9 +61,16 @@ def plot_data(
         keep = ["time", *[c for c in COLUMNS["depth"] if c in t.columns]]
         out = t.groupBy(*keep).agg(F.avg(variable).alias(variable)).orderBy(*keep) if flat else t.select(*keep, variable)
         return out, plot_metadata(variable, labelled=True)
-    if kind(path) != pafs.FileType.Directory and not name.endswith(".parquet"):
-        raise ValueError(f"{path} is of no known kind; known are collections, .parquet and .csv")
-    frame = opened(spark, path, variable)
+    if name.endswith((".tif", ".tiff")):
+        if mode == "timeseries":
+            raise ValueError("a GeoTIFF has no time")
+        return read_geotiff(spark, name, variable).table(), plot_metadata(variable)
+    if name.endswith(".nc"):
+        frame = netcdf_frame(spark, name, variable)
+    elif kind(path) != pafs.FileType.Directory and not name.endswith(".parquet"):
+        raise ValueError(f"{path} is of no known kind; known are collections, .parquet, .nc, .tif and .csv")
+    else:
+        frame = opened(spark, path, variable)
     if mode == "timeseries":
         if "time" not in frame.dims:
             raise ValueError(f"{variable} has no time")

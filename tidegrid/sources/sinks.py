@@ -1,16 +1,24 @@
-"""Where results go: Parquet, CSV, ESRI ASCII grids."""
+"""Where results go: Parquet, CSV, ESRI ASCII grids, GeoTIFF and NetCDF."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import COLUMNS, GridFrame
+from ..frame import COLUMNS, GridFrame, at_index
 from ..operators.align import align_outer
 from ..operators.plotdata import time_mean
-from .store import write_text
+from . import tiff
+from .dense import append, write_blocks, write_dense
+from .netcdf import Layout
+from .store import place, remove_folder
+from .variables import REGISTRY
 
 
 def _single(frame: GridFrame) -> tuple[DataFrame, str]:
@@ -84,13 +92,140 @@ def ascii_header(frame: GridFrame, nodata: int = -9999, compat: bool = False) ->
     return [f"ncols {len(lon)}", f"nrows {len(lat)}", f"xllcorner {lon[0] - size / 2:.8f}", f"yllcorner {lat[0] - size / 2:.8f}", f"cellsize {size:.8f}", f"NODATA_value {nodata}"]
 
 
+def _by_rows(frame: GridFrame, north_first: bool) -> tuple[DataFrame, int, int]:
+    """The raster's cells by place (stretch: row, at: place in it, value), and the numbers of rows and columns."""
+    v = frame.variables[0] if frame.variables else ""
+    lat, lon = list(frame.axes["latitude"]), list(frame.axes["longitude"])
+    order = lat[::-1] if north_first == (frame.axes["latitude"][lat[0]] <= frame.axes["latitude"][lat[-1]]) else lat
+    row, at = ({i: float(k) for k, i in enumerate(of)} for of in (order, lon))
+    cells = raster(frame).select(at_index(row, F.col("lat_idx")).alias("stretch"), at_index(at, F.col("lon_idx")).alias("at"), F.col(v).cast("double").alias("value"))
+    return cells.where("value is not null"), len(lat), len(lon)
+
+
 def write_ascii(frame: GridFrame, path: str, nodata: int = -9999, compat: bool = False) -> None:
-    """One text file: the size of a raster is bounded by its axes, so its lines pass the driver.
+    """One text file, whose lines are made by tasks and appended in order.
 
     ``compat``: the header as in :func:`ascii_header`, and rows in the order of the axis."""
-    lines = [r["line"] for r in ascii_lines(frame, nodata, north_first=not compat).orderBy("row").collect()]
-    write_text(path, "\n".join([*ascii_header(frame, nodata, compat), *lines]) + "\n")
+    cells, rows, columns = _by_rows(frame, north_first=True)
+    if compat:
+        lat = list(frame.axes["latitude"])
+        north = frame.axes["latitude"][lat[0]] > frame.axes["latitude"][lat[-1]]
+        cells = cells if north else cells.withColumn("stretch", F.lit(rows - 1) - F.col("stretch"))
+    missing = str(nodata)
+
+    def line(values: np.ndarray) -> bytes:
+        return (" ".join(missing if x != x else f"{x:.8f}" for x in values.tolist()) + "\n").encode()
+
+    head = "\n".join(ascii_header(frame, nodata, compat)) + "\n"
+    write_dense(path, cells, rows, columns, line, lambda _: head.encode())
 
 
 def write_ascii_compat(frame: GridFrame, path: str) -> None:
     write_ascii(frame, path, compat=True)
+
+
+def write_geotiff(frame: GridFrame, path: str) -> None:
+    """The raster as a GeoTIFF of one band, north row first, in double precision, missing cells as NaN: a packed strip for each row, made by tasks.
+
+    Coordinates are taken to be evenly spaced, by their mean steps, as the format has no others."""
+    cells, rows, columns = _by_rows(frame, north_first=True)
+    lat, lon = sorted(frame.values("latitude")), frame.values("longitude")
+    dy, dx = _step(lat) or _step(lon) or 1.0, _step(lon) or _step(lat) or 1.0
+    write_dense(path, cells, rows, columns, tiff.encode_row, tiff.file_head, lambda lengths: tiff.directory(columns, lengths, lon[0] - dx / 2, lat[-1] + dy / 2, dx, dy))
+
+
+def read_geotiff(spark: SparkSession, path: str, name: str = "band") -> GridFrame:
+    """The first band of a GeoTIFF as cells of latitude and longitude (rows from 0, the north one first); its strips are dealt out over tasks, each read at its place."""
+    at = str(path)
+
+    def opened() -> tuple:
+        store, where = place(at)
+        f = store.open_input_file(where)
+
+        def read(begin: int, n: int) -> bytes:
+            f.seek(begin)
+            return f.read(n)
+
+        return f, read
+
+    f, read = opened()
+    with f:
+        r = tiff.read_raster(read)
+    lats, lons = r.latitudes(), r.longitudes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f, read = opened()
+        with f:
+            for k in (k for batch in batches for k in batch.column(0).to_pylist()):
+                values = tiff.read_strip(r, k, read)
+                i, j = np.nonzero(~np.isnan(values))
+                rows = i + k * r.rows
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows.astype(np.int32)), pa.array(np.asarray(lats)[rows]), pa.array(j.astype(np.int32)), pa.array(np.asarray(lons)[j]), pa.array(values[i, j])], ["lat_idx", "latitude", "lon_idx", "longitude", name],
+                )
+
+    strips = len(r.offsets)
+    cells = spark.range(0, strips, 1, max(1, min(strips, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, f"lat_idx int, latitude double, lon_idx int, longitude double, {name} double")
+    return GridFrame((cells,), {"latitude": lats, "longitude": lons})
+
+
+# How results' own coordinates are told in a NetCDF file.
+_SEASONS = ("DJF", "MAM", "JJA", "SON")
+_SECONDS = "seconds since 1970-01-01 00:00:00"
+
+
+def write_netcdf(frame: GridFrame, path: str) -> None:
+    """All variables as one NetCDF file (CDF-5, double precision, missing cells as NaN), each made by tasks, a horizontal field at a time.
+
+    Time, and what analyses add (year, month, doy, season), are dimensions with the values that the table has; seasons are numbered as in the attribute labels. Axes are whole. Where a table has
+    both month and doy, or a year beside time, the finer one is the dimension."""
+    dims: dict[str, list] = {}
+    plans = []
+    for t in frame.tables:
+        own = [d for d in ("time", "season", "year", "month", "doy", "depth", "latitude", "longitude") if (COLUMNS[d][-1] if d in COLUMNS else d) in t.columns]
+        own = [d for d in own if not (d == "month" and "doy" in own or d == "year" and "time" in own)]
+        for d in own:
+            if d in frame.axes:
+                values = frame.values(d)
+            else:
+                values = sorted(r[0] for r in t.select(d).distinct().collect() if r[0] is not None)  # a coordinate of a result: as many as its steps
+            if dims.setdefault(d, values) != values:
+                dims[d] = sorted({*dims[d], *values}, key=_SEASONS.index if d == "season" else None)
+        plans += [(t, v, own) for v in GridFrame.variables_of(t)]
+    if "season" in dims:
+        dims["season"] = [s for s in _SEASONS if s in dims["season"]]
+    layout = Layout({d: len(v) for d, v in dims.items()}, {k: v for k, v in frame.attrs.items() if isinstance(v, str)})
+    head = []
+    for d, values in dims.items():
+        about: dict[str, object] = {"time": {"units": _SECONDS, "calendar": "standard"}, "latitude": {"units": "degrees_north"}, "longitude": {"units": "degrees_east"}, "depth": {"units": "m", "positive": "down"}}.get(d, {})
+        about = {"labels": " ".join(values)} if d == "season" else about
+        numbers = [(x - datetime(1970, 1, 1)).total_seconds() for x in values] if d == "time" else range(len(values)) if d == "season" else values
+        layout.variables.append((d, (d,), 6, about))
+        head.append(np.asarray(list(numbers), ">f8").tobytes())
+    known = {v.name: v.label for v in REGISTRY.all()}
+    layout.variables += [(v, tuple(own), 6, {"_FillValue": float("nan")} | ({"long_name": known[v]} if v in known else {})) for _, v, own in plans]
+    first, _ = layout.header()
+    folder = f"{path}.tmp.{uuid.uuid4().hex}"
+    blocks: list[str] = []
+    try:
+        for k, (t, v, own) in enumerate(plans):
+            sizes = [layout.dims[d] for d in own]
+            flat = [d for d in own if d in ("latitude", "longitude")]
+            width = int(np.prod([layout.dims[d] for d in flat]))
+            cells = t.where(F.col(v).isNotNull())
+            places = []
+            for d in own:
+                if d in frame.axes:
+                    places.append(at_index({i: float(n) for n, i in enumerate(frame.axes[d])}, F.col(COLUMNS[d][0])))
+                else:
+                    steps = t.sparkSession.createDataFrame([(x, n) for n, x in enumerate(dims[d])], f"{d} {dict(t.dtypes)[d]}, _{d} long")
+                    cells = cells.join(steps, d)
+                    places.append(F.col(f"_{d}"))
+            outer = len(own) - len(flat)
+            pos = lambda ps, ns: sum((p.cast("long") * int(np.prod(ns[i + 1 :])) for i, p in enumerate(ps)), F.lit(0).cast("long"))
+            rows = cells.select(pos(places[:outer], sizes[:outer]).alias("stretch"), pos(places[outer:], sizes[outer:]).cast("int").alias("at"), F.col(v).cast("double").alias("value"))
+            made = write_blocks(rows, int(np.prod(sizes[:outer])), width, lambda x: x.astype(">f8").tobytes(), f"{folder}/{k}") if np.prod(sizes) else []
+            blocks += [p for p, _ in made]
+        append(path, first + b"".join(head), blocks)
+    finally:
+        remove_folder(folder)

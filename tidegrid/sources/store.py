@@ -34,6 +34,13 @@ def make_folder(at: Location) -> None:
     store.create_dir(path, recursive=True)
 
 
+def remove_folder(at: Location) -> None:
+    """The folder and what is in it, if it is there."""
+    store, path = place(at)
+    if store.get_file_info(path).type == pafs.FileType.Directory:
+        store.delete_dir(path)
+
+
 def read_text(at: Location) -> str:
     store, path = place(at)
     with store.open_input_stream(path) as f:
