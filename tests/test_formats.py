@@ -203,3 +203,56 @@ def test_ascii_of_a_failing_task_leaves_nothing(spark, tmp_path):
     assert not list(tmp_path.iterdir()) and len(DEPTHS) == 3
     write_ascii(flat, str(tmp_path / "a.asc"))
     assert [p.name for p in tmp_path.iterdir()] == ["a.asc"]
+
+
+def test_reductions_by_the_mesh_of_a_model(spark, tmp_path):
+    from tidegrid.frame import GridFrame
+    from tidegrid.operators.domain import RectangularDomain, cut_to
+    from tidegrid.sources.mesh import read_mesh, reduce_by_mesh
+    from tidegrid.sources.providers import provider_from
+
+    gen = np.random.default_rng(1)
+    e1, e2, e3 = gen.uniform(1, 9, (4, 5)), gen.uniform(1, 9, (4, 5)), gen.uniform(1, 9, (3, 4, 5))
+    e3[0, 0, 1] = np.nan  # a cell without a size
+    flat = [(y, LATS[y], x, LONS[x], float(e1[y, x]), float(e2[y, x])) for y in range(4) for x in range(5)]
+    deep = [(d, DEPTHS[d], y, LATS[y], x, LONS[x], None if np.isnan(e3[d, y, x]) else float(e3[d, y, x]), float((d + x) % 2)) for d in range(3) for y in range(4) for x in range(5)]
+    tables = (spark.createDataFrame(flat, "lat_idx int, latitude double, lon_idx int, longitude double, e1t double, e2t double"), spark.createDataFrame(deep, "depth_idx int, depth double, lat_idx int, latitude double, lon_idx int, longitude double, e3t double, tmask double"))
+    path = str(tmp_path / "mesh.nc")
+    write_netcdf(GridFrame(tables, {"depth": DEPTHS, "latitude": LATS, "longitude": LONS}), path)
+    made = read_mesh(spark, path)
+    assert made.axes == {"depth": dict(enumerate(DEPTHS)), "latitude": dict(enumerate(LATS)), "longitude": dict(enumerate(LONS))} and made.water.count() == 30
+    f, data = frame(spark).select(["so"]), values()[1]
+    sizes = {"longitude": e1[None], "latitude": e2[None], "depth": e3}
+    for axes in (["longitude"], ["latitude", "longitude"], ["depth"], ["depth", "latitude", "longitude", "time"]):
+        weight = np.ones((3, 4, 5))
+        for a in axes:
+            weight = weight * sizes.get(a, 1)
+        over = tuple(("time", "depth", "latitude", "longitude").index(a) for a in axes)
+        full = np.where(np.isnan(data) | np.isnan(weight), np.nan, weight)
+        want = np.nansum(data * full, axis=over), np.nansum(full, axis=over)
+        out = reduce_by_mesh(f, made, axes).table().collect()
+        total = sum(r["so"] is not None for r in out)
+        assert total == np.sum(want[1] > 0) and abs(sum(r["so"] for r in out if r["so"] is not None) - np.sum(want[0][want[1] > 0] / want[1][want[1] > 0])) < 1e-6
+    cut = reduce_by_mesh(cut_to(f, RectangularDomain("b", (43.0, 44.0), (30.0, 31.0))), made, ["longitude"], "integral").table()
+    assert {r["lat_idx"] for r in cut.collect()} <= {1, 2}
+    for axes, how in ((["height"], "mean"), (["depth"], "median")):
+        with pytest.raises(ValueError):
+            reduce_by_mesh(f, made, axes, how)
+    write_netcdf(f, str(tmp_path / "none.nc"))
+    with pytest.raises(ValueError):
+        read_mesh(spark, str(tmp_path / "none.nc"))
+    (tmp_path / "p.yaml").write_text(f"kind: local\nsource: {tmp_path}\nmeshmask: {{type: netcdf, path: {path}}}\nvariables:\n- variable: so\nfrequencies:\n- frequency: daily\n  variables: [so]\n  path: day\n")
+    assert provider_from(tmp_path / "p.yaml").mesh(spark).axes == made.axes
+
+
+def test_listing_of_variables_by_provider_and_frequency(spark, tmp_path, capsys):
+    from tidegrid.__main__ import main
+
+    (tmp_path / "p.yaml").write_text("kind: local\nname: one\nvariables:\n- variable: so\n- variable: chl\nfrequencies:\n- frequency: daily\n  variables: [so]\n  path: day\n- frequency: monthly\n  variables: [so, chl]\n  path: month\n")
+    assert main(["variables", "--provider", str(tmp_path / "p.yaml"), "--frequency", "daily"]) == 0
+    said = capsys.readouterr().out
+    assert "Practical Salinity" in said and "Chlorophyll" not in said
+    assert main(["variables", "--provider", str(tmp_path / "p.yaml")]) == 0
+    assert capsys.readouterr().out.count("Practical Salinity") == 2
+    with pytest.raises(SystemExit):
+        main(["variables", "--frequency", "daily"])

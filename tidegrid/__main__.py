@@ -15,7 +15,7 @@ from .session import session
 from .sources.collection import Collection
 from .sources.domains import read_domain
 from .sources.plots import MODES, plot_data
-from .sources.providers import ingest, provider_from, providers_table, resume
+from .sources.providers import available, ingest, provider_from, providers_table, resume
 from .sources.sinks import write_ascii, write_ascii_compat, write_csv, write_geotiff, write_netcdf, write_parquet
 from .sources.store import write_text
 from .sources.variables import variables_table
@@ -70,7 +70,9 @@ def parser() -> argparse.ArgumentParser:
         g.add_argument(x, type=_day)
     g.add_argument("--aggregation-dimension", choices=DIMS)
     g.add_argument("--aggregation-method", choices=sorted(MAP_AGGREGATES), default="mean")
-    sub.add_parser("variables", help="list the known variables")
+    w = sub.add_parser("variables", help="list the known variables, or those that providers have")
+    w.add_argument("--provider", nargs="+", help="YAML files of providers")
+    w.add_argument("--frequency", choices=FREQUENCIES)
     s = sub.add_parser("providers", help="list what providers have")
     s.add_argument("configs", nargs="+")
     return p
@@ -93,7 +95,10 @@ def main(argv: list[str] | None = None) -> int:
         data.write.csv(f"{a.output_dir}/{a.variable}_{a.mode}", header=True)
         write_text(f"{a.output_dir}/{a.variable}_{a.mode}.json", json.dumps(about, ensure_ascii=False))
     elif a.command == "variables":
-        variables_table(spark).show(100, truncate=False)
+        if a.frequency and not a.provider:
+            raise SystemExit("a frequency needs a provider")
+        listed = available(spark, [provider_from(c) for c in a.provider], a.frequency) if a.provider else variables_table(spark)
+        listed.show(1000, truncate=False)
     else:
         providers_table(spark, [provider_from(c) for c in a.configs]).show(1000, truncate=False)
     return 0

@@ -49,7 +49,7 @@ def weight(frame: GridFrame, axes: Sequence[str], dims: Sequence[str]) -> Column
     return out
 
 
-def _reduced(table: DataFrame, over: Sequence[str], operator: str, w: Column | None) -> DataFrame:
+def _reduced(table: DataFrame, over: Sequence[str], operator: str, w: Column | None, variables: Sequence[str] | None = None) -> DataFrame:
     def of(v: str) -> Column:
         x = F.col(v).cast("double")
         if operator == "max":
@@ -63,7 +63,7 @@ def _reduced(table: DataFrame, over: Sequence[str], operator: str, w: Column | N
             return F.avg(x).alias(v)
         return (total / F.nullif(F.sum(F.when(x.isNotNull(), w)), F.lit(0.0))).alias(v)
 
-    return table.groupBy(*keep_columns(table, over)).agg(*[of(v) for v in GridFrame.variables_of(table)])
+    return table.groupBy(*keep_columns(table, over)).agg(*[of(v) for v in variables or GridFrame.variables_of(table)])
 
 
 def reduce_axes(frame: GridFrame, axes: Sequence[str], depth_min: float | None = None, depth_max: float | None = None, operator: str = "mean", operation: str | None = None) -> GridFrame:

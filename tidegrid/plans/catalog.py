@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import GridFrame
+from ..frame import COLUMNS, GridFrame, at_index
 from ..functions import calendar
 from ..functions.layers import layer_heights_table
 from ..operators.actions import run_action
@@ -25,9 +25,9 @@ from ..operators.extract import first_time, nearest_time, water_mask
 from ..operators.plotdata import map_at, timeseries
 from ..operators.regions import points_in_polygons
 from ..lineage import shared_folder
-from ..sources import collection, filenames, providers
-from ..sources.sinks import ascii_lines, csv_table, raster
-from ..sources.tables import DEPTHS, daily_cube, monthly_cube, order_points
+from ..sources import collection, filenames, gridfiles, mesh, providers
+from ..sources.sinks import ascii_lines, csv_table, raster, read_geotiff, write_ascii, write_geotiff, write_netcdf
+from ..sources.tables import DEPTHS, LATITUDES, LONGITUDES, daily_cube, monthly_cube, order_points
 from ..sources.variables import KNOWN, variables_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -538,6 +538,66 @@ def ascii_grid_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ascii_lines(run_action("extract_layer", monthly_cube(spark, sf_dir).select(["thetao"]), depth=20.0), north_first=False)
 
 
+@_query(
+    "netcdf_round_trip",
+    f"""with {_MON} select {_CELL}, latitude, {_VALUES} from cube where "time" between timestamp '1995-04-01' and timestamp '1996-03-31' and depth between 1 and 20 and latitude >= 43""",
+)
+def netcdf_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both variables in one file, and what is read of it by ranges of its axes."""
+    path = f"{shared_folder(spark)}/cube-{uuid.uuid4().hex}.nc"
+    write_netcdf(monthly_cube(spark, sf_dir), path)
+    between = {"time": (datetime(1995, 4, 1), datetime(1996, 3, 31)), "depth": (1.0, 20.0), "latitude": (43.0, None)}
+    both = align_outer([gridfiles.read_grid(spark, path, v, between=between) for v in ("thetao", "so")])
+    return _tidy(both, "thetao", "so", drop=("depth", "longitude"))
+
+
+@_query("geotiff_round_trip", f"with {_MON} select cast(3 - lat_idx as integer) \"row\", lon_idx, latitude, longitude, round(avg(thetao), 6) thetao from cube where depth_idx = 2 group by 1, 2, 3, 4")
+def geotiff_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/layer-{uuid.uuid4().hex}.tif"
+    write_geotiff(run_action("extract_layer", monthly_cube(spark, sf_dir).select(["thetao"]), depth=5.0), path)
+    return _tidy(read_geotiff(spark, path, "thetao").table().withColumnRenamed("lat_idx", "row"), "thetao", drop=())
+
+
+@_query("ascii_file", f"""with {_MON}, m as (select lat_idx, lon_idx, avg(so) x from cube where depth_idx = 0 group by 1, 2), g as (select y, x from range(4) a(y) cross join range(5) b(x)),
+    line as (select 3 - g.y k, string_agg(coalesce(printf('%.8f', m.x), '-9999'), ' ' order by g.x) line from g left join m on m.lat_idx = g.y and m.lon_idx = g.x group by g.y)
+    select line from line union all select unnest(['ncols 5', 'nrows 4', 'xllcorner 29.62500000', 'yllcorner 41.62500000', 'cellsize 0.75000000', 'NODATA_value -9999'])""")
+def ascii_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a whole file, as tasks wrote it."""
+    path = f"{shared_folder(spark)}/surface-{uuid.uuid4().hex}.asc"
+    write_ascii(run_action("extract_surface", monthly_cube(spark, sf_dir).select(["so"])), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+_MESH = """
+e1 as (select cast(p_partkey // 5 % 4 as integer) lat_idx, cast(p_partkey % 5 as integer) lon_idx, avg(p_size) + 1 e1t, avg(p_retailprice) e2t from part group by 1, 2),
+e3 as (select cast(l_linenumber - 1 as integer) depth_idx, cast(l_suppkey % 4 as integer) lat_idx, cast(l_partkey % 5 as integer) lon_idx, avg(l_quantity) e3t from lineitem group by 1, 2, 3)"""
+
+
+def _mesh(spark: SparkSession, sf_dir: str) -> mesh.Mesh:
+    """Sizes of cells from parts and line items, by way of a mesh mask's file."""
+    part, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+    grid = {"depth": DEPTHS, "latitude": LATITUDES, "longitude": LONGITUDES}
+    flat = part.groupBy((F.floor(F.col("p_partkey") / 5) % 4).cast("int").alias("lat_idx"), (F.col("p_partkey") % 5).cast("int").alias("lon_idx")).agg((F.avg("p_size") + 1).alias("e1t"), F.avg("p_retailprice").alias("e2t"))
+    deep = li.groupBy((F.col("l_linenumber") - 1).cast("int").alias("depth_idx"), (F.col("l_suppkey") % 4).cast("int").alias("lat_idx"), (F.col("l_partkey") % 5).cast("int").alias("lon_idx")).agg(F.avg("l_quantity").alias("e3t"))
+    placed = lambda t: t.withColumns({a: at_index(grid[a], F.col(COLUMNS[a][0])) for a in grid if COLUMNS[a][0] in t.columns})
+    path = f"{shared_folder(spark)}/mesh-{uuid.uuid4().hex}.nc"
+    write_netcdf(GridFrame((placed(flat), placed(deep)), grid), path)
+    return mesh.read_mesh(spark, path)
+
+
+@_query("mesh_volume_mean", f'with {_MON}, {_MESH} select "time", round(sum(thetao * e1t * e2t * e3t) / sum(e1t * e2t * e3t), 6) thetao from cube join e1 using (lat_idx, lon_idx) join e3 using (depth_idx, lat_idx, lon_idx) group by 1')
+def mesh_volume_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).select(["thetao"])
+    return _tidy(mesh.reduce_by_mesh(frame, _mesh(spark, sf_dir), ["depth", "latitude", "longitude"]).table(), "thetao")
+
+
+@_query("mesh_depth_integral", f'with {_MON}, {_MESH} select "time", lat_idx, lon_idx, round(sum(so * e3t) / 1e3, 6) so from cube join e3 using (depth_idx, lat_idx, lon_idx) group by 1, 2, 3')
+def mesh_depth_integral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = monthly_cube(spark, sf_dir).select(["so"])
+    out = mesh.reduce_by_mesh(frame, _mesh(spark, sf_dir), ["depth"], "integral").table()
+    return _tidy(out.withColumn("so", F.col("so") / 1e3), "so")
+
+
 @_query("csv_rows", f'with {_MON} select "time", latitude, longitude, round(thetao, 6) thetao from cube where depth_idx = 0')
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tidy(csv_table(run_action("extract_surface", monthly_cube(spark, sf_dir).select(["thetao"]))), "thetao", drop=())

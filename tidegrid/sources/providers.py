@@ -20,8 +20,9 @@ from ..operators.domain import BoundingBox, Domain
 from .archives import Decoder, decode, local_archive, tar_archive
 from .collection import CATALOGUE, Collection, DataFile, as_axis, fault, merge_all
 from .filenames import data_file_name
+from .mesh import Mesh, read_mesh
 from .store import Location, exists, join, make_folder, place, read_text
-from .variables import REGISTRY
+from .variables import REGISTRY, variables_table
 
 NEEDED = {"variables", "frequencies"}
 KEYS = NEEDED | {"name", "kind", "source", "meshmask", "start_date", "end_date"}
@@ -134,6 +135,10 @@ class ArchiveProvider(Provider):
     def read(self, spark: SparkSession, variable: str, frequency: str, start: datetime, end: datetime) -> DataFrame:
         return local_archive(spark, self._folder(frequency), variable, self.schema.format(variable), start, end, self.decoder)
 
+    def mesh(self, spark: SparkSession) -> Mesh | None:
+        """The description of its grid, if its configuration names one."""
+        return read_mesh(spark, self.config.meshmask["path"]) if "path" in self.config.meshmask else None
+
     def describe(self) -> str:
         return f"{self.config.name}: {self.kind} archive at {self.config.source or 'the paths of its frequencies'}"
 
@@ -159,6 +164,15 @@ def providers_table(spark: SparkSession, providers: list[Provider]) -> DataFrame
     return merge_all(lists or [spark.createDataFrame([], schema)]).orderBy("description", "frequency", "variable")
 
 
+def available(spark: SparkSession, providers: list[Provider], frequency: str | None = None) -> DataFrame:
+    """name, label, cmap, description, frequency of the variables that providers have, those of one ``frequency`` if it is given; an unknown one is a ValueError."""
+    if frequency is not None and frequency not in FREQUENCIES:
+        raise ValueError(f"the frequency {frequency!r} is unknown; known are {', '.join(FREQUENCIES)}")
+    listed = providers_table(spark, providers).withColumnRenamed("variable", "name")
+    listed = listed if frequency is None else listed.where(F.col("frequency") == frequency)
+    return listed.join(variables_table(spark), "name").select("name", "label", "cmap", "description", "frequency").orderBy("name", "description", "frequency")
+
+
 def inside(table: DataFrame, box: BoundingBox) -> DataFrame:
     """Cells in a box, its depth range included; these filters reach the scan of a columnar source."""
     out = table.where(F.col("latitude").between(*box.latitude) & F.col("longitude").between(*box.longitude))
