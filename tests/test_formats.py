@@ -220,7 +220,7 @@ def test_reductions_by_the_mesh_of_a_model(spark, tmp_path):
     path = str(tmp_path / "mesh.nc")
     write_netcdf(GridFrame(tables, {"depth": DEPTHS, "latitude": LATS, "longitude": LONS}), path)
     made = read_mesh(spark, path)
-    assert made.axes == {"depth": dict(enumerate(DEPTHS)), "latitude": dict(enumerate(LATS)), "longitude": dict(enumerate(LONS))} and made.water.count() == 30
+    assert made.axes == {"depth": dict(enumerate(DEPTHS)), "latitude": dict(enumerate(LATS)), "longitude": dict(enumerate(LONS))} and made.water.count() == 28
     f, data = frame(spark).select(["so"]), values()[1]
     sizes = {"longitude": e1[None], "latitude": e2[None], "depth": e3}
     for axes in (["longitude"], ["latitude", "longitude"], ["depth"], ["depth", "latitude", "longitude", "time"]):

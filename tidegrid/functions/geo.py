@@ -97,8 +97,8 @@ def tiles(ring: Sequence[tuple[float, float]], side: int = 128) -> list[list[int
     return out
 
 
-#: Edges of a ring for which whole tiles are decided first.
-MANY = 256
+#: A ring of no more edges is one expression, which Spark compiles; in one of more than ``MANY`` whole tiles are decided first. All give the same.
+FEW, MANY = 16, 256
 
 
 def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
@@ -107,26 +107,32 @@ def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Col
     An edge counts its lower end and not its upper one, so that a shared vertex counts once. The edges are data, in literals by
     strips of y (see :func:`strips`), so that the plan has one size whatever the ring, and a point meets only the edges of its strip; in a ring of many edges
     those points that no edge is near are decided by their tile (see :func:`tiles`). Null coordinates are nowhere: null."""
+
+    def crosses(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+        return F.when(((y1 > y) != (y2 > y)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), 1).otherwise(0)
+
+    def within(i: Column, n: int) -> Column:
+        return F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), i.cast("double"))).cast("int")
+
+    if len(ring) <= FEW:
+        level = [(*a, *b) for a, b in zip(ring, [*ring[1:], ring[0]]) if a[1] != b[1]]
+        total = sum((crosses(*(F.lit(float(v)) for v in e)) for e in level), F.lit(0))
+        return F.when(y.isNotNull() & x.isNotNull(), total % 2 == 1)
     low, height, first, edges = strips(ring)
     if not edges:
         return F.lit(False)
     n = len(first) - 1
-    k = F.greatest(F.lit(0), F.least(F.lit(n - 1), F.floor((y - F.lit(low)) / F.lit(height)).cast("int")))
+    k = within(F.floor((y - F.lit(low)) / F.lit(height)), n)
     at = _numbers(first)
     own = F.sequence(F.get(at, k).cast("int"), F.get(at, k + 1).cast("int") - 1)  # a ring has an edge in every strip
     xs, ys, xe, ye = (_numbers(c) for c in zip(*edges))
-
     near = F.transform(own, lambda i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), F.get(xe, i).alias("x2"), F.get(ye, i).alias("y2")))
-
-    def crossed(e: Column) -> Column:
-        return F.when(((e["y1"] > y) != (e["y2"] > y)) & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]), 1).otherwise(0)
-
-    inside = F.aggregate(near, F.lit(0), lambda total, e: total + crossed(e)) % 2 == 1
-    if len(edges) > MANY:
-        xs0, xs9 = min(p[0] for p in ring), max(p[0] for p in ring)
+    inside = F.aggregate(near, F.lit(0), lambda total, e: total + crosses(e["x1"], e["y1"], e["x2"], e["y2"])) % 2 == 1
+    xs0, xs9 = min(p[0] for p in ring), max(p[0] for p in ring)
+    if len(edges) > MANY and xs0 < xs9:
         known = tiles(ring)
         side = len(known)
-        place = lambda v, a, b: F.greatest(F.lit(0), F.least(F.lit(side - 1), F.floor((v - F.lit(a)) / F.lit((b - a) / side)).cast("int")))
+        place = lambda v, a, b: within(F.floor((v - F.lit(a)) / F.lit((b - a) / side)), side)
         tile = F.get(_numbers([v for row in known for v in row]), place(y, low, max(p[1] for p in ring)) * side + place(x, xs0, xs9))
         box = x.between(xs0, xs9) & y.between(low, max(p[1] for p in ring))
         inside = F.when(~box | (tile == 0), False).when(tile == 1, True).otherwise(inside)

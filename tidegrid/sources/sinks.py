@@ -178,7 +178,7 @@ def write_netcdf(frame: GridFrame, path: str) -> None:
     """All variables as one NetCDF file (CDF-5, double precision, missing cells as NaN), each made by tasks, a horizontal field at a time.
 
     Time, and what analyses add (year, month, doy, season), are dimensions with the values that the table has; seasons are numbered as in the attribute labels. Axes are whole. Where a table has
-    both month and doy, or a year beside time, the finer one is the dimension."""
+    both month and doy, or a year beside time, the finer one is the dimension. The water mask is a variable of zeros and ones."""
     dims: dict[str, list] = {}
     plans = []
     for t in frame.tables:
@@ -191,7 +191,7 @@ def write_netcdf(frame: GridFrame, path: str) -> None:
                 values = sorted(r[0] for r in t.select(d).distinct().collect() if r[0] is not None)  # a coordinate of a result: as many as its steps
             if dims.setdefault(d, values) != values:
                 dims[d] = sorted({*dims[d], *values}, key=_SEASONS.index if d == "season" else None)
-        plans += [(t, v, own) for v in GridFrame.variables_of(t)]
+        plans += [(t, v, own) for v in [*GridFrame.variables_of(t), *[c for c in t.columns if c == "tmask"]]]
     if "season" in dims:
         dims["season"] = [s for s in _SEASONS if s in dims["season"]]
     layout = Layout({d: len(v) for d, v in dims.items()}, {k: v for k, v in frame.attrs.items() if isinstance(v, str)})
