@@ -40,8 +40,16 @@ veinte veintiuno veintidós veintitrés treinta cuarenta cincuenta sesenta seten
 """.split()
 #: German numbers from 21 to 99 name the smaller part first.
 _UND = "(?:ein|zwei|drei|vier|fünf|sechs|sieben|acht|neun)und(?:zwanzig|dreißig|vierzig|fünfzig|sechzig|siebzig|achtzig|neunzig)"
-#: A number in words, without the case of its letters.
-SPELLED = rf"(?:{_UND}|{'|'.join(dict.fromkeys(NUMBERS))})"
+
+
+def _by_letter(words: list[str]) -> str:
+    """An expression for any of these words, which looks at a word's first letter once."""
+    letters = sorted({w[0] for w in words})
+    return "|".join(f"{a}(?:{'|'.join(dict.fromkeys(w[1:] for w in words if w[0] == a))})" for a in letters)
+
+
+#: A number in words, in lower case.
+SPELLED = rf"(?:{_by_letter(NUMBERS)}|{_UND})"
 WINDOW, STRETCH, LITERALS = 8, 6, 2
 _MARK, _GLUE = "\x02", "\x03"  # before a name word, and between two of one run
 _ENDS = r"""[.,;:!?"')]"""
@@ -64,14 +72,13 @@ def with_template(df: DataFrame) -> DataFrame:
     name = rf"""(?=\p{{Lu}})(?<=(?:^| )["'(]{{0,3}})(?!(?i:{"|".join(COMMON)})(?![\p{{L}}\p{{N}}]))(?!(?iu:{SPELLED})(?![\p{{L}}\p{{N}}]))(?!{unit_there})"""
     marked = F.regexp_replace("words", name, _MARK)
     glued = F.regexp_replace("_m", rf"""({_MARK}[^ ]*[^ .,;:!?"')]) (?=["'(]{{0,3}}{_MARK})""", f"$1{_GLUE}")
-    number = F.regexp_replace("_s", r"""[0-9](?<=(?:^| )["'(+$€£-]{0,3}[0-9])(?:[^ ]*[^ .,;:!?"')])?""", "<num>")
+    number = F.regexp_replace("_l", rf"""(?<![^ ])(["'(]{{0,3}})(?:{SPELLED}(?:-{SPELLED})*)(?={_ENDS}*(?: |$))|[0-9](?<=(?:^| )["'(+$€£-]{{0,3}}[0-9])(?:[^ ]*[^ .,;:!?"')])?""", "$1<num>")
     unit = F.regexp_replace("_t", rf"(?<=<num> )(?i:{UNITS})(?={_ENDS}*(?: |$))", "<unit>")
-    spelled = F.regexp_replace("_g", rf"""(?<![^ ])(["'(]{{0,3}})(?iu:{SPELLED}(?:-{SPELLED})*)(?={_ENDS}*(?: |$))""", "$1<num>")
     df = df.withColumn("_m", marked).withColumn("_g", F.when(F.col("_m").contains(_MARK), glued).otherwise(F.col("_m")))
-    df = df.withColumn("_s", spelled).withColumn("_t", number).withColumn("_u", F.when(F.col("_t").contains("<num> "), unit).otherwise(F.col("_t")))
-    t = F.lower(F.regexp_replace("_u", f"{_MARK}[^ ]*", "<name>"))
+    df = df.withColumn("_l", F.lower("_g")).withColumn("_t", number).withColumn("_u", F.when(F.col("_t").contains("<num> "), unit).otherwise(F.col("_t")))
+    t = F.regexp_replace("_u", f"{_MARK}[^ ]*", "<name>")
     t = F.regexp_replace(F.regexp_replace(t, rf"{_ENDS}+(?= |$)", ""), r"""["'(+$€£-](?<![^ ].)["'(+$€£-]*""", "")
-    return df.withColumn("template", t).withColumn("words", F.translate("_g", _MARK, "")).drop("_m", "_g", "_s", "_t", "_u")
+    return df.withColumn("template", t).withColumn("words", F.translate("_g", _MARK, "")).drop("_m", "_g", "_l", "_t", "_u")
 
 
 def _windows(words: Column, window: int | Column, stride: int) -> Column:
