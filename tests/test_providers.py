@@ -70,7 +70,7 @@ def test_command_line(spark, configs, capsys):
     (configs / "box.yaml").write_text("name: Box\ngeometry:\n  type: rectangle\n  min_latitude: 42\n  max_latitude: 44\n  min_longitude: 30\n  max_longitude: 31\n")
     common = ["--provider", str(configs / "local.yaml"), "--domain", str(configs / "box.yaml"), "--dataset", str(configs / "made")]
     assert main(["ingest", *common, "--variables", "thetao", "--frequency", "daily", "--start", "2025-01-01", "--end", "2025-01-02"]) == 0
-    assert main(["resume", *common]) == 0
+    assert main(["resume", *common]) == 0 and main(["resume", "--provider", common[1], "--dataset", common[5]]) == 0
     out = str(configs / "out")
     assert main(["reduce", "reduce_axes", 'axes=["depth"]', "operator=max", "depth_max=2.0", "--dataset", str(configs / "made"), "--output", out, "--format", "csv"]) == 0
     back = spark.read.csv(out, header=True)

@@ -60,7 +60,7 @@ def parser() -> argparse.ArgumentParser:
     for x in (c, sub.add_parser("resume", help="make the missing files of a collection")):
         x.add_argument("--dataset", required=True)
         x.add_argument("--provider", required=True, help="YAML file of a provider")
-        x.add_argument("--domain", required=True, help="YAML file of a region")
+        x.add_argument("--domain", required=x is c, help="YAML file of a region" + ("" if x is c else " (the collection's own, if not given)"))
     g = sub.add_parser("plot", help="write the data of a plot, and its label, unit and colour map, as CSV and JSON")
     g.add_argument("mode", choices=MODES)
     g.add_argument("--input-file", required=True)
@@ -89,7 +89,10 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "ingest":
         ingest(spark, a.dataset, read_domain(a.domain), a.variables, a.frequency, a.start, a.end, provider_from(a.provider), a.split_by)
     elif a.command == "resume":
-        resume(spark, a.dataset, read_domain(a.domain), provider_from(a.provider), print)
+        region = read_domain(a.domain) if a.domain else Collection.load(a.dataset).region
+        if region is None:
+            raise SystemExit("the collection's catalogue names no region; give --domain")
+        resume(spark, a.dataset, region, provider_from(a.provider), print)
     elif a.command == "plot":
         data, about = plot_data(spark, a.input_file, a.variable, a.mode, a.start_date, a.end_date, a.time, a.aggregation_dimension, a.aggregation_method)
         data.write.csv(f"{a.output_dir}/{a.variable}_{a.mode}", header=True)
