@@ -14,7 +14,7 @@ from tidegrid.llm.decontam import contaminated
 from tidegrid.llm.langid import held_out, identify
 from tidegrid.llm.neardup import near_copies
 from tidegrid.llm.packing import pack
-from tidegrid.llm.secrets import find_secrets, redact
+from tidegrid.llm.secrets import MARK, find_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in them replaced by a mark and n_chars of the new text."""
-    out = redact(find_secrets(docs))
+    out = find_secrets(docs, mark=MARK)
     changed = F.size("spans") > 0
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from tests.llm.corpus import SCHEMA
 from tidegrid.llm import queries as llm
+from tidegrid.llm.secrets import MARK, find_secrets, redact
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't there")
@@ -95,6 +96,18 @@ def test_rows_without_id_and_with_shared_ids_are_judged(spark):
     assert sorted(r["text"] for r in clean.collect()) == sorted(t for _, t in rows if item not in t) and clean.columns == docs.columns
 
 
+def test_secrets_are_covered_by_the_worker_that_finds_them(spark):
+    key = "password = 'hJ7kQ2mZx9LpT4vR'"
+    rows = [(1, f"a {key} b {key}", "en", "s", 9), (2, "clean text", "en", "s", 10), (3, None, "en", "s", None), (4, "", "en", "s", 0), (5, f"\u00e9\U0001f600 {key} {'0f' * 12}", None, None, 1), (5, key, None, None, 1)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    want = redact(find_secrets(docs, most=64))
+    got = find_secrets(docs, most=64, mark=MARK)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    out = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, DATA)
+    assert sorted(map(repr, out.select("doc_id", "text").collect())) == sorted(map(repr, want.select("doc_id", "text").collect()))
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1  # else each task of the stage holds two Python workers
+
+
 def test_a_missing_library_leaves_the_other_queries(monkeypatch):
     import sys
 

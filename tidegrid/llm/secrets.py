@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lean, table
+from .common import free_name, lean, table
 from .words import spare
 
 # The patterns and least lengths of the base kinds, in the order in which kinds are listed.
@@ -151,66 +151,78 @@ def _novel(text: str, taken: list[tuple[int, int]], press: zstandard.ZstdCompres
     return out
 
 
-def scanner(harvested: list[str] | tuple[str, ...] = (), reach: int = 40, least: float = 0.85):
-    """An Arrow function of a text column: its spans (kind, start, end), by start and then kind as listed.
+MARK = "[secret]"
+_SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
+
+
+def _covered(text: str, spans: list[dict], mark: str) -> str:
+    """``text`` with each stretch of joined spans replaced by ``mark``."""
+    parts, at = [], 0
+    for s in spans:
+        if s["end"] <= at:
+            continue
+        if s["start"] >= at:
+            parts += [text[at : s["start"]], mark]
+        at = s["end"]
+    return "".join([*parts, text[at:]])
+
+
+def scanner(harvested: list[str] | tuple[str, ...] = (), reach: int = 40, least: float = 0.85, mark: str | None = None):
+    """An Arrow function of a text column: its spans (kind, start, end), by start and then kind as listed; with a ``mark`` a struct
+    of them and of the text in which they are replaced by it, which is null where there are none.
 
     ``reach``: characters from a sensitive word, on either side, within which a token stands; ``least``: novelty as a share of the
     entropy of the token's alphabet."""
     words, known = dictionary(harvested), frozenset([*harvested, *IDENTIFIERS])
 
-    @F.arrow_udf("array<struct<kind: string, start: bigint, end: bigint>>")
+    @F.arrow_udf(_SPANS if mark is None else f"struct<spans: {_SPANS}, text: string>")
     def scan(texts: pa.Array) -> pa.Array:
         patterns = [(kind, re.compile(p, re.A | (re.I if kind == "assign" else 0)), g, n) for kind, p, g, n in BASE]
         primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         primed.precompute_compress(level=3)
         press = zstandard.ZstdCompressor(level=3, dict_data=primed, write_checksum=False, write_content_size=False, write_dict_id=False)
         may = pc.match_substring_regex(texts, _MAY).to_pylist()
-        out = []
+        out, covered = [], []
         for i, hit in enumerate(may):
             if not hit:
-                out.append([])
+                out.append([]), covered.append(None)
                 continue
             text = texts[i].as_py()
             found = _base(text, patterns)
             found += _novel(text, [(a, b) for a, _, _, b in found], press, known, reach, least)
             out.append([{"kind": kind, "start": a, "end": b} for a, _, kind, b in sorted(found)])
+            covered.append(_covered(text, out[-1], mark) if mark is not None and found else None)
         spare()
-        return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+        spans = pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
+        return spans if mark is None else pa.StructArray.from_arrays([spans, pa.array(covered, pa.string())], ["spans", "text"])
 
     return scan
 
 
-def find_secrets(docs: DataFrame, corpus: DataFrame | None = None, most: int = 4096, **limits) -> DataFrame:
+def find_secrets(docs: DataFrame, corpus: DataFrame | None = None, most: int = 4096, mark: str | None = None, **limits) -> DataFrame:
     """``docs`` with spans: array of (kind, start, end) in code points, end exclusive.
 
     The dictionary is harvested from all texts of ``corpus`` (``docs``, if None) and holds ``most`` parts of words at most.
     A null or empty text has none. Each row is judged alone, repeated rows too; a column named spans is replaced.
-    An empty table gives no rows.
+    An empty table gives no rows. With a ``mark`` the texts are also redacted, as by :func:`redact`, but by the worker that finds the
+    spans: a task then needs one Python worker and not two, which an executor keeps for the stages to come.
     """
     lean(docs.sparkSession)
     known = harvest(docs if corpus is None else corpus, most)
+    if mark is not None:
+        said = free_name(docs, "_said")
+        out = docs.withColumn(said, scanner(known, mark=mark, **limits)(F.coalesce("text", F.lit(""))))
+        return out.withColumns({"spans": F.col(f"{said}.spans"), "text": F.coalesce(F.col(f"{said}.text"), "text")}).drop(said)
     return docs.withColumn("spans", scanner(known, **limits)(F.coalesce("text", F.lit(""))))
 
 
-def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` (with spans) whose text has each stretch of joined spans replaced by ``mark``; texts without spans stay."""
 
     @F.arrow_udf("string")
     def cover(texts: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for text, found in zip(texts.to_pylist(), spans.to_pylist()):
-            if text is None or not found:
-                out.append(text)
-                continue
-            parts, at = [], 0
-            for s in found:
-                if s["end"] <= at:
-                    continue
-                if s["start"] >= at:
-                    parts += [text[at : s["start"]], mark]
-                at = s["end"]
-            out.append("".join([*parts, text[at:]]))
-        return pa.array(out, pa.string())
+        pairs = zip(texts.to_pylist(), spans.to_pylist())
+        return pa.array([_covered(text, found, mark) if text is not None and found else text for text, found in pairs], pa.string())
 
     return docs.withColumn("text", F.when(F.size("spans") > 0, cover("text", "spans")).otherwise(F.col("text")))
 
