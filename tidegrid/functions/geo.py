@@ -40,7 +40,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.least(F.sqrt(a), F.lit(1.0)))
 
 
-def _numbers(values: Sequence[float]) -> Column:
+def numbers(values: Sequence[float]) -> Column:
     """An array of doubles as one literal: parsed once, when the plan is made, however many they are."""
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if len(values) else F.array().cast("array<double>")
 
@@ -123,9 +123,9 @@ def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Col
         return F.lit(False)
     n = len(first) - 1
     k = within(F.floor((y - F.lit(low)) / F.lit(height)), n)
-    at = _numbers(first)
+    at = numbers(first)
     own = F.sequence(F.get(at, k).cast("int"), F.get(at, k + 1).cast("int") - 1)  # a ring has an edge in every strip
-    xs, ys, xe, ye = (_numbers(c) for c in zip(*edges))
+    xs, ys, xe, ye = (numbers(c) for c in zip(*edges))
     near = F.transform(own, lambda i: F.struct(F.get(xs, i).alias("x1"), F.get(ys, i).alias("y1"), F.get(xe, i).alias("x2"), F.get(ye, i).alias("y2")))
     inside = F.aggregate(near, F.lit(0), lambda total, e: total + crosses(e["x1"], e["y1"], e["x2"], e["y2"])) % 2 == 1
     xs0, xs9 = min(p[0] for p in ring), max(p[0] for p in ring)
@@ -133,7 +133,7 @@ def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Col
         known = tiles(ring)
         side = len(known)
         place = lambda v, a, b: within(F.floor((v - F.lit(a)) / F.lit((b - a) / side)), side)
-        tile = F.get(_numbers([v for row in known for v in row]), place(y, low, max(p[1] for p in ring)) * side + place(x, xs0, xs9))
+        tile = F.get(numbers([v for row in known for v in row]), place(y, low, max(p[1] for p in ring)) * side + place(x, xs0, xs9))
         box = x.between(xs0, xs9) & y.between(low, max(p[1] for p in ring))
         inside = F.when(~box | (tile == 0), False).when(tile == 1, True).otherwise(inside)
     return F.when(y.isNotNull() & x.isNotNull(), inside)
