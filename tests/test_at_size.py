@@ -1,10 +1,12 @@
 """Plans that hold on large tables: what is asked how often, and what is sent whole to every task."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.grids import DEPTHS, LATS, LONS, frame
 from tidegrid.frame import GridFrame
+from tidegrid.operators import regions
 from tidegrid.operators.domain import MultiPolygonalDomain, PolygonalDomain, cut_to
 
 
@@ -48,3 +50,25 @@ def test_a_cut_by_places_is_that_of_each_cell(spark):
                 out = cut_to(GridFrame((table,), known), domain).table()
                 assert sorted(map(tuple, out.collect()), key=repr) == want and out.columns == table.columns
             assert want
+
+
+@pytest.mark.parametrize("most", [regions.BROADCAST_POINTS, 0])
+def test_what_polygons_are_made_into_is_not_sent_to_every_task(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(regions, "BROADCAST_POINTS", most)
+    spark.range(300).write.parquet(f"{tmp_path}/made")  # a few KB; the edges by rows of tiles are thousands of times as large
+    corners = [(0.2, 0.0), (0.1, 0.1), (0.0, 0.3), (-0.1, 0.1), (-0.2, 0.0), (0.0, -0.3)]
+    ring = F.array(*[F.struct((F.col("id") % 7 * 0.05 + x).alias("x"), (F.col("id") % 11 * 0.05 + y).alias("y")) for x, y in corners])
+    polygons = spark.read.parquet(f"{tmp_path}/made").select(F.col("id").alias("polygon"), ring.alias("ring"))
+    places = [(x / 10, y / 10) for x in range(-3, 6) for y in range(-3, 8)]
+    out = regions.points_in_polygons(spark.createDataFrame(places, "x double, y double"), polygons)
+    sent = [x for x in _nodes(out._jdf.queryExecution().sparkPlan()) if x.nodeName() == "BroadcastHashJoin"]
+    whole = [x.children().apply(0 if "BuildLeft" in x.toString().split("\n")[0] else 1) for x in sent]
+    assert not any("polygon" in x.output().toString() for x in whole) and bool(sent) == bool(most)
+    want = set()
+    for r in polygons.collect():
+        edges = [(a["x"], a["y"], b["x"], b["y"]) for a, b in zip(r["ring"], [*r["ring"][1:], r["ring"][0]]) if a["y"] != b["y"]]
+        for x, y in places:
+            if sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in edges) % 2:
+                want.add((x, y, r["polygon"]))
+    got = [(r["x"], r["y"], r["polygon"]) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) > 300
