@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.grids import DEPTHS, LATS, LONS, frame
 from tidegrid.frame import GridFrame
+from tidegrid.operators import domain as domains
 from tidegrid.operators import regions
 from tidegrid.operators.domain import MultiPolygonalDomain, PolygonalDomain, cut_to
 
@@ -37,7 +38,9 @@ def test_a_large_ring_is_not_asked_for_each_row_that_cells_are_made_of(spark):
     assert out.columns == cells.columns
 
 
-def test_a_cut_by_places_is_that_of_each_cell(spark):
+@pytest.mark.parametrize("most", [domains.BROADCAST_PLACES, 0])
+def test_a_cut_by_places_is_that_of_each_cell(spark, monkeypatch, most):
+    monkeypatch.setattr(domains, "BROADCAST_PLACES", most)
     ragged = PolygonalDomain("ragged", _ragged(40))
     square = PolygonalDomain("square", ((31.9, 42.5), (32.1, 42.5), (32.1, 43.5), (31.9, 43.5)))
     t = frame(spark).table()
@@ -52,6 +55,17 @@ def test_a_cut_by_places_is_that_of_each_cell(spark):
             assert want
 
 
+def test_a_cut_of_a_large_grid_joins_places_only_where_a_place_meets_many_edges(spark, monkeypatch):
+    monkeypatch.setattr(domains, "BROADCAST_PLACES", 0)
+    a = np.linspace(0, 2 * np.pi, 400, endpoint=False)
+    smooth = PolygonalDomain("smooth", tuple(zip((31 + 0.8 * np.cos(a)).tolist(), (43.5 + 1.2 * np.sin(a)).tolist())))
+    ragged = PolygonalDomain("ragged", _ragged(200))
+    assert smooth.corners() == ragged.corners() == 400 and smooth.compared() < 1 and ragged.compared() > 16
+    for domain, joined in ((smooth, False), (ragged, True)):
+        plan = cut_to(frame(spark), domain).table()._jdf.queryExecution().optimizedPlan()
+        assert any(x.nodeName() == "Join" for x in _nodes(plan)) == joined
+
+
 @pytest.mark.parametrize("most", [regions.BROADCAST_POINTS, 0])
 def test_what_polygons_are_made_into_is_not_sent_to_every_task(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(regions, "BROADCAST_POINTS", most)

@@ -101,6 +101,15 @@ def tiles(ring: Sequence[tuple[float, float]], side: int = 128) -> list[list[int
 FEW, MANY = 16, 256
 
 
+def compared(ring: Sequence[tuple[float, float]]) -> float:
+    """With how many edges :func:`in_polygon` compares a point of the ring's box, on the mean."""
+    if len(ring) <= FEW:
+        return float(len(ring))
+    _, _, first, edges = strips(ring)
+    open_tiles = np.mean(np.equal(tiles(ring), 2)) if len(edges) > MANY and len({p[0] for p in ring}) > 1 else 1.0
+    return float(open_tiles) * len(edges) / (len(first) - 1)
+
+
 def in_polygon(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
     """Even-odd test against a ring of (x, y): the number of edges that a ray to the right crosses is odd.
 

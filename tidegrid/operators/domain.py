@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import GridFrame
-from ..functions.geo import FEW, in_polygon, numbers
+from ..functions.geo import FEW, compared, in_polygon, numbers
 
+#: Places of a grid in a table that is sent to every task: the axes bound them before it is made.
+BROADCAST_PLACES = 100_000
 NAME = re.compile(r"^[a-zA-Z0-9-]+$")  # fixed value: what a domain may be called
 
 
@@ -53,9 +55,13 @@ class Domain:
         raise NotImplementedError
 
     def corners(self) -> int:
-        """How many vertices a point may have to be compared with."""
+        """The number of its vertices."""
         return 0
 
+    def compared(self) -> float:
+        """With how many edges a point of its box is compared, on the mean."""
+        return 0.0
+
     def box(self) -> BoundingBox:
         raise NotImplementedError
 
@@ -92,6 +98,9 @@ class PolygonalDomain(Domain):
     def corners(self) -> int:
         return len(self.ring)
 
+    def compared(self) -> float:
+        return compared(self.ring)
+
     def box(self) -> BoundingBox:
         x, y = zip(*self.ring)
         return BoundingBox((min(y), max(y)), (min(x), max(x)), self.depth)
@@ -111,6 +120,9 @@ class MultiPolygonalDomain(Domain):
     def corners(self) -> int:
         return sum(p.corners() for p in self.polygons)
 
+    def compared(self) -> float:
+        return sum(p.compared() for p in self.polygons)
+
     def box(self) -> BoundingBox:
         merged = BoundingBox.merge(p.box() for p in self.polygons)
         return replace(merged, depth=self.depth)
@@ -148,38 +160,43 @@ def of_rings(name: str, rings: Sequence[Sequence[tuple[float, float]]], depth: t
     return polygons[0] if len(polygons) == 1 else MultiPolygonalDomain(name, polygons, depth)
 
 
-def _places(spark: SparkSession, latitudes: dict[int, float], longitudes: dict[int, float], domain: Domain) -> DataFrame:
-    """lat_idx, lon_idx, _lat, _lon, _inside: the places of a grid that lie in the domain's box, and whether they lie in the domain."""
-    box = domain.box()
-    axes = [{i: float(v) for i, v in axis.items() if v is not None and low <= v <= high} for axis, (low, high) in ((latitudes, box.latitude), (longitudes, box.longitude))]
-    n = F.lit(max(1, len(axes[1])))
+def _axes_within(frame: GridFrame, box: BoundingBox) -> list[dict[int, float]]:
+    """Latitudes and longitudes of a box by index; none where the axis isn't known."""
+    return [{i: float(v) for i, v in frame.axes.get(axis, {}).items() if v is not None and low <= v <= high} for axis, (low, high) in (("latitude", box.latitude), ("longitude", box.longitude))]
+
+
+def _places(spark: SparkSession, axes: list[dict[int, float]], domain: Domain) -> DataFrame:
+    """lat_idx, lon_idx, _lat, _lon, _inside: the places of a grid, and whether they lie in the domain."""
+    rows, n = len(axes[0]) * len(axes[1]), F.lit(len(axes[1]))
     column = F.col("id") % n
     at = [((F.col("id") - column) / n).cast("int"), column.cast("int")]
     indices = [F.get(numbers(list(axis)), k).cast("int").alias(name) for axis, k, name in zip(axes, at, ("lat_idx", "lon_idx"))]
     values = [F.get(numbers(list(axis.values())), k).alias(name) for axis, k, name in zip(axes, at, ("_lat", "_lon"))]
-    return spark.range(len(axes[0]) * len(axes[1])).select(*indices, *values).withColumn("_inside", domain.mask(F.col("_lat"), F.col("_lon")))
+    out = spark.range(rows).select(*indices, *values).withColumn("_inside", domain.mask(F.col("_lat"), F.col("_lon")))
+    return F.broadcast(out) if rows <= BROADCAST_PLACES else out
 
 
-def _cut_by_place(t: DataFrame, latitudes: dict[int, float], longitudes: dict[int, float], domain: Domain) -> DataFrame:
+def _cut_by_place(t: DataFrame, axes: list[dict[int, float]], domain: Domain) -> DataFrame:
     """The domain is asked once for each place of the grid, not for each cell, nor for each row that cells are made of: Spark moves a filter below
     an aggregation, but not one on what an outer join has found. Cells that don't lie where the axes have them are asked themselves."""
     lat, lon, box = F.col("latitude"), F.col("longitude"), domain.box()
     near = t.where(lat.between(*box.latitude) & lon.between(*box.longitude))  # reaches the scan
-    found = near.join(_places(t.sparkSession, latitudes, longitudes, domain), ["lat_idx", "lon_idx"], "left")
+    found = near.join(_places(t.sparkSession, axes, domain), ["lat_idx", "lon_idx"], "left")
     return found.where(F.when((lat == F.col("_lat")) & (lon == F.col("_lon")), F.col("_inside")).otherwise(domain.mask(lat, lon))).select(*t.columns)
 
 
 def cut_to(frame: GridFrame, domain: Domain) -> GridFrame:
     """Cells inside the domain; the others have no rows any more, which is how missing cells are stored. All axes stay, time too.
 
-    Tables without latitude and longitude stay. A domain of many vertices is asked by places of the grid, where the axes are known."""
-    by_place = domain.corners() > FEW and {"latitude", "longitude"} <= set(frame.axes)
+    Tables without latitude and longitude stay. A domain of many vertices is asked by places of the grid, where the axes are known: always if its box has few, else if a place is compared with many edges."""
+    axes = _axes_within(frame, domain.box()) if domain.corners() > FEW else [{}, {}]
+    by_place = all(axes) and (len(axes[0]) * len(axes[1]) <= BROADCAST_PLACES or domain.compared() > FEW)
 
     def cut(t: DataFrame) -> DataFrame:
         if not {"latitude", "longitude"} <= set(t.columns):
             return t
         if by_place and {"lat_idx", "lon_idx"} <= set(t.columns):
-            return _cut_by_place(t, frame.axes["latitude"], frame.axes["longitude"], domain)
+            return _cut_by_place(t, axes, domain)
         return t.where(domain.mask(F.col("latitude"), F.col("longitude")))
 
     return frame.map(cut)
